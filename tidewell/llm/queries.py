@@ -7,10 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.packing import op5_best_fit_packing
+from tidewell.llm.pii import op1_sanitise
 from tidewell.llm.secrets import OP3_SQL, op3_secret_scan
 from tidewell.llm.topk import OP2_SQL, op2_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_sanitise": op1_sanitise,
     "op2_exact_topk": op2_exact_topk,
     "op3_secret_scan": op3_secret_scan,
     "op5_best_fit_packing": op5_best_fit_packing,
