@@ -6,6 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tidewell.llm.decontaminate import op4_decontaminate
 from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
 from tidewell.llm.secrets import OP3_SQL, op3_secret_scan
@@ -15,6 +16,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_sanitise": op1_sanitise,
     "op2_exact_topk": op2_exact_topk,
     "op3_secret_scan": op3_secret_scan,
+    "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
 }
 
