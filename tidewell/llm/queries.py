@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.decontaminate import op4_decontaminate
+from tidewell.llm.html_text import op9_html_text
 from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
 from tidewell.llm.secrets import OP3_SQL, op3_secret_scan
@@ -18,6 +19,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op9_html_text": op9_html_text,
 }
 
 #: DuckDB twins of those queries that SQL can express.
