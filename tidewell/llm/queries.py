@@ -8,8 +8,10 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.decontaminate import op4_decontaminate
 from tidewell.llm.html_text import op9_html_text
+from tidewell.llm.language import op7_language_id
 from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
+from tidewell.llm.quality import op8_quality
 from tidewell.llm.secrets import OP3_SQL, op3_secret_scan
 from tidewell.llm.topk import OP2_SQL, op2_exact_topk
 
@@ -19,6 +21,8 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op7_language_id": op7_language_id,
+    "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
 }
 
