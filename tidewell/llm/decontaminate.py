@@ -6,8 +6,9 @@ is then verified: the item is cut into question (all but its last sentence) and
 of their word n-grams with the passage.
 
 Passages are windows of 2 * L words every L words, so a copy of an item of up to L words lies within one of them. Items
-are indexed by length class (L = 64, 128, ...). Before WAND, a sum of the words' largest impacts over the window, in
-numpy, bounds the score; it only passes over windows that no item can match.
+are indexed by length class (L = 64, 128, ...) in order of length, in blocks of a few items. Block maxima lie in a matrix
+of terms by blocks, so one sum over a passage's terms bounds its score in every block at once; WAND then runs with those
+maxima in the blocks whose bound reaches the threshold, and in no other.
 
 The index goes to executors in shards of bounded size: shards are filled by hash, as many as the test set's size asks
 for, and each shard sees all documents. Term statistics are those of the whole test set.
@@ -20,7 +21,6 @@ from __future__ import annotations
 
 import math
 import re
-from bisect import bisect_left
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -40,16 +40,18 @@ FOUND = "doc_id long, item_id long, score double, question_overlap double, answe
 
 @dataclass(frozen=True)
 class Rules:
-    """threshold: share of an item's BM25 weight that a passage has to hold. question, answer: shares of their n-grams."""
+    """threshold: share of an item's BM25 weight that a passage has to hold. question, answer: shares of their n-grams.
+    block, group: items to a block, and to a matrix of block maxima. shard_chars: text of the items sent at a time."""
 
-    threshold: float = 0.5
+    threshold: float = 0.6
     question: float = 0.6
     answer: float = 0.5
     n: int = 5
     least_words: int = 5
     k1: float = 1.2
     b: float = 0.75
-    block: int = 32
+    block: int = 4
+    group: int = 1024
     shard_chars: int = 2_000_000
 
 
@@ -70,17 +72,12 @@ def question_and_answer(text: str) -> tuple[list[str], list[str]]:
 
 
 class Index:
-    """Items of one length class: postings by term number, each a list of items in order with impacts and block maxima."""
+    """Up to `group` items of one length class: postings by term and block, and the block maxima of each term."""
 
-    def __init__(self, rules: Rules, window: int):
+    def __init__(self, items: list[tuple[int, str]], vocabulary: dict[str, int], df: dict[str, int], n_items: int, mean: float, rules: Rules, window: int):
         self.rules, self.window = rules, window
         self.items: list[tuple[int, list[set[tuple[int, ...]]], list[int]]] = []
-        self.postings: dict[int, tuple[list[int], list[float], list[float], float]] = {}
-
-    @classmethod
-    def build(cls, items: list[tuple[int, str]], vocabulary: dict[str, int], df: dict[str, int], n_items: int, mean: float, rules: Rules, window: int) -> Index:
-        self = cls(rules, window)
-        lists: dict[int, list[tuple[int, float]]] = defaultdict(list)
+        self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
         for item_id, text in items:
             question, answer = question_and_answer(text)
             counts: dict[str, int] = defaultdict(int)
@@ -90,7 +87,7 @@ class Index:
             weights = {w: math.log(1 + (n_items - df[w] + 0.5) / (df[w] + 0.5)) * c * (rules.k1 + 1) / (c + norm) for w, c in counts.items()}
             own = sum(weights.values())
             for w, x in weights.items():
-                lists[vocabulary[w]].append((len(self.items), x / own))
+                self.postings[vocabulary[w], len(self.items) // rules.block].append((len(self.items), x / own))
             grams, sizes = [], []
             for part in (question, answer):
                 ids = [vocabulary[w] for w in part]
@@ -98,60 +95,51 @@ class Index:
                 grams.append({tuple(ids[i : i + size]) for i in range(len(ids) - size + 1)} if ids else set())
                 sizes.append(size)
             self.items.append((item_id, grams, sizes))
-        for term, pairs in lists.items():
-            impacts = [x for _, x in pairs]
-            self.postings[term] = ([i for i, _ in pairs], impacts, [max(impacts[a : a + rules.block]) for a in range(0, len(impacts), rules.block)], max(impacts))
-        return self
-
-    def retrieve(self, terms: set[int]) -> list[tuple[int, float]]:
-        """Items (by place) whose score reaches the threshold: block-max WAND."""
-        need, size = self.rules.threshold - 1e-9, self.rules.block
-        lists = [self.postings[t] for t in terms if t in self.postings]
-        cursors = [[p[0][0], 0, p] for p in lists]  # item, place, posting list
-        found = []
+        terms = sorted({t for t, _ in self.postings})
+        #: Row of each term in the maxima; row 0 is for terms that no item here has, and for -1.
+        self.row = np.zeros(len(vocabulary) + 1, dtype=np.int32)
+        self.row[terms] = np.arange(1, len(terms) + 1)
+        self.maxima = np.zeros((len(terms) + 1, -(-len(items) // rules.block)), dtype=np.float32)
+        for (term, block), pairs in self.postings.items():
+            self.maxima[self.row[term], block] = max(x for _, x in pairs)
+
+    def retrieve(self, terms: np.ndarray) -> list[tuple[int, float]]:
+        """Items (by place) whose score with these different terms reaches the threshold."""
+        bounds = self.maxima[self.row[terms]].sum(axis=0)
+        live = np.nonzero(bounds >= self.rules.threshold - 1e-4)[0]
+        return [x for block in live.tolist() for x in self._wand(terms.tolist(), block)] if len(live) else []
+
+    def _wand(self, terms: list[int], block: int) -> Iterator[tuple[int, float]]:
+        need = self.rules.threshold - 1e-9
+        lists = [x for t in terms if (x := self.postings.get((t, block)))]
+        cursors = [[x[0][0], 0, x, max(y for _, y in x)] for x in lists]  # item, place, postings, their maximum
 
         def to(cursor: list, item: int) -> None:
-            held = cursor[2][0]
-            cursor[1] = bisect_left(held, item, cursor[1])
-            cursor[0] = held[cursor[1]] if cursor[1] < len(held) else math.inf
+            at = cursor[1]
+            while at < len(cursor[2]) and cursor[2][at][0] < item:
+                at += 1
+            cursor[0], cursor[1] = cursor[2][at][0] if at < len(cursor[2]) else math.inf, at
 
         while cursors:
             cursors.sort(key=lambda c: c[0])
             while cursors and cursors[-1][0] == math.inf:
                 cursors.pop()
-            bound, pivot = 0.0, -1
-            for k, c in enumerate(cursors):
-                bound += c[2][3]
+            bound, pivot = 0.0, None
+            for c in cursors:
+                bound += c[3]
                 if bound >= need:
-                    pivot = k
+                    pivot = c[0]
                     break
-            if pivot < 0:
-                break
-            item = cursors[pivot][0]
-            while pivot + 1 < len(cursors) and cursors[pivot + 1][0] == item:
+            if pivot is None:
+                return
+            if cursors[0][0] == pivot:
+                score = sum(c[2][c[1]][1] for c in cursors if c[0] == pivot)
+                if score >= need:
+                    yield pivot, score
                 pivot += 1
-            near, ends = 0.0, []
-            for c in cursors[: pivot + 1]:
-                at = bisect_left(c[2][0], item, c[1])
-                if at < len(c[2][0]):
-                    near += c[2][2][at // size]
-                    last = min(len(c[2][0]), (at // size + 1) * size) - 1
-                    ends.append(c[2][0][last] + 1)
-            if near >= need:
-                if cursors[0][0] == item:
-                    score = sum(c[2][1][c[1]] for c in cursors[: pivot + 1])
-                    if score >= need:
-                        found.append((int(item), score))
-                    for c in cursors[: pivot + 1]:
-                        to(c, item + 1)
-                else:
-                    for c in cursors[:pivot]:
-                        to(c, item)
-            else:
-                beyond = min([*ends, cursors[pivot + 1][0] if pivot + 1 < len(cursors) else math.inf])
-                for c in cursors[: pivot + 1]:
-                    to(c, max(item + 1, beyond) if beyond < math.inf else item + 1)
-        return found
+            for c in cursors:
+                if c[0] < pivot:
+                    to(c, pivot)
 
     def verify(self, place: int, ids: list[int]) -> tuple[float, float]:
         """Shares of the question's and of the answer's n-grams that the passage holds."""
@@ -161,18 +149,13 @@ class Index:
             shares.append(len(grams & held) / len(grams) if grams else 1.0)
         return shares[0], shares[1]
 
-    def matches(self, ids: np.ndarray, largest: np.ndarray) -> dict[int, tuple[float, float, float]]:
+    def matches(self, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
         """item_id to (score, question share, answer share) of a document given as term numbers (-1: in no item)."""
-        sums = np.concatenate([[0.0], np.cumsum(np.where(ids >= 0, largest[ids], 0.0))])
-        starts = np.arange(0, max(1, len(ids) - self.window), self.window)
-        ends = np.minimum(starts + 2 * self.window, len(ids))
         found: dict[int, tuple[float, float, float]] = {}
-        for a, b in zip(starts, ends, strict=True) if len(ids) else ():
-            if sums[b] - sums[a] < self.rules.threshold - 1e-6:
-                continue
-            part = ids[a:b].tolist()
-            for place, score in self.retrieve(set(part)):
-                question, answer = self.verify(place, part)
+        for a in range(0, max(1, len(ids) - self.window), self.window):
+            part = ids[a : a + 2 * self.window]
+            for place, score in self.retrieve(np.unique(part)):
+                question, answer = self.verify(place, part.tolist())
                 if question >= self.rules.question and answer >= self.rules.answer:
                     item_id = self.items[place][0]
                     found[item_id] = max(found.get(item_id, (0.0, 0.0, 0.0)), (score, question, answer))
@@ -187,11 +170,8 @@ def _shard(docs: DataFrame, items: list[tuple[int, str]], df: dict[str, int], n_
         classes[max(64, 1 << (n - 1).bit_length())].append((item_id, text))
     indexes = []
     for window, held in sorted(classes.items()):
-        index = Index.build(held, vocabulary, df, n_items, mean, rules, window)
-        largest = np.zeros(len(vocabulary) + 1)
-        for term, posting in index.postings.items():
-            largest[term] = posting[3]
-        indexes.append((index, largest))
+        held.sort(key=lambda x: (len(words(x[1])), x))
+        indexes += [Index(held[k : k + rules.group], vocabulary, df, n_items, mean, rules, window) for k in range(0, len(held), rules.group)]
     sent = docs.sparkSession.sparkContext.broadcast((vocabulary, indexes))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -201,8 +181,8 @@ def _shard(docs: DataFrame, items: list[tuple[int, str]], df: dict[str, int], n_
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 found = words(text.as_py())
                 ids = np.fromiter(map(vocabulary.get, found, repeat(-1)), dtype=np.int32, count=len(found))
-                for index, largest in indexes:
-                    rows += [(doc_id, item, *shares) for item, shares in index.matches(ids, largest).items()]
+                for index in indexes:
+                    rows += [(doc_id, item, *shares) for item, shares in index.matches(ids).items()]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
