@@ -8,6 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from tidewell.llm.decontaminate import op4_decontaminate
 from tidewell.llm.html_text import op9_html_text
+from tidewell.llm.jaccard import OP6_SQL, op6_jaccard_join
 from tidewell.llm.language import op7_language_id
 from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
@@ -21,6 +22,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_secret_scan": op3_secret_scan,
     "op4_decontaminate": op4_decontaminate,
     "op5_best_fit_packing": op5_best_fit_packing,
+    "op6_jaccard_join": op6_jaccard_join,
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
@@ -30,4 +32,5 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 SQL: dict[str, str] = {
     "op2_exact_topk": OP2_SQL,
     "op3_secret_scan": OP3_SQL,
+    "op6_jaccard_join": OP6_SQL,
 }
