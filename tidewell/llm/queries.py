@@ -14,6 +14,7 @@ from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
 from tidewell.llm.quality import op8_quality
 from tidewell.llm.secrets import OP3_SQL, op3_secret_scan
+from tidewell.llm.token_tree import op10_token_counts
 from tidewell.llm.topk import OP2_SQL, op2_exact_topk
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
@@ -26,6 +27,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op7_language_id": op7_language_id,
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
+    "op10_token_counts": op10_token_counts,
 }
 
 #: DuckDB twins of those queries that SQL can express.
