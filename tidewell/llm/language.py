@@ -179,6 +179,25 @@ def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataF
     return asked.mapInArrow(run, schema + ", lang_pred string, score double, ambiguous boolean")
 
 
+def rejected(text: str | None, lang: str, ambiguous: bool) -> bool:
+    """No letter at all; or ambiguous and for the most part not letters."""
+    return lang == UNKNOWN or (ambiguous and 2 * sum(map(str.isalpha, text or "")) < len(text or ""))
+
+
+def spoken(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of docs, all columns as they are, whose text is in some language."""
+    sent = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index("text")
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            texts = [x or "" for x in batch.column(at).to_pylist()]
+            lang, _, ambiguous = decode(sent.value, texts)
+            yield batch.filter(pa.array([not rejected(*x) for x in zip(texts, lang, ambiguous.tolist(), strict=True)], pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
+
+
 def held_out(doc_id: str = "doc_id"):
     return F.coalesce(F.crc32(F.col(doc_id).cast("string").cast("binary")) % 4 == 2, F.lit(False))
 
