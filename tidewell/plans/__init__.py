@@ -1 +1,3 @@
 """Registered queries over the driver tables, each with its SQL twin."""
+
+from tidewell.plans import events  # noqa: F401
