@@ -62,8 +62,8 @@ def parse_cell_time(c: Column) -> Column:  # S4
 
 
 def parse_lenient_time(c: Column) -> Column:  # S5, the formats that occur in feeds and pages
-    text = F.regexp_replace(F.trim(c), r"(?<=\d)(st|nd|rd|th)\b", "")
-    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "EEE, d MMM yyyy HH:mm:ss Z", "EEE, d MMM yyyy HH:mm:ss z")
+    text = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?<=\d)(st|nd|rd|th)\b", ""), r"^[A-Za-z]{3},\s+", "")
+    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z")
     return F.coalesce(parse_aware_time(c), *(F.try_to_timestamp(text, F.lit(f)) for f in formats))
 
 

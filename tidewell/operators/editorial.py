@@ -60,7 +60,7 @@ def edition_codes(stories: DataFrame, n_events: int, quiet: bool) -> DataFrame:
 
 
 def section_order(section: Column) -> Column:
-    return F.coalesce(F.element_at(tx.mapping({s: k for k, s in enumerate(SECTIONS)}), section), F.lit(len(SECTIONS)))
+    return F.coalesce(F.element_at(tx.mapping({s: k for k, s in enumerate(SECTIONS)}), section.cast("string")), F.lit(len(SECTIONS)))
 
 
 def ranked_in_section(stories: DataFrame, seq: str, section: str = "section") -> DataFrame:  # W7

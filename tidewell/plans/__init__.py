@@ -1,3 +1,3 @@
 """Registered queries over the driver tables, each with its SQL twin."""
 
-from tidewell.plans import documents, events  # noqa: F401
+from tidewell.plans import documents, events, tables  # noqa: F401
