@@ -135,7 +135,7 @@ def url_key(c: Column) -> Column:  # S11
     """Host, path without a slash at its end, query."""
     rest = F.regexp_replace(F.regexp_replace(F.trim(c), r"#.*$", ""), r"^[A-Za-z][A-Za-z0-9+.-]*://[^/?#]*", "")
     path = F.regexp_replace(F.regexp_extract(rest, r"^([^?]*)", 1), "/+$", "")
-    return F.struct(F.coalesce(url_host(c), F.lit("")).alias("host"), path.alias("path"), F.regexp_extract(rest, r"\?(.*)$", 1).alias("query"))
+    return F.struct(F.coalesce(url_host(c), F.lit("")).alias("host"), F.when(path == "", "/").otherwise(path).alias("path"), F.regexp_extract(rest, r"\?(.*)$", 1).alias("query"))
 
 
 def revision_hash(title: Column, body: Column) -> Column:  # S12
@@ -197,15 +197,14 @@ def amounts(c: Column) -> Column:  # S21
     return F.array_sort(F.array_distinct(F.concat(found(AMOUNT_BEFORE, 1, 2, 3), found(AMOUNT_AFTER, 3, 1, 2))))
 
 
-NUMBER = r"(?i)(\d[\d,]*(?:\.\d+)?)\s*(%|percent|trillion|billion|million|thousand|tn|bn|mm|b|m|k)?(?![A-Za-z0-9_])"
+NUMBER = r"(?i)(?<!\w)(\d[\d,]*(?:\.\d+)?)\s*(trillion|billion|million|thousand|tn|bn|mm|b|m|k)?\s*(%|percent|per\s+cent)?"
 
 
 def numbers(c: Column) -> Column:  # S22
     """array<string>: each different number with its unit worked in; percentages end in %."""
-    parts = F.arrays_zip(F.regexp_extract_all(c, F.lit(r"(?<!\w)" + NUMBER), F.lit(1)).alias("number"), F.regexp_extract_all(c, F.lit(r"(?<!\w)" + NUMBER), F.lit(2)).alias("unit"))
-    share = lambda x: F.lower(x["unit"]).isin("%", "percent")
-    value = lambda x: plain_decimal(F.regexp_replace(x["number"], ",", "").cast("decimal(30,6)") * F.when(share(x), F.lit(1)).otherwise(F.element_at(mapping(UNITS), F.lower(x["unit"]))).cast("decimal(15,0)"))
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.concat(value(x), F.when(share(x), "%").otherwise("")))))
+    parts = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(k)).alias(n) for k, n in ((1, "number"), (2, "unit"), (3, "share"))))
+    value = lambda x: plain_decimal(F.regexp_replace(x["number"], ",", "").cast("decimal(30,6)") * F.element_at(mapping(UNITS), F.lower(x["unit"])).cast("decimal(15,0)"))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.concat(value(x), F.when(x["share"] != "", "%").otherwise("")))))
 
 
 def plain_decimal(c: Column) -> Column:  # S23

@@ -9,17 +9,21 @@ from tidewell.functions import text as tx
 
 SECTIONS = ("lead", "deal_tape", "competitive_field", "ai_radar", "runway_watch")
 # Most stories of a section and of an edition, words of an edition, least stories if there is enough.
-SECTION_CAPS = {"lead": 1, "deal_tape": 5, "competitive_field": 4, "ai_radar": 3, "runway_watch": 3}
+SECTION_CAPS = {"lead": 1, "deal_tape": 15, "competitive_field": 15, "ai_radar": 15, "runway_watch": 15}
 MOST_STORIES, MOST_WORDS, STORY_FLOOR = 15, 7500, 8
+# Phrases that copy must not use, and what an address looks like.
+BANNED = r"(?i)\b(?:game[- ]chang(?:e|er|ing)|revolutionary|transformative|disruptive|in today'?s fast[- ]paced world|reshaping the landscape|delve into|it is worth noting|who'?s eating|the works|exciting times|paradigm shift)\b"
+ADDRESS = r"(?i)https?://|www\.|\b[^\s@]+@[^\s@]+\.[^\s@]+\b"
 
 
 def words_in(*columns: Column) -> Column:  # A16
     return F.size(F.regexp_extract_all(F.concat_ws(" ", *columns), F.lit(r"(?U)\b[\w'-]+\b"), F.lit(0)))
 
 
-def story_codes(copy: Column, fact_text: Column) -> Column:  # F24, J8, U5
+def story_codes(copy: Column, fact_text: Column, invented: Column | None = None) -> Column:  # F24, J8, U5
     """Codes of a story joined (left) to its event. Columns: event_id, known_id (null without an event), section,
-    event_section, fact_ids, event_fact_ids, source_ids, event_source_ids, entities, event_entities, cited_sources, headline."""
+    event_section, fact_ids, event_fact_ids, source_ids, event_source_ids, entities, event_entities, cited_sources, headline.
+    invented: names in the copy that nothing supports (unknown_names)."""
     none = F.array().cast("array<string>")
     event = F.col("known_id").isNotNull()
     foreign = lambda own, allowed: event & (F.size(F.array_except(own, F.coalesce(allowed, none))) > 0)
@@ -29,8 +33,8 @@ def story_codes(copy: Column, fact_text: Column) -> Column:  # F24, J8, U5
         (event & (F.col("section") != "lead") & (F.col("section") != F.col("event_section")), "SECTION_MISMATCH"),
         (foreign(F.col("fact_ids"), F.col("event_fact_ids")), "UNSUPPORTED_FACT_ID"),
         (foreign(F.col("source_ids"), F.col("event_source_ids")), "UNSUPPORTED_SOURCE_ID"),
-        (copy.rlike(r"(?i)https?://|www\.|[\w.+-]+@[\w-]+\.[\w.]+"), "MODEL_COPY_CONTAINS_URL_OR_EMAIL"),
-        (copy.rlike(r"(?i)\b(?:game-changer|revolutionary|delve|unprecedented)\b"), "BANNED_OR_SLOPPY_COPY"),
+        (copy.rlike(ADDRESS), "MODEL_COPY_CONTAINS_URL_OR_EMAIL"),
+        (copy.rlike(BANNED), "BANNED_OR_SLOPPY_COPY"),
         (~F.col("headline").contains(":"), "HEADLINE_FORMAT_INVALID"),
         (event & ~F.array_contains("event_entities", F.trim(F.substring_index("headline", ":", 1))), "HEADLINE_COMPANY_NOT_SOURCE_ENTITY"),
         (foreign(F.col("entities"), F.col("event_entities")), "UNSUPPORTED_ENTITY"),
@@ -38,6 +42,7 @@ def story_codes(copy: Column, fact_text: Column) -> Column:  # F24, J8, U5
         (F.exists(F.array_except(F.coalesce("event_entities", none), "entities"), lambda e: F.contains(tx.padded_words(copy), tx.padded_words(e))), "COPY_ENTITY_NOT_DECLARED"),
         (F.size(F.array_except(tx.numbers(copy), tx.numbers(fact_text))) > 0, "NUMBER_NOT_IN_SELECTED_FACTS"),
         (F.size(F.array_except("source_ids", "cited_sources")) > 0, "SOURCE_CITATION_MISSING"),
+        (F.lit(False) if invented is None else F.size(invented) > 0, "POSSIBLE_INVENTED_ENTITY"),
     )
 
 

@@ -12,7 +12,9 @@ AMOUNTS = "array<struct<kind:string,amount:double,currency:string,fact_id:string
 
 
 def contained(needle: Column, haystack: Column) -> Column:
-    return F.contains(F.concat(F.lit(" "), tx.grounded(haystack), F.lit(" ")), F.concat(F.lit(" "), tx.grounded(needle), F.lit(" ")))
+    """Whether the grounded needle, which must not be blank, occurs in the grounded haystack."""
+    own = tx.grounded(needle)
+    return (own != "") & F.contains(tx.grounded(haystack), own)
 
 
 def evidence_codes(text: Column) -> Column:  # F23, J11
@@ -25,7 +27,7 @@ def evidence_codes(text: Column) -> Column:  # F23, J11
     quote = lambda fact_id: F.get(F.filter(facts, lambda f: f["fact_id"] == fact_id), F.lit(0))["exact_quote"]
     filled = lambda c: F.coalesce(F.trim(F.col(c)), F.lit("")) != ""
     secondary = keep & (F.col("section") == "deal_tape") & ~F.col("primary_source")
-    value = lambda a: F.struct(a["amount"].cast("string").cast("decimal(38,6)").alias("amount"), a["currency"].alias("currency"))
+    value = lambda a: F.struct(a["amount"].cast("string").cast("decimal(38,6)").alias("amount"), F.upper(a["currency"]).alias("currency"))
     finite = lambda a: ~F.isnan(a["amount"]) & (F.abs(a["amount"]) < float("inf"))
     return tx.codes(
         (F.col("decision").isNull() | ~F.col("decision").isin("KEEP", "DROP", "NEEDS_PRIMARY_SOURCE"), "SCHEMA_INVALID"),
@@ -44,11 +46,11 @@ def evidence_codes(text: Column) -> Column:  # F23, J11
         (keep & (F.col("section") == "deal_tape") & (filled("borrower") & ~contained(F.col("borrower"), text) | F.exists("lenders", lambda x: ~contained(x, text))), "DEAL_TAPE_PARTY_NOT_IN_SOURCE"),
         (F.exists("entities", lambda x: (F.trim(x) != "") & ~contained(x, text)), "ENTITY_NOT_IN_SOURCE"),
         (F.exists(amounts, lambda a: ~finite(a)), "AMOUNT_NOT_FINITE"),
-        (F.exists(amounts, lambda a: ~F.array_contains(ids, a["fact_id"])), "AMOUNT_FACT_ID_UNKNOWN"),
-        (F.exists(amounts, lambda a: F.array_contains(ids, a["fact_id"]) & ~contained(a["source_text"], quote(a["fact_id"]))), "AMOUNT_TEXT_NOT_IN_FACT"),
+        (F.exists(amounts, lambda a: finite(a) & ~F.array_contains(ids, a["fact_id"])), "AMOUNT_FACT_ID_UNKNOWN"),
+        (F.exists(amounts, lambda a: finite(a) & F.array_contains(ids, a["fact_id"]) & ~contained(a["source_text"], quote(a["fact_id"]))), "AMOUNT_TEXT_NOT_IN_FACT"),
         (F.exists(amounts, lambda a: a["amount"] < 0), "AMOUNT_INVALID"),
-        (F.exists(amounts, lambda a: finite(a) & ~F.array_contains(tx.amounts(a["source_text"]), value(a))), "AMOUNT_NOT_SOURCE_DERIVED"),
-        (keep & F.exists(amounts, lambda a: a["kind"] == "equity") & (F.col("section") != "runway_watch"), "EQUITY_RAISE_REQUIRES_RUNWAY_WATCH"),
+        (F.exists(amounts, lambda a: finite(a) & F.array_contains(ids, a["fact_id"]) & ~F.array_contains(tx.amounts(a["source_text"]), value(a))), "AMOUNT_NOT_SOURCE_DERIVED"),
+        (keep & F.exists(amounts, lambda a: a["kind"] == "equity_raised") & (F.col("section") != "runway_watch"), "EQUITY_RAISE_REQUIRES_RUNWAY_WATCH"),
         (filled("rate") & ~contained(F.col("rate"), text), "RATE_NOT_IN_SOURCE"),
         (filled("maturity") & ~contained(F.col("maturity"), text), "MATURITY_NOT_IN_SOURCE"),
         (filled("event_date") & ~contained(F.col("event_date"), text) & ~F.coalesce(F.contains(F.col("published_at").cast("string"), F.col("event_date")), F.lit(False)), "EVENT_DATE_NOT_IN_SOURCE"),
@@ -77,7 +79,7 @@ def events_of_rows(raw: DataFrame) -> DataFrame:  # F28
     notes = F.from_json("notes", f"struct<verified_facts:{FACTS}>")
     facts = F.transform(notes["verified_facts"], lambda f: F.struct(f["fact_id"].alias("fact_id"), F.coalesce(f["claim"], f["exact_quote"]).alias("claim"), F.coalesce(f["exact_quote"], f["claim"]).alias("exact_quote"), F.coalesce(f["source_url"], F.col("canonical_url")).alias("source_url")))
     status = F.lower(F.trim("event_status"))
-    known = ("announced", "agreed", "closed", "completed", "launched", "proposed", "rumoured", "withdrawn", "unknown")
+    known = ("announced", "approved", "signed", "closed", "funded", "drawn", "launched", "proposed", "unknown")
     out = raw.select(
         tx.blank_to_null(F.col("event_id")).alias("event_id"),
         tx.blank_to_null(F.col("candidate_id")).alias("candidate_id"),

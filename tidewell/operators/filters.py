@@ -23,10 +23,15 @@ def relevant(candidates: DataFrame, rules: DataFrame, strict: DataFrame, text: C
     return joined.withColumn("relevant", F.when(F.col("_strict").isNull(), True).otherwise(F.coalesce(met, F.lit(False)))).drop("_padded", "_strict", "groups")
 
 
+# Fixed value: how titles name a day.
+TITLE_DATE = r"(?i)\b((?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|June?|July?|Aug(?:ust)?|Sep(?:tember)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)\s+\d{1,2},\s+20\d{2})\b"
+
+
 def observed(published: Column, title: Column, retrieved: Column, items_of_job: Column) -> Column:  # F7
     """The published instant, else a date in the title, else the time of retrieval if the job had one item."""
     iso = F.try_to_timestamp(F.regexp_extract(title, r"\b(20\d{2}-\d{2}-\d{2})\b", 1), F.lit("yyyy-MM-dd"))
-    long = F.try_to_timestamp(F.regexp_extract(title, r"\b((?:January|February|March|April|May|June|July|August|September|October|November|December) \d{1,2}, 20\d{2})\b", 1), F.lit("MMMM d, yyyy"))
+    named = F.regexp_replace(F.regexp_extract(title, TITLE_DATE, 1), r"\s+", " ")
+    long = F.coalesce(F.try_to_timestamp(named, F.lit("MMMM d, yyyy")), F.try_to_timestamp(named, F.lit("MMM d, yyyy")))
     return F.coalesce(published, iso, long, F.when(items_of_job == 1, retrieved))
 
 

@@ -21,6 +21,20 @@ def keyword_score(text: Column, weights: dict[str, int]) -> Column:  # A12
     return total
 
 
+# Phrases that make a financing announcement concrete, and how much; a named amount counts 3.
+SIGNALS = {"venture debt": 8, "growth debt": 8, "senior secured": 7, "credit facility": 7, "financing facility": 7, "term loan": 6, "debt financing": 6, "asset-backed": 5, "asset backed": 5, "refinancing": 4}
+NAMED_AMOUNT = r"(?i)\b[$€£]\s?\d|\b\d+(?:\.\d+)?\s?(?:m|mm|bn|million|billion)\b"
+
+
+def priority_signal(section: Column, title: Column, summary: Column) -> Column:  # A12
+    """Score of a candidate of the deal section by the phrases in title and summary; 0 in other sections."""
+    text = F.lower(F.concat_ws(" ", title, summary))
+    total = F.when(text.rlike(NAMED_AMOUNT), 3).otherwise(0)
+    for phrase, weight in SIGNALS.items():
+        total = total + F.when(F.contains(text, F.lit(phrase)), weight).otherwise(0)
+    return F.when(section == "deal_tape", total).otherwise(0)
+
+
 def priority_rank(c: Column) -> Column:
     return F.when(c == "P0", 0).when(c == "P1", 1).when(c == "P2", 2).otherwise(9)
 
@@ -62,26 +76,22 @@ def round_robin(df: DataFrame, passes: list[Pass], lane: str = "lane", source: s
     LANE_ORDER. For pools in which URLs and content are unique, a pass is a set of windows: each source offers its
     shallowest rows left, and rows go by depth, then by turn within their lane, then by lane. The pool is what
     selection left of a run; the final order needs it in one place, as any top k does."""
+    spark = df.sparkSession
     lane_no = F.element_at(tx.mapping({x: k for k, x in enumerate(LANE_ORDER)}), F.col(lane))
-    chosen = None
-    taken = 0
+    kind, kept = df.schema[pos].dataType.simpleString(), df.schema[source].dataType.simpleString()
+    shape = f"`{pos}` {kind}, `{source}` {kept}, pass_no int"
+    taken: list[tuple] = []  # never more rows than the largest target
     for number, step in enumerate(passes):
-        left, used = df, None
-        if chosen is not None:
-            left = df.join(chosen.select(pos), pos, "left_anti")
-            used = chosen.groupBy(source).agg(F.count("*").alias("_used"))
-            left = left.join(used, source, "left")
-        free = F.lit(step.per_source) - (F.coalesce("_used", F.lit(0)) if used is not None else F.lit(0))
+        chosen = F.broadcast(spark.createDataFrame(taken, shape))
+        left = df.join(chosen.select(pos), pos, "left_anti").join(chosen.groupBy(source).agg(F.count("*").alias("_used")), source, "left")
+        free = F.lit(step.per_source) - F.coalesce("_used", F.lit(0))
         pool = left.where(step.pool & (free > 0)).withColumn("_free", free)
         pool = pool.withColumn("_depth", F.row_number().over(Window.partitionBy(source).orderBy(pos))).where(F.col("_depth") <= F.col("_free"))
         pool = pool.withColumn("_first", F.min(pos).over(Window.partitionBy(lane, source)))
         pool = pool.withColumn("_turn", F.row_number().over(Window.partitionBy(lane, "_depth").orderBy("_first")))
-        goal = max(0, step.target - taken)
-        now = pool.orderBy("_depth", "_turn", lane_no).limit(goal).select(*df.columns).withColumn("pass_no", F.lit(number))
-        chosen = now if chosen is None else chosen.unionByName(now)
-        if number + 1 < len(passes):
-            taken = chosen.count()
-    return chosen
+        now = pool.orderBy("_depth", "_turn", lane_no).limit(max(0, step.target - len(taken))).select(pos, source)
+        taken += [(r[pos], r[source], number) for r in now.collect()]
+    return df.join(F.broadcast(spark.createDataFrame(taken, shape).drop(source)), pos).select(*df.columns, "pass_no")
 
 
 def round_robin_in_order(rows: list[dict], passes: list[tuple], lane: str = "lane", source: str = "source_id") -> list[tuple[int, int]]:
