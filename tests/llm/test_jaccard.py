@@ -58,7 +58,7 @@ def corpus(seed):
     return [*out, (900, None), (901, ""), (902, " \n"), out[0], (None, out[1][1]), (7, "a second text of the same id here")]
 
 
-@pytest.mark.parametrize(("seed", "limits"), [(1, jaccard.Limits()), (2, jaccard.Limits(paired=2, counted=50, seen=2)), (3, jaccard.Limits(most_small=0, paired=3)), (4, jaccard.Limits(frequent=3, paired=2, list_rows=10))])
+@pytest.mark.parametrize(("seed", "limits"), [(1, jaccard.Limits()), (2, jaccard.Limits(paired=2, counted=50, seen=2)), (3, jaccard.Limits(most_small=0, paired=3)), (4, jaccard.Limits(frequent=3, paired=2, list_rows=10)), (5, jaccard.Limits(paired=2, turns=0)), (6, jaccard.Limits(paired=2, turns=1, known_bytes=0))])
 def test_components_are_those_of_brute_force(spark, seed, limits):
     rows = corpus(seed)
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(3)
@@ -75,6 +75,21 @@ def test_every_boundary_gives_the_same(spark, monkeypatch):
         assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == by_brute_force(rows)
 
 
+def test_bitmaps_never_rule_out_a_link():
+    rng = np.random.default_rng(1)
+    ruled = 0
+    for _ in range(2000):
+        x = rng.integers(0, 2**63, rng.integers(1, 300), dtype=np.uint64)
+        y = np.unique(np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.integers(0, 2**63, rng.integers(1, 60), dtype=np.uint64)]))
+        x = np.unique(x)
+        both = len(np.intersect1d(x, y))
+        link = 100 * both >= 75 * (len(x) + len(y) - both)
+        may = jaccard.may_link(len(x), jaccard.bitmap(x), len(y), jaccard.bitmap(y))
+        assert may or not link
+        ruled += not may
+    assert ruled > 1000
+
+
 def test_sets_have_the_plain_sizes():
     texts = ["", " ", "a", "A b", "a b c d e", "a b c d e f a b c d e f", "é\x0bü \x85 x\xa0y z w", "k" * 5000 + " b" * 9]
     assert [len(s) for s in shingle_sets(texts)] == [len(plain_set(t)) for t in texts]
