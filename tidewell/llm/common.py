@@ -38,8 +38,17 @@ def discard(df: DataFrame) -> None:
         path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+#: Texts that go to a Python worker at a time, and their bytes (a longer text goes alone).
+BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
+
+
 def texts(df: DataFrame, *more: str) -> DataFrame:
-    """doc_id and text (null: empty), and the named columns; other columns are left alone."""
+    """doc_id and text (null: empty), and the named columns; other columns are left alone. Bounds the session's Arrow
+    batches, which Spark counts in rows, for texts of any length."""
+    conf = df.sparkSession.conf
+    if not 0 < int(conf.get("spark.sql.execution.arrow.maxRecordsPerBatch", "10000")) <= BATCH_ROWS:
+        conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
+        conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(BATCH_BYTES))
     return df.select(F.col("doc_id").cast("long").alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"), *more)
 
 

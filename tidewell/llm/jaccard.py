@@ -10,9 +10,13 @@ of their first s - ceil(3 s / 4) + 1 shingles, so only those are posted. Pairs o
 verified against the whole sets. The boundary is the size at which enumerating subsets stops being cheaper than
 scanning the lists of the sets' shingles, by counts of both.
 
+Before sets are compared, a bitmap of each (four to eight bits a shingle) bounds their overlap: a bit that only one of them
+has stands for a shingle that the other lacks. Only pairs that may reach the overlap they need are compared.
+
 No list is expanded into all its pairs. Lists of up to `paired` sets give their pairs; longer ones first give a star
-around one of their sets. Verified stars are united into components, and then only pairs of a long list that still lie in
-different components are verified, all of them. Every candidate pair is thus verified or already connected, so the
+around one of their sets. Verified stars are united into components. In some turns the sets of a list outside its largest
+component are probed against few sets of it; then the pairs of a long list that still lie in different components are
+verified, all of them. Every candidate pair is thus verified or already connected, so the
 components are exact. Which shingles count as frequent only decides the order, and any order is exact.
 
 Null, empty and blank texts have the empty set and link with nothing. Rows of one id count as one document if their sets
@@ -22,6 +26,7 @@ component of others. Each row gets a row.
 
 from __future__ import annotations
 
+import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
 from itertools import combinations
@@ -37,20 +42,32 @@ from tidewell.llm.components import components
 from tidewell.llm.shingles import mix, name_of, shingle_sets
 
 
+#: Pairs or nodes of 16 bytes up to which they go to all executors; more of them are shuffled.
+FEW_PAIRS = 200_000
+
+
+#: Least number of parts that posted shingles are dealt to: the fewer, the more shingles of a set share a row.
+PARTS = 32
+
+
 @dataclass(frozen=True)
 class Limits:
     """most_small: no boundary above it is considered. frequent: places in the order given to frequent shingles, 16 bytes
     each. counted: shingles that a task counts together; seen: how often one has to occur among them to be reported.
-    paired: sets of a list up to which all its pairs are candidates at once. list_rows: posted shingles to a task. filter_bits: of the filter of the nodes that have candidates."""
+    paired: sets of a list up to which all its pairs are candidates at once. list_rows: posted shingles to a task. filter_bits: of the filter of the nodes that have candidates.
+    turns: of probes before all pairs across components. known_bytes: of components, and of
+    bitmaps, of the nodes in long lists up to which they are sent to executors; more of them are joined."""
 
     size: int = 5
     most_small: int = 10
-    frequent: int = 1 << 17
-    counted: int = 4_000_000
-    seen: int = 6
+    frequent: int = 1 << 19
+    counted: int = 3_000_000
+    seen: int = 2
     paired: int = 8
     list_rows: int = 1_500_000
     filter_bits: int = 1 << 25
+    turns: int = 2
+    known_bytes: int = 1 << 25
 
 
 def needed(s: int, t: int) -> int:
@@ -58,7 +75,7 @@ def needed(s: int, t: int) -> int:
     return -(-3 * (s + t) // 7)
 
 
-def prefix(s):
+def prefix(s: int) -> int:
     return s - (3 * s + 3) // 4 + 1
 
 
@@ -72,6 +89,24 @@ def _lists(arrays: list[np.ndarray], dtype: type = np.int64) -> pa.ListArray:
     return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
 
 
+def bitmap(shingles: np.ndarray) -> bytes:
+    """A bit for each value of the low bits of the shingles; at least 4 bits a shingle, a power of two."""
+    size = max(64, 1 << (4 * len(shingles) - 1).bit_length())
+    held = np.zeros(size, dtype=np.uint8)
+    held[(shingles & np.uint64(size - 1)).astype(np.intp)] = 1
+    return np.packbits(held, bitorder="little").tobytes()
+
+
+def may_link(n1: int, bits1: bytes, n2: int, bits2: bytes) -> bool:
+    """Whether bitmaps of sets of those sizes leave room for the overlap of a link."""
+    if len(bits1) > len(bits2):
+        n1, bits1, n2, bits2 = n2, bits2, n1, bits1
+    x, y, size = int.from_bytes(bits1, "little"), int.from_bytes(bits2, "little"), 4 * len(bits2)
+    while 2 * size > 8 * len(bits1):  # fold the longer one
+        y, size = (y | (y >> size)) & ((1 << size) - 1), size // 2
+    return min(n1 - (x & ~y).bit_count(), n2 - (y & ~x).bit_count()) >= needed(n1, n2)
+
+
 def survey(docs: DataFrame, limits: Limits) -> DataFrame:
     """A row for each document (doc_id, n, node, and its set if small) and rows (shingle, seen) for frequent shingles."""
     schema = "doc_id long, n int, node long, small array<long>, shingle long, seen long"
@@ -79,21 +114,21 @@ def survey(docs: DataFrame, limits: Limits) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         known: set[int] = set()
-        held = 0
+        held, columns = 0, ["doc_id", "n", "node", "small", "shingle", "seen"]
 
         def frequent() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(waiting), return_counts=True)
             keep = times >= limits.seen
             found, times = found[keep].view(np.int64), times[keep]
             n = len(found)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(found), pa.array(times, pa.int64())], ["doc_id", "n", "node", "small", "shingle", "seen"])
+            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(found), pa.array(times, pa.int64())], columns)
 
         for batch in batches:
             sets = shingle_sets(batch.column(1).to_pylist(), limits.size)
             names = [name_of(s) if len(s) else None for s in sets]
             small = [s.view(np.int64) if 0 < len(s) <= limits.most_small else None for s in sets]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _column(names, pa.int64()), _column(small, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], ["doc_id", "n", "node", "small", "shingle", "seen"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _column(names, pa.int64()), _column(small, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], columns)
             for name, s in zip(names, sets, strict=True):
                 if name is not None and name not in known:
                     known.add(name)
@@ -142,10 +177,9 @@ def enumeration_cost(s: int, boundary: int) -> int:
     return sum(comb(s, needed(s, t)) for t in range(-(-3 * s // 4), min(boundary, 4 * s // 3) + 1) if t >= 1 and needed(s, t) <= min(s, t))
 
 
-def boundary_by_cost(small: DataFrame, order: Order, limits: Limits) -> int:
+def boundary_by_cost(small: DataFrame, sent, limits: Limits) -> int:
     """The size up to which sets enumerate subsets: at each candidate, subsets of all smaller sets plus the lengths of the
-    lists that the others would scan."""
-    sent = small.sparkSession.sparkContext.broadcast(order)
+    lists that the others would scan. sent: the broadcast Order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[int]] = {}
@@ -163,9 +197,8 @@ def boundary_by_cost(small: DataFrame, order: Order, limits: Limits) -> int:
     return min(cost, key=lambda b: (cost[b], b))
 
 
-def posted(docs: DataFrame, order: Order, limits: Limits) -> DataFrame:
-    """node, n, keys: the posted part of each set once a task, null where the task has given it before."""
-    sent = docs.sparkSession.sparkContext.broadcast(order)
+def posted(docs: DataFrame, sent, limits: Limits) -> DataFrame:
+    """node, n, keys: the posted part of each set, once a task. sent: the broadcast Order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -264,26 +297,29 @@ def _candidates(boundary: int, paired: int):
     return run
 
 
-def _node_filter(nodes: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of nodes, one of fixed size a task, united on the driver eight at most."""
-    import zlib
+def _node_filter(drawn: DataFrame, bits: int) -> np.ndarray:
+    """A Bloom filter of the nodes of pairs and lists, one of fixed size a task, eight at most, united on the driver."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.zeros(bits, dtype=bool)
         for batch in batches:
-            held[np.array(batch.column(0)).view(np.uint64) % np.uint64(bits)] = True
+            for k in range(2):
+                held[np.array(batch.column(k).drop_null()).view(np.uint64) % np.uint64(bits)] = True
+            for x in batch.column(3).drop_null():
+                members = np.array(x.values)
+                held[members[: len(members) // 2].view(np.uint64) % np.uint64(bits)] = True
         yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["bits"])
 
     held = np.zeros(bits // 8, dtype=np.uint8)
-    for r in nodes.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
+    for r in drawn.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         held |= np.frombuffer(zlib.decompress(bytes(r["bits"])), dtype=np.uint8)
-    return np.unpackbits(held).astype(bool)
+    return held
 
 
-def verified(docs: DataFrame, pairs: DataFrame, limits: Limits) -> DataFrame:
-    """The pairs (a, b) whose sets link. Only sets of nodes that stand in a pair leave the texts."""
-    nodes = pairs.select(F.explode(F.array("a", "b")).alias("node"))
-    sent = docs.sparkSession.sparkContext.broadcast(np.packbits(_node_filter(nodes, limits.filter_bits)))
+def sets_of(docs: DataFrame, drawn: DataFrame, limits: Limits) -> DataFrame:
+    """node, shingles: the whole sets of the nodes that stand in pairs or lists (and of few others), once a task. They go
+    from the texts to the shared folder without a shuffle."""
+    sent = docs.sparkSession.sparkContext.broadcast(_node_filter(drawn, limits.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(sent.value).astype(bool)
@@ -297,40 +333,216 @@ def verified(docs: DataFrame, pairs: DataFrame, limits: Limits) -> DataFrame:
                     sets.append(s)
             yield pa.RecordBatch.from_arrays([_column(names, pa.int64()), _lists(sets)], ["node", "shingles"])
 
-    sets = docs.mapInArrow(run, "node long, shingles array<long>").join(nodes.distinct(), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    sets = common.stored(sets, "sets")
-    members = pairs.join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = members.join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    linked = both.where(F.lit(100) * shared >= F.lit(75) * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-    out = common.stored(linked, "links")
-    common.discard(sets)
+    out = common.stored(docs.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    sent.destroy()
     return out
 
 
-def _crossing(boundary: int):
-    """Pairs of a list's sets that lie in different components, from rows (nodes, sizes, components) of lists."""
+def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        columns = [batch.column(k).to_pylist() for k in range(2, 6)]
+        yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
+
+
+def _few(df: DataFrame, most: int) -> DataFrame:
+    """The same rows, sent to all executors if they are no more than `most`."""
+    return F.broadcast(df) if df.count() <= most else df
+
+
+def verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
+    """The stored pairs (a, b) whose sets link; sets are compared, and moved, only where the bitmaps leave it open."""
+    with_b = _few(pairs, FEW_PAIRS).join(bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
+    with_a = with_b.join(bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
+    left = common.stored(with_a.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_open, "a long, b long"), "open")
+    nodes = common.stored(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct(), "open-nodes")
+    asked = sets.join(_few(nodes, FEW_PAIRS), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
+    members = _few(left, FEW_PAIRS).join(asked.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
+    both = members.join(asked.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    return both.where(F.lit(100) * shared >= F.lit(75) * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
+
+
+def bitmaps_of(sets: DataFrame) -> DataFrame:
+    """node, n, bits of stored sets."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                node, n, part = (np.array([r[k] for r in x], dtype=np.int64) for k in ("node", "n", "component"))
-                order = np.argsort(n, kind="stable")
-                node, n, part = node[order], n[order], part[order]
+            held = [np.array(x.values).view(np.uint64) for x in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int32()), _column([bitmap(x) for x in held], pa.binary())], ["node", "n", "bits"])
+
+    found = sets.mapInArrow(run, "node long, n int, bits binary").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
+    return common.stored(found, "bitmaps")
+
+
+class _Known:
+    """What executors know of the members of long lists: component and bitmap by node."""
+
+    def __init__(self, node: np.ndarray, component: np.ndarray, bits: list[bytes] | None):
+        order = np.argsort(node)
+        self.node, self.component, self.bits = node[order], component[order], bits and [bits[k] for k in order]
+
+    def at(self, node: np.ndarray) -> np.ndarray:
+        return np.searchsorted(self.node, node)
+
+
+def _members(batch: pa.RecordBatch, known: _Known | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """node, n, component of the members, by size, of each list with more than one component. The column `members` holds
+    nodes, then sizes, then components if nothing is known of them otherwise."""
+    parts = 2 if known else 3
+    for x in batch.column(batch.schema.get_field_index("members")):
+        held = np.array(x.values).reshape(parts, -1)
+        component = known.component[known.at(held[0])] if known else held[2]
+        if component.min() < component.max():
+            order = np.lexsort((held[0], held[1]))
+            yield held[0][order], held[1][order], component[order]
+
+
+def _largest(component: np.ndarray) -> int:
+    names, times = np.unique(component, return_counts=True)
+    return int(names[np.argmax(times)])
+
+
+def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([_column([a for a, _ in found], pa.int64()), _column([b for _, b in found], pa.int64())], ["a", "b"])
+
+
+def _probes(boundary: int, turn: int, sent):
+    """Few pairs of each list that tell most: sets outside the list's largest component against two sets of it, which
+    change with the turn, and neighbours by size of different components."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: set[tuple[int, int]] = set()
+        for batch in batches:
+            for node, n, component in _members(batch, sent.value if sent else None):
+                inside = component == _largest(component)
+                rank = mix(node.view(np.uint64) ^ np.uint64(0x1234567 * (turn + 1)))
+                hubs = np.nonzero(inside)[0][np.argsort(rank[inside])[:2]]
+                outside = np.nonzero(~inside)[0]
+                pairs = [(i, h) for h in hubs for i in outside]
+                pairs += [(i, j) for i, j in zip(outside, outside[1:], strict=False) if component[i] != component[j]]
+                for i, j in pairs:
+                    low, high = sorted((int(n[i]), int(n[j])))
+                    if high > boundary and 4 * low >= 3 * high:
+                        found.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
+        yield _pairs(list(found))
+
+    return run
+
+
+def _gathered(sent):
+    """Lists with a key, the largest component in them, so that lists of much the same sets meet in one task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys, held = [], []
+            for node, n, component in _members(batch, sent.value if sent else None):
+                keys.append(_largest(component))
+                held.append(np.concatenate([node, n] if sent else [node, n, component]))
+            yield pa.RecordBatch.from_arrays([_column(keys, pa.int64()), _lists(held)], ["key", "members"])
+
+    return run
+
+
+class _Maps:
+    """Bitmaps of some nodes as matrices, one for each size; a longer one folds to a shorter."""
+
+    def __init__(self, bits: list[bytes]):
+        self.words = np.array([len(b) // 8 for b in bits])
+        self.row = np.zeros(len(bits), dtype=np.int64)
+        self.matrix: dict[tuple[int, int], np.ndarray] = {}
+        for w in np.unique(self.words).tolist():
+            own = np.nonzero(self.words == w)[0]
+            self.row[own] = np.arange(len(own))
+            self.matrix[w, w] = np.frombuffer(b"".join(bits[k] for k in own), dtype=np.uint64).reshape(-1, w)
+
+    def folded(self, words: int, to: int) -> np.ndarray:
+        if (words, to) not in self.matrix:
+            longer = self.folded(words, 2 * to)
+            self.matrix[words, to] = longer[:, :to] | longer[:, to:]
+        return self.matrix[words, to]
+
+    def open(self, i: int, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Those of the nodes j that may link with node i."""
+        out = []
+        for w in np.unique(self.words[j]).tolist():
+            own, to = j[self.words[j] == w], min(w, int(self.words[i]))
+            x, y = self.folded(int(self.words[i]), to)[self.row[i]], self.folded(w, to)[self.row[own]]
+            lost = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
+            out.append(own[np.minimum(n[i] - lost[0], n[own] - lost[1]) >= -(-3 * (n[i] + n[own]) // 7)])
+        return np.concatenate(out) if out else j
+
+
+def _crossing(boundary: int, sent):
+    """All pairs of a list's sets that lie in different components and that sizes and bitmaps leave open, once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        lists = [x for batch in batches for x in _members(batch, sent.value if sent else None)]
+        if not lists:
+            return
+        every = np.concatenate([x[0] for x in lists])
+        node, first = np.unique(every, return_index=True)
+        n, component = np.concatenate([x[1] for x in lists])[first], np.concatenate([x[2] for x in lists])[first]
+        order = np.lexsort((node, n))  # by size, so that partners to the right are the larger ones
+        place = np.empty(len(node), dtype=np.int64)
+        place[order] = np.arange(len(node))
+        held = [np.sort(place[np.searchsorted(node, x[0])]) for x in lists]
+        node, n, component = node[order], n[order], component[order]
+        maps = _Maps([sent.value.bits[k] for k in sent.value.at(node)]) if sent and sent.value.bits else None
+        of: dict[int, list[int]] = {}
+        for k, x in enumerate(held):
+            for i in x.tolist():
+                of.setdefault(i, []).append(k)
+        found: list[tuple[int, int]] = []
+        for i in range(len(node)):
+            mask = np.zeros(np.searchsorted(n, 4 * n[i] // 3, side="right"), dtype=bool)
+            for k in of[i]:
+                x = held[k]
+                mask[x[np.searchsorted(x, i, side="right") : np.searchsorted(x, len(mask))]] = True
+            j = np.nonzero(mask)[0]
+            j = j[(component[j] != component[i]) & (n[j] > boundary)]
+            if maps and len(j):
+                j = maps.open(i, j, n)
+            found += [(int(min(node[i], x)), int(max(node[i], x))) for x in node[j]]
+            if len(found) > 100_000:
+                yield _pairs(found)
                 found = []
-                for i in range(len(node)):
-                    end = np.searchsorted(n, 4 * n[i] // 3, side="right")
-                    j = np.arange(i + 1, end)
-                    j = j[(part[j] != part[i]) & (n[j] > boundary)]
-                    if len(j):
-                        found.append(np.stack([np.full(len(j), node[i]), node[j]], axis=1))
-                pairs = np.sort(np.concatenate(found), axis=1) if found else np.zeros((0, 2), np.int64)
-                for a in range(0, len(pairs), 100_000):
-                    yield pa.RecordBatch.from_arrays([pa.array(pairs[a : a + 100_000, 0]), pa.array(pairs[a : a + 100_000, 1])], ["a", "b"])
+        yield _pairs(found)
 
     return run
 
 
+def _with_members(lists: DataFrame, parts: DataFrame, bits: DataFrame, limits: Limits):
+    """Lists with the components of their members: a broadcast while it is small enough, with the bitmaps if they are so too;
+    else a join. Gives the rows to run over and the broadcast, if there is one."""
+    size = bits.agg(F.count("*").alias("n"), F.sum(F.length("bits") + 50).alias("bytes")).first()
+    if 16 * size["n"] <= limits.known_bytes:
+        with_bits = size["n"] and size["bytes"] <= limits.known_bytes
+        rows = bits.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *(["bits"] if with_bits else [])).toArrow()
+        known = _Known(rows["node"].to_numpy(), rows["component"].to_numpy(), rows["bits"].to_pylist() if with_bits else None)
+        return lists.select("members"), lists.sparkSession.sparkContext.broadcast(known)
+    in_lists = lists.select("list_id", F.explode(F.slice("members", 1, F.expr("cast(size(members) / 2 as int)"))).alias("node"))
+    joined = in_lists.join(bits.select("node", "n"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
+    gathered = joined.groupBy("list_id").agg(F.collect_list(F.struct("node", F.col("n").cast("long").alias("n"), "component")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
+    flat = F.flatten(F.array(*(F.transform("x", _field(c)) for c in ("node", "n", "component"))))
+    return common.stored(gathered.select(flat.alias("members")), "gathered"), None
+
+
+def _field(name: str):
+    return lambda r: r[name]
+
+
+def _most_frequent(often: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Shingles seen at least so often that no more than `most` of them are sent, and how often."""
+    least, total = 1, 0
+    for r in often.groupBy("seen").count().orderBy(F.desc("seen")).toLocalIterator():
+        total += r["count"]
+        if total > most:
+            least = r["seen"] + 1
+            break
+    rows = often.where(F.col("seen") >= least).toArrow()
+    return rows["shingle"].to_numpy().view(np.uint64), rows["seen"].to_numpy().astype(np.uint64)
+
+
 def links(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
     """members (doc_id, n, node) and verified links (a, b) between nodes: enough of them to give the exact components."""
     spark = docs.sparkSession
@@ -338,13 +550,64 @@ def links(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFr
     found = common.stored(survey(whole, limits), "survey")
     members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
     often = found.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    often = often.orderBy(F.desc("seen"), "shingle").limit(limits.frequent).toPandas()
-    order = Order(often["shingle"].to_numpy(np.int64).view(np.uint64), often["seen"].to_numpy(np.int64).astype(np.uint64))
+    order = spark.sparkContext.broadcast(Order(*_most_frequent(common.stored(often, "often"), limits.frequent)))
     small = found.where(F.col("small").isNotNull()).groupBy("node").agg(F.first("small").alias("small"))
     small = common.stored(small, "small")
     boundary = boundary_by_cost(small, order, limits)
+    linked = subset_links(small, boundary)
+
+    # Pairs with a large set: inverted lists of the posted shingles.
+    rows = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).agg(F.sum(prefix_column("n")).alias("rows")).first()["rows"] or 0
+    tasks = common.parts(spark, rows, limits.list_rows)
+    once = posted(whole, order, limits).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
+    scattered = once.mapInArrow(_scatter(max(PARTS, tasks)), "part int, node long, n int, at array<int>, keys array<long>").repartition(tasks, "part")
+    drawn = common.stored(scattered.mapInArrow(_candidates(boundary, limits.paired), "a long, b long, list_id long, members array<long>"), "candidates")
+    order.destroy()
+    tried = common.stored(drawn.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs")
+    sets = sets_of(whole, drawn, limits)
+    bits = bitmaps_of(sets)
+    linked = common.stored(linked.unionByName(verified(tried, bits, sets)), "linked")
+
+    # Long lists whose sets are not yet all connected: probes, turn by turn, then every pair across components.
+    lists = common.stored(drawn.where(F.col("list_id").isNotNull()).groupBy("list_id").agg(F.first("members").alias("members")), "lists")
+    if lists.limit(1).count() == 0:
+        return members, linked
+    in_lists = common.stored(bits.join(_list_nodes(lists), "node", "left_semi"), "in-lists")
+    for turn in range(limits.turns + 1):
+        rows, sent = _with_members(lists, components(linked), in_lists, limits)
+        if turn < limits.turns:
+            drawn = rows.mapInArrow(_probes(boundary, turn, sent), "a long, b long")
+        else:
+            drawn = rows.mapInArrow(_gathered(sent), "key long, members array<long>").repartition(tasks, "key").mapInArrow(_crossing(boundary, sent), "a long, b long")
+        pairs = common.stored(drawn.distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
+        if sent:
+            sent.destroy()
+        if pairs.limit(1).count() == 0:
+            continue
+        tried = tried.unionByName(pairs)
+        fresh = common.stored(verified(pairs, bits, sets), "more-links")
+        linked = linked.unionByName(fresh)
+    return members, linked
+
+
+def _list_nodes(lists: DataFrame) -> DataFrame:
+    """The different nodes of the lists, each once a task."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        found: list[np.ndarray] = []
+        for batch in batches:
+            for x in batch.column(0):
+                members = np.array(x.values)
+                found.append(members[: len(members) // 2])
+            found = [np.unique(np.concatenate(found))] if found else []
+        yield pa.RecordBatch.from_arrays([pa.array(found[0] if found else np.zeros(0, np.int64))], ["node"])
+
+    return lists.select("members").mapInArrow(run, "node long").distinct()
+
+
+def subset_links(small: DataFrame, boundary: int) -> DataFrame:
+    """Links among small sets, by shared subsets: each set of one size with one of the other, which connects them all."""
 
-    # Small sets with each other: a shared subset is a link.
     def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             keys = [[{"key": k, "t": t} for k, t in subsets(np.array(x, dtype=np.int64).view(np.uint64), boundary)] if len(x) <= boundary else [] for x in batch.column(1).to_pylist()]
@@ -356,35 +619,7 @@ def links(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFr
     # A set of one size links with every set of the other size that has the subset; with one size, all link with each other.
     by_key = keyed.drop("t").join(hubs, "key")
     own = by_key.select(F.when(F.col("n") == F.col("low.n"), F.col("high.node")).otherwise(F.col("low.node")).alias("b"), F.col("node").alias("a")).where("a <> b")
-    subset_links = own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-    # Pairs with a large set: inverted lists of the posted shingles.
-    rows = found.where(F.col("n") > 0).groupBy("node").agg(F.first("n").alias("n")).agg(F.sum(prefix_column("n")).alias("rows")).first()["rows"] or 0
-    tasks = common.parts(spark, rows, limits.list_rows)
-    once = posted(whole, order, limits).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    scattered = once.mapInArrow(_scatter(4 * tasks), "part int, node long, n int, at array<int>, keys array<long>").repartition(tasks, "part")
-    drawn = common.stored(scattered.mapInArrow(_candidates(boundary, limits.paired), "a long, b long, list_id long, members array<long>"), "candidates")
-    pairs = drawn.where(F.col("a").isNotNull()).select("a", "b").distinct()
-    pairs = common.stored(pairs, "pairs")
-    linked = common.stored(verified(whole, pairs, limits).unionByName(subset_links), "linked")
-
-    # Long lists whose sets are not yet all connected: the pairs across components.
-    lists = drawn.where(F.col("list_id").isNotNull()).groupBy("list_id").agg(F.first("members").alias("members"))
-    half = F.expr("cast(size(members) / 2 as int)")
-    spread = lists.select("list_id", F.explode(F.arrays_zip(F.slice("members", 1, half).alias("node"), F.slice("members", half + 1, half).alias("n"))).alias("x")).select("list_id", "x.node", "x.n")
-    spread = common.stored(spread, "lists")
-    if spread.limit(1).count() == 0:
-        return members, linked
-    parts = components(linked)
-    labelled = spread.join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = common.stored(labelled, "labelled")
-    mixed = labelled.groupBy("list_id").agg(F.min("component").alias("x"), F.max("component").alias("y")).where("x <> y").select("list_id")
-    gathered = labelled.join(mixed, "list_id").groupBy("list_id").agg(F.collect_list(F.struct("node", F.col("n").cast("long").alias("n"), "component")).alias("members"))
-    crossing = gathered.select("members").mapInArrow(_crossing(boundary), "a long, b long").distinct().join(pairs, ["a", "b"], "left_anti")
-    crossing = common.stored(crossing, "crossing")
-    if crossing.limit(1).count() == 0:
-        return members, linked
-    return members, linked.unionByName(verified(whole, crossing, limits))
+    return own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
 def prefix_column(n: str):
