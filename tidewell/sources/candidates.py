@@ -39,9 +39,10 @@ def watch_hits(candidates_: DataFrame, terms: DataFrame, text, key: str, longest
     """`hits`: names of the terms (name, term) whose words occur in the text as a run, 20 at most, in order of name. An
     equi-join of word n-grams with terms instead of a containment join; terms under three characters never match."""
     named = terms.withColumn("_t", F.trim(tx.padded_words(F.col("term")))).where(F.length("_t") >= 3).withColumn("_size", F.size(F.split("_t", " "))).where(F.col("_size") <= longest)
+    sizes = sorted(r["_size"] for r in named.select("_size").distinct().collect()) or [1]  # at most `longest` numbers
     words = candidates_.select(key, F.split(F.trim(tx.padded_words(text)), " ").alias("_w"))
     grams = lambda k: F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, k), " "))
-    every = F.array_distinct(F.flatten(F.array(*(F.when(F.size("_w") >= k, grams(k)).otherwise(F.array().cast("array<string>")) for k in range(1, longest + 1)))))
+    every = F.array_distinct(F.flatten(F.array(*(F.when(F.size("_w") >= k, grams(k)).otherwise(F.array().cast("array<string>")) for k in sizes))))
     found = words.select(key, F.explode(every).alias("_t")).join(named.select("_t", "name").distinct(), "_t").groupBy(key).agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("hits"))
     return candidates_.join(found, key, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
 
