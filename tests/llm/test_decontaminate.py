@@ -69,3 +69,34 @@ def test_empty_tables(spark):
     some = spark.createDataFrame([(1, "a b c d e f g")], "item_id long, text string")
     assert len(dc.contaminated(docs, some).collect()) == 1
     assert dc.contaminated(docs.limit(0), some).collect() == []
+
+
+def _edited(words, at, kind):
+    return words[:at] + {"changed": ["other"], "inserted": ["other", words[at]], "removed": []}[kind] + words[at + 1 :]
+
+
+@pytest.mark.parametrize("kind", ["changed", "inserted", "removed"])
+def test_leaks_with_one_word_edited_are_found(spark, kind):
+    items = [
+        (0, "alpha bravo charlie delta echo foxtrot golf hotel india juliet kilo lima? mike november oscar papa."),
+        (1, "amber blue cyan denim ebony fawn gold hazel? indigo jade khaki lime mauve navy olive pink red."),
+        (2, "apple pear plum grape melon cherry peach quince? kiwi mango."),
+        (3, "iron zinc lead copper silver tin cobalt nickel."),
+    ]
+    rng, rows, planted = random.Random(7), [], set()
+    for item, text in items:
+        held = dc.words(text)
+        for at in range(len(held)):
+            doc = len(rows)
+            rows.append((doc, sentence(rng, 30) + " ".join(_edited(held, at, kind)) + " " + sentence(rng, 30)))
+            planted.add((doc, item))
+    rows.append((900, sentence(rng, 20) + " ".join(dc.words(items[0][1])[:12]) + " " + sentence(rng, 20)))
+    found = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(items, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == sorted(planted)
+
+
+def test_short_items_are_found_verbatim(spark):
+    rows = [(1, "so it was: Blue whale sings, at last"), (2, "a whale that is blue sings"), (3, "what of it, quartz?"), (4, "blue whale")]
+    bench = [(0, "Blue whale sings."), (1, "quartz"), (2, "...")]
+    found = dc.contaminated(spark.createDataFrame(rows, "doc_id long, text string"), spark.createDataFrame(bench, "item_id long, text string")).collect()
+    assert sorted((r["doc_id"], r["item_id"]) for r in found) == [(1, 0), (3, 1)]

@@ -2,8 +2,9 @@
 
 Impacts are BM25 weights divided by the score of the item against itself, so a score is the share of the item that a
 passage holds, from 0 to 1, and one threshold serves all items. Block-max WAND retrieves all items at or above it. Each
-is then verified: the item is cut into question (all but its last sentence) and answer, and both have to share enough
-of their word n-grams with the passage.
+is then verified: the item is cut into question (all but its last sentence) and answer, and the passage has to hold
+enough of both: of their word n-grams, or, as one changed word breaks n of those, of their words when the item is
+aligned with the passage. An answer of fewer than n words counts where it follows its question, or verbatim.
 
 Passages are windows of 2 * L words every L words, so a copy of an item of up to L words lies within one of them. Items
 are indexed by length class (L = 64, 128, ...) in order of length, in blocks of a few items. Block maxima lie in a matrix
@@ -13,8 +14,8 @@ maxima in the blocks whose bound reaches the threshold, and in no other.
 The index goes to executors in shards of bounded size: shards are filled by hash, as many as the test set's size asks
 for, and each shard sees all documents. Term statistics are those of the whole test set.
 
-Null or empty texts match nothing. Items of fewer than `least_words` words cannot be told from ordinary speech and are
-not indexed. Repeated items (same id and text) count once. Rows come once per document id and item id.
+Null or empty texts match nothing. Items of fewer than `least_words` words are found where all their words stand in a
+row. Repeated items (same id and text) count once. Rows come once per document id and item id.
 """
 
 from __future__ import annotations
@@ -40,8 +41,8 @@ FOUND = "doc_id long, item_id long, score double, question_overlap double, answe
 
 @dataclass(frozen=True)
 class Rules:
-    """threshold: share of an item's BM25 weight that a passage has to hold. question, answer: shares of their n-grams.
-    block, group: items to a block, and to a matrix of block maxima. shard_chars: text of the items sent at a time."""
+    """threshold: share of an item's BM25 weight that a passage has to hold. question, answer: shares of their n-grams,
+    or of their words in line with the passage. least_words: items of fewer are found verbatim only. block, group: items to a block, and to a matrix of block maxima. shard_chars: text of the items sent at a time."""
 
     threshold: float = 0.6
     question: float = 0.6
@@ -59,16 +60,28 @@ def words(text: str) -> list[str]:
     return _WORD.findall(text.lower())
 
 
-def question_and_answer(text: str) -> tuple[list[str], list[str]]:
-    """The last sentence is the answer; a single sentence has its last quarter for one."""
+def question_and_answer(text: str) -> tuple[list[str], list[str], bool]:
+    """The last sentence is the answer; a single sentence (then True) has its last quarter for one."""
     cuts = [m.end() for m in _SENTENCE_END.finditer(text.strip())]
     head, tail = (text.strip()[: cuts[-1]], text.strip()[cuts[-1] :]) if cuts else (text, "")
     question, answer = words(head), words(tail)
-    if not question or not answer:
+    single = not question or not answer
+    if single:
         every = question + answer
         at = len(every) - max(1, len(every) // 4)
         question, answer = every[:at], every[at:]
-    return question, answer
+    return question, answer, single
+
+
+def edits(part: list[int], passage: np.ndarray) -> list[int]:
+    """For each beginning of the part, the fewest words to change, insert or remove to find it in the passage."""
+    places = np.arange(len(passage) + 1)
+    row, found = np.zeros(len(passage) + 1, dtype=np.int64), [0]
+    for word in part:
+        kept = np.minimum(row[:-1] + (passage != word), row[1:] + 1)
+        row = np.minimum.accumulate(np.concatenate((row[:1] + 1, kept)) - places) + places
+        found.append(int(row.min()))
+    return found
 
 
 class Index:
@@ -76,10 +89,10 @@ class Index:
 
     def __init__(self, items: list[tuple[int, str]], vocabulary: dict[str, int], df: dict[str, int], n_items: int, mean: float, rules: Rules, window: int):
         self.rules, self.window = rules, window
-        self.items: list[tuple[int, list[set[tuple[int, ...]]], list[int]]] = []
+        self.items: list[tuple[int, list[set[tuple[int, ...]]], list[int], list[list[int]], bool]] = []
         self.postings: dict[tuple[int, int], list[tuple[int, float]]] = defaultdict(list)
         for item_id, text in items:
-            question, answer = question_and_answer(text)
+            question, answer, single = question_and_answer(text)
             counts: dict[str, int] = defaultdict(int)
             for w in question + answer:
                 counts[w] += 1
@@ -88,13 +101,14 @@ class Index:
             own = sum(weights.values())
             for w, x in weights.items():
                 self.postings[vocabulary[w], len(self.items) // rules.block].append((len(self.items), x / own))
-            grams, sizes = [], []
+            grams, sizes, parts = [], [], []
             for part in (question, answer):
                 ids = [vocabulary[w] for w in part]
                 size = min(rules.n, len(ids))
                 grams.append({tuple(ids[i : i + size]) for i in range(len(ids) - size + 1)} if ids else set())
                 sizes.append(size)
-            self.items.append((item_id, grams, sizes))
+                parts.append(ids)
+            self.items.append((item_id, grams, sizes, parts, single))
         terms = sorted({t for t, _ in self.postings})
         #: Row of each term in the maxima; row 0 is for terms that no item here has, and for -1.
         self.row = np.zeros(len(vocabulary) + 1, dtype=np.int32)
@@ -142,11 +156,25 @@ class Index:
                     to(c, pivot)
 
     def verify(self, place: int, ids: list[int]) -> tuple[float, float]:
-        """Shares of the question's and of the answer's n-grams that the passage holds."""
+        """Shares of the question and of the answer that the passage holds: of n-grams, or of aligned words if those are
+        too few."""
         shares = []
         for grams, size in zip(self.items[place][1], self.items[place][2], strict=True):
             held = set(zip(*(ids[k:] for k in range(size)), strict=False)) if size else set()
             shares.append(len(grams & held) / len(grams) if grams else 1.0)
+        if shares[0] >= self.rules.question and shares[1] >= self.rules.answer:
+            return shares[0], shares[1]
+        (question, answer), single = self.items[place][3:]
+        passage = np.asarray(ids)
+        needed = edits(question + answer, passage)
+        if single and needed[-1] <= 1:
+            # The answer was cut from a sentence: one edit to the sentence may lie anywhere in it.
+            return (1 - needed[-1] / (len(needed) - 1),) * 2
+        asked = needed[len(question)]
+        shares[0] = max(shares[0], 1 - asked / max(1, len(question)))
+        shares[1] = max(shares[1], 1 - (needed[-1] - asked) / max(1, len(answer)))
+        if len(answer) >= self.rules.n and shares[1] < self.rules.answer and shares[0] >= self.rules.question:
+            shares[1] = max(shares[1], 1 - edits(answer, passage)[-1] / len(answer))
         return shares[0], shares[1]
 
     def matches(self, ids: np.ndarray) -> dict[int, tuple[float, float, float]]:
@@ -165,17 +193,21 @@ class Index:
 def _shard(docs: DataFrame, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean: float, rules: Rules) -> DataFrame:
     vocabulary = {w: k for k, w in enumerate(df)}
     classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
+    short: dict[int, dict[tuple[int, ...], list[int]]] = {}
     for item_id, text in sorted(items):
         n = len(words(text))
+        if n < rules.least_words:
+            short.setdefault(n, defaultdict(list))[tuple(vocabulary[w] for w in words(text))].append(item_id)
+            continue
         classes[max(64, 1 << (n - 1).bit_length())].append((item_id, text))
     indexes = []
     for window, held in sorted(classes.items()):
         held.sort(key=lambda x: (len(words(x[1])), x))
         indexes += [Index(held[k : k + rules.group], vocabulary, df, n_items, mean, rules, window) for k in range(0, len(held), rules.group)]
-    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, indexes))
+    sent = docs.sparkSession.sparkContext.broadcast((vocabulary, indexes, short))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        vocabulary, indexes = sent.value
+        vocabulary, indexes, short = sent.value
         for batch in batches:
             rows: list[tuple[int, int, float, float, float]] = []
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -183,6 +215,9 @@ def _shard(docs: DataFrame, items: list[tuple[int, str]], df: dict[str, int], n_
                 ids = np.fromiter(map(vocabulary.get, found, repeat(-1)), dtype=np.int32, count=len(found))
                 for index in indexes:
                     rows += [(doc_id, item, *shares) for item, shares in index.matches(ids).items()]
+                for n, held in short.items():
+                    run_of = ids.tolist()
+                    rows += [(doc_id, item, 1.0, 1.0, 1.0) for x in held.keys() & set(zip(*(run_of[k:] for k in range(n)), strict=False)) for item in held[x]]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
@@ -199,7 +234,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
             found = [words(x.as_py()) for x in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.list_(pa.string()))], ["item_id", "text", "words"])
 
-    items = items.mapInArrow(split, "item_id long, text string, words array<string>").where(F.size("words") >= rules.least_words)
+    items = items.mapInArrow(split, "item_id long, text string, words array<string>").where(F.size("words") > 0)
     items = common.stored(items, "items")
     sizes = items.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.sum(F.length("text")).alias("chars")).first()
     whole = common.texts(docs)
