@@ -68,3 +68,24 @@ def test_empty_table_and_extra_columns(spark):
     assert pii.annotate(empty).collect() == []
     one = spark.createDataFrame([(1, "a@b.cd", "x")], "doc_id long, text string, spans string")
     assert len(pii.annotate(one).collect()) == 1
+
+
+def _revealed(spark, texts):
+    """Documents by the words that the default limits sanitise in them."""
+    rows = [(i, t) for i, t in enumerate([*texts, *(f"plain text number{_letters(i)} of the weather and the sea, regards" for i in range(300))])]
+    found = pii.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    return {r["doc_id"]: {rows[r["doc_id"]][1][s["start"] : s["end"]].lower() for s in r["spans"] if s["kind"] == "term"} for r in found}
+
+
+def _letters(i):
+    return "".join(chr(97 + i // 26**k % 26) for k in range(3))
+
+
+def test_a_rare_name_beside_an_entity_in_few_texts(spark):
+    found = _revealed(spark, [f"the {_letters(i)}x of zorblatt at zb@birds.example was the sea and {_letters(i)}y" for i in range(3)])
+    assert all("zorblatt" in found[i] for i in range(3)) and not any({"the", "sea", "and", "of"} & x for x in found.values())
+
+
+def test_a_signature_that_never_changes(spark):
+    found = _revealed(spark, [f"news {_letters(i)}x of the weather {_letters(i)}y and much more that was said of it. Regards, Jane Roe, jane@x.org" for i in range(40)])
+    assert all({"jane", "roe"} <= found[i] and "regards" not in found[i] for i in range(40))

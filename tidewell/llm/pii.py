@@ -5,8 +5,8 @@ terms reveal them. A term t reveals an entity e by their pointwise mutual inform
 information: disclosure = PMI(t; e) / -log2 p(e), with p over documents. At 1 every document with t holds e beside it.
 A term whose disclosure exceeds the threshold for some entity is sanitised wherever it stands: generalised to a
 placeholder, or removed where it is as good as the entity itself. Terms are words with a letter; they co-occur with an
-entity within a window of words around it. Support counts different surroundings, so copies of a document are no
-evidence, and a term needs several of them.
+entity within a window of words around it. Support counts different texts, so copies of a document are no evidence,
+and a term needs more than one of them.
 
 Counts cover all documents. The first pass finds entities and the terms beside them; the second counts in how many
 documents those candidate terms stand at all; the third marks the terms that disclose. Which words the second and
@@ -90,11 +90,11 @@ def base_spans(text: str) -> list[tuple[int, int, int]]:
 
 @dataclass(frozen=True)
 class Limits:
-    """window: words each side of an entity. support: different surroundings that a term must share with an entity.
+    """window: words each side of an entity. support: different texts in which a term must stand beside an entity.
     generalise, remove: the disclosure from which a term is generalised, and removed."""
 
     window: int = 5
-    support: int = 5
+    support: int = 2
     generalise: float = 0.95
     remove: float = 0.99
     filter_bits: int = 1 << 23
@@ -153,19 +153,20 @@ class _Seen:
 
 
 def beside(docs: DataFrame, limits: Limits) -> DataFrame:
-    """entity, term, context: a row for each word in the window of an entity. entity and context are hashes; those of
-    entities (term null) count the documents with it."""
+    """entity, term, context: a row for each word in the window of an entity. context is a hash of the text; in rows of
+    entities (term null) it is the document."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: set[tuple[str, str | None, int]] = set()
             for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
                 text = text.as_py()
-                for start, kind, end in base_spans(text):
+                spans = base_spans(text)
+                context = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=7).digest(), "little") if spans else 0
+                for start, kind, end in spans:
                     entity = f"{KINDS[kind]}:{text[start:end].lower()}"
                     before = _words(text[max(0, start - 40 * limits.window) : start])[-limits.window :]
                     after = _words(text[end : end + 40 * limits.window])[: limits.window]
-                    context = int.from_bytes(hashlib.blake2b("\0".join([*before, "", *after]).encode(), digest_size=7).digest(), "little")
                     rows.add((entity, None, -1 if doc_id is None else doc_id))
                     rows |= {(entity, w, context) for w in {*before, *after}}
             columns = list(zip(*rows, strict=True)) or [[], [], []]
@@ -196,7 +197,7 @@ def disclosing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     shared = common.stored(shared, "shared")
     total = docs.count()
     stands = standing(docs, _filter(shared.select("term").distinct(), limits.filter_bits)).groupBy("term").agg(F.sum("n").alias("n_term"))
-    # Different surroundings never outnumber documents by much (an entity may stand twice in one), so the joint count is cut to both.
+    # Different texts may outnumber ids, which may repeat, so the joint count is cut to both.
     joint = F.least("n_both", "n_entity", "n_term")
     pmi = F.log2(joint * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     disclosure = F.when(F.col("n_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_entity"))).otherwise(F.lit(0.0))
