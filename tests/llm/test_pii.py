@@ -1,3 +1,5 @@
+import collections
+import random
 import re
 
 import pytest
@@ -89,3 +91,20 @@ def test_a_rare_name_beside_an_entity_in_few_texts(spark):
 def test_a_signature_that_never_changes(spark):
     found = _revealed(spark, [f"news {_letters(i)}x of the weather {_letters(i)}y and much more that was said of it. Regards, Jane Roe, jane@x.org" for i in range(40)])
     assert all({"jane", "roe"} <= found[i] and "regards" not in found[i] for i in range(40))
+
+
+def test_copies_weigh_nothing_in_any_count(spark):
+    texts = [f"{_letters(k)}x zorblatt zb@birds.example {_letters(k)}y" for k in range(6)] * 40 + [f"plain {_letters(i)}" for i in range(400)]
+    found = {r["term"]: r["disclosure"] for r in pii.disclosing(spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id long, text string").repartition(7)).collect()}
+    assert found["zorblatt"] == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("bits", [1 << 10, 1 << 23])
+def test_texts_with_a_word_are_counted_once_each(spark, bits):
+    rng = random.Random(3)
+    texts = [" ".join(rng.choices(["one", "two", "three", "four", "five"], k=rng.randint(1, 4))) for _ in range(500)] + [f"one {_letters(i)}" for i in range(50)]
+    held, repeated = pii._filter(spark.createDataFrame([("one",), ("two",)], "term string"), bits), collections.Counter(texts)
+    docs = spark.createDataFrame([(t,) for t in texts], "text string").repartition(5)
+    copied = docs.groupBy("text").count().where("count > 1").select(pii.F.xxhash64("text").cast("string").alias("term"))
+    found = {r["term"]: r["n_term"] for r in pii.standing(docs, held, pii._filter(copied, bits)).collect()}
+    assert [found[w] for w in ("one", "two")] == [sum(w in t.split() for t in repeated) for w in ("one", "two")]

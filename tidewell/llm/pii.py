@@ -2,14 +2,14 @@
 
 Four kinds of protected entities are found by their form (the base spans). Corpus co-occurrence then tells which other
 terms reveal them. A term t reveals an entity e by their pointwise mutual information, as a share of the entity's own
-information: disclosure = PMI(t; e) / -log2 p(e), with p over documents. At 1 every document with t holds e beside it.
+information: disclosure = PMI(t; e) / -log2 p(e), with p over different texts. At 1 every text with t holds e beside it.
 A term whose disclosure exceeds the threshold for some entity is sanitised wherever it stands: generalised to a
 placeholder, or removed where it is as good as the entity itself. Terms are words with a letter; they co-occur with an
-entity within a window of words around it. Support counts different texts, so copies of a document are no evidence,
-and a term needs more than one of them.
+entity within a window of words around it. All counts are of different texts, told apart by 64-bit hashes, so copies of
+a document are no evidence, and a term needs more than one text.
 
 Counts cover all documents. The first pass finds entities and the terms beside them; the second counts in how many
-documents those candidate terms stand at all; the third marks the terms that disclose. Which words the second and
+texts those candidate terms stand at all; the third marks the terms that disclose. Which words the second and
 third pass look at is told by Bloom filters of a fixed size, and exact joins follow, so nothing that grows with the
 corpus is sent to executors or to the driver.
 
@@ -153,40 +153,53 @@ class _Seen:
 
 
 def beside(docs: DataFrame, limits: Limits) -> DataFrame:
-    """entity, term, context: a row for each word in the window of an entity. context is a hash of the text; in rows of
-    entities (term null) it is the document."""
+    """entity, term, context: a row for each entity (term null) and for each word in its window. context is the hash of
+    the text, which comes with it."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             rows: set[tuple[str, str | None, int]] = set()
-            for doc_id, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
+            for text, context in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
                 text = text.as_py()
-                spans = base_spans(text)
-                context = int.from_bytes(hashlib.blake2b(text.encode(), digest_size=7).digest(), "little") if spans else 0
-                for start, kind, end in spans:
+                for start, kind, end in base_spans(text):
                     entity = f"{KINDS[kind]}:{text[start:end].lower()}"
                     before = _words(text[max(0, start - 40 * limits.window) : start])[-limits.window :]
                     after = _words(text[end : end + 40 * limits.window])[: limits.window]
-                    rows.add((entity, None, -1 if doc_id is None else doc_id))
+                    rows.add((entity, None, context))
                     rows |= {(entity, w, context) for w in {*before, *after}}
             columns = list(zip(*rows, strict=True)) or [[], [], []]
             yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.string(), pa.int64()), strict=True)], ["entity", "term", "context"])
 
-    return docs.mapInArrow(run, "entity string, term string, context long")
+    return docs.select("text", F.xxhash64("text")).mapInArrow(run, "entity string, term string, context long")
 
 
-def standing(docs: DataFrame, held: np.ndarray) -> DataFrame:
-    """term, n: in how many rows of a task each word that the filter holds stands."""
+def standing(docs: DataFrame, held: np.ndarray, repeated: np.ndarray) -> DataFrame:
+    """term, n_term: in how many different texts each word that the filter `held` holds stands. Texts whose hash the
+    filter `repeated` lacks stand once and are counted where they are read; the others are told apart by their hash."""
+    schema = pa.schema([("context", pa.int64()), ("terms", pa.list_(pa.string())), ("n", pa.list_(pa.int64()))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        seen = _Seen(held)
+        seen, copied, met = _Seen(held), _Seen(repeated), set()
         for batch in batches:
             counts: Counter[str] = Counter()
-            for text in batch.column(1):
-                counts.update(w for w in set(_words(text.as_py())) if seen(w))
-            yield pa.RecordBatch.from_arrays([pa.array(list(counts), pa.string()), pa.array(list(counts.values()), pa.int64())], ["term", "n"])
-
-    return docs.mapInArrow(run, "term string, n long")
+            rows: list[tuple[int | None, list[str], list[int]]] = []
+            for text, context in zip(batch.column(0), batch.column(1).to_pylist(), strict=True):
+                if context in met:
+                    continue
+                terms = [w for w in set(_words(text.as_py())) if seen(w)]
+                if not copied(str(context)):
+                    counts.update(terms)
+                    continue
+                rows.append((context, terms, []))
+                if len(met) < 500_000:
+                    met.add(context)
+            rows.append((None, list(counts), list(counts.values())))
+            yield pa.RecordBatch.from_arrays([pa.array(x, t.type) for x, t in zip(zip(*rows, strict=True), schema, strict=True)], schema=schema)
+
+    found = common.stored(docs.select("text", F.xxhash64("text")).mapInArrow(run, "context long, terms array<string>, n array<long>"), "standing")
+    once = found.where("context is null").select(F.explode(F.arrays_zip("terms", "n")).alias("x")).select(F.col("x.terms").alias("term"), F.col("x.n").alias("n"))
+    copies = found.where("context is not null").select("context", "terms").dropDuplicates(["context"]).select(F.explode("terms").alias("term"), F.lit(1).cast("long").alias("n"))
+    return once.unionByName(copies).groupBy("term").agg(F.sum("n").alias("n_term"))
 
 
 def disclosing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
@@ -195,11 +208,12 @@ def disclosing(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     entities = pairs.where(F.col("term").isNull()).groupBy("entity").agg(F.count_distinct("context").alias("n_entity"))
     shared = pairs.where(F.col("term").isNotNull()).groupBy("entity", "term").agg(F.count_distinct("context").alias("n_both")).where(F.col("n_both") >= limits.support)
     shared = common.stored(shared, "shared")
-    total = docs.count()
-    stands = standing(docs, _filter(shared.select("term").distinct(), limits.filter_bits)).groupBy("term").agg(F.sum("n").alias("n_term"))
-    # Different texts may outnumber ids, which may repeat, so the joint count is cut to both.
-    joint = F.least("n_both", "n_entity", "n_term")
-    pmi = F.log2(joint * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
+    texts = common.stored(docs.groupBy(F.xxhash64("text").alias("context")).count(), "texts")
+    total = texts.count()
+    repeated = _filter(texts.where(F.col("count") > 1).select(F.col("context").cast("string").alias("term")), limits.filter_bits)
+    stands = standing(docs, _filter(shared.select("term").distinct(), limits.filter_bits), repeated)
+    # Beside an entity a word may be cut off that stands whole in fewer texts, so the joint count is cut to that.
+    pmi = F.log2(F.least("n_both", "n_term") * F.lit(float(total)) / (F.col("n_entity") * F.col("n_term")))
     disclosure = F.when(F.col("n_entity") < total, pmi / F.log2(F.lit(float(total)) / F.col("n_entity"))).otherwise(F.lit(0.0))
     scored = shared.join(entities, "entity").join(stands, "term").withColumn("disclosure", disclosure).where(F.col("disclosure") >= limits.generalise)
     best = F.max_by(F.struct(F.substring_index("entity", ":", 1).alias("kind"), "disclosure"), F.struct("disclosure", "entity"))
