@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import common, decontaminate, jaccard, language, packing, secrets
@@ -18,6 +18,15 @@ from tidewell.llm import common, decontaminate, jaccard, language, packing, secr
 SMALL = 1_000_000
 
 
+def _key() -> Column:
+    """Both filters decide by text; ids may be null or repeated."""
+    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+
+
+def _by_text(docs: DataFrame) -> DataFrame:
+    return docs.select(_key().alias("doc_id"), "text")
+
+
 def _ids(ids: DataFrame, label: str) -> DataFrame:
     held = common.stored(ids.distinct(), label)
     return F.broadcast(held) if held.count() <= SMALL else held
@@ -29,18 +38,32 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Of each group of linked documents the one with the smallest id stays. Ids are taken to be unique here; documents
-    without an id stay if none of their group has one."""
-    found = jaccard.join(docs)
-    stay = _ids(found.where(F.col("doc_id").eqNullSafe(F.col("component_id"))).select(F.col("doc_id").alias("id")), "stay")
-    return docs.join(stay, docs["doc_id"].eqNullSafe(stay["id"]), "left_semi")
+    """Of each group of linked documents one row stays, that with the smallest id; rows without an id come last. Texts
+    without a word are in no group and stay."""
+    found = common.stored(jaccard.join(_by_text(docs)).distinct(), "groups")
+    rows = docs.groupBy(F.col("doc_id").alias("id"), _key().alias("key")).agg(F.count("*").alias("n"))
+    grouped = rows.join(found.where("n_shingles > 0"), F.col("key") == F.col("doc_id"))
+    least = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "n")).alias("x")).select("x.id", "x.key", "x.n")
+    wordless = rows.join(found.where("n_shingles = 0"), F.col("key") == F.col("doc_id"), "left_semi").select("id", "key", F.lit(1).cast("long").alias("n"))
+    stay = common.stored(least.unionByName(wordless), "stay")
+
+    def held(ids: DataFrame) -> DataFrame:
+        ids = F.broadcast(ids) if ids.count() <= SMALL else ids
+        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (_key() == ids["key"]), "left_semi")
+
+    repeated = stay.where("n > 1")
+    out = held(stay.where("n = 1"))
+    if repeated.isEmpty():
+        return out
+    # Rows of the same id and text: one of them.
+    return out.unionByName(held(repeated).withColumn("_key", _key()).dropDuplicates(["doc_id", "_key"]).drop("_key"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that leak a benchmark item go. Those without an id go together if one of them leaks."""
-    found = decontaminate.contaminated(docs, common.table(spark, sf_dir, "benchmark"))
-    go = _ids(found.select(F.col("doc_id").alias("id")), "go")
-    return docs.join(go, docs["doc_id"].eqNullSafe(go["id"]), "left_anti")
+    """Rows whose text leaks a benchmark item go, whatever their id."""
+    found = decontaminate.contaminated(_by_text(docs), common.table(spark, sf_dir, "benchmark"))
+    go = _ids(found.select(F.col("doc_id").alias("key")), "go")
+    return docs.join(go, _key() == go["key"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -80,3 +80,14 @@ def test_sequences_hold_every_document(stages):
 
 def test_run_gives_the_last_stage(spark, stages):
     assert corpus_pipeline.run(spark, DATA).count() == len(stages[5])
+
+
+def test_null_and_repeated_ids(spark):
+    say = lambda k: " ".join(f"w{k}x{i}" for i in range(30))
+    item = spark.read.parquet(f"{DATA}/benchmark.parquet").first()["text"]
+    rows = [(None, say(0)), (None, item), (None, say(1)), (5, say(2)), (5, item), (5, say(3)), (7, say(0)), (8, say(4)), (8, say(4)), (None, say(5)), (None, say(5)), (9, ""), (None, "")]
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t)) for i, t in rows], "doc_id long, text string, lang string, source string, n_chars long")
+    shown = lambda df: sorted(((r["doc_id"], r["text"]) for r in df.collect()), key=str)
+    assert shown(corpus_pipeline.drop_contaminated(spark, docs, DATA)) == sorted((r for r in rows if r[1] != item), key=str)
+    kept = shown(corpus_pipeline.drop_near_copies(spark, docs, DATA))
+    assert kept == sorted([(7, say(0)), (5, item), (None, say(1)), (5, say(2)), (5, say(3)), (8, say(4)), (None, say(5)), (9, ""), (None, "")], key=str)
