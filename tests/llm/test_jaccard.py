@@ -5,7 +5,7 @@ import numpy as np
 import pytest
 
 from tidewell.llm import jaccard
-from tidewell.llm.components import components
+from tidewell.llm.components import components, merged
 from tidewell.llm.shingles import shingle_sets
 
 
@@ -58,21 +58,75 @@ def corpus(seed):
     return [*out, (900, None), (901, ""), (902, " \n"), out[0], (None, out[1][1]), (7, "a second text of the same id here")]
 
 
-@pytest.mark.parametrize(("seed", "limits"), [(1, jaccard.Limits()), (2, jaccard.Limits(paired=2, counted=50, seen=2)), (3, jaccard.Limits(most_small=0, paired=3)), (4, jaccard.Limits(frequent=3, paired=2, list_rows=10)), (5, jaccard.Limits(paired=2, turns=0)), (6, jaccard.Limits(paired=2, turns=1, known_bytes=0))])
-def test_components_are_those_of_brute_force(spark, seed, limits):
-    rows = corpus(seed)
+def run(spark, rows, limits=jaccard.Limits()):
     docs = spark.createDataFrame([(*r, "x") for r in rows], "doc_id long, text string, node string").repartition(3)
-    found = jaccard.join(docs, limits).collect()
-    assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == by_brute_force(rows)
+    return sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in jaccard.join(docs, limits).collect()), key=str)
+
+
+CASES = {
+    "as it is": (1, {}),
+    "short counts": (2, {"paired": 2, "counted": 50}),
+    "no small sets": (3, {"most_keys": 0, "paired": 3}),
+    "few frequent": (4, {"frequent": 3, "paired": 2, "list_rows": 10}),
+    "small cells": (5, {"paired": 2, "block": 3}),
+    "one hub": (6, {"paired": 2, "hubs": 1, "known": 5}),
+    "dealt lists": (7, {"paired": 2, "split": 2, "block": 2, "counted": 400}),
+    "names in common": (8, {"paired": 2, "name_bits": 4}),
+}
+
+
+@pytest.mark.parametrize("case", CASES)
+def test_components_are_those_of_brute_force(spark, case):
+    seed, limits = CASES[case]
+    rows = corpus(seed)
+    assert run(spark, rows, jaccard.Limits(**limits)) == by_brute_force(rows)
 
 
 def test_every_boundary_gives_the_same(spark, monkeypatch):
     rows = [r for r in corpus(9) if len((r[1] or "").split()) < 16]
-    docs = spark.createDataFrame(rows, "doc_id long, text string")
-    for boundary in (0, 4, 10):
+    for boundary in (0, 4, 11):
         monkeypatch.setattr(jaccard, "boundary_by_cost", lambda *_, b=boundary: b)
-        found = jaccard.join(docs).collect()
-        assert sorted(((r["doc_id"], r["n_shingles"], r["component_id"]) for r in found), key=str) == by_brute_force(rows)
+        assert run(spark, rows) == by_brute_force(rows)
+
+
+def test_small_sets_link_by_subsets_where_that_is_cheaper(spark, monkeypatch):
+    """Headlines with and without a word more: those with one link with those without, not with each other."""
+    rng = random.Random(3)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{k}" for k in range(rng.randint(8, 10))]
+        rows += [(30 * g + k, " ".join([*base, f"own{k % 20}"] if k else base)) for k in range(25)]
+    links, found = jaccard.subset_links, []
+
+    def counted(small, boundary):
+        found.append((boundary, links(small, boundary).count()))
+        return links(small, boundary)
+
+    monkeypatch.setattr(jaccard, "subset_links", counted)
+    assert run(spark, rows) == by_brute_force(rows)
+    assert found[0][0] >= 6 and found[0][1] >= 12 * 19
+
+
+def test_boundary_is_the_cheapest():
+    assert jaccard.cheapest({}, 20) == 0
+    assert jaccard.cheapest({300: (1000, 9000)}, 20) == 0
+    assert jaccard.cheapest({1: (10, 0), 2: (10, 0), 300: (1000, 9000)}, 20) == 2  # different sets of one or two never link
+    assert jaccard.cheapest({9: (1000, 0), 300: (1000, 0)}, 20) == 0
+    assert jaccard.cheapest({5: (1000, 8000)}, 20) == 6
+    assert jaccard.most_small(1 << 14) > 15
+
+
+def test_subsets_are_shared_by_linked_sets_only():
+    rng = np.random.default_rng(5)
+    for _ in range(300):
+        x = rng.choice(2**60, rng.integers(1, 13), replace=False).astype(np.uint64)
+        y = np.concatenate([x[: rng.integers(0, len(x) + 1)], rng.choice(2**60, rng.integers(0, 4)).astype(np.uint64)])
+        if not len(y) or len(x) == len(y) == len(np.intersect1d(x, y)):
+            continue
+        both = len(np.intersect1d(x, y))
+        mine = {k for t, h, _ in jaccard.subsets(x[None, :], 16) if t == len(y) for k in h.ravel().tolist()}
+        theirs = {k for t, h, _ in jaccard.subsets(rng.permutation(y)[None, :], 16) if t == len(x) for k in h.ravel().tolist()}
+        assert bool(mine & theirs) == (100 * both >= 75 * (len(x) + len(y) - both))
 
 
 def test_bitmaps_never_rule_out_a_link():
@@ -97,9 +151,17 @@ def test_sets_have_the_plain_sizes():
 
 
 def test_components_of_a_chain_and_a_star(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7)]
-    found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}}
+    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 300)]
+    for parts in (1, 20):
+        found = {r["node"]: r["component"] for r in components(spark.createDataFrame(edges, "a long, b long").repartition(parts)).collect()}
+        assert found == {**{i: 0 for i in range(41)}, **{100 + i: 100 for i in range(60)}}
+
+
+def test_more_edges_merge_components(spark):
+    frame = lambda rows: spark.createDataFrame(rows, "a long, b long")
+    labels = merged(components(frame([(1, 2), (3, 4), (5, 6)])), frame([(2, 4), (9, 10), (4, 11)]))
+    assert {r["node"]: r["component"] for r in labels.collect()} == {1: 1, 2: 1, 3: 1, 4: 1, 5: 5, 6: 5, 9: 9, 10: 9, 11: 1}
+    assert merged(components(frame([])), frame([])).count() == 0
 
 
 def test_empty_table(spark):

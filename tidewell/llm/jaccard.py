@@ -4,28 +4,33 @@ Documents with equal shingle sets are one node, named by a hash of the set. Two
 share at least c = ceil(3 (s + t) / 7) shingles, that is, when their Jaccard similarity is at least 0.75.
 
 *Small sets* (up to a boundary) enumerate, for each partner size t up to the boundary, all their subsets of size c. Two
-small sets link exactly if they have such a subset in common, so a shared subset needs no verification.
+small sets link exactly if they have such a subset in common, so a shared subset (told by 128 bits) needs no verification.
 *Large sets* scan inverted lists. Shingles are ordered by hash, frequent ones last, rarest first; linked sets share one
-of their first s - ceil(3 s / 4) + 1 shingles, so only those are posted. Pairs of a list with at least one large set are
-verified against the whole sets. The boundary is the size at which enumerating subsets stops being cheaper than
-scanning the lists of the sets' shingles, by counts of both.
+of their first s - ceil(3 s / 4) + 1 shingles, so only those are posted, by all sets that can link with a large one. Pairs
+of a list with at least one large set are verified against the whole sets. The boundary is where the bytes that enumerated
+subsets move, plus those that the lists of the other sets and the pairs in them move, are least.
 
 Before sets are compared, a bitmap of each (four to eight bits a shingle) bounds their overlap: a bit that only one of them
 has stands for a shingle that the other lacks. Only pairs that may reach the overlap they need are compared.
 
-No list is expanded into all its pairs. Lists of up to `paired` sets give their pairs; longer ones first give a star
-around one of their sets. Verified stars are united into components. In some turns the sets of a list outside its largest
-component are probed against few sets of it; then the pairs of a long list that still lie in different components are
-verified, all of them. Every candidate pair is thus verified or already connected, so the
-components are exact. Which shingles count as frequent only decides the order, and any order is exact.
+No list is expanded into all its pairs. Lists of up to `paired` sets give their pairs; longer ones first give a star around
+one of their sets, and links become components. Of a list that still has several components, the sets outside its largest
+one meet the others in cells of bounded size: first few sets of each cell, then all of them. Every pair of a list is thus
+verified, ruled out by its sizes, places or bitmaps, or already connected, so the components are exact. Lists that are expected to be
+very long are dealt to several tasks, and cells are drawn over all of their parts. Which shingles count as frequent only
+decides the order, and any order is exact.
+
+Names have 64 bits. A second hash tells names that different sets share (of N sets, N**2 / 2**65 are to be expected, 3
+of 1e10); the sets with those names go by the second hash.
 
 Null, empty and blank texts have the empty set and link with nothing. Rows of one id count as one document if their sets
 are equal, otherwise each row keeps its own set, and the id goes with the set. Null ids link as any other and never name a
-component of others. Each row gets a row.
+component of others. Each row gets a row; columns other than doc_id and text are left alone.
 """
 
 from __future__ import annotations
 
+import functools
 import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -38,36 +43,38 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewell.llm import common
-from tidewell.llm.components import components
-from tidewell.llm.shingles import mix, name_of, shingle_sets
-
+from tidewell.llm.components import components, merged
+from tidewell.llm.shingles import mix, names_of, shingle_sets
 
 #: Pairs or nodes of 16 bytes up to which they go to all executors; more of them are shuffled.
 FEW_PAIRS = 200_000
 
-
-#: Least number of parts that posted shingles are dealt to: the fewer, the more shingles of a set share a row.
-PARTS = 32
+#: Bytes of a shuffled key of a subset, posted shingle or pair, and of a shingle of a set that is moved with its bitmap.
+ROW_BYTES, SHINGLE_BYTES = 32, 9
 
 
 @dataclass(frozen=True)
 class Limits:
-    """most_small: no boundary above it is considered. frequent: places in the order given to frequent shingles, 16 bytes
-    each. counted: shingles that a task counts together; seen: how often one has to occur among them to be reported.
-    paired: sets of a list up to which all its pairs are candidates at once. list_rows: posted shingles to a task. filter_bits: of the filter of the nodes that have candidates.
-    turns: of probes before all pairs across components. known_bytes: of components, and of
-    bitmaps, of the nodes in long lists up to which they are sent to executors; more of them are joined."""
+    """most_keys: subsets that a small set may be enumerated into, which rules out boundaries beyond. frequent: places in
+    the order given to frequent shingles, 16 bytes each. counted: shingles that a task counts together; seen: how often one
+    has to occur among them to be reported. paired: sets of a list up to which all its pairs are candidates at once.
+    list_rows: posted shingles to a task. split: sets to a part of a list that is expected to be longer. block: sets to a
+    side of a cell; hubs: those that are tried first. known: names that a task remembers. filter_bits: of the filter of the
+    nodes that have candidates. name_bits: of a set's name."""
 
     size: int = 5
-    most_small: int = 10
+    most_keys: int = 1 << 14
     frequent: int = 1 << 19
     counted: int = 3_000_000
     seen: int = 2
     paired: int = 8
     list_rows: int = 1_500_000
+    split: int = 200_000
+    block: int = 1024
+    hubs: int = 64
+    known: int = 200_000
     filter_bits: int = 1 << 25
-    turns: int = 2
-    known_bytes: int = 1 << 25
+    name_bits: int = 64
 
 
 def needed(s: int, t: int) -> int:
@@ -79,14 +86,33 @@ def prefix(s: int) -> int:
     return s - (3 * s + 3) // 4 + 1
 
 
-def _column(values: list, kind: pa.DataType) -> pa.Array:
-    return pa.array(values, kind)
+def partners(s: int, boundary: int) -> list[int]:
+    """Sizes up to the boundary that a different set may have to link with one of size s."""
+    return [t for t in range(-(-3 * s // 4), min(boundary, 4 * s // 3) + 1) if t >= 1 and needed(s, t) <= min(s, t) and (t != s or needed(s, t) < s)]
+
+
+def keys_of(s: int, boundary: int) -> int:
+    """How many subsets a set of size s enumerates."""
+    return sum(comb(s, needed(s, t)) for t in partners(s, boundary))
+
 
+@functools.cache
+def most_small(most_keys: int) -> int:
+    """The largest boundary at which no set has more keys than that."""
+    b = 2
+    while max(keys_of(s, b + 1) for s in range(1, b + 2)) <= most_keys:
+        b += 1
+    return b
 
-def _lists(arrays: list[np.ndarray], dtype: type = np.int64) -> pa.ListArray:
+
+def _lists(arrays: list[np.ndarray]) -> pa.Array:
+    """Arrays of any total length as one list array."""
     flat = np.concatenate(arrays) if arrays else np.zeros(0, np.uint64)
-    flat = flat.view(np.int64) if flat.dtype == np.uint64 else flat.astype(dtype)
-    return pa.ListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int32()), pa.array(flat))
+    return pa.LargeListArray.from_arrays(pa.array(np.cumsum([0, *map(len, arrays)]), pa.int64()), pa.array(flat.view(np.int64))).cast(pa.list_(pa.int64()))
+
+
+def _batch(columns: dict[str, tuple]) -> pa.RecordBatch:
+    return pa.RecordBatch.from_arrays([v if isinstance(v, pa.Array) else pa.array(*v) for v in columns.values()], list(columns))
 
 
 def bitmap(shingles: np.ndarray) -> bytes:
@@ -107,40 +133,70 @@ def may_link(n1: int, bits1: bytes, n2: int, bits2: bytes) -> bool:
     return min(n1 - (x & ~y).bit_count(), n2 - (y & ~x).bit_count()) >= needed(n1, n2)
 
 
-def survey(docs: DataFrame, limits: Limits) -> DataFrame:
-    """A row for each document (doc_id, n, node, and its set if small) and rows (shingle, seen) for frequent shingles."""
-    schema = "doc_id long, n int, node long, small array<long>, shingle long, seen long"
+class Naming:
+    """Names of sets, without the names that different sets share."""
+
+    def __init__(self, limits: Limits, shared: frozenset[int] = frozenset()):
+        self.bits, self.shared = limits.name_bits, shared
+
+    def both(self, shingles: np.ndarray) -> tuple[int, int]:
+        name, check = names_of(shingles)
+        return name >> (64 - self.bits), check
+
+    def __call__(self, shingles: np.ndarray) -> int:
+        name, check = self.both(shingles)
+        return check if name in self.shared else name
+
+    def column(self):
+        return F.when(F.col("node").isin(list(self.shared)), F.col("other")).otherwise(F.col("node")) if self.shared else F.col("node")
+
+
+def _new(known: set[int], name: int, most: int) -> bool:
+    """Whether a task does not remember the name; it forgets all when they are too many."""
+    if name in known:
+        return False
+    if len(known) >= most:
+        known.clear()
+    known.add(name)
+    return True
+
+
+def survey(whole: DataFrame, limits: Limits) -> DataFrame:
+    """A row for each document (doc_id, n, node, other, and its set if it may be small) and rows (shingle, seen) for frequent shingles."""
+    kind = whole.schema["doc_id"].dataType
+    schema = f"doc_id {kind.simpleString()}, n int, node long, other long, small array<long>, shingle long, seen long"
+    largest, naming = most_small(limits.most_keys), Naming(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         waiting: list[np.ndarray] = []
         known: set[int] = set()
-        held, columns = 0, ["doc_id", "n", "node", "small", "shingle", "seen"]
+        held, ids = 0, pa.int64()
 
         def frequent() -> pa.RecordBatch:
             found, times = np.unique(np.concatenate(waiting), return_counts=True)
             keep = times >= limits.seen
             found, times = found[keep].view(np.int64), times[keep]
             n = len(found)
-            return pa.RecordBatch.from_arrays([pa.nulls(n, pa.int64()), pa.nulls(n, pa.int32()), pa.nulls(n, pa.int64()), pa.nulls(n, pa.list_(pa.int64())), pa.array(found), pa.array(times, pa.int64())], columns)
+            return _batch({"doc_id": pa.nulls(n, ids), "n": pa.nulls(n, pa.int32()), "node": pa.nulls(n, pa.int64()), "other": pa.nulls(n, pa.int64()), "small": pa.nulls(n, pa.list_(pa.int64())), "shingle": pa.array(found), "seen": pa.array(times, pa.int64())})
 
         for batch in batches:
-            sets = shingle_sets(batch.column(1).to_pylist(), limits.size)
-            names = [name_of(s) if len(s) else None for s in sets]
-            small = [s.view(np.int64) if 0 < len(s) <= limits.most_small else None for s in sets]
+            sets, ids = shingle_sets(batch.column(1).to_pylist(), limits.size), batch.column(0).type
+            names = [naming.both(s) if len(s) else (None, None) for s in sets]
+            small = [s.view(np.int64) if 0 < len(s) <= largest else None for s in sets]
             n = len(sets)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(s) for s in sets], pa.int32()), _column(names, pa.int64()), _column(small, pa.list_(pa.int64())), pa.nulls(n, pa.int64()), pa.nulls(n, pa.int64())], columns)
-            for name, s in zip(names, sets, strict=True):
-                if name is not None and name not in known:
-                    known.add(name)
+            yield _batch({"doc_id": batch.column(0), "n": ([len(s) for s in sets], pa.int32()), "node": ([a for a, _ in names], pa.int64()), "other": ([b for _, b in names], pa.int64()), "small": (small, pa.list_(pa.int64())), "shingle": pa.nulls(n, pa.int64()), "seen": pa.nulls(n, pa.int64())})
+            for (name, _), s in zip(names, sets, strict=True):
+                if name is not None and _new(known, name, limits.known):
                     waiting.append(s)
                     held += len(s)
             if held > limits.counted:
                 yield frequent()
-                waiting, held, known = [], 0, set()
+                waiting, held = [], 0
+                known.clear()
         if waiting:
             yield frequent()
 
-    return docs.mapInArrow(run, schema)
+    return whole.mapInArrow(run, schema)
 
 
 class Order:
@@ -156,115 +212,144 @@ class Order:
         at = np.minimum(np.searchsorted(self.shingles, sets), len(self.shingles) - 1)
         return np.where(self.shingles[at] == sets, self.seen[at], np.uint64(0))
 
-    def keys(self, sets: np.ndarray) -> np.ndarray:
+    def first(self, sets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Keys of the shingles that the set posts, in order, and how often they were seen."""
         times = np.minimum(self.times(sets), np.uint64(0x7FFFFFFF))
-        rare = sets >> np.uint64(1)
-        return np.where(times == 0, rare, np.uint64(1 << 63) | (times << np.uint64(32)) | (mix(sets) & np.uint64(0xFFFFFFFF)))
-
-
-def subsets(shingles: np.ndarray, boundary: int) -> list[tuple[int, int]]:
-    """A key for each subset and partner size by which a small set can be found, and that size; partners beyond the boundary excepted."""
-    s, out = len(shingles), []
-    for t in range(-(-3 * s // 4), min(boundary, 4 * s // 3) + 1):
-        c = needed(s, t)
-        if t >= 1 and c <= min(s, t):
-            sizes = np.array([min(s, t), max(s, t)], dtype=np.uint64)
-            out += [(name_of(np.concatenate([sizes, np.array(x, dtype=np.uint64)])), t) for x in combinations(shingles.tolist(), c)]
-    return out
+        keys = np.where(times == 0, sets >> np.uint64(1), np.uint64(1 << 63) | (times << np.uint64(32)) | (mix(sets) & np.uint64(0xFFFFFFFF)))
+        order = np.argsort(keys)[: prefix(len(sets))]
+        return keys[order], times[order]
 
 
-def enumeration_cost(s: int, boundary: int) -> int:
-    return sum(comb(s, needed(s, t)) for t in range(-(-3 * s // 4), min(boundary, 4 * s // 3) + 1) if t >= 1 and needed(s, t) <= min(s, t))
+@functools.cache
+def _left_out(s: int, c: int) -> np.ndarray:
+    """All choices of the s - c elements that a subset of size c lacks."""
+    return np.array(list(combinations(range(s), s - c)), dtype=np.intp).reshape(comb(s, c), s - c)
+
+
+def subsets(sets: np.ndarray, boundary: int) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    """For sets of one size (rows of a matrix) and each partner size t: t, and two hashes of each subset by which a link
+    with a set of size t is found; the pair of sizes is part of the hashes."""
+    s = sets.shape[1]
+    for t in partners(s, boundary):
+        out, sizes = _left_out(s, needed(s, t)), np.uint64(min(s, t) << 32 | max(s, t))
+        hashes = []
+        for salt in (np.uint64(0x9E3779B97F4A7C15), np.uint64(0xC2B2AE3D27D4EB4F)):
+            own = mix(sets ^ salt)
+            hashes.append(mix((own.sum(axis=1, dtype=np.uint64)[:, None] - own[:, out].sum(axis=2, dtype=np.uint64)) ^ mix(np.array([sizes + salt]))))
+        yield t, hashes[0], hashes[1]
 
 
 def boundary_by_cost(small: DataFrame, sent, limits: Limits) -> int:
-    """The size up to which sets enumerate subsets: at each candidate, subsets of all smaller sets plus the lengths of the
-    lists that the others would scan. sent: the broadcast Order."""
+    """The size up to which sets enumerate subsets: the cheapest, by the bytes of their keys plus those of the shingles
+    that the others post and of the sets and bitmaps of pairs in their lists. small: the different sets that may be small.
+    sent: the broadcast Order."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[int, list[int]] = {}
         for batch in batches:
-            for x in batch.column(0).to_pylist():
-                s = np.array(x, dtype=np.int64).view(np.uint64)
-                lengths = sent.value.times(s)[np.argsort(sent.value.keys(s))[: prefix(len(s))]]
+            for x in batch.column(0):
+                s = x.values.to_numpy().view(np.uint64)
                 own = sums.setdefault(len(s), [0, 0])
                 own[0] += 1
-                own[1] += int(np.maximum(lengths, 1).sum())
-        yield pa.RecordBatch.from_arrays([pa.array(list(sums), pa.int32()), pa.array([x[0] for x in sums.values()], pa.int64()), pa.array([x[1] for x in sums.values()], pa.int64())], ["n", "sets", "scanned"])
+                own[1] += min(max(int(sent.value.first(s)[1].max()) - 1, 0), limits.paired)
+        yield _batch({"n": (list(sums), pa.int32()), "sets": ([x[0] for x in sums.values()], pa.int64()), "met": ([x[1] for x in sums.values()], pa.int64())})
 
-    rows = {r["n"]: (r["sets"], r["scanned"]) for r in small.select("small").mapInArrow(run, "n int, sets long, scanned long").groupBy("n").agg(F.sum("sets").alias("sets"), F.sum("scanned").alias("scanned")).collect()}
-    cost = {b: sum(k * enumeration_cost(n, b) for n, (k, _) in rows.items() if n <= b) + sum(x for n, (_, x) in rows.items() if n > b) for b in range(limits.most_small + 1)}
-    return min(cost, key=lambda b: (cost[b], b))
+    rows = small.select("small").mapInArrow(run, "n int, sets long, met long").groupBy("n").agg(F.sum("sets").alias("sets"), F.sum("met").alias("met")).collect()
+    return cheapest({r["n"]: (r["sets"], r["met"]) for r in rows}, most_small(limits.most_keys))
 
 
-def posted(docs: DataFrame, sent, limits: Limits) -> DataFrame:
-    """node, n, keys: the posted part of each set, once a task. sent: the broadcast Order."""
+def cheapest(sizes: dict[int, tuple[int, int]], largest: int) -> int:
+    """sizes: how many sets there are of each size, and how many others they meet in their longest lists. A pair is met
+    from both sides; it passes four joins, with its two sets and their bitmaps."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known: set[int] = set()
-        for batch in batches:
-            names, sizes, keys = [], [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), limits.size):
-                if len(s) and (name := name_of(s)) not in known:
-                    known.add(name)
-                    own = sent.value.keys(s)
-                    names.append(name)
-                    sizes.append(len(s))
-                    keys.append(np.sort(np.partition(own, p - 1)[:p] if (p := prefix(len(s))) < len(s) else own))
-            yield pa.RecordBatch.from_arrays([_column(names, pa.int64()), pa.array(sizes, pa.int32()), _lists(keys)], ["node", "n", "keys"])
+    def cost(b: int) -> int:
+        total = 0
+        for n, (sets, met) in sizes.items():
+            if n <= b:
+                total += sets * keys_of(n, b) * ROW_BYTES
+            if 4 * n // 3 > b:  # may link with a large set, and so is posted
+                total += sets * prefix(n) * ROW_BYTES + met * (2 * ROW_BYTES + n * SHINGLE_BYTES)
+        return total
+
+    return min(range(largest + 1), key=lambda b: (cost(b), b))
+
+
+def subset_links(small: DataFrame, boundary: int) -> DataFrame:
+    """Links among small sets, by shared subsets: each set of one size with one of the other, which connects them all."""
 
-    return docs.mapInArrow(run, "node long, n int, keys array<long>")
+    def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            size = np.diff(batch.column(1).offsets.to_numpy())
+            node, sets = batch.column(0).to_numpy(), batch.column(1)
+            for s in np.unique(size[size <= boundary]).tolist():
+                own = np.nonzero(size == s)[0]
+                most = max(1, limits_rows // max(1, keys_of(s, boundary)))
+                for at in range(0, len(own), most):
+                    part = own[at : at + most]
+                    for t, key, check in subsets(np.stack([sets[k].values.to_numpy() for k in part.tolist()]).view(np.uint64), boundary):
+                        m = key.size
+                        yield _batch({"key": (key.ravel().view(np.int64), pa.int64()), "check": (check.ravel().view(np.int64), pa.int64()), "node": (np.repeat(node[part], key.shape[1]), pa.int64()), "n": (np.full(m, s), pa.int32()), "t": (np.full(m, t), pa.int32())})
+
+    limits_rows = 1 << 18
+    keyed = small.mapInArrow(enumerate_, "key long, check long, node long, n int, t int")
+    ends = keyed.groupBy("key", "check").agg(*(f(F.when(F.col("n") <= F.col("t") if low else F.col("n") >= F.col("t"), F.col("node"))).alias(c) for f, low, c in ((F.min, True, "low"), (F.min, False, "high"), (F.max, False, "last"))))
+    ends = common.stored(ends.where("low is not null and high is not null and low <> last"), "subsets")
+    # A set of one size links with every set of the other size that has the subset; with one size, all link with each other.
+    own = keyed.join(ends, ["key", "check"]).select(F.when(F.col("n") < F.col("t"), F.col("high")).otherwise(F.col("low")).alias("b"), F.col("node").alias("a"))
+    return own.where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
 
 
-def _scatter(parts: int):
-    """Rows (part, node, n, at, keys): the shingles of a set that go to one part, and their places in the set's order."""
+def posted(whole: DataFrame, sent, naming: Naming, boundary: int, limits: Limits) -> DataFrame:
+    """key, salt, node, n, at: the posted shingles of each set that may link with a large one, and their places in its
+    order, once while a task remembers it. salt: the part of a list that is dealt to several tasks, otherwise -1."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        known: set[int] = set()
         for batch in batches:
-            if not batch.num_rows:
-                continue
-            keys = batch.column(2)
-            lengths = np.diff(np.array(keys.offsets))
-            flat = np.array(keys.flatten()).view(np.uint64)
-            row = np.repeat(np.arange(batch.num_rows), lengths)
-            at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-            part = (mix(flat) % np.uint64(parts)).astype(np.int64)
-            order = np.lexsort((at, part, row))
-            row, part, at, flat = row[order], part[order], at[order], flat[order]
-            cuts = np.nonzero(np.concatenate([[True], (row[1:] != row[:-1]) | (part[1:] != part[:-1])]))[0] if len(row) else np.zeros(0, np.int64)
-            offsets = pa.array(np.append(cuts, len(row)), pa.int32())
-            of = row[cuts]
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(part[cuts], pa.int32()), pa.array(np.array(batch.column(0))[of]), pa.array(np.array(batch.column(1))[of]), pa.ListArray.from_arrays(offsets, pa.array(at, pa.int32())), pa.ListArray.from_arrays(offsets, pa.array(flat.view(np.int64)))],
-                ["part", "node", "n", "at", "keys"],
-            )
+            names, sizes, keys, times = [], [], [], []
+            for s in shingle_sets(batch.column(1).to_pylist(), limits.size):
+                if len(s) and 4 * len(s) // 3 > boundary and _new(known, name := naming(s), limits.known):
+                    names.append(name)
+                    sizes.append(len(s))
+                    own = sent.value.first(s)
+                    keys.append(own[0])
+                    times.append(own[1])
+            if names:
+                lengths = np.array([len(x) for x in keys])
+                node, flat = np.repeat(np.array(names, np.int64), lengths), np.concatenate(keys).view(np.int64)
+                parts = 1 + np.concatenate(times) // np.uint64(limits.split)
+                salt = np.where(parts > 1, (mix(node.view(np.uint64)) % parts).astype(np.int64), -1)
+                at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
+                whole = _batch({"key": (flat, pa.int64()), "salt": (salt, pa.int32()), "node": (node, pa.int64()), "n": (np.repeat(sizes, lengths), pa.int32()), "at": (at, pa.int32())})
+                yield from (whole.slice(k, 100_000) for k in range(0, whole.num_rows, 100_000))
 
-    return run
+    return whole.mapInArrow(run, "key long, salt int, node long, n int, at int")
 
 
 def _admitted(n1, at1, n2, at2):
-    """Whether sizes and places in the order allow for a link."""
+    """Whether sizes and places of their first common shingle allow for a link."""
     low, high = np.minimum(n1, n2), np.maximum(n1, n2)
     return (4 * low >= 3 * high) & (1 + np.minimum(n1 - 1 - at1, n2 - 1 - at2) >= -(-3 * (n1 + n2) // 7))
 
 
 def _candidates(boundary: int, paired: int):
-    """Rows (a, b, list_id, members) from the rows of a partition: pairs, and long lists for later."""
+    """From the posted shingles of a partition: rows (a, b) of pairs, and rows (a, key, n, at) of the members of long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        node, n, at, key = [], [], [], []
+        columns: list[list[np.ndarray]] = [[], [], [], [], []]
         for batch in batches:
-            lengths = np.diff(np.array(batch.column(4).offsets))
-            node.append(np.repeat(np.array(batch.column(1)), lengths))
-            n.append(np.repeat(np.array(batch.column(2)), lengths).astype(np.int64))
-            at.append(np.array(batch.column(3).flatten()).astype(np.int64))
-            key.append(np.array(batch.column(4).flatten()))
-        if not node:
+            for held, column in zip(columns, batch.columns, strict=True):
+                held.append(column.to_numpy())
+        if not columns[0]:
             return
-        node, n, at, key = (np.concatenate(x) for x in (node, n, at, key))
-        order = np.lexsort((node, key))
-        node, n, at, key = node[order], n[order], at[order], key[order]
-        start = np.nonzero(np.concatenate([[True], key[1:] != key[:-1]]))[0] if len(key) else np.zeros(0, np.int64)
+        key, salt, node, n, at = (np.concatenate(x) for x in columns)
+        del columns
+        key, n, at = key.view(np.uint64), n.astype(np.int64), at.astype(np.int64)
+        order = np.lexsort((node, salt, key))
+        key, salt, node, n, at = key[order], salt[order], node[order], n[order], at[order]
+        fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])])
+        key, salt, node, n, at = key[fresh], salt[fresh], node[fresh], n[fresh], at[fresh]
+        start = np.nonzero(np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1])]))[0]
         size = np.diff(np.append(start, len(key)))
         first, second = [], []
 
@@ -274,25 +359,27 @@ def _candidates(boundary: int, paired: int):
             second.append(j[keep])
 
         for m in range(2, paired + 1):
-            of = start[size == m]
+            of = start[(size == m) & (salt[start] < 0)]
             for x, y in combinations(range(m), 2):
                 pair(of + x, of + y)
-        long = np.nonzero(size > paired)[0]
-        lists: dict[int, np.ndarray] = {}
-        for k in long:
-            i = np.arange(start[k], start[k] + size[k])
-            pair(np.full(size[k] - 1, i[0]), i[1:])
-            members = np.concatenate([node[i], n[i]])
-            lists.setdefault(name_of(members), members)
-        i, j = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (first, second))
-        pairs = np.unique(np.stack([node[i], node[j]], axis=1), axis=0) if len(i) else np.zeros((0, 2), np.int64)
-        for a in range(0, len(pairs), 100_000):
-            part = pairs[a : a + 100_000]
-            yield pa.RecordBatch.from_arrays([pa.array(part[:, 0]), pa.array(part[:, 1]), pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.list_(pa.int64()))], ["a", "b", "list_id", "members"])
-        names, held = list(lists), list(lists.values())
-        for a in range(0, len(names), 64):
-            part = held[a : a + 64]
-            yield pa.RecordBatch.from_arrays([pa.nulls(len(part), pa.int64()), pa.nulls(len(part), pa.int64()), pa.array(names[a : a + 64], pa.int64()), _lists(part)], ["a", "b", "list_id", "members"])
+        long = (size > paired) | (salt[start] >= 0)
+        member = np.nonzero(np.repeat(long, size))[0]
+        pair(np.repeat(start[long], size[long]), member)
+        i, j = np.concatenate(first), np.concatenate(second)
+        pairs = np.unique(np.stack([node[i], node[j]], axis=1)[i != j], axis=0)
+        for k in range(0, len(pairs), 100_000):
+            part = pairs[k : k + 100_000]
+            yield _batch({"a": (part[:, 0], pa.int64()), "b": (part[:, 1], pa.int64()), "key": pa.nulls(len(part), pa.int64()), "n": pa.nulls(len(part), pa.int32()), "at": pa.nulls(len(part), pa.int32())})
+        # Of whole lists with the same members the first one does: places in it are the earliest.
+        if len(member):
+            sums = np.add.reduceat(mix(node[member].view(np.uint64)), np.concatenate([[0], np.cumsum(size[long])[:-1]]))
+            same = np.stack([sums, size[long].astype(np.uint64), np.where(salt[start[long]] < 0, np.uint64(0), key[start[long]])], axis=1)
+            once = np.zeros(len(sums), dtype=bool)
+            once[np.unique(same, axis=0, return_index=True)[1]] = True
+            member = member[np.repeat(once, size[long])]
+        for k in range(0, len(member), 100_000):
+            part = member[k : k + 100_000]
+            yield _batch({"a": (node[part], pa.int64()), "b": pa.nulls(len(part), pa.int64()), "key": (key[part].view(np.int64), pa.int64()), "n": (n[part], pa.int32()), "at": (at[part], pa.int32())})
 
     return run
 
@@ -304,22 +391,19 @@ def _node_filter(drawn: DataFrame, bits: int) -> np.ndarray:
         held = np.zeros(bits, dtype=bool)
         for batch in batches:
             for k in range(2):
-                held[np.array(batch.column(k).drop_null()).view(np.uint64) % np.uint64(bits)] = True
-            for x in batch.column(3).drop_null():
-                members = np.array(x.values)
-                held[members[: len(members) // 2].view(np.uint64) % np.uint64(bits)] = True
-        yield pa.RecordBatch.from_arrays([pa.array([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())], ["bits"])
+                held[batch.column(k).drop_null().to_numpy().view(np.uint64) % np.uint64(bits)] = True
+        yield _batch({"bits": ([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())})
 
     held = np.zeros(bits // 8, dtype=np.uint8)
-    for r in drawn.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
+    for r in drawn.select("a", "b").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
         held |= np.frombuffer(zlib.decompress(bytes(r["bits"])), dtype=np.uint8)
     return held
 
 
-def sets_of(docs: DataFrame, drawn: DataFrame, limits: Limits) -> DataFrame:
-    """node, shingles: the whole sets of the nodes that stand in pairs or lists (and of few others), once a task. They go
-    from the texts to the shared folder without a shuffle."""
-    sent = docs.sparkSession.sparkContext.broadcast(_node_filter(drawn, limits.filter_bits))
+def sets_of(whole: DataFrame, drawn: DataFrame, naming: Naming, limits: Limits) -> DataFrame:
+    """row, node, n, bits, shingles: the whole sets, with their bitmaps, of the nodes that stand in pairs or lists (and of few
+    others), once while a task remembers them. They go from the texts to the shared folder without a shuffle."""
+    sent = whole.sparkSession.sparkContext.broadcast(_node_filter(drawn, limits.filter_bits))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = np.unpackbits(sent.value).astype(bool)
@@ -327,13 +411,13 @@ def sets_of(docs: DataFrame, drawn: DataFrame, limits: Limits) -> DataFrame:
         for batch in batches:
             names, sets = [], []
             for s in shingle_sets(batch.column(1).to_pylist(), limits.size):
-                if len(s) and (name := name_of(s)) not in known and held[np.uint64(name % 2**64) % np.uint64(len(held))]:
-                    known.add(name)
+                if len(s) and held[np.uint64((name := naming(s)) % 2**64) % np.uint64(len(held))] and _new(known, name, limits.known):
                     names.append(name)
                     sets.append(s)
-            yield pa.RecordBatch.from_arrays([_column(names, pa.int64()), _lists(sets)], ["node", "shingles"])
+            yield _batch({"node": (names, pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "bits": ([bitmap(s) for s in sets], pa.binary()), "shingles": _lists(sets)})
 
-    out = common.stored(docs.mapInArrow(run, "node long, shingles array<long>"), "sets")
+    found = whole.mapInArrow(run, "node long, n int, bits binary, shingles array<long>")
+    out = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "sets")
     sent.destroy()
     return out
 
@@ -341,106 +425,34 @@ def sets_of(docs: DataFrame, drawn: DataFrame, limits: Limits) -> DataFrame:
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in range(2, 6)]
-        yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
-
-
-def _few(df: DataFrame, most: int) -> DataFrame:
-    """The same rows, sent to all executors if they are no more than `most`."""
-    return F.broadcast(df) if df.count() <= most else df
-
-
-def verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame) -> DataFrame:
-    """The stored pairs (a, b) whose sets link; sets are compared, and moved, only where the bitmaps leave it open."""
-    with_b = _few(pairs, FEW_PAIRS).join(bits.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("bits").alias("bits_b")), "b")
-    with_a = with_b.join(bits.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("bits").alias("bits_a")), "a")
-    left = common.stored(with_a.select("a", "b", "n_a", "bits_a", "n_b", "bits_b").mapInArrow(_open, "a long, b long"), "open")
-    nodes = common.stored(left.select(F.col("a").alias("node")).unionByName(left.select(F.col("b").alias("node"))).distinct(), "open-nodes")
-    asked = sets.join(_few(nodes, FEW_PAIRS), "node", "left_semi").groupBy("node").agg(F.first("shingles").alias("shingles"))
-    members = _few(left, FEW_PAIRS).join(asked.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b")
-    both = members.join(asked.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")), "a")
-    shared = F.size(F.array_intersect("of_a", "of_b"))
-    return both.where(F.lit(100) * shared >= F.lit(75) * (F.size("of_a") + F.size("of_b") - shared)).select("a", "b")
-
-
-def bitmaps_of(sets: DataFrame) -> DataFrame:
-    """node, n, bits of stored sets."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            held = [np.array(x.values).view(np.uint64) for x in batch.column(1)]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in held], pa.int32()), _column([bitmap(x) for x in held], pa.binary())], ["node", "n", "bits"])
-
-    found = sets.mapInArrow(run, "node long, n int, bits binary").groupBy("node").agg(F.first("n").alias("n"), F.first("bits").alias("bits"))
-    return common.stored(found, "bitmaps")
-
-
-class _Known:
-    """What executors know of the members of long lists: component and bitmap by node."""
-
-    def __init__(self, node: np.ndarray, component: np.ndarray, bits: list[bytes] | None):
-        order = np.argsort(node)
-        self.node, self.component, self.bits = node[order], component[order], bits and [bits[k] for k in order]
-
-    def at(self, node: np.ndarray) -> np.ndarray:
-        return np.searchsorted(self.node, node)
-
-
-def _members(batch: pa.RecordBatch, known: _Known | None) -> Iterator[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-    """node, n, component of the members, by size, of each list with more than one component. The column `members` holds
-    nodes, then sizes, then components if nothing is known of them otherwise."""
-    parts = 2 if known else 3
-    for x in batch.column(batch.schema.get_field_index("members")):
-        held = np.array(x.values).reshape(parts, -1)
-        component = known.component[known.at(held[0])] if known else held[2]
-        if component.min() < component.max():
-            order = np.lexsort((held[0], held[1]))
-            yield held[0][order], held[1][order], component[order]
-
-
-def _largest(component: np.ndarray) -> int:
-    names, times = np.unique(component, return_counts=True)
-    return int(names[np.argmax(times)])
-
+        yield batch.select(["a", "b", "row_a", "row_b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
 
-def _pairs(found: list[tuple[int, int]]) -> pa.RecordBatch:
-    return pa.RecordBatch.from_arrays([_column([a for a, _ in found], pa.int64()), _column([b for _, b in found], pa.int64())], ["a", "b"])
 
+def _few(df: DataFrame, label: str) -> tuple[DataFrame, int]:
+    """The rows stored, to be sent to all executors if they are few, and their number."""
+    held, n = common.stored_rows(df, label)
+    return F.broadcast(held) if n <= FEW_PAIRS else held, n
 
-def _probes(boundary: int, turn: int, sent):
-    """Few pairs of each list that tell most: sets outside the list's largest component against two sets of it, which
-    change with the turn, and neighbours by size of different components."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: set[tuple[int, int]] = set()
-        for batch in batches:
-            for node, n, component in _members(batch, sent.value if sent else None):
-                inside = component == _largest(component)
-                rank = mix(node.view(np.uint64) ^ np.uint64(0x1234567 * (turn + 1)))
-                hubs = np.nonzero(inside)[0][np.argsort(rank[inside])[:2]]
-                outside = np.nonzero(~inside)[0]
-                pairs = [(i, h) for h in hubs for i in outside]
-                pairs += [(i, j) for i, j in zip(outside, outside[1:], strict=False) if component[i] != component[j]]
-                for i, j in pairs:
-                    low, high = sorted((int(n[i]), int(n[j])))
-                    if high > boundary and 4 * low >= 3 * high:
-                        found.add((int(min(node[i], node[j])), int(max(node[i], node[j]))))
-        yield _pairs(list(found))
-
-    return run
-
-
-def _gathered(sent):
-    """Lists with a key, the largest component in them, so that lists of much the same sets meet in one task."""
+def verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
+    """The different pairs (a, b) whose sets link, stored, and their number; sets are compared, and moved, only where the
+    bitmaps leave it open."""
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys, held = [], []
-            for node, n, component in _members(batch, sent.value if sent else None):
-                keys.append(_largest(component))
-                held.append(np.concatenate([node, n] if sent else [node, n, component]))
-            yield pa.RecordBatch.from_arrays([_column(keys, pa.int64()), _lists(held)], ["key", "members"])
-
-    return run
+    met = _few(pairs.distinct(), "pairs")[0]
+    for of in ("b", "a"):
+        met = met.join(bits.select(F.col("node").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in ("n", "bits", "row"))), of)
+    met = met.select("a", "b", "n_a", "bits_a", "n_b", "bits_b", "row_a", "row_b")
+    left, n = _few(met.mapInArrow(_open, "a long, b long, row_a long, row_b long"), "open")
+    if not n:
+        return left.select("a", "b"), 0
+    firsts, _ = _few(left.select(F.col("row_a").alias("row")).distinct(), "open-rows")
+    asked = common.stored(sets.join(firsts, "row", "left_semi").select(F.col("row").alias("row_a"), F.col("shingles").alias("of_a")), "open-sets")
+    both = left.join(sets.select(F.col("row").alias("row_b"), F.col("shingles").alias("of_b")), "row_b").join(asked, "row_a")
+    shared = F.size(F.array_intersect("of_a", "of_b"))
+    linked = both.where(F.lit(100) * shared >= F.lit(75) * (F.size("of_a") + F.size("of_b") - shared))
+    out = common.stored_rows(linked.select("a", "b"), "links")
+    common.discard(asked)
+    return out
 
 
 class _Maps:
@@ -461,74 +473,80 @@ class _Maps:
             self.matrix[words, to] = longer[:, :to] | longer[:, to:]
         return self.matrix[words, to]
 
-    def open(self, i: int, j: np.ndarray, n: np.ndarray) -> np.ndarray:
-        """Those of the nodes j that may link with node i."""
-        out = []
+    def most(self, i: int, j: np.ndarray, n: np.ndarray) -> np.ndarray:
+        """Bounds of the overlap of node i with each of the nodes j."""
+        out = np.zeros(len(j), dtype=np.int64)
         for w in np.unique(self.words[j]).tolist():
-            own, to = j[self.words[j] == w], min(w, int(self.words[i]))
+            of = self.words[j] == w
+            own, to = j[of], min(w, int(self.words[i]))
             x, y = self.folded(int(self.words[i]), to)[self.row[i]], self.folded(w, to)[self.row[own]]
             lost = np.bitwise_count(x & ~y).sum(axis=1, dtype=np.int64), np.bitwise_count(y & ~x).sum(axis=1, dtype=np.int64)
-            out.append(own[np.minimum(n[i] - lost[0], n[own] - lost[1]) >= -(-3 * (n[i] + n[own]) // 7)])
-        return np.concatenate(out) if out else j
-
-
-def _crossing(boundary: int, sent):
-    """All pairs of a list's sets that lie in different components and that sizes and bitmaps leave open, once a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        lists = [x for batch in batches for x in _members(batch, sent.value if sent else None)]
-        if not lists:
-            return
-        every = np.concatenate([x[0] for x in lists])
-        node, first = np.unique(every, return_index=True)
-        n, component = np.concatenate([x[1] for x in lists])[first], np.concatenate([x[2] for x in lists])[first]
-        order = np.lexsort((node, n))  # by size, so that partners to the right are the larger ones
-        place = np.empty(len(node), dtype=np.int64)
-        place[order] = np.arange(len(node))
-        held = [np.sort(place[np.searchsorted(node, x[0])]) for x in lists]
-        node, n, component = node[order], n[order], component[order]
-        maps = _Maps([sent.value.bits[k] for k in sent.value.at(node)]) if sent and sent.value.bits else None
-        of: dict[int, list[int]] = {}
-        for k, x in enumerate(held):
-            for i in x.tolist():
-                of.setdefault(i, []).append(k)
-        found: list[tuple[int, int]] = []
-        for i in range(len(node)):
-            mask = np.zeros(np.searchsorted(n, 4 * n[i] // 3, side="right"), dtype=bool)
-            for k in of[i]:
-                x = held[k]
-                mask[x[np.searchsorted(x, i, side="right") : np.searchsorted(x, len(mask))]] = True
-            j = np.nonzero(mask)[0]
-            j = j[(component[j] != component[i]) & (n[j] > boundary)]
-            if maps and len(j):
-                j = maps.open(i, j, n)
-            found += [(int(min(node[i], x)), int(max(node[i], x))) for x in node[j]]
-            if len(found) > 100_000:
-                yield _pairs(found)
-                found = []
-        yield _pairs(found)
+            out[of] = np.minimum(n[i] - lost[0], n[own] - lost[1])
+        return out
+
+
+def _cell(boundary: int, hubs: int | None):
+    """Pairs of a cell, of sets (side: outside the largest component) with members, that share a list, lie in different
+    components and that sizes, places and bitmaps leave open. With hubs, the likeliest two of that many members for each of
+    the sets."""
+
+    def run(table: pa.Table) -> pa.Table:
+        table = table.combine_chunks()
+        node, n, component, side = (table.column(c).to_numpy() for c in ("node", "n", "c", "side"))
+        n, lists = n.astype(np.int64), table.column("lists").chunk(0)
+        maps = _Maps(table.column("bits").to_pylist())
+        members = np.nonzero(~side)[0]
+        if hubs is not None:
+            members = members[np.argsort(mix(node[members].view(np.uint64)))[:hubs]]
+        ends = lists.offsets.to_numpy()
+        key, at = (x.to_numpy() for x in lists.values.flatten())
+        length = np.diff(ends)
+        # The members' entries by list: those of a list are a range.
+        place = np.concatenate([np.arange(ends[k], ends[k + 1]) for k in members.tolist()]) if len(members) else np.zeros(0, np.int64)
+        order = np.argsort(key[place], kind="stable")
+        of_key, of_at, of_member = key[place][order], at[place][order].astype(np.int64), np.repeat(members, length[members])[order]
+        first, second = [np.zeros(0, np.int64)], [np.zeros(0, np.int64)]
+        for i in np.nonzero(side)[0].tolist():
+            mine = slice(ends[i], ends[i + 1])
+            low, high = np.searchsorted(of_key, key[mine]), np.searchsorted(of_key, key[mine], side="right")
+            entry = np.concatenate([np.arange(a, b) for a, b in zip(low.tolist(), high.tolist(), strict=True)])
+            j, own = of_member[entry], np.repeat(at[mine].astype(np.int64), high - low)
+            keep = (component[j] != component[i]) & ((n[j] > boundary) | (n[i] > boundary)) & _admitted(n[i], own, n[j], of_at[entry])
+            j = np.unique(j[keep])
+            if len(j):
+                most = maps.most(i, j, n)
+                keep = most >= -(-3 * (n[i] + n[j]) // 7)
+                j, most = j[keep], most[keep]
+                if hubs is not None:
+                    j = j[np.argsort(-most / (n[i] + n[j]), kind="stable")[:2]]
+                first.append(np.full(len(j), node[i]))
+                second.append(node[j])
+        a, b = np.concatenate(first), np.concatenate(second)
+        pairs = np.unique(np.stack([np.minimum(a, b), np.maximum(a, b)], axis=1), axis=0)
+        return pa.table({"a": pa.array(pairs[:, 0], pa.int64()), "b": pa.array(pairs[:, 1], pa.int64())})
 
     return run
 
 
-def _with_members(lists: DataFrame, parts: DataFrame, bits: DataFrame, limits: Limits):
-    """Lists with the components of their members: a broadcast while it is small enough, with the bitmaps if they are so too;
-    else a join. Gives the rows to run over and the broadcast, if there is one."""
-    size = bits.agg(F.count("*").alias("n"), F.sum(F.length("bits") + 50).alias("bytes")).first()
-    if 16 * size["n"] <= limits.known_bytes:
-        with_bits = size["n"] and size["bytes"] <= limits.known_bytes
-        rows = bits.join(parts, "node", "left").select("node", F.coalesce("component", "node").alias("component"), *(["bits"] if with_bits else [])).toArrow()
-        known = _Known(rows["node"].to_numpy(), rows["component"].to_numpy(), rows["bits"].to_pylist() if with_bits else None)
-        return lists.select("members"), lists.sparkSession.sparkContext.broadcast(known)
-    in_lists = lists.select("list_id", F.explode(F.slice("members", 1, F.expr("cast(size(members) / 2 as int)"))).alias("node"))
-    joined = in_lists.join(bits.select("node", "n"), "node").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    gathered = joined.groupBy("list_id").agg(F.collect_list(F.struct("node", F.col("n").cast("long").alias("n"), "component")).alias("x"), F.min("component").alias("low"), F.max("component").alias("high")).where("low <> high")
-    flat = F.flatten(F.array(*(F.transform("x", _field(c)) for c in ("node", "n", "component"))))
-    return common.stored(gathered.select(flat.alias("members")), "gathered"), None
-
-
-def _field(name: str):
-    return lambda r: r[name]
+def across(lists: DataFrame, labels: DataFrame, bits: DataFrame, boundary: int, hubs: int | None, limits: Limits) -> tuple[DataFrame, DataFrame] | None:
+    """Open pairs across components of the lists that have several, and those lists; nothing if there are none. Lists
+    with the same largest component are a bundle; each set of it is a row with its places in the lists."""
+    of = labels.select("node", F.col("component").alias("c"))
+    held = common.stored(lists.join(of, "node", "left").select("key", "node", "n", "at", F.coalesce("c", "node").alias("c")), "lists")
+    tops = held.groupBy("key", "c").agg(F.count("*").alias("m")).groupBy("key").agg(F.sum("m").alias("m"), F.max(F.struct("m", "c")).alias("top"))
+    tops, n = common.stored_rows(tops.where("top.m < m").select("key", F.col("top.c").alias("bundle")), "open-lists")
+    if not n:
+        return None
+    rows = held.join(tops, "key")
+    nodes = common.stored(rows.groupBy("bundle", "node").agg(F.min("n").alias("n"), F.min("c").alias("c"), F.collect_list(F.struct("key", "at")).alias("lists")), "bundles")
+    sizes = nodes.groupBy("bundle").agg(F.count("*").alias("m"), F.count_if(F.expr("c <> bundle")).alias("outside"))
+    sizes = common.stored(sizes.select("bundle", *(F.ceil(F.col(c) / limits.block).alias(c) for c in ("m", "outside"))), "bundle-sizes")
+    # Cells (i, j): members of the block i, and sets outside the largest component of the block j.
+    of_bundle = nodes.join(sizes, "bundle").join(bits.select("node", "bits"), "node")
+    kept = ["bundle", "node", "n", "c", "lists", "bits"]
+    member = of_bundle.select(*kept, F.lit(False).alias("side"), F.pmod(F.xxhash64("node"), "m").alias("i"), F.explode(F.expr("sequence(0L, outside - 1)")).alias("j"))
+    side = of_bundle.where("c <> bundle").select(*kept, F.lit(True).alias("side"), F.explode(F.expr("sequence(0L, m - 1)")).alias("i"), F.pmod(F.xxhash64("node"), "outside").alias("j"))
+    return member.unionByName(side).groupBy("bundle", "i", "j").applyInArrow(_cell(boundary, hubs), "a long, b long"), rows.select("key", "node", "n", "at")
 
 
 def _most_frequent(often: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]:
@@ -543,98 +561,55 @@ def _most_frequent(often: DataFrame, most: int) -> tuple[np.ndarray, np.ndarray]
     return rows["shingle"].to_numpy().view(np.uint64), rows["seen"].to_numpy().astype(np.uint64)
 
 
-def links(docs: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
-    """members (doc_id, n, node) and verified links (a, b) between nodes: enough of them to give the exact components."""
-    spark = docs.sparkSession
-    whole = common.texts(docs)
+def classes(whole: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, DataFrame]:
+    """members (doc_id, of any type; n, node) and labels (node, component) of the nodes that link with another one, from
+    rows (doc_id, text) without null texts. Stored tables."""
+    spark = whole.sparkSession
     found = common.stored(survey(whole, limits), "survey")
-    members = found.where(F.col("n").isNotNull()).select("doc_id", "n", "node")
+    rows = found.where(F.col("n").isNotNull())
+    sizes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
+    posts = F.sum(F.col("n") - F.floor((3 * F.col("n") + 3) / 4) + 1).alias("posts")
+    total = sizes.agg(posts, F.collect_set(F.when(F.col("low") != F.col("high"), F.col("node"))).alias("shared")).first()
+    naming = Naming(limits, frozenset(total["shared"]))
+    members = rows.select("doc_id", "n", naming.column().alias("node"))
     often = found.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
-    order = spark.sparkContext.broadcast(Order(*_most_frequent(common.stored(often, "often"), limits.frequent)))
-    small = found.where(F.col("small").isNotNull()).groupBy("node").agg(F.first("small").alias("small"))
+    often = common.stored(often, "often")
+    order = spark.sparkContext.broadcast(Order(*_most_frequent(often, limits.frequent)))
+    small = found.where(F.col("small").isNotNull()).select(naming.column().alias("node"), "small").dropDuplicates(["node"])
     small = common.stored(small, "small")
     boundary = boundary_by_cost(small, order, limits)
     linked = subset_links(small, boundary)
 
     # Pairs with a large set: inverted lists of the posted shingles.
-    rows = members.where("n > 0").groupBy("node").agg(F.first("n").alias("n")).agg(F.sum(prefix_column("n")).alias("rows")).first()["rows"] or 0
-    tasks = common.parts(spark, rows, limits.list_rows)
-    once = posted(whole, order, limits).groupBy("node").agg(F.first("n").alias("n"), F.first("keys").alias("keys"))
-    scattered = once.mapInArrow(_scatter(max(PARTS, tasks)), "part int, node long, n int, at array<int>, keys array<long>").repartition(tasks, "part")
-    drawn = common.stored(scattered.mapInArrow(_candidates(boundary, limits.paired), "a long, b long, list_id long, members array<long>"), "candidates")
+    tasks = common.parts(spark, total["posts"] or 0, limits.list_rows)
+    dealt = posted(whole, order, naming, boundary, limits).repartition(tasks, "key", "salt")
+    drawn = common.stored(dealt.mapInArrow(_candidates(boundary, limits.paired), "a long, b long, key long, n int, at int"), "candidates")
     order.destroy()
-    tried = common.stored(drawn.where(F.col("a").isNotNull()).select("a", "b").distinct(), "pairs")
-    sets = sets_of(whole, drawn, limits)
-    bits = bitmaps_of(sets)
-    linked = common.stored(linked.unionByName(verified(tried, bits, sets)), "linked")
-
-    # Long lists whose sets are not yet all connected: probes, turn by turn, then every pair across components.
-    lists = common.stored(drawn.where(F.col("list_id").isNotNull()).groupBy("list_id").agg(F.first("members").alias("members")), "lists")
-    if lists.limit(1).count() == 0:
-        return members, linked
-    in_lists = common.stored(bits.join(_list_nodes(lists), "node", "left_semi"), "in-lists")
-    for turn in range(limits.turns + 1):
-        rows, sent = _with_members(lists, components(linked), in_lists, limits)
-        if turn < limits.turns:
-            drawn = rows.mapInArrow(_probes(boundary, turn, sent), "a long, b long")
-        else:
-            drawn = rows.mapInArrow(_gathered(sent), "key long, members array<long>").repartition(tasks, "key").mapInArrow(_crossing(boundary, sent), "a long, b long")
-        pairs = common.stored(drawn.distinct().join(tried, ["a", "b"], "left_anti"), "more-pairs")
-        if sent:
-            sent.destroy()
-        if pairs.limit(1).count() == 0:
-            continue
-        tried = tried.unionByName(pairs)
-        fresh = common.stored(verified(pairs, bits, sets), "more-links")
-        linked = linked.unionByName(fresh)
-    return members, linked
-
-
-def _list_nodes(lists: DataFrame) -> DataFrame:
-    """The different nodes of the lists, each once a task."""
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        found: list[np.ndarray] = []
-        for batch in batches:
-            for x in batch.column(0):
-                members = np.array(x.values)
-                found.append(members[: len(members) // 2])
-            found = [np.unique(np.concatenate(found))] if found else []
-        yield pa.RecordBatch.from_arrays([pa.array(found[0] if found else np.zeros(0, np.int64))], ["node"])
-
-    return lists.select("members").mapInArrow(run, "node long").distinct()
-
-
-def subset_links(small: DataFrame, boundary: int) -> DataFrame:
-    """Links among small sets, by shared subsets: each set of one size with one of the other, which connects them all."""
-
-    def enumerate_(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            keys = [[{"key": k, "t": t} for k, t in subsets(np.array(x, dtype=np.int64).view(np.uint64), boundary)] if len(x) <= boundary else [] for x in batch.column(1).to_pylist()]
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array([len(x) for x in batch.column(1)], pa.int32()), pa.array(keys, pa.list_(pa.struct([("key", pa.int64()), ("t", pa.int32())])))], ["node", "n", "keys"])
-
-    keyed = small.mapInArrow(enumerate_, "node long, n int, keys array<struct<key:long,t:int>>").select("node", "n", F.inline("keys"))
-    hubs = keyed.groupBy("key").agg(F.min(F.struct("n", "node")).alias("low"), F.max(F.struct("n", "node")).alias("high"), F.bool_or(F.col("n") == F.col("t")).alias("one_size"), F.count("*").alias("m"))
-    hubs = hubs.where((F.col("m") > 1) & (F.col("one_size") | (F.col("low.n") < F.col("high.n"))))
-    # A set of one size links with every set of the other size that has the subset; with one size, all link with each other.
-    by_key = keyed.drop("t").join(hubs, "key")
-    own = by_key.select(F.when(F.col("n") == F.col("low.n"), F.col("high.node")).otherwise(F.col("low.node")).alias("b"), F.col("node").alias("a")).where("a <> b")
-    return own.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-
-
-def prefix_column(n: str):
-    return F.col(n).cast("long") - F.floor((3 * F.col(n) + 3) / 4) + 1
+    sets = sets_of(whole, drawn, naming, limits)
+    bits = common.stored(sets.groupBy("node").agg(F.min(F.struct("row", "n", "bits")).alias("x")).select("node", "x.*"), "bitmaps")
+    checked, _ = verified(drawn.where(F.col("b").isNotNull()).select("a", "b"), bits, sets)
+    labels = components(linked.unionByName(checked))
+
+    # Long lists whose sets are not yet all connected.
+    lists = drawn.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "n", "at")
+    for hubs in (limits.hubs, None):
+        left = across(lists, labels, bits, boundary, hubs, limits)
+        if left is None:
+            break
+        fresh, n = verified(left[0], bits, sets)
+        labels, lists = merged(labels, fresh) if n else labels, left[1]
+    common.discard(often, small, sets, bits)
+    return members, labels
 
 
 def join(docs: DataFrame, limits: Limits = Limits()) -> DataFrame:
     """doc_id, n_shingles, component_id: the smallest doc_id among the documents that links reach, itself included."""
-    members, linked = links(docs, limits)
-    parts = components(linked)
-    labelled = members.join(parts, "node", "left").select("doc_id", "n", F.coalesce("component", "node").alias("c"))
-    labelled = common.stored(labelled, "members")
-    least = labelled.where(F.col("c").isNotNull()).groupBy("c").agg(F.min("doc_id").alias("component_id"))
-    out = labelled.join(least, "c", "left")
-    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("component_id", "doc_id").alias("component_id"))
+    members, labels = classes(common.texts(docs), limits)
+    nodes = common.stored(members.where("n > 0").groupBy("node").agg(F.min("doc_id").alias("least")).join(labels, "node", "left"), "nodes")
+    least = common.stored(nodes.where("component is not null").groupBy("component").agg(F.min("least").alias("of_all")), "least")
+    named = common.stored(nodes.join(least, "component", "left").select("node", F.coalesce("of_all", "least").alias("of_node")), "named")
+    out = members.join(named, "node", "left")
+    return out.select("doc_id", F.col("n").cast("long").alias("n_shingles"), F.coalesce("of_node", "doc_id").alias("component_id"))
 
 
 def op6_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -82,6 +82,7 @@ def shingle_sets(texts: list[str], size: int = 5) -> list[np.ndarray]:
         return out + (_sets_of(raw, size) if raw else [])
 
 
-def name_of(shingles: np.ndarray) -> int:
-    """A 64-bit name of the set."""
-    return int.from_bytes(hashlib.blake2b(shingles.tobytes(), digest_size=8).digest(), "little", signed=True)
+def names_of(shingles: np.ndarray) -> tuple[int, int]:
+    """Two 64-bit names of the set."""
+    held = hashlib.blake2b(shingles.tobytes(), digest_size=16).digest()
+    return int.from_bytes(held[:8], "little", signed=True), int.from_bytes(held[8:], "little", signed=True)
