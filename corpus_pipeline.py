@@ -14,22 +14,21 @@ from pyspark.sql import functions as F
 
 from tidewell.llm import common, decontaminate, jaccard, language, packing, secrets
 
-#: Ids of 8 bytes up to which a filter sends them to every executor; more of them are joined by a shuffle.
+#: Keys of 16 bytes up to which a filter sends them to every executor; more of them are joined by a shuffle.
 SMALL = 1_000_000
 
 
-def _key() -> Column:
-    """Both filters decide by text; ids may be null or repeated."""
-    return F.xxhash64(F.coalesce(F.col("text"), F.lit("")))
+def _keys() -> list[Column]:
+    """Filters decide by text, told by 128 bits; ids may be null or repeated."""
+    text = F.coalesce(F.col("text"), F.lit(""))
+    return [F.xxhash64(text).alias("key"), F.xxhash64(F.lit("second"), text).alias("key2")]
 
 
-def _by_text(docs: DataFrame) -> DataFrame:
-    return docs.select(_key().alias("doc_id"), "text")
-
-
-def _ids(ids: DataFrame, label: str) -> DataFrame:
-    held = common.stored(ids.distinct(), label)
-    return F.broadcast(held) if held.count() <= SMALL else held
+def _held(docs: DataFrame, rows: DataFrame, count: int, how: str) -> DataFrame:
+    """docs joined by id and text with rows (doc_id, key, key2)."""
+    rows = F.broadcast(rows) if count <= SMALL else rows
+    key, key2 = _keys()
+    return docs.join(rows, docs["doc_id"].eqNullSafe(rows["doc_id"]) & (key == rows["key"]) & (key2 == rows["key2"]), how)
 
 
 def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -40,30 +39,27 @@ def identify_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Of each group of linked documents one row stays, that with the smallest id; rows without an id come last. Texts
     without a word are in no group and stay."""
-    found = common.stored(jaccard.join(_by_text(docs)).distinct(), "groups")
-    rows = docs.groupBy(F.col("doc_id").alias("id"), _key().alias("key")).agg(F.count("*").alias("n"))
-    grouped = rows.join(found.where("n_shingles > 0"), F.col("key") == F.col("doc_id"))
-    least = grouped.groupBy("component_id").agg(F.min(F.struct(F.col("id").isNull(), "id", "key", "n")).alias("x")).select("x.id", "x.key", "x.n")
-    wordless = rows.join(found.where("n_shingles = 0"), F.col("key") == F.col("doc_id"), "left_semi").select("id", "key", F.lit(1).cast("long").alias("n"))
-    stay = common.stored(least.unionByName(wordless), "stay")
-
-    def held(ids: DataFrame) -> DataFrame:
-        ids = F.broadcast(ids) if ids.count() <= SMALL else ids
-        return docs.join(ids, docs["doc_id"].eqNullSafe(ids["id"]) & (_key() == ids["key"]), "left_semi")
-
-    repeated = stay.where("n > 1")
-    out = held(stay.where("n = 1"))
-    if repeated.isEmpty():
-        return out
+    ids = F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("id"), *_keys()).alias("doc_id")
+    members, labels = jaccard.classes(common.bounded(docs).select(ids, F.coalesce("text", F.lit("")).alias("text")))
+    fields = [F.col("x.id").alias("doc_id"), "x.key", "x.key2"]
+    grouped = members.where("n > 0").join(labels, "node", "left").select(F.coalesce("component", "node").alias("group"), F.col("doc_id").alias("x"))
+    grouped = common.stored(grouped.groupBy("group", "x").agg(F.count("*").alias("n")), "rows")
+    least = common.stored(grouped.groupBy("group").agg(F.min(F.struct("x", "n")).alias("least")).select("least.x", "least.n"), "least")
+    gone, n = common.stored_rows(grouped.join(least.select("x"), "x", "left_anti").select(*fields), "gone")
+    out = _held(docs, gone, n, "left_anti")
     # Rows of the same id and text: one of them.
-    return out.unionByName(held(repeated).withColumn("_key", _key()).dropDuplicates(["doc_id", "_key"]).drop("_key"))
+    repeated, n = common.stored_rows(least.where("n > 1").select(*fields), "repeated")
+    if not n:
+        return out
+    twice = _held(out, repeated, n, "left_semi").withColumns(dict(zip(("_key", "_key2"), _keys(), strict=True)))
+    return _held(out, repeated, n, "left_anti").unionByName(twice.dropDuplicates(["doc_id", "_key", "_key2"]).drop("_key", "_key2"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text leaks a benchmark item go, whatever their id."""
-    found = decontaminate.contaminated(_by_text(docs), common.table(spark, sf_dir, "benchmark"))
-    go = _ids(found.select(F.col("doc_id").alias("key")), "go")
-    return docs.join(go, _key() == go["key"], "left_anti")
+    found = decontaminate.contaminated(docs.select(_keys()[0].alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
+    go, n = common.stored_rows(found.select(F.col("doc_id").alias("key")).distinct(), "go")
+    return docs.join(F.broadcast(go) if n <= SMALL else go, _keys()[0] == go["key"], "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
