@@ -34,6 +34,33 @@ def test_spans_are_those_of_the_plain_expressions(spark):
         assert [(s["start"], s["nth"], s["end"]) for s in r["spans"]] == plain(r["text"]), r["text"]
 
 
+def test_places_of_many_matches(spark):
+    text = "é ".join(["deadbeefdeadbeef0"] * 1000 + ["token=abcdefghijklmnop"] * 300)
+    (found,) = secrets.scan(spark.createDataFrame([(1, text)], "doc_id long, text string")).collect()
+    assert [(s["start"], s["nth"], s["end"]) for s in found["spans"]] == plain(text)
+
+
+def test_many_candidates_give_the_same(spark, monkeypatch):
+    docs = spark.createDataFrame(ROWS, "doc_id long, text string")
+    few = secrets.scan(docs).collect()
+    monkeypatch.setattr(secrets, "SMALL", 1)
+    held = secrets.scan(docs)
+    assert sorted(held.collect(), key=str) == sorted(few, key=str) and "Exchange" not in held._jdf.queryExecution().executedPlan().toString()
+
+
+def test_any_column_names(spark):
+    names = ["rules", "spans", "was_null", "row", "clean", "hit", "ids", "a.b", "n_chars"]
+    docs = spark.createDataFrame([(1, "token=abcdefghijklmnop", *range(9)), (2, None, *range(9)), (2, None, *range(9))], ["doc_id", "text", *names])
+    out = secrets.redact(docs)
+    assert out.columns == docs.columns
+    assert sorted(map(tuple, out.collect()), key=str) == [(1, "[SECRET:assign]", *range(8), 15), (2, None, *range(9)), (2, None, *range(9))]
+
+
+def test_cover_hits_every_way():
+    held = secrets.cover(secrets.RULES)
+    assert len(held) < 16 and all(any(t in s for t in held) for r in secrets.RULES for s in query_of(r.pattern) if s)
+
+
 def test_candidates_are_few_and_complete(spark):
     docs = spark.createDataFrame(ROWS, "doc_id long, text string").na.fill("")
     found = {r["doc_id"]: set(r["rules"]) for r in secrets.candidates(secrets.index(docs, secrets.RULES, 3), secrets.RULES).collect()}
