@@ -3,6 +3,9 @@ import pytest
 from tidewell.llm import html_text as ht
 
 LONG = "This is the story of a town by the sea and of the people who were there when it was built, " * 3
+POLISH = "Miasteczko nad morzem powstało dawno temu, gdy rybacy przybyli tutaj ze swoimi rodzinami oraz łodziami. " * 3
+POLISH = POLISH.strip()
+CHINESE = "这个小镇位于海边，很久以前由渔民和他们的家人建立，后来成为一个繁荣的港口。" * 5
 CASES = {
     "article without its surroundings": (f"<html><head><title>T</title><style>p{{}}</style></head><body><nav><ul><li><a href='/'>Home</a></li></ul></nav><div class=\"ad\">Buy this now.</div><article><h1>A &amp; B</h1><p>{LONG}</p><p>End.</p></article><footer>&copy; all</footer>", f"A & B\n{LONG.strip()}\nEnd."),
     "no article element": (f"<body><div><a href=x>Home</a> <a href=y>News</a></div><div><p>{LONG}</p><p>So it was.</p><p>{LONG}</p></div><div class='sidebar'>{LONG}</div>", f"{LONG.strip()}\nSo it was.\n{LONG.strip()}"),
@@ -13,6 +16,12 @@ CASES = {
     "unclosed comment": (f"<article><p>{LONG}</p><!-- <p>{LONG}", LONG.strip()),
     "less-than sign in a text": ("<article><p>it is so that 1 < 2 and 3 > 2 here</p></article>", "it is so that 1 < 2 and 3 > 2 here"),
     "hidden": (f"<article><p>{LONG}</p><p style='display:none'>{LONG}</p><div hidden>{LONG}</div></article>", LONG.strip()),
+    "no end of the head": (f"<html><head><title>T</title><meta charset=x><body><article><p>{LONG}</p></article>", LONG.strip()),
+    "a button that does not end": (f"<article><button>Menu<p>{LONG}</p><button>x</button><p>End of it all.</p></article>", f"{LONG.strip()}\nEnd of it all."),
+    "a picture that does not end": (f"<article><svg><g>x<svg></svg><p>{LONG}</p></article>", LONG.strip()),
+    "pictures within pictures": (f"<article><svg>a<svg>b</svg>c</svg><p>{LONG}</p></article>", LONG.strip()),
+    "Polish": (f"<div><a href=x>Start</a> <a href=y>Wpisy</a></div><div><p>{POLISH}</p><p>I tyle.</p><p>{POLISH}</p></div>", f"{POLISH}\nI tyle.\n{POLISH}"),
+    "Chinese": (f"<div><a href=x>首页</a></div><div><p>{CHINESE}</p><p>{CHINESE}</p></div>", f"{CHINESE}\n{CHINESE}"),
     "nothing": ("", ""),
     "only a menu": ("<nav><a href=x>x</a></nav>", ""),
 }

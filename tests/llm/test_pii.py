@@ -1,4 +1,5 @@
 import collections
+import math
 import random
 import re
 
@@ -108,3 +109,44 @@ def test_texts_with_a_word_are_counted_once_each(spark, bits):
     copied = docs.groupBy("text").count().where("count > 1").select(pii.F.xxhash64("text").cast("string").alias("term"))
     found = {r["term"]: r["n_term"] for r in pii.standing(docs, held, pii._filter(copied, bits)).collect()}
     assert [found[w] for w in ("one", "two")] == [sum(w in t.split() for t in repeated) for w in ("one", "two")]
+
+
+def test_nearest_words_are_whole():
+    rng = random.Random(2)
+    for _ in range(300):
+        text = "".join(rng.choice(["a", "word", "1 ", " ", "-" * 300, "k" * 250, ". "]) for _ in range(rng.randint(0, 30)))
+        at = rng.randint(0, len(text))
+        assert pii._nearest(text, at, 3, True) == pii._words(text[:at])[-3:] and pii._nearest(text, at, 3, False) == pii._words(text[at:])[:3]
+
+
+@pytest.mark.parametrize("times", [1, 10])
+def test_disclosure_is_that_of_brute_force(spark, times):
+    rng = random.Random(6)
+    names = ["".join(rng.choices("abcdefgh", k=4)) for _ in range(12)]
+    texts = []
+    for k in range(160):
+        said = [rng.choice(names) for _ in range(rng.randint(3, 12))]
+        if rng.random() < 0.5:
+            e = rng.randrange(5)
+            said.insert(rng.randrange(len(said)), f"{e}1@x{e}.org")
+            if rng.random() < 0.9:
+                said.insert(rng.randrange(len(said)), "only" + "qrstu"[e])
+        texts.append(" ".join([*said, "k" * 90 + _letters(k)]))
+    limits, different = pii.Limits(generalise=0.2, filter_bits=1 << 12), set(texts)
+    total, of_term, of_entity, both = len(different), collections.Counter(), collections.Counter(), collections.Counter()
+    for t in different:
+        near = set()
+        for m in EMAIL.finditer(t):
+            near |= {(m[0], w) for w in [*pii._words(t[: m.start()])[-limits.window :], *pii._words(t[m.end() :])[: limits.window]]}
+        of_entity.update({m[0] for m in EMAIL.finditer(t)})
+        of_term.update(set(pii._words(t)))
+        both.update(near)
+    most = {}
+    for (e, w), n in both.items():
+        if n >= limits.support:
+            n = min(n, of_term[w])
+            score = math.log2(n * total / (of_entity[e] * of_term[w])) / math.log2(total / of_entity[e])
+            most[w] = max(score, most.get(w, score))
+    docs = spark.createDataFrame(list(enumerate(texts * times)), "doc_id long, text string").repartition(5)
+    found = {r["term"]: r["disclosure"] for r in pii.disclosing(docs, limits).collect()}
+    assert len(found) >= 5 and found == pytest.approx({w: x for w, x in most.items() if x >= limits.generalise})

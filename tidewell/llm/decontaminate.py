@@ -11,8 +11,8 @@ are indexed by length class (L = 64, 128, ...) in order of length, in blocks of
 of terms by blocks, so one sum over a passage's terms bounds its score in every block at once; WAND then runs with those
 maxima in the blocks whose bound reaches the threshold, and in no other.
 
-The index goes to executors in shards of bounded size: shards are filled by hash, as many as the test set's size asks
-for, and each shard sees all documents. Term statistics are those of the whole test set.
+The index goes to executors in shards of bounded size, one after the other: shards are filled by hash, as many as the test
+set's size asks for, and each sees all documents. Term statistics are those of the whole test set.
 
 Null or empty texts match nothing. Items of fewer than `least_words` words are found where all their words stand in a
 row. Repeated items (same id and text) count once. Rows come once per document id and item id.
@@ -29,6 +29,7 @@ from itertools import repeat
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -36,7 +37,7 @@ from tidewell.llm import common
 
 _WORD = re.compile(r"[^\W_]+")
 _SENTENCE_END = re.compile(r"[.!?:]\s+")
-FOUND = "doc_id long, item_id long, score double, question_overlap double, answer_overlap double"
+FOUND = "item_id long, score double, question_overlap double, answer_overlap double"
 
 
 @dataclass(frozen=True)
@@ -190,7 +191,11 @@ class Index:
         return found
 
 
-def _shard(docs: DataFrame, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean: float, rules: Rules) -> DataFrame:
+def _schema(docs: DataFrame) -> str:
+    return f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, {FOUND}"
+
+
+def _shard(docs: DataFrame, items: list[tuple[int, str]], df: dict[str, int], n_items: int, mean: float, rules: Rules) -> tuple[DataFrame, Broadcast]:
     vocabulary = {w: k for k, w in enumerate(df)}
     classes: dict[int, list[tuple[int, str]]] = defaultdict(list)
     short: dict[int, dict[tuple[int, ...], list[int]]] = {}
@@ -219,14 +224,19 @@ def _shard(docs: DataFrame, items: list[tuple[int, str]], df: dict[str, int], n_
                     run_of = ids.tolist()
                     rows += [(doc_id, item, 1.0, 1.0, 1.0) for x in held.keys() & set(zip(*(run_of[k:] for k in range(n)), strict=False)) for item in held[x]]
             columns = list(zip(*rows, strict=True)) or [[]] * 5
-            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.int64(), pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
+            yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (batch.column(0).type, pa.int64(), *[pa.float64()] * 3), strict=True)], ["doc_id", "item_id", "score", "question_overlap", "answer_overlap"])
 
-    return docs.mapInArrow(run, FOUND)
+    return docs.mapInArrow(run, _schema(docs)), sent
 
 
 def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
     """doc_id, item_id, score, question_overlap, answer_overlap: the items that a document leaks, with its best passage."""
-    spark = docs.sparkSession
+    return leaks(common.texts(docs), benchmark, rules)
+
+
+def leaks(whole: DataFrame, benchmark: DataFrame, rules: Rules = Rules()) -> DataFrame:
+    """contaminated(), of rows (doc_id, of any type; text) without null texts."""
+    spark = whole.sparkSession
     items = benchmark.where(F.col("text").isNotNull() & F.col("item_id").isNotNull()).select(F.col("item_id").cast("long").alias("item_id"), "text").distinct()
 
     def split(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -237,9 +247,8 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
     items = items.mapInArrow(split, "item_id long, text string, words array<string>").where(F.size("words") > 0)
     items = common.stored(items, "items")
     sizes = items.agg(F.count("*").alias("n"), F.avg(F.size("words")).alias("mean"), F.sum(F.length("text")).alias("chars")).first()
-    whole = common.texts(docs)
     if not sizes["n"]:
-        return spark.createDataFrame([], FOUND)
+        return spark.createDataFrame([], _schema(whole))
     terms = common.stored(items.select(F.explode(F.array_distinct("words")).alias("term")).groupBy("term").count(), "item-terms")
     shards = -(-sizes["chars"] // rules.shard_chars)
     parts = []
@@ -250,7 +259,11 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, rules: Rules = Rules())
         named = own.select(F.explode("words").alias("term")).distinct()
         df = {r["term"]: r["count"] for r in terms.join(named, "term", "left_semi").orderBy("term").collect()}
         if held:
-            parts.append(_shard(whole, held, df, sizes["n"], sizes["mean"], rules))
+            found, sent = _shard(whole, held, df, sizes["n"], sizes["mean"], rules)
+            if shards > 1:  # its index leaves the executors before the next one comes
+                found = common.stored(found, "leaks")
+                sent.destroy()
+            parts.append(found)
     every = parts[0]
     for more in parts[1:]:
         every = every.unionByName(more)

@@ -2,11 +2,13 @@
 
 A page is read tag by tag into blocks. The first pass decides blocks by stop-word density, length and link density;
 elements that say what they are (nav, footer, aside, form, a class such as `ad` or `comments`) decide theirs at once,
-and inside an article or main element the bar for good text is lower. Short blocks without such evidence stay
+and inside an article or main element the bar for good text is lower. Stop words are of a few languages; on a page with
+hardly any of them length and link density decide alone, and ideographs count twice. Short blocks without such evidence stay
 ambiguous. The second pass gives each of them the label of its nearest decided neighbours in its own region: the common
 one if both agree, the only one if there is one, and otherwise what the region stands for.
 
-Scripts, styles, comments and other elements without running text are left out, unclosed ones to the end of the page.
+Scripts, styles, comments and other elements without running text are left out: those of raw text to the end of the page if
+they are not closed, others then to the next block's tag or to where the same element opens again.
 Character references are decoded, white space in a block becomes one space, blocks are joined by one newline in page
 order; `br` is white space, two in a row end the block. Null or empty html gives an empty text. Each row gets a row.
 """
@@ -26,7 +28,9 @@ from tidewell.llm import common
 
 # Elements by their role in a page.
 BLOCK = frozenset("address article aside blockquote body caption center col colgroup dd details dialog dir div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html legend li main menu nav ol optgroup p pre section summary table tbody td tfoot th thead tr ul".split())
-SKIPPED = frozenset("script style noscript template iframe object svg math canvas title textarea select button audio video head".split())
+RAW = frozenset("script style iframe title textarea".split())
+SKIPPED = RAW | frozenset("noscript template object svg math canvas select button audio video".split())
+NESTED = frozenset("template object svg math".split())
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 BOILER = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
@@ -46,16 +50,41 @@ _NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([
 _HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
+_IDEOGRAPH = re.compile("[\u2e80-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
+
+
+_BLOCK_TAG = re.compile(rf"</?(?:{'|'.join(sorted(BLOCK))})(?=[\s/>])", re.I)
+
+
+def _skipped(page: str, tag: str, at: int) -> int:
+    """Where the page goes on behind an element without running text whose content begins here."""
+    depth = 1
+    for m in re.compile(rf"<(/?){tag}(?=[\s/>])", re.I).finditer(page, at):
+        if m[1]:
+            depth -= 1
+        elif tag in NESTED:
+            depth += 1
+        elif tag not in RAW:
+            break
+        if not depth:
+            close = page.find(">", m.end())
+            return len(page) if close < 0 else close + 1
+    if tag in RAW:
+        return len(page)
+    block = _BLOCK_TAG.search(page, at)
+    return block.start() if block else len(page)
 
 
 @dataclass(frozen=True)
 class Rules:
-    """Lengths are code points; densities are shares of words (stop words) and of characters (links)."""
+    """Lengths are code points; densities are shares of words (stop words) and of characters (links). stop_least: the share
+    of stop words from which a page is in a language that has a list."""
 
     short: int = 70
     long: int = 200
     stop_low: float = 0.12
     stop_high: float = 0.2
+    stop_least: float = 0.04
     links: float = 0.33
     short_in_main: int = 30
 
@@ -152,14 +181,7 @@ def blocks(page: str) -> list[Block]:
             continue
         if tag in SKIPPED and not closing:
             if not attributes.endswith("/"):
-                close = re.compile(rf"</{tag}(?=[\s/>])", re.I).search(page, at)
-                if close:
-                    stop = page.find(">", close.end())
-                    at = end if stop < 0 else stop + 1
-                else:
-                    at = end
-            if tag == "head":
-                flush()
+                at = _skipped(page, tag, at)
             continue
         if tag not in BLOCK:
             if not closing and tag not in VOID and attributes and (_HIDDEN.search(attributes)):
@@ -200,10 +222,12 @@ def blocks(page: str) -> list[Block]:
 
 def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
     has_main = any(b.kind == "main" for b in found)
-    for b in found:
-        words = _WORD.findall(b.text.lower())
-        density = sum(w in STOP for w in words) / len(words) if words else 0.0
-        size = len(b.text)
+    every = [_WORD.findall(b.text.lower()) for b in found]
+    stops = [sum(w in STOP for w in words) for words in every]
+    unlisted = sum(stops) < rules.stop_least * sum(map(len, every))
+    for b, words, stop in zip(found, every, stops, strict=True):
+        density = rules.stop_high if unlisted else stop / len(words) if words else 0.0
+        size = len(b.text) + len(_IDEOGRAPH.findall(b.text))
         if b.kind == "boiler" or b.linked > rules.links or "\N{COPYRIGHT SIGN}" in b.text and size < rules.long and b.kind != "main":
             b.label = "bad"
         elif b.kind == "main":
@@ -251,7 +275,7 @@ def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
             found = [main_text(x.as_py(), rules) for x in batch.column(2)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(found, pa.string()), pa.array([len(x) for x in found], pa.int64())], ["page_id", "url", "text", "n_chars"])
 
-    asked = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
+    asked = common.bounded(pages).select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce("html", F.lit("")).alias("html"))
     return asked.mapInArrow(run, "page_id long, url string, text string, n_chars long")
 
 

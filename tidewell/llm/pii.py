@@ -104,6 +104,17 @@ def _words(text: str) -> list[str]:
     return [w.lower() for w in _WORD.findall(text)]
 
 
+def _nearest(text: str, at: int, n: int, back: bool) -> list[str]:
+    """The n words before or behind a place, however long they and what parts them are."""
+    reach = 40 * n
+    while True:
+        a, b = (max(0, at - reach), at) if back else (at, min(len(text), at + reach))
+        found = _words(text[a:b])
+        if len(found) > n or (a == 0 if back else b == len(text)):  # with one more, none of the n is cut off
+            return found[-n:] if back else found[:n]
+        reach *= 4
+
+
 def _slots(words: list[str], bits: int) -> list[int]:
     """Two places of each word in a filter."""
     out = []
@@ -163,8 +174,7 @@ def beside(docs: DataFrame, limits: Limits) -> DataFrame:
                 text = text.as_py()
                 for start, kind, end in base_spans(text):
                     entity = f"{KINDS[kind]}:{text[start:end].lower()}"
-                    before = _words(text[max(0, start - 40 * limits.window) : start])[-limits.window :]
-                    after = _words(text[end : end + 40 * limits.window])[: limits.window]
+                    before, after = _nearest(text, start, limits.window, True), _nearest(text, end, limits.window, False)
                     rows.add((entity, None, context))
                     rows |= {(entity, w, context) for w in {*before, *after}}
             columns = list(zip(*rows, strict=True)) or [[], [], []]
