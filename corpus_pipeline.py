@@ -57,9 +57,10 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Rows whose text leaks a benchmark item go, whatever their id."""
-    found = decontaminate.contaminated(docs.select(_keys()[0].alias("doc_id"), "text"), common.table(spark, sf_dir, "benchmark"))
-    go, n = common.stored_rows(found.select(F.col("doc_id").alias("key")).distinct(), "go")
-    return docs.join(F.broadcast(go) if n <= SMALL else go, _keys()[0] == go["key"], "left_anti")
+    whole = common.bounded(docs).select(F.struct("doc_id", *_keys()).alias("doc_id"), F.coalesce("text", F.lit("")).alias("text"))
+    found = decontaminate.leaks(whole, common.table(spark, sf_dir, "benchmark"))
+    go, n = common.stored_rows(found.select("doc_id.*").distinct(), "go")
+    return _held(docs, go, n, "left_anti")
 
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
