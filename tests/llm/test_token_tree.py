@@ -47,11 +47,30 @@ def test_small_edits_encode_little():
     assert tree.encoded < 50 * 3 * tt.LEAF
 
 
-def test_rows(spark):
-    docs = spark.createDataFrame([(1, "one two three", "x"), (2, None, "x"), (3, "", "x"), (None, "a b", "x"), (1, "one two three", "x")], "doc_id long, text string, n_tokens string")
-    found = tt.recount(tt.revisions(docs))
-    assert found.count() == 5
-    edits = spark.createDataFrame([(1, 0, 0, 3, "1"), (1, 1, 100, 200, " four"), (9, 0, 0, 1, "")], "doc_id long, seq int, start long, end long, text string")
-    rows = {r["doc_id"]: r for r in tt.recount(tt.with_edits(docs, edits)).collect()}
-    assert rows[1]["n_tokens_edited"] == len(encoder()("1 two three four")) and rows[2]["n_tokens"] == 0 == rows[3]["n_tokens_edited"]
-    assert tt.recount(tt.revisions(docs.limit(0))).collect() == []
+def test_many_appends_and_insertions():
+    count = lambda t: len(t.split(" "))
+    tree = tt.Tree("a tale", count, 20)
+    for k in range(100_000):
+        tree.edit(10**9, 10**9, " word")
+    assert tree.chars[1] == 6 + 500_000 and tree.encoded < 100_000 * 60
+    for k in range(3000):
+        tree.edit(250_000, 250_000, " and then some more")
+    assert len(tree.text()) == tree.chars[1] == 6 + 500_000 + 3000 * 19
+
+
+def test_rows_of_two_runs(spark):
+    encode = encoder()
+    long = "all the words of a long and quiet story " * 500
+    docs = spark.createDataFrame([(1, "one two three", "x"), (2, None, "x"), (3, "", "x"), (None, "a b", "x"), (1, "one two three", "x"), (4, long, "x")], "doc_id long, text string, edits string")
+    state = tt.trees(docs)
+    assert tt.revise(tt.revisions(state)).count() == 6
+    schema = "doc_id long, seq int, start long, end long, text string"
+    first = spark.createDataFrame([(1, 0, 0, 3, "1"), (1, 1, 100, 200, " four"), (9, 0, 0, 1, ""), (4, 0, 9000, 9003, "seen"), (4, 1, 2, 2, None)], schema)
+    held = tt.revise(tt.with_edits(state, first)).collect()
+    assert len(held) == 6 and [r["n_tokens"] for r in held if r["doc_id"] == 1] == [len(encode("1 two three four"))] * 2
+    for r in held:
+        assert r["n_tokens"] == sum(r["tokens"]) == len(encode(r["text"])) and sum(r["chars"]) == len(r["text"])
+    again = spark.createDataFrame(held).select("doc_id", "text", "chars", "tokens")
+    (four,) = tt.revise(tt.with_edits(again, spark.createDataFrame([(4, 0, 15000, 15009, "and")], schema))).where("doc_id = 4").collect()
+    assert four["n_tokens"] == len(encode(four["text"])) and 0 < four["n_chars_encoded"] < 3 * tt.LEAF
+    assert tt.revise(tt.revisions(state.limit(0))).collect() == []

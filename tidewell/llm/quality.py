@@ -3,8 +3,8 @@
 A document is a bag of passages (windows of its bytes). Each passage is encoded: its character make-up and hashed byte
 pairs pass through a learned layer to h. Gated attention a = softmax(w . (tanh(V h) * sigmoid(U h))) weighs the
 passages, and the document's score is sigmoid(c . sum(a h) + d). Encoder, attention and score are learned together from
-document labels alone, on the driver, from at most `sample` labelled documents taken by a hash of their id; every
-document is then scored over its whole text.
+document labels alone, on the driver, from at most `sample` labelled documents taken by a hash of their id, and of those
+at most `bag` passages each, evenly over the text; every document is then scored over its whole text.
 
 Null and empty texts are a bag of one empty passage and get a score as any other. Several labels of a document count by
 their mean; null labels do not count. Without labels of both kinds every score is the share of good labels (0.5 without
@@ -67,9 +67,11 @@ def passages(texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
 
 @dataclass(frozen=True)
 class Limits:
-    """sample: labelled documents to learn from, at most; the others are not needed to fit so few weights."""
+    """sample: labelled documents to learn from, at most; the others are not needed to fit so few weights. bag: passages
+    of each, at most. The driver so holds 2 * FEATURES * sample * bag bytes, 46 MB, at most."""
 
     sample: int = 5000
+    bag: int = 32
     hidden: int = 24
     gates: int = 12
     rounds: int = 40
@@ -157,11 +159,13 @@ def learn(docs: DataFrame, labels: DataFrame, limits: Limits = Limits()) -> Mode
         for batch in batches:
             texts = batch.column(1).to_pylist()
             x, begins = passages(texts)
-            rows = [x[a:b].astype(np.float16).tobytes() for a, b in zip(begins, begins[1:], strict=False)]
+            rows = [x[np.linspace(a, b - 1, min(b - a, limits.bag)).astype(int)].astype(np.float16).tobytes() for a, b in zip(begins, begins[1:], strict=False)]
             yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(2), pa.array(rows, pa.binary())], ["id", "quality", "features"])
 
-    rows = found.select("id", "text", "quality").mapInArrow(run, "id long, quality double, features binary").collect()
-    rows.sort(key=lambda r: (r["id"], bytes(r["features"])))
+    rows = found.select("id", "text", "quality").mapInArrow(run, "id long, quality double, features binary")
+    # Of the rows of an id that repeats, one.
+    rows = rows.groupBy("id").agg(F.min(F.struct(F.crc32("features"), "features", "quality")).alias("x")).select("id", "x.quality", "x.features").collect()
+    rows.sort(key=lambda r: r["id"])
     bags = [np.frombuffer(bytes(r["features"]), dtype=np.float16).reshape(-1, FEATURES).astype(np.float32) for r in rows]
     begins = np.concatenate([[0], np.cumsum([len(b) for b in bags])]).astype(np.int64)
     return fit(np.concatenate(bags) if bags else np.zeros((0, FEATURES), np.float32), begins, np.array([r["quality"] for r in rows]), limits)
