@@ -39,7 +39,9 @@ def test_slices_add_up_to_plain_counts(docs):
         held, _ = lg.joined([r["text"]])
         for places in lg.grams(held, 0, len(held)):
             expected += np.bincount(places, minlength=2 * lg.PLACES)
-    got = lg.counts(own.select("lang", "text"))["xa"]
+    rows = lg.counts(own.select("lang", "text")).orderBy("slice").collect()
+    got = np.concatenate([np.frombuffer(bytes(r["sums"])) for r in rows])
+    assert sum(r["total"] for r in rows) == expected.sum()
     assert np.abs(got - expected).sum() / expected.sum() < 1e-9
 
 
@@ -71,3 +73,22 @@ def test_little_or_nothing_learned(spark, docs):
     one = lg.learn(docs.where("lang = 'xa'"))
     assert {r["lang_pred"] for r in lg.identify(docs, one).collect()} == {"und", "xa"}
     assert lg.identify(docs.limit(0), one).collect() == []
+
+
+def test_more_languages_than_a_handful(spark):
+    rng = random.Random(8)
+    rows = []
+    for k in range(530):
+        own = ["".join(rng.choices("abcdefghijklmnopqrstuvwxyz", k=4)) for _ in range(4)]
+        rows += [(3 * k + i, " ".join(rng.choices(own, k=40)), f"l{k}") for i in range(3)]
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    model = lg.learn(docs)
+    assert len(model.languages) == 530 and model.codes.shape[1] < 100
+    found = lg.identify(docs, model, ("lang",)).collect()
+    assert len(found) == len(rows) and sum(r["lang_pred"] == r["lang"] for r in found) > 0.95 * len(rows)
+
+
+def test_ties_go_to_the_first_language_and_repeated_rows_stay(spark):
+    docs = spark.createDataFrame([(1, "ka lo mi", "b", 1), (2, "ka lo mi", "a", 2), (3, "ka lo mi", None, 1), (3, "ka lo mi", None, 1)], "doc_id long, text string, lang string, score int")
+    found = lg.identify(docs, lg.learn(docs)).collect()
+    assert [r["lang_pred"] for r in found] == ["a"] * 4 and all(r["ambiguous"] for r in found)

@@ -6,7 +6,9 @@ log odds of its n-grams, set so that a typical text of either side gets +1 or -1
 bit's logistic loss, weighted by how well the bit tells its sides apart, and takes the codeword of least loss; a
 runner-up that is too near flags the text as ambiguous.
 
-The n-gram counts of each language come from all training texts: one vector a language and task, added up by slices.
+The n-gram counts of each language come from all training texts: one vector a language and task, added up by slices. The
+driver holds the names, totals and codewords of the languages and the classifiers, whose number grows with the logarithm of that of
+the languages; the counts stay in the shared folder.
 
 A text that is null or has no letter gets `und` and score 0; so does every text if nothing was learned. With a single
 learned language every text with a letter gets it. Each row gets a row; ids may be null or repeat.
@@ -27,8 +29,8 @@ from tidewell.llm import common
 #: Hashed n-grams of either length.
 PLACES = 1 << 14
 SLICES = 16
-#: More labels than this are no languages; learning refuses them.
-MOST_LABELS = 512
+#: Languages up to which the best of many random codes is looked for, and (text, language, bit) triples decoded at a time.
+COMPARED, AT_ONCE = 1024, 1 << 24
 UNKNOWN = "und"
 _CHUNK = 1 << 21
 _CLEAN = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], dtype=np.uint8)
@@ -71,22 +73,31 @@ def codewords(n: int) -> np.ndarray:
         return np.array([[1 if k == 0 or not (bits >> (k - 1)) & 1 else -1 for bits in range(1, 1 << (n - 1))] for k in range(n)], dtype=np.int8).reshape(n, -1)
     rng, size = np.random.default_rng(7), int(np.ceil(10 * np.log2(n)))
     best, most = None, -1
-    for _ in range(200):
+    for _ in range(200 if n <= COMPARED else 1):
         code = rng.choice(np.array([-1, 1], dtype=np.int8), (n, size))
+        if n > COMPARED:
+            return code
         apart = (size - code.astype(int) @ code.T.astype(int)) // 2 + size * np.eye(n, dtype=int)
         if apart.min() > most and np.all(np.abs(code.sum(axis=0)) < n):
             best, most = code, apart.min()
     return best
 
 
-def counts(docs: DataFrame) -> dict[str, np.ndarray]:
-    """n-gram counts by language over all rows of (lang, text)."""
-    if docs.select("lang").distinct().limit(MOST_LABELS + 1).count() > MOST_LABELS:
-        raise ValueError(f"more than {MOST_LABELS} values of lang")
-    size = 2 * PLACES // SLICES
+SUMS = "lang string, slice int, total double, sums binary"
+_WIDTH = 2 * PLACES // SLICES
+
+
+def _batch(rows: list[tuple]) -> pa.RecordBatch:
+    columns = list(zip(*rows, strict=True)) or [[]] * 4
+    return pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.float64(), pa.binary()), strict=True)], ["lang", "slice", "total", "sums"])
+
+
+def counts(docs: DataFrame) -> DataFrame:
+    """lang, slice, total, sums: n-gram counts (doubles) by language over all rows of (lang, text), by slice of the places."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         sums: dict[str, np.ndarray] = {}
+        out = lambda: _batch([(lang, k, 0.0, v[k * _WIDTH : (k + 1) * _WIDTH].tobytes()) for lang, v in sums.items() for k in range(SLICES)])
         for batch in batches:
             by: dict[str, list[str]] = {}
             for lang, text in zip(batch.column(0).to_pylist(), batch.column(1), strict=True):
@@ -97,43 +108,78 @@ def counts(docs: DataFrame) -> dict[str, np.ndarray]:
                 for a in range(0, len(held), _CHUNK):
                     for places in grams(held, a, min(len(held), a + _CHUNK)):
                         own += np.bincount(places, minlength=2 * PLACES)
-        rows = [(lang, k, v[k * size : (k + 1) * size].tobytes()) for lang, v in sums.items() for k in range(SLICES)]
-        columns = list(zip(*rows, strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["lang", "slice", "sums"])
+                if len(sums) >= 256:
+                    yield out()
+                    sums = {}
+        yield out()
 
     def add(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: dict[tuple[str, int], np.ndarray] = {}
+        now, sums = None, None
         for batch in batches:
-            for lang, k, v in zip(*(batch.column(i).to_pylist() for i in range(3)), strict=True):
-                total[lang, k] = total.get((lang, k), 0) + np.frombuffer(v)
-        columns = list(zip(*((lang, k, v.tobytes()) for (lang, k), v in total.items()), strict=True)) or [[]] * 3
-        yield pa.RecordBatch.from_arrays([pa.array(x, t) for x, t in zip(columns, (pa.string(), pa.int32(), pa.binary()), strict=True)], ["lang", "slice", "sums"])
+            for lang, k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if (lang, k) != now:
+                    if now:
+                        yield _batch([(*now, float(sums.sum()), sums.tobytes())])
+                    now, sums = (lang, k), np.zeros(_WIDTH)
+                sums += np.frombuffer(v.as_py())
+        if now:
+            yield _batch([(*now, float(sums.sum()), sums.tobytes())])
 
-    schema = "lang string, slice int, sums binary"
-    rows = docs.select("lang", "text").mapInArrow(run, schema).repartition(SLICES, "lang", "slice").mapInArrow(add, schema).collect()
-    out: dict[str, np.ndarray] = {}
-    for r in sorted(rows, key=lambda r: (r["lang"], r["slice"])):
-        out.setdefault(r["lang"], np.zeros(2 * PLACES))[r["slice"] * size : (r["slice"] + 1) * size] = np.frombuffer(bytes(r["sums"]))
-    return out
+    return common.bounded(docs).select("lang", "text").mapInArrow(run, SUMS).repartition("lang", "slice").sortWithinPartitions("lang", "slice").mapInArrow(add, SUMS)
 
 
 def learn(docs: DataFrame) -> Model:
     """From the rows of docs with a language and a text."""
-    found = counts(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text"))
-    found = {k: v for k, v in found.items() if v.sum() > 0}
-    names = tuple(sorted(found))
+    found = common.stored(counts(docs.where(F.col("lang").isNotNull() & F.col("text").isNotNull()).select("lang", "text")), "grams")
+    total = {r["lang"]: r["total"] for r in found.groupBy("lang").agg(F.sum("total").alias("total")).where("total > 0").collect()}
+    names = tuple(sorted(total))
     codes = codewords(len(names)) if names else np.zeros((0, 0), np.int8)
     if len(names) < 2:
         none = np.zeros(0)
         return Model(names, codes, np.zeros((2 * PLACES, 0), np.float32), none, none, none)
-    shares = np.array([(v + 0.1) / (v + 0.1).sum() for v in (found[k] for k in names)])
-    ones = (codes > 0).astype(float)
-    of_ones, of_zeros = (ones / ones.sum(axis=0)).T @ shares, ((1 - ones) / (1 - ones).sum(axis=0)).T @ shares
-    weights = np.log(of_ones / of_zeros)
-    # Where every language of a side stands on average.
-    typical = shares @ weights.T
-    high = np.where(codes > 0, typical, np.inf).min(axis=0)
-    low = np.where(codes < 0, typical, -np.inf).max(axis=0)
+    place, bits = {lang: k for k, lang in enumerate(names)}, codes.shape[1]
+    share = lambda lang, v: (np.frombuffer(v) + 0.1) / (total[lang] + 0.2 * PLACES)
+
+    def sides(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[int, np.ndarray] = {}
+        for batch in batches:
+            for lang, k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if lang in place:
+                    one = codes[place[lang]] > 0
+                    held.setdefault(k, np.zeros((2, bits, _WIDTH)))[np.where(one, 0, 1), np.arange(bits)] += share(lang, v.as_py())
+        for k, x in held.items():
+            yield _batch([(None, k, 0.0, x.astype(np.float32).tobytes())])
+
+    both = np.zeros((2, bits, 2 * PLACES), np.float32)
+    for r in found.repartition(SLICES, "slice").sortWithinPartitions("slice", "lang").mapInArrow(sides, SUMS).toLocalIterator():
+        both[:, :, r["slice"] * _WIDTH : (r["slice"] + 1) * _WIDTH] = np.frombuffer(bytes(r["sums"]), np.float32).reshape(2, bits, _WIDTH)
+    ones = (codes > 0).sum(axis=0)
+    weights = np.log((both[0] / ones[:, None]) / (both[1] / (len(names) - ones)[:, None]))
+    sent = docs.sparkSession.sparkContext.broadcast(weights)
+
+    def typical(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        """Of each bit, the least mean of a language with a 1 and the greatest of one with a 0."""
+        high, low, now, own = np.full(bits, np.inf), np.full(bits, -np.inf), None, np.zeros(bits)
+
+        def close() -> None:
+            if now in place:
+                one = codes[place[now]] > 0
+                high[one], low[~one] = np.minimum(high, own)[one], np.maximum(low, own)[~one]
+
+        for batch in batches:
+            for lang, k, v in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(3), strict=True):
+                if lang not in place:
+                    continue
+                if lang != now:
+                    close()
+                    now, own = lang, np.zeros(bits)
+                own += sent.value[:, k * _WIDTH : (k + 1) * _WIDTH] @ share(lang, v.as_py())
+        close()
+        yield _batch([(None, 0, 0.0, np.stack([high, low]).tobytes())])
+
+    ends = [np.frombuffer(bytes(r["sums"])).reshape(2, bits) for r in found.repartition("lang").sortWithinPartitions("lang", "slice").mapInArrow(typical, SUMS).toLocalIterator()]
+    high, low = np.min([x[0] for x in ends], axis=0), np.max([x[1] for x in ends], axis=0)
+    sent.destroy()
     half = np.maximum((high - low) / 2, 1e-3)
     return Model(names, codes, weights.T.astype(np.float32), (high + low) / 2, half, half / half.sum())
 
@@ -155,8 +201,11 @@ def decode(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.nd
             sums[first:last] += np.add.reduceat(model.weights[places], cuts, axis=0)
     means = sums / (2 * np.diff(begins))[:, None]
     sides = np.clip((means - model.centre) / model.half, -3, 3) * model.sharpness
-    margins = sides[:, None, :] * model.codes[None]
-    loss = (np.logaddexp(0, -margins) * model.trust * len(model.trust)).sum(axis=2)
+    loss = np.empty((len(texts), len(model.languages)))
+    step = max(1, AT_ONCE // model.codes.size)
+    for a in range(0, len(texts), step):
+        margins = sides[a : a + step, None, :] * model.codes[None]
+        loss[a : a + step] = (np.logaddexp(0, -margins) * model.trust * len(model.trust)).sum(axis=2)
     order = np.argsort(loss, axis=1, kind="stable")
     best, second = loss[np.arange(len(texts)), order[:, 0]], loss[np.arange(len(texts)), order[:, 1]]
     odds = np.exp(best[:, None] - loss)
@@ -167,7 +216,7 @@ def decode(model: Model, texts: list[str]) -> tuple[list[str], np.ndarray, np.nd
 def identify(docs: DataFrame, model: Model, keep: tuple[str, ...] = ()) -> DataFrame:
     """doc_id, lang_pred, score, ambiguous, and the columns named in keep."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    asked = docs.select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
+    asked = common.bounded(docs).select(F.col("text"), F.col("doc_id").cast("long").alias("doc_id"), *keep)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -195,7 +244,7 @@ def spoken(docs: DataFrame, model: Model) -> DataFrame:
             lang, _, ambiguous = decode(sent.value, texts)
             yield batch.filter(pa.array([not rejected(*x) for x in zip(texts, lang, ambiguous.tolist(), strict=True)], pa.bool_()))
 
-    return docs.mapInArrow(run, docs.schema)
+    return common.bounded(docs).mapInArrow(run, docs.schema)
 
 
 def held_out(doc_id: str = "doc_id"):
