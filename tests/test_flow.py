@@ -3,6 +3,7 @@ from pyspark.sql import functions as F
 
 from tidewell.functions import python as py
 from tidewell.functions import text as tx
+from tidewell.operators import filters
 from tidewell.plans import flow
 from tidewell.sources import candidates as cd
 from tidewell.sources import sinks
@@ -59,13 +60,37 @@ def test_leads_are_grounded(spark):
     assert [(r["seq"], r["grounded_url"]) for r in cd.grounded_leads(leads, cited).collect()] == [(1, "https://a.example/x"), (2, "https://b.example/1")]
 
 
-def test_name_audit_and_folding():
-    assert py.unknown_names("Acme grew. This is new. Beta Corp and XYZ, OpenThing.", ["Acme"], "Corp") == ["OpenThing", "XYZ"]
-    assert py.unknown_names("we met Gamma", [], "") == ["Gamma"]
+def test_name_audit_and_folding(spark):
+    rows = [
+        ("Acme grew. This is new. Beta Corp and XYZ, OpenThing.", ["Acme"], "Corp", ["Beta", "OpenThing", "XYZ"][1:]),
+        ("we met Gamma", None, None, ["Gamma"]), (None, None, None, []), ("Gamma met Delta: Then Eps\nWhile Zeta-Co stayed", ["Delta"], "", ["Eps", "Zeta"]),
+        ("XY began. OpenThing too — They say U.S. Then AI", [], "", ["OpenThing", "XY"]), ("a Ab \u00c9mile Acme_x", [], "", []),
+    ]
+    frame = spark.createDataFrame([(k, *r) for k, r in enumerate(rows)], "k int, copy string, entities array<string>, facts string, want array<string>")
+    for r in frame.withColumn("got", tx.unknown_names(F.col("copy"), F.col("entities"), F.col("facts"), ("AI",))).collect():
+        assert r["got"] == r["want"], r
     assert py.folded("Straße  №1 – ＡＢＣ €5") == "strasse no1 abc €5"
     assert py.canonical_or_none("/a//b?ref=1", "https://bücher.example/") == "https://xn--bcher-kva.example/a/b"
 
 
+def test_labels_schemas_and_addresses(spark):
+    label = {r["id"]: r["x"] for r in spark.range(0, 800).select("id", tx.column_label(F.col("id")).alias("x")).collect()}
+    assert [label[k] for k in (0, 1, 26, 27, 52, 53, 702, 703)] == [None, "A", "Z", "AA", "AZ", "BA", "ZZ", "AAA"]
+    schema = {"$defs": {"a": {"type": "string", "pattern": "x"}, "r": {"properties": {"next": {"$ref": "#/$defs/r"}}}}, "properties": {"pattern": {"$ref": "#/$defs/a", "title": "t"}, "r": {"$ref": "#/$defs/r"}}, "x": 1}
+    assert py.provider_schema(schema) == {"properties": {"pattern": {"type": "string", "title": "t"}, "r": {"properties": {"next": {"$ref": "#/$defs/r"}}}}}
+    hosts = ["8.8.8.8", "10.0.0.1", "::1", "2606:4700::1111", "::ffff:10.0.0.1", "::ffff:8.8.8.8", "fe80::1", "ff02::1", "x:y", None]
+    frame = spark.createDataFrame([(h,) for h in hosts], "h string")
+    assert [r["x"] for r in frame.select(filters.public_address(F.col("h")).alias("x")).collect()] == [True, False, False, True, False, True, False, False, False, False]
+
+
+def test_watch_terms_of_any_length_in_list_order(spark):
+    company = spark.createDataFrame([(1, "Zeta\x07 Works", ["zeta.example"]), (2, " ", ["never"]), (3, "Acme", None)], "seq int, label string, aliases array<string>")
+    deposit = spark.createDataFrame([(1, "Bank", ["one two three four five six seven"])], "seq int, label string, aliases array<string>")
+    texts = spark.createDataFrame([(1, "acme and ZETA.example with One two, three four five six seven"), (2, "never mind"), (3, None)], "k int, t string")
+    out = {r["k"]: r["hits"] for r in cd.watch_hits(texts, cd.watch_terms(company, deposit), F.col("t"), "k").collect()}
+    assert out == {1: ["company:Zeta  Works", "company:Acme", "deposit:Bank"], 2: [], 3: []}
+
+
 def test_text_helpers(spark):
     one = lambda c: spark.range(1).select(c.alias("x")).first()["x"]
     assert one(tx.scrub_entities(F.lit("a&nbsp;b &eacute; &amp; &lt;"))) == "a&#160;b   &amp; &lt;"

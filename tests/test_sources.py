@@ -54,3 +54,18 @@ def test_parse_and_walk(spark):
     pages = spark.createDataFrame([("https://a.example/root.xml", SITEMAP), ("https://a.example/map.xml", inner)], "url string, body string")
     roots = spark.createDataFrame([("https://a.example/root.xml",)], "url string")
     assert {r["url"] for r in parsers.walk_sitemaps(pages, roots).collect()} == {"https://a.example/1", "https://a.example/2"}
+
+
+def test_a_walk_fetches_no_more_than_its_budget(spark):
+    entry = lambda url, kind="url": f"<{kind}><loc>https://a.example/{url}</loc></{kind}>"
+    pages = [("root", entry("m1", "sitemap") + entry("1") + entry("m2", "sitemap") + entry("2") + entry("3")), ("m1", entry("4") + entry("5") + entry("6") + entry("7")), ("m2", entry("8"))]
+    pages = spark.createDataFrame([(f"https://a.example/{u}", f"<urlset>{x}</urlset>") for u, x in pages], "url string, body string")
+    roots = spark.createDataFrame([("https://a.example/root",)], "url string")
+    walked = lambda n: [r["url"].rpartition("/")[2] for r in parsers.walk_sitemaps(pages, roots, n).collect()]
+    assert sorted(walked(3)) == ["1"] and sorted(walked(5)) == ["1", "2", "3"] and sorted(walked(7)) == ["1", "2", "3", "4", "5"]
+
+
+def test_records_newest_first():
+    rows = '[{"title": "a", "url": "/a"}, {"title": "b", "url": "/b", "extra": {"date": "2024-01-02"}}, {"title": "c", "url": "/c", "extra": {"published_at": "2024-03-01T00:00:00Z"}}]'
+    assert [x["title"] for x in parsers.parse_api(rows, "https://qwen.ai/x", 9)] == ["c", "b", "a"]
+    assert [x["title"] for x in parsers.parse_api(rows, "https://a.example/x", 9)] == ["a", "b", "c"]

@@ -16,6 +16,7 @@ LANES = {"rss": "rss_atom", "atom": "rss_atom", "feed": "rss_atom", "rss_atom":
 # Currencies by sign or code, and amounts by unit word.
 CURRENCIES = {"$": "USD", "US$": "USD", "USD": "USD", "£": "GBP", "GBP": "GBP", "€": "EUR", "EUR": "EUR", "C$": "CAD", "CAD": "CAD", "A$": "AUD", "AUD": "AUD"}
 UNITS = {"": 1, "k": 10**3, "thousand": 10**3, "m": 10**6, "mm": 10**6, "million": 10**6, "b": 10**9, "bn": 10**9, "billion": 10**9, "tn": 10**12, "trillion": 10**12}
+# Expressions for dates in prose, calls to action and instructions to a model.
 _MONTH = "(?:Jan(?:uary)?|Feb(?:ruary)?|Mar(?:ch)?|Apr(?:il)?|May|Jun(?:e)?|Jul(?:y)?|Aug(?:ust)?|Sep(?:t(?:ember)?)?|Oct(?:ober)?|Nov(?:ember)?|Dec(?:ember)?)"
 DATE_HINT = rf"(?i)\b(?:(?:19|20)\d{{2}}[-/]\d{{1,2}}[-/]\d{{1,2}}|{_MONTH}\.?\s+\d{{1,2}}(?:st|nd|rd|th)?,?\s+(?:19|20)\d{{2}}|\d{{1,2}}(?:st|nd|rd|th)?\s+{_MONTH}\.?,?\s+(?:19|20)\d{{2}})\b"
 CALL_TO_ACTION = r"(?i)\b(?:learn more|read more|read (?:the )?(?:blog )?post|view (?:the )?article)\b.*$"
@@ -181,16 +182,23 @@ def grounded(c: Column) -> Column:  # S20 for text that NFKC and case folding le
     return F.trim(F.regexp_replace(F.lower(F.coalesce(c, F.lit(""))), r"(?U)[^\w$€£%]+", " "))
 
 
+# What an amount of money and a number with its unit look like.
 _SIGN, _NUMBER, _UNIT = r"US\$|C\$|A\$|USD|GBP|EUR|CAD|AUD|\$|£|€", r"\d[\d,]*(?:\.\d+)?", "trillion|billion|million|thousand|tn|bn|mm|b|m|k"
 AMOUNT_BEFORE = rf"(?i)({_SIGN})\s*({_NUMBER})\s*({_UNIT})?\b"
 AMOUNT_AFTER = rf"(?i)({_NUMBER})\s*({_UNIT})?\s*(USD|GBP|EUR|CAD|AUD)\b"
 
 
+def _parts(c: Column, pattern: str, groups: dict[str, int]) -> Column:
+    """The groups of each match. A text is searched once, and not at all without a digit."""
+    found = F.when(c.rlike("[0-9]"), F.regexp_extract_all(c, F.lit(pattern), F.lit(0))).otherwise(F.array().cast("array<string>"))
+    return F.transform(found, lambda x: F.struct(*(F.regexp_extract(x, pattern, k).alias(n) for n, k in groups.items())))
+
+
 def amounts(c: Column) -> Column:  # S21
     """array<struct<amount decimal(38,6), currency>>: each different amount of money, sign before or code after it."""
 
     def found(pattern: str, sign: int, number: int, unit: int) -> Column:
-        parts = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(pattern), F.lit(k)).alias(n) for n, k in (("sign", sign), ("number", number), ("unit", unit))))
+        parts = _parts(c, pattern, {"sign": sign, "number": number, "unit": unit})
         value = lambda x: F.regexp_replace(x["number"], ",", "").cast("decimal(30,6)") * F.element_at(mapping(UNITS), F.lower(x["unit"])).cast("decimal(15,0)")
         return F.transform(parts, lambda x: F.struct(value(x).cast("decimal(38,6)").alias("amount"), F.element_at(mapping(CURRENCIES), F.upper(x["sign"])).alias("currency")))
 
@@ -202,11 +210,45 @@ NUMBER = r"(?i)(?<!\w)(\d[\d,]*(?:\.\d+)?)\s*(trillion|billion|million|thousand|
 
 def numbers(c: Column) -> Column:  # S22
     """array<string>: each different number with its unit worked in; percentages end in %."""
-    parts = F.arrays_zip(*(F.regexp_extract_all(c, F.lit(NUMBER), F.lit(k)).alias(n) for k, n in ((1, "number"), (2, "unit"), (3, "share"))))
+    parts = _parts(c, NUMBER, {"number": 1, "unit": 2, "share": 3})
     value = lambda x: plain_decimal(F.regexp_replace(x["number"], ",", "").cast("decimal(30,6)") * F.element_at(mapping(UNITS), F.lower(x["unit"])).cast("decimal(15,0)"))
     return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.concat(value(x), F.when(x["share"] != "", "%").otherwise("")))))
 
 
+def word_runs(words: Column, size: int) -> Column:
+    """Every run of `size` words of an array, joined by a blank."""
+    runs = words
+    for k in range(1, size):
+        left = F.greatest(F.size(words) - k, F.lit(0))
+        runs = F.zip_with(F.slice(runs, F.lit(1), left), F.slice(words, F.lit(k + 1), left), lambda a, b: F.concat(a, F.lit(" "), b))
+    return runs
+
+
+# What counts as a name (capitals only, capitals inside, or a capital and two small letters or more), what as a
+# token that may support one, and behind which characters a sentence or a field begins.
+NAME = r"(?U)\b(?:[A-Z]{2,}|[A-Z][a-z]+[A-Z][A-Za-z0-9]*|[A-Z][a-z]{2,})\b"
+NAME_TOKEN = r"[A-Za-z][A-Za-z0-9&.'-]*"
+BEGINNING = "[.!?\n\u2014:]"
+
+
+def unknown_names(copy: Column, entities: Column, facts: Column, allowed: tuple[str, ...] = ()) -> Column:  # S24
+    """Names in the copy that are no token of entities, facts or `allowed`, in order. The copy is cut where sentences and fields begin;
+    a plainly capitalised word that opens a piece is taken off it, as any sentence may begin with one."""
+    pieces = F.split(F.coalesce(copy, F.lit("")), BEGINNING)
+    opened = F.transform(pieces, lambda x: F.regexp_replace(x, r"(?U)^[ \t\r]*[A-Z][a-z]{2,}\b", " "))
+    names = F.flatten(F.transform(opened, lambda x: F.regexp_extract_all(x, F.lit(NAME), F.lit(0))))
+    support = F.concat(F.coalesce(entities, F.array().cast("array<string>")), F.array(F.coalesce(facts, F.lit(""))))
+    known = F.flatten(F.transform(support, lambda x: F.regexp_extract_all(x, F.lit(NAME_TOKEN), F.lit(0))))
+    return F.array_sort(F.array_except(F.array_except(names, known), F.array(*map(F.lit, allowed)).cast("array<string>")))
+
+
+def column_label(n: Column) -> Column:  # S34
+    """A, B, ... Z, AA, ... of a number from 1 on; null below."""
+    step = lambda s, _: F.when(s["n"] > 0, F.struct(F.floor((s["n"] - 1) / 26).alias("n"), F.concat(F.char(F.lit(65) + (s["n"] - 1) % 26), s["label"]).alias("label"))).otherwise(s)
+    start = F.struct(n.cast("long").alias("n"), F.lit("").alias("label"))
+    return F.when(n >= 1, F.aggregate(F.sequence(F.lit(1), F.lit(14)), start, step, lambda s: s["label"]))
+
+
 def plain_decimal(c: Column) -> Column:  # S23
     """Digits without zeros at the end of a fraction."""
     return F.regexp_replace(F.regexp_replace(c.cast("decimal(38,6)").cast("string"), r"(\.\d*?)0+$", "$1"), r"\.$", "")

@@ -2,7 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from functools import reduce
+
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tidewell.functions import text as tx
@@ -108,3 +110,35 @@ def contract_codes() -> Column:  # F27
 def annotated(selected: DataFrame, analysis: DataFrame) -> DataFrame:  # X1
     """Annotations are an input table; every selected candidate keeps its row, with `annotated` false where none came."""
     return selected.join(analysis.withColumn("annotated", F.lit(True)), "candidate_id", "left").withColumn("annotated", F.coalesce("annotated", F.lit(False)))
+
+
+def quoted(texts: DataFrame, quotes: DataFrame, key: str, text: str, quote_key: str, quote: str) -> DataFrame:  # F23 in part, S20
+    """Pairs (key, quote_key) of texts and quotes, both of words with a blank between them, where the text has the quote as
+    whole words. The first words of a quote, five or as many as it has, meet the runs of words of that size; containment
+    is then tested. Texts are not shuffled while the pairs so found are few."""
+    led = quotes.select(quote_key, F.col(quote).alias("_q"), F.split(quote, " ").alias("_w")).where("_q <> ''").withColumn("_size", F.least(F.lit(5), F.size("_w")))
+    led = led.withColumn("_k", F.array_join(F.slice("_w", F.lit(1), F.col("_size")), " ")).drop("_w")
+    words = F.split(text, " ")
+    sizes = sorted(r["_size"] for r in led.select("_size").distinct().collect()) or [1]  # five numbers at most
+    runs = texts.select(key, F.explode(F.flatten(F.array(*(tx.word_runs(words, k) for k in sizes)))).alias("_k"))
+    met = runs.join(led.select(quote_key, "_k"), "_k").select(key, quote_key).distinct()
+    held = texts.select(key, text).join(met, key).join(led.select(quote_key, "_q"), quote_key)
+    return held.where(F.contains(F.concat(F.lit(" "), text, F.lit(" ")), F.concat(F.lit(" "), "_q", F.lit(" ")))).select(key, quote_key)
+
+
+def after_repair(answers: DataFrame, key: str, turn: str = "turn", codes: str = "codes") -> DataFrame:  # X1, X2, X3
+    """Of the answers to one request, a first and its repair at most, the first that no constraint rejects; where both are
+    rejected the repair stays, with its codes. `accepted` tells which."""
+    two = answers.where(F.col(turn) <= 2).withColumn("accepted", F.size(codes) == 0)
+    order = [F.desc("accepted"), F.when(F.col("accepted"), F.col(turn)).otherwise(-F.col(turn))]
+    return two.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
+
+
+def completions(attempts: DataFrame, key: str, schema: str) -> DataFrame:  # X4
+    """The first attempt (attempt, status, body) of each request that was answered and whose body is JSON of the schema, in
+    its required fields; requests without one have a null `answer`. Retries and fallbacks are further attempts."""
+    read = F.from_json("body", schema)
+    names = [f.name for f in attempts.select(read.alias("x")).schema["x"].dataType.fields]
+    whole = (F.col("status") == 200) & reduce(lambda a, b: a & b, [read[n].isNotNull() for n in names])
+    best = F.min(F.when(whole, F.struct("attempt", read.alias("answer"))))
+    return attempts.groupBy(key).agg(best.alias("x"), F.count("*").alias("attempts")).select(key, "x.answer", "attempts")

@@ -117,6 +117,13 @@ def public_ipv4(address: Column) -> Column:  # F18
     return F.coalesce(valid & ~private, F.lit(False))
 
 
+def public_address(address: Column) -> Column:  # F18
+    """IPv4 by its ranges; addresses with a colon, mapped ones among them, by the library."""
+    from tidewell.functions import python
+
+    return F.when(F.contains(address, F.lit(":")), python.public_udf(address)).otherwise(public_ipv4(address))
+
+
 def leaks(text: Column, forbidden: list[str]) -> Column:  # F19
     values = [v.lower() for v in forbidden if v]
     return F.lit(False) if not values else F.greatest(*(F.contains(F.lower(text), F.lit(v)) for v in values), F.lit(False))

@@ -47,3 +47,8 @@ def chosen(jobs: DataFrame, source_id: str, seq: str) -> DataFrame:  # F4
 
 def missing_ids(requested: DataFrame, registry: DataFrame, key: str) -> DataFrame:  # J14, U3
     return requested.join(registry, key, "left_anti")
+
+
+def in_order(results: DataFrame, jobs: DataFrame, key: str, seq: str, within: str) -> DataFrame:  # T6
+    """Results in the order of their jobs, whatever order they were made in; those of a job by `within`."""
+    return results.join(jobs.select(key, F.col(seq).alias("_seq")), key).orderBy("_seq", within).drop("_seq")

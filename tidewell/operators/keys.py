@@ -96,12 +96,13 @@ def compare_and_set(target: DataFrame, changes: DataFrame, key: str, columns: li
 
 
 def append_absent(target: DataFrame, source: DataFrame, key: str, id_column: str, prefix: str, seq: str) -> DataFrame:  # SK12, A19
-    """Rows of the source whose key the target lacks, with the next ids <prefix><n> in order of seq. Only these rows,
+    """Rows of the source whose key the target lacks, with the next ids <prefix><n>, of three digits at least, in order of seq. Only these rows,
     which are few, are numbered in one place."""
     top = target.agg(F.coalesce(F.max(F.regexp_extract(id_column, rf"^{prefix}(\d+)$", 1).try_cast("int")), F.lit(0)).alias("_top"))
     fresh = first(source.join(target.select(key), key, "left_anti"), [key], seq)
     numbered = fresh.withColumn("_n", F.row_number().over(Window.orderBy(seq))).crossJoin(F.broadcast(top))  # one row
-    return numbered.withColumn(id_column, F.concat(F.lit(prefix), F.lpad((F.col("_top") + F.col("_n")).cast("string"), 3, "0"))).drop("_n", "_top")
+    number = (F.col("_top") + F.col("_n")).cast("string")
+    return numbered.withColumn(id_column, F.concat(F.lit(prefix), F.when(F.length(number) < 3, F.lpad(number, 3, "0")).otherwise(number))).drop("_n", "_top")
 
 
 def labels_once(df: DataFrame, entity: str, arrays: list[str], key) -> DataFrame:  # W13

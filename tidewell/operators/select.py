@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-from collections import defaultdict
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window
@@ -92,35 +91,3 @@ def round_robin(df: DataFrame, passes: list[Pass], lane: str = "lane", source: s
         now = pool.orderBy("_depth", "_turn", lane_no).limit(max(0, step.target - len(taken))).select(pos, source)
         taken += [(r[pos], r[source], number) for r in now.collect()]
     return df.join(F.broadcast(spark.createDataFrame(taken, shape).drop(source)), pos).select(*df.columns, "pass_no")
-
-
-def round_robin_in_order(rows: list[dict], passes: list[tuple], lane: str = "lane", source: str = "source_id") -> list[tuple[int, int]]:
-    """The same by visiting rows one by one, also with repeated URLs or content: (pos, pass_no) of the chosen rows. passes:
-    (predicate, target, per_source). For pools of at most a run's size, by an exact rule that windows cannot state."""
-    rows = sorted(rows, key=lambda r: r["pos"])
-    chosen: list[tuple[int, int]] = []
-    used: dict[str, int] = defaultdict(int)
-    urls: set[str] = set()
-    hashes: set[str] = set()
-    gone: set[int] = set()
-    for number, (wanted, target, per_source) in enumerate(passes):
-        queues: dict[str, dict[str, list[dict]]] = {x: {} for x in LANE_ORDER}
-        for r in rows:
-            if r["pos"] not in gone and wanted(r):
-                queues[r[lane]].setdefault(r[source], []).append(r)
-        depth = 0
-        while len(chosen) < target and any(len(q) > depth for by in queues.values() for q in by.values()):
-            waiting = {x: [q[depth] for q in by.values() if len(q) > depth] for x, by in queues.items()}
-            while len(chosen) < target and any(waiting.values()):
-                for x in LANE_ORDER:
-                    while waiting[x] and len(chosen) < target:
-                        r = waiting[x].pop(0)
-                        if used[r[source]] < per_source and r["url"] not in urls and r["hash"] not in hashes:
-                            chosen.append((r["pos"], number))
-                            used[r[source]] += 1
-                            urls.add(r["url"])
-                            hashes.add(r["hash"])
-                            gone.add(r["pos"])
-                            break
-            depth += 1
-    return chosen

@@ -46,6 +46,7 @@ h as (select doc_id, item_id from d join t on length(t) >= 3 and contains(p, ' '
 select doc_id, coalesce(array_to_string(list_sort(list(item_id) filter (where item_id is not null))[1:20], ','), '') as hits from documents left join h using (doc_id) group by doc_id""",
 )
 def watch_hits(spark, d):  # J6, S19
+    # The first two words of an item serve as a term, and its number as its name.
     terms = table(spark, d, "benchmark").select(F.col("item_id").alias("name"), F.array_join(F.slice(F.split("text", " "), 1, 2), " ").alias("term"))
     return cd.watch_hits(docs(spark, d).select("doc_id", "text"), terms, F.col("text"), "doc_id").select("doc_id", F.array_join(F.col("hits").cast("array<string>"), ",").alias("hits"))
 
@@ -226,23 +227,25 @@ def money_extract(spark, d):  # S21
 
 @query("number_subset", None)
 def number_subset(spark, d):  # S22, S23, U5
-    b = table(spark, d, "benchmark").select("item_id", tx.numbers(F.col("text")).alias("own"))
-    allowed = b.agg(F.array_distinct(F.flatten(F.collect_set("own"))).alias("allowed"))
+    allowed = table(spark, d, "benchmark").select(F.explode(tx.numbers(F.col("text"))).alias("x")).distinct().withColumn("known", F.lit(1))
     x = docs(spark, d).select("doc_id", tx.numbers(F.col("text")).alias("n"))
-    return x.crossJoin(F.broadcast(allowed)).select("doc_id", F.size("n").alias("numbers"), (F.size(F.array_except("n", "allowed")) == 0).alias("subset"))  # one row
+    found = x.select("doc_id", F.explode_outer("n").alias("x")).join(allowed, "x", "left")
+    return found.groupBy("doc_id").agg(F.count("x").alias("numbers"), (F.count("x") == F.count("known")).alias("subset"))
 
 
 @query(
     "token_overlap_join",
     f"""
 with b as (select item_id, list_distinct(list_filter(string_split(trim({PAD}), ' '), lambda x: length(x) > 2 and x not in ('and','for','from','the','with'))) as t from benchmark),
-p as (select x.item_id as a, y.item_id as b, len(list_intersect(x.t, y.t)) / greatest(1, least(len(x.t), len(y.t))) as s from b x join b y on x.item_id <> y.item_id and x.item_id % 20 = y.item_id % 20)
+p as (select x.item_id as a, y.item_id as b, len(list_intersect(x.t, y.t)) / greatest(1, least(len(x.t), len(y.t))) as s from b x join b y on x.item_id <> y.item_id)
 select a, b, round(s, 6) as overlap from p where s >= 0.2""",
 )
-def token_overlap_join(spark, d):  # J9, S25
-    b = table(spark, d, "benchmark").select("item_id", (F.col("item_id") % 20).alias("host"), tx.token_set(F.col("text")).alias("t"))
-    other = b.select(F.col("item_id").alias("b"), "host", F.col("t").alias("u"))
-    return b.join(other, "host").where(F.col("item_id") != F.col("b")).select(F.col("item_id").alias("a"), "b", F.round(tx.token_overlap(F.col("t"), F.col("u")), 6).alias("overlap")).where("overlap >= 0.2")
+def token_overlap_join(spark, d):  # S25
+    """Pairs of items that overlap; only items with a word in common are compared."""
+    b = table(spark, d, "benchmark").select(F.col("item_id").alias("a"), tx.token_set(F.col("text")).alias("t")).withColumn("w", F.explode("t"))
+    other = b.select(F.col("a").alias("b"), F.col("t").alias("u"), "w")
+    met = b.join(other, "w").where("a <> b").dropDuplicates(["a", "b"])
+    return met.select("a", "b", F.round(tx.token_overlap(F.col("t"), F.col("u")), 6).alias("overlap")).where("overlap >= 0.2")
 
 
 @query(
@@ -253,12 +256,8 @@ d as (select doc_id, ' ' || trim(regexp_replace(lower(text), '[^\p{L}\p{N}_$€
 select doc_id, item_id from d join q on contains(d.t, q.t)""",
 )
 def quote_grounding(spark, d):  # F23 in part, S20
-    q = table(spark, d, "benchmark").select("item_id", F.concat(F.lit(" "), tx.grounded(F.col("text")), F.lit(" ")).alias("q")).withColumn("k", F.array_join(F.slice(F.split(F.trim("q"), " "), 1, 5), " "))
-    x = docs(spark, d).select("doc_id", tx.grounded(F.col("text")).alias("t")).withColumn("w", F.split("t", " "))
-    runs_of = F.array_distinct(F.transform(F.sequence(F.lit(1), F.greatest(F.lit(1), F.size("w") - 4)), lambda i: F.array_join(F.slice("w", i, 5), " ")))
-    # An equi-join on the quote's first five words finds the documents in which containment is then tested.
-    hit = x.select("doc_id", F.explode(runs_of).alias("k")).join(q.select("item_id", "k"), "k").select("doc_id", "item_id").distinct()
-    return hit.join(x.select("doc_id", "t"), "doc_id").join(q.select("item_id", "q"), "item_id").where(F.contains(F.concat(F.lit(" "), "t", F.lit(" ")), F.col("q"))).select("doc_id", "item_id")
+    q = table(spark, d, "benchmark").select("item_id", tx.grounded(F.col("text")).alias("q"))
+    return evidence.quoted(docs(spark, d).select("doc_id", tx.grounded(F.col("text")).alias("t")), q, "doc_id", "t", "item_id", "q")
 
 
 @query("columnar_transpose", "select vec_id, i - 1 as row_no, round(embedding[i], 6) as x, label_list[i] as y from (select vec_id, embedding, [label, vec_id] as label_list, unnest(range(1, len(embedding) + 1)) as i from embeddings)")
@@ -296,9 +295,9 @@ def seed_headlines(spark, d):  # T3
     return select.seeds(x, "disc", "n_chars", "none", "doc_id", "text", 20).select("doc_id")
 
 
-@query("labels_once", "with w as (select doc_id, unnest(string_split(text, ' ')[1:12]) as label, unnest(range(12)) as pos from documents), k as (select *, row_number() over (partition by doc_id, lower(label) order by pos) as m from w where trim(lower(label)) <> '' and label is not null) select doc_id, row_number() over (partition by doc_id order by pos) as n, label from k where m = 1")
+@query("labels_once", "with w as (select doc_id, unnest(string_split(text, ' ')) as label, unnest(range(len(string_split(text, ' ')))) as pos from documents), k as (select *, row_number() over (partition by doc_id, lower(label) order by pos) as m from w where trim(lower(label)) <> '' and label is not null) select doc_id, row_number() over (partition by doc_id order by pos) as n, label from k where m = 1")
 def labels_once(spark, d):  # W13, S27
-    x = docs(spark, d).select("doc_id", F.slice(F.split("text", " "), 1, 12).alias("w"))
+    x = docs(spark, d).select("doc_id", F.split("text", " ").alias("w"))
     return keys.labels_once(x, "doc_id", ["w"], lambda c: F.lower(c)).select("doc_id", F.col("n").cast("long").alias("n"), "label").where(F.trim("label") != "")
 
 

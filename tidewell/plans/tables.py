@@ -133,12 +133,7 @@ def merge_upsert(spark, d):  # SK1, SK3
 def append_absent(spark, d):  # SK12, A19
     c = table(spark, d, "customer").select("c_custkey", "c_name")
     target = c.where("c_custkey % 2 = 0").select(F.concat(F.lit("R"), F.col("c_custkey").cast("string")).alias("recipient_id"), "c_name")
-    top = target.agg(F.max(F.regexp_extract("recipient_id", r"^R(\d+)$", 1).cast("int")).alias("top"))
-    fresh = c.join(target.select("c_name"), "c_name", "left_anti")
-    from pyspark.sql import Window
-
-    n = F.col("top") + F.row_number().over(Window.orderBy("c_custkey"))
-    return fresh.crossJoin(F.broadcast(top)).select(F.concat(F.lit("R"), F.when(n < 100, F.lpad(n.cast("string"), 3, "0")).otherwise(n.cast("string"))).alias("recipient_id"), "c_name")  # top is one row
+    return keys.append_absent(target, c, "c_name", "recipient_id", "R", "c_custkey").select("recipient_id", "c_name")
 
 
 @query("compare_and_set", "select s_suppkey, s_name, case when s_suppkey % 2 = 0 then s_acctbal + 1 else s_acctbal end as s_acctbal from supplier")

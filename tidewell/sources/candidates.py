@@ -35,16 +35,33 @@ def hydrated(items: DataFrame, details: DataFrame, key: str, seq: str, budget: i
     return joined.withColumn("published", F.coalesce("published", "_published")).withColumn("body", F.when(longer, F.col("_body")).otherwise(F.col("body"))).drop("_u", "_published", "_body", "looked_up")
 
 
-def watch_hits(candidates_: DataFrame, terms: DataFrame, text, key: str, longest: int = 6, most: int = 20) -> DataFrame:  # J6, S19
-    """`hits`: names of the terms (name, term) whose words occur in the text as a run, 20 at most, in order of name. An
-    equi-join of word n-grams with terms instead of a containment join; terms under three characters never match."""
-    named = terms.withColumn("_t", F.trim(tx.padded_words(F.col("term")))).where(F.length("_t") >= 3).withColumn("_size", F.size(F.split("_t", " "))).where(F.col("_size") <= longest)
-    sizes = sorted(r["_size"] for r in named.select("_size").distinct().collect()) or [1]  # at most `longest` numbers
+#: Terms up to which they go to all executors; watchlists are shorter by far. More of them are joined by a shuffle.
+FEW_TERMS = 100_000
+
+
+def watch_terms(company: DataFrame, deposit: DataFrame) -> DataFrame:  # J6
+    """Terms (name, term, place) of two watchlists (seq, label, aliases): companies first, each list in its order. A
+    row without a label has none; a name holds its list, and 80 characters of the label without control characters."""
+    both = company.withColumn("_p", F.lit("company")).withColumn("_l", F.lit(0)).unionByName(deposit.withColumn("_p", F.lit("deposit")).withColumn("_l", F.lit(1)))
+    label = F.trim("label")
+    safe = F.substring(F.trim(F.regexp_replace(label, r"[\x00-\x1f\x7f]+", " ")), 1, 80)
+    terms = F.concat(F.array(label), F.coalesce("aliases", F.array().cast("array<string>")))
+    return both.where(label != "").select(F.concat_ws(":", "_p", safe).alias("name"), F.explode(terms).alias("term"), F.struct("_l", "seq").alias("place"))
+
+
+def watch_hits(candidates_: DataFrame, terms: DataFrame, text, key: str, most: int = 20) -> DataFrame:  # J6, S19
+    """`hits`: names of the terms (name, term, and place where they have an order) whose words occur in the text as a run,
+    20 at most, in order of place, otherwise of name. An equi-join of word runs with terms instead of a containment join;
+    terms under three characters never match. Terms may have any number of words: runs are made of the sizes that occur."""
+    named = terms.withColumn("_t", F.trim(tx.padded_words(F.col("term")))).where(F.length("_t") >= 3).withColumn("_size", F.size(F.split("_t", " ")))
+    named = named.withColumn("_place", F.col("place") if "place" in terms.columns else F.col("name")).groupBy("_t", "_size", "name").agg(F.min("_place").alias("_place"))
+    sizes = {r["_size"]: r["n"] for r in named.groupBy("_size").agg(F.count("*").alias("n")).collect()}  # a number a size
+    wanted = F.broadcast(named) if sum(sizes.values()) <= FEW_TERMS else named
     words = candidates_.select(key, F.split(F.trim(tx.padded_words(text)), " ").alias("_w"))
-    grams = lambda k: F.transform(F.sequence(F.lit(1), F.size("_w") - k + 1), lambda i: F.array_join(F.slice("_w", i, k), " "))
-    every = F.array_distinct(F.flatten(F.array(*(F.when(F.size("_w") >= k, grams(k)).otherwise(F.array().cast("array<string>")) for k in sizes))))
-    found = words.select(key, F.explode(every).alias("_t")).join(named.select("_t", "name").distinct(), "_t").groupBy(key).agg(F.slice(F.array_sort(F.collect_set("name")), 1, most).alias("hits"))
-    return candidates_.join(found, key, "left").withColumn("hits", F.coalesce("hits", F.array().cast("array<string>")))
+    runs = words.select(key, F.explode(F.flatten(F.array(*(tx.word_runs(F.col("_w"), k) for k in sorted(sizes) or [1])))).alias("_t"))
+    met = runs.join(wanted.drop("_size"), "_t").groupBy(key, "name").agg(F.min("_place").alias("_place"))
+    found = met.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_place", "name"))), 1, most), lambda x: x["name"]).alias("hits"))
+    return candidates_.join(found, key, "left").withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
 
 
 def grounded_leads(leads: DataFrame, cited: DataFrame, most: int = 8) -> DataFrame:  # J9, SC19, S11, S25

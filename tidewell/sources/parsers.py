@@ -26,6 +26,8 @@ FIELDS = ("title", "url", "item_id", "published", "summary", "body")
 # Keys under which JSON services hold their records, and names of their fields.
 CONTAINERS = ("items", "results", "articles", "entries", "data", "posts", "filings", "documents")
 ALIASES = {"title": ("title", "headline", "name"), "url": ("url", "link", "html_url", "canonical_url"), "item_id": ("id", "guid", "slug", "accessionNumber"), "published": ("published_at", "published", "pubDate", "date", "filingDate", "updated"), "summary": ("summary", "description", "excerpt"), "body": ("body", "content", "content_html", "text")}
+# Fixed value: hosts whose records come in no order and are read newest first.
+NEWEST_FIRST = ("qwen.ai",)
 ACTIVE_TAGS = ("script", "style", "noscript", "template", "form", "iframe", "object", "embed")
 
 
@@ -138,6 +140,18 @@ def parse_feed(payload: str, base: str, most: int) -> list[dict]:  # SC7, S16
     return out
 
 
+def newest_first(records: list) -> list:  # T7
+    """Records by the date that their `extra` holds, latest first; those without a date last, in order."""
+
+    def instant(r) -> float:
+        extra = r.get("extra") if isinstance(r, dict) else None
+        said = next((str(extra[k]) for k in ("date", "published_at") if extra.get(k)), "") if isinstance(extra, dict) else ""
+        at = pd.to_datetime(said, errors="coerce", utc=True) if said else pd.NaT
+        return float("-inf") if at is pd.NaT else at.timestamp()
+
+    return sorted(records, key=instant, reverse=True)
+
+
 def parse_api(payload: str, base: str, most: int) -> list[dict]:  # SC8, SC9
     def records(x) -> list:
         if isinstance(x, list):
@@ -155,7 +169,10 @@ def parse_api(payload: str, base: str, most: int) -> list[dict]:  # SC8, SC9
         raise ValueError("no records")
 
     out = []
-    for r in records(json.loads(payload)):
+    held_in = records(json.loads(payload))
+    if (urlsplit(base).hostname or "").lower() in NEWEST_FIRST:
+        held_in = newest_first(held_in)
+    for r in held_in:
         if not isinstance(r, dict):
             continue
         held = {f: next((str(r[n]) for n in names if r.get(n) not in (None, "")), "") for f, names in ALIASES.items()}
@@ -297,23 +314,27 @@ def payload_pages(pages: DataFrame, jobs: DataFrame) -> DataFrame:  # SC16: fetc
 
 
 def walk_sitemaps(pages: DataFrame, roots: DataFrame, most_pages: int = 3, most_items: int = 25) -> DataFrame:  # SC17
-    """Sitemaps reached from the roots, breadth first, no more than most_pages of each root: rows (root, url, published)."""
+    """Pages that sitemaps list, breadth first from each root (the root itself excepted): no more than most_pages of a root
+    are fetched in all, nested sitemaps among them, and a nested one gives no more than what is then left. Rows (root, url, published)."""
     if not 1 <= most_pages <= 10:
         raise ValueError("most_pages must be 1 to 10")
-    front = roots.select(F.col("url").alias("root"), "url", F.lit(0).alias("depth"))
+    front = roots.select(F.col("url").alias("root"), "url", F.lit(0).alias("place"), F.lit(0).alias("used"))
     found = []
-    seen = front
     for _ in range(most_pages):
-        fetched = _capped(front, "root", most_pages).join(pages, "url").select("root", "depth", F.col("root").alias("source_job_key"), F.monotonically_increasing_id().alias("seq"), F.lit("sitemap_html").alias("parser_lane"), "url", F.col("body").alias("payload"), F.lit(most_items).alias("max_items"))
-        items = parse(fetched).where("title is not null").withColumnRenamed("source_job_key", "root")
-        found.append(items.where("summary <> 'sitemap'").select("root", "url", "published"))
-        front = items.where("summary = 'sitemap'").select("root", "url").distinct().join(seen.select("root", "url"), ["root", "url"], "left_anti").withColumn("depth", F.lit(1))
-        seen = seen.select("root", "url").unionByName(front.select("root", "url"))
+        budget = F.least(F.lit(most_items), F.lit(most_pages) - F.col("place"))
+        fetched = front.join(pages, "url").select(F.col("root").alias("source_job_key"), F.col("place").cast("long").alias("seq"), F.lit("sitemap_html").alias("parser_lane"), "url", F.col("body").alias("payload"), budget.alias("max_items"))
+        listed = parse(fetched).where("title is not null").select(F.col("source_job_key").alias("root"), "seq", "n", "url", "published", F.col("summary") == "sitemap")
+        listed = listed.toDF("root", "seq", "n", "url", "published", "nested").join(front.groupBy("root").agg(F.max("used").alias("used")), "root")
+        # The queue goes on behind what earlier levels have fetched.
+        placed = listed.withColumn("place", F.col("used") + F.row_number().over(Window.partitionBy("root").orderBy("seq", "n")))
+        taken = placed.where(F.col("place") <= most_pages).withColumn("used", F.max("place").over(Window.partitionBy("root")))
+        found.append(taken.where(~F.col("nested")).select("root", "url", "published", "place"))
+        front = taken.where("nested").select("root", "url", "place", "used")
     out = found[0]
     for x in found[1:]:
         out = out.unionByName(x)
-    return _capped(out.distinct(), "root", most_items)
+    return _capped(out, "root", most_items).drop("place")
 
 
 def _capped(df: DataFrame, key: str, most: int) -> DataFrame:
-    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("url"))).where(F.col("_n") <= most).drop("_n")
+    return df.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy("place"))).where(F.col("_n") <= most).drop("_n")

@@ -76,6 +76,17 @@ def story_rows(stories: DataFrame) -> DataFrame:  # SK4
     return stories.withColumn("canonical_url", first["url"]).withColumn("publisher", first["source_id"]).withColumn("published_story_id", F.concat_ws(":", "run_id", "event_id", "section", "rank"))
 
 
+def digest_rows(runs: DataFrame) -> DataFrame:  # SK5
+    """Runs as rows of their table: counts by section as JSON with sorted keys, the edition packed where it is long."""
+    counts = F.to_json(F.map_from_entries(F.array_sort(F.map_entries("section_counts"))))
+    return runs.withColumns({"section_counts": F.coalesce(counts, F.lit("{}")), "edition_json": envelope_udf("edition_json")})
+
+
+def write_previews(bodies: DataFrame, path: str) -> None:  # SK10
+    """Writes each body (name, body) to a folder of its name."""
+    bodies.select("name", F.col("body").alias("value")).write.mode("overwrite").partitionBy("name").text(path)
+
+
 def outbox(existing: DataFrame, sends: DataFrame) -> DataFrame:  # SK8, ST9
     """Sends whose id is not there yet; the status says whether they may go out."""
     held = F.when(F.col("test_mode"), "HELD_TEST_MODE").when(~F.col("send_enabled"), "HELD_ENV_SEND_DISABLED").when(F.col("recipients") == 0, "HELD_NO_RECIPIENTS").when(F.col("recipients") > 49, "HELD_RECIPIENT_ERRORS").otherwise("READY_TO_SEND")
