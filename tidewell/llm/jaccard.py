@@ -70,7 +70,7 @@ class Limits:
     paired: int = 8
     list_rows: int = 1_500_000
     split: int = 200_000
-    block: int = 1024
+    block: int = 256
     hubs: int = 64
     known: int = 200_000
     filter_bits: int = 1 << 25
@@ -300,8 +300,9 @@ def subset_links(small: DataFrame, boundary: int) -> DataFrame:
 
 
 def posted(whole: DataFrame, sent, naming: Naming, boundary: int, limits: Limits) -> DataFrame:
-    """key, salt, node, n, at: the posted shingles of each set that may link with a large one, and their places in its
-    order, once while a task remembers it. salt: the part of a list that is dealt to several tasks, otherwise -1."""
+    """salt, node, key, at_n: the posted shingles of each set that may link with a large one, once while a task remembers it.
+    salt: the part of a list that is dealt to several tasks, otherwise -1. at_n: the shingle's place in the set's order, and
+    the size of the set in the high half; rows of a set so differ in few bytes that follow each other, and compress well."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known: set[int] = set()
@@ -320,10 +321,11 @@ def posted(whole: DataFrame, sent, naming: Naming, boundary: int, limits: Limits
                 parts = 1 + np.concatenate(times) // np.uint64(limits.split)
                 salt = np.where(parts > 1, (mix(node.view(np.uint64)) % parts).astype(np.int64), -1)
                 at = np.arange(len(flat)) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-                whole = _batch({"key": (flat, pa.int64()), "salt": (salt, pa.int32()), "node": (node, pa.int64()), "n": (np.repeat(sizes, lengths), pa.int32()), "at": (at, pa.int32())})
+                at_n = at + (np.repeat(np.array(sizes, np.int64), lengths) << 32)
+                whole = _batch({"salt": (salt, pa.int32()), "node": (node, pa.int64()), "key": (flat, pa.int64()), "at_n": (at_n, pa.int64())})
                 yield from (whole.slice(k, 100_000) for k in range(0, whole.num_rows, 100_000))
 
-    return whole.mapInArrow(run, "key long, salt int, node long, n int, at int")
+    return whole.mapInArrow(run, "salt int, node long, key long, at_n long")
 
 
 def _admitted(n1, at1, n2, at2):
@@ -336,15 +338,15 @@ def _candidates(boundary: int, paired: int):
     """From the posted shingles of a partition: rows (a, b) of pairs, and rows (a, key, n, at) of the members of long lists."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        columns: list[list[np.ndarray]] = [[], [], [], [], []]
+        columns: list[list[np.ndarray]] = [[], [], [], []]
         for batch in batches:
             for held, column in zip(columns, batch.columns, strict=True):
                 held.append(column.to_numpy())
         if not columns[0]:
             return
-        key, salt, node, n, at = (np.concatenate(x) for x in columns)
+        salt, node, key, at_n = (np.concatenate(x) for x in columns)
         del columns
-        key, n, at = key.view(np.uint64), n.astype(np.int64), at.astype(np.int64)
+        key, n, at = key.view(np.uint64), at_n >> 32, at_n & 0xFFFFFFFF
         order = np.lexsort((node, salt, key))
         key, salt, node, n, at = key[order], salt[order], node[order], n[order], at[order]
         fresh = np.concatenate([[True], (key[1:] != key[:-1]) | (salt[1:] != salt[:-1]) | (node[1:] != node[:-1])])
