@@ -150,6 +150,11 @@ def test_sets_have_the_plain_sizes():
     assert np.array_equal(shingle_sets(["A b\nC d e F"])[0], shingle_sets(["x", "a B c  D e f"])[1])
 
 
+def test_batches_of_few_words():
+    for texts in ([""], ["a"], ["a b", "c"], ["a b c d"], ["a b c d e"]):
+        assert [len(s) for s in shingle_sets(texts)] == [len(plain_set(t)) for t in texts]
+
+
 def test_components_of_a_chain_and_a_star(spark):
     edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 60)] + [(7, 7), (300, 300)]
     for parts in (1, 20):

@@ -91,3 +91,23 @@ def test_null_and_repeated_ids(spark):
     assert shown(corpus_pipeline.drop_contaminated(spark, docs, DATA)) == sorted((r for r in rows if r[1] != item), key=str)
     kept = shown(corpus_pipeline.drop_near_copies(spark, docs, DATA))
     assert kept == sorted([(7, say(0)), (5, item), (None, say(1)), (5, say(2)), (5, say(3)), (8, say(4)), (None, say(5)), (9, ""), (None, "")], key=str)
+
+
+EXTRA = ["key", "key2", "row", "spans", "rules", "group", "x", "n", "node", "lang_pred", "score", "item_id", "label"]
+
+
+@pytest.mark.parametrize("rows", [[], [(None, None), (1, ""), (1, "a word"), (1, "a word"), (None, "token=abcdefghijklmnop and so on it goes " * 4000), (None, None)]])
+def test_any_columns_nulls_and_empty_tables(spark, tmp_path, rows):
+    names = ["doc_id", "text", "lang", "source", "n_chars", *EXTRA]
+    schema = "doc_id long, text string, lang string, source string, n_chars long, " + ", ".join(f"`{c}` int" for c in EXTRA)
+    docs = spark.createDataFrame([(i, t, "en", "s", len(t or ""), *range(len(EXTRA))) for i, t in rows], schema)
+    base = f"file://{tmp_path}"
+    docs.write.parquet(f"{base}/documents.parquet")
+    spark.createDataFrame([], "item_id long, text string").write.parquet(f"{base}/benchmark.parquet")
+    docs = spark.read.parquet(f"{base}/documents.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        docs = corpus_pipeline.common.stored(stage(spark, docs, base), "stage")
+        assert docs.columns == names
+    held = [(r["doc_id"], (r["text"] or "")[:16], r["key"], r["label"]) for r in docs.collect()]
+    assert sorted(held, key=str) == sorted([(1, "a word", 0, 12), (None, "[SECRET:assign] ", 0, 12)] if rows else [], key=str)
+    assert corpus_pipeline.run(spark, base).select("doc_id").distinct().count() == len(held)

@@ -51,7 +51,8 @@ def _sets_of(raw: list[bytes], size: int) -> list[np.ndarray]:
     first = np.searchsorted(starts, begins)
     whole = words.copy()
     for k in range(1, size):
-        whole[: len(words) - k] = whole[: len(words) - k] * _BASE + words[k:]
+        left = max(0, len(words) - k)
+        whole[:left] = whole[:left] * _BASE + words[k:]
     whole = mix(whole)
     out = []
     for a, b in zip(first, first[1:], strict=False):
