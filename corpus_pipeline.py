@@ -51,8 +51,8 @@ def drop_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
     repeated, n = common.stored_rows(least.where("n > 1").select(*fields), "repeated")
     if not n:
         return out
-    twice = _held(out, repeated, n, "left_semi").withColumns(dict(zip(("_key", "_key2"), _keys(), strict=True)))
-    return _held(out, repeated, n, "left_anti").unionByName(twice.dropDuplicates(["doc_id", "_key", "_key2"]).drop("_key", "_key2"))
+    twice = _held(out, repeated, n, "left_semi").select("doc_id", *_keys(), F.struct(*(F.col(f"`{c}`") for c in docs.columns)).alias("row"))
+    return _held(out, repeated, n, "left_anti").unionByName(twice.dropDuplicates(["doc_id", "key", "key2"]).select("row.*"))
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
