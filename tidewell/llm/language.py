@@ -32,7 +32,7 @@ SLICES = 16
 #: Languages up to which the best of many random codes is looked for, and (text, language, bit) triples decoded at a time.
 COMPARED, AT_ONCE = 1024, 1 << 24
 UNKNOWN = "und"
-_CHUNK = 1 << 21
+_CHUNK = 1 << 18
 _CLEAN = np.array([c if c >= 128 or chr(c).isalpha() else 32 for c in range(256)], dtype=np.uint8)
 
 

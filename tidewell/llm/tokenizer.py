@@ -49,14 +49,17 @@ def encoder(path: str | None = None) -> Callable[[str], np.ndarray]:
 
     path = path or public_tokenizers.path("byte_bpe_50k.json")
     beside = path.removesuffix(".json") + ".tiktoken"
-    slow = _json(path)
+
+    def slow(text: str) -> np.ndarray:  # loaded where a text needs it, as it takes much of a worker's memory
+        return np.array(_json(path).encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+
     if not os.path.exists(beside):
-        return lambda text: np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return slow
     fast, long_run = _ranks(beside), _long_runs()
 
     def encode(text: str) -> np.ndarray:
         if len(text) < LONG_RUN or not long_run.search(text):
             return fast.encode_to_numpy(text, allowed_special="all")
-        return np.array(slow.encode(text, add_special_tokens=False).ids, dtype=np.uint32)
+        return slow(text)
 
     return encode
