@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import gc
 import tempfile
 import uuid
 
@@ -52,6 +53,13 @@ def discard(*tables: DataFrame) -> None:
                 path.getFileSystem(spark._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def release(spark: SparkSession) -> None:
+    """Let Spark delete the shuffle files of steps whose results are stored. It does so when the driver's JVM collects
+    garbage, which a driver that does little may put off while disks fill."""
+    gc.collect()
+    spark._jvm.System.gc()
+
+
 #: Texts that go to a Python worker at a time, and their bytes (a longer text goes alone).
 BATCH_ROWS, BATCH_BYTES = 2000, 32 << 20
 

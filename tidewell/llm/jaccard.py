@@ -587,10 +587,12 @@ def classes(whole: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Dat
     dealt = posted(whole, order, naming, boundary, limits).repartition(tasks, "key", "salt")
     drawn = common.stored(dealt.mapInArrow(_candidates(boundary, limits.paired), "a long, b long, key long, n int, at int"), "candidates")
     order.destroy()
+    common.release(spark)
     sets = sets_of(whole, drawn, naming, limits)
     bits = common.stored(sets.groupBy("node").agg(F.min(F.struct("row", "n", "bits")).alias("x")).select("node", "x.*"), "bitmaps")
     checked, _ = verified(drawn.where(F.col("b").isNotNull()).select("a", "b"), bits, sets)
     labels = components(linked.unionByName(checked))
+    common.release(spark)
 
     # Long lists whose sets are not yet all connected.
     lists = drawn.where(F.col("key").isNotNull()).select("key", F.col("a").alias("node"), "n", "at")
@@ -601,6 +603,7 @@ def classes(whole: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Dat
         fresh, n = verified(left[0], bits, sets)
         labels, lists = merged(labels, fresh) if n else labels, left[1]
     common.discard(often, small, sets, bits)
+    common.release(spark)
     return members, labels
 
 

@@ -18,7 +18,7 @@ _BLANK[[9, 10, 11, 12, 13, 32]] = True
 _VALUE = np.random.default_rng(2024).integers(1, 2**63, 256, dtype=np.uint64)
 _BASE = np.uint64(0x9E3779B97F4A7C15)
 _BACK = np.uint64(pow(0x9E3779B97F4A7C15, -1, 2**64))
-_CHUNK = 1 << 22
+_CHUNK = 1 << 20
 
 
 def mix(x: np.ndarray) -> np.ndarray:
