@@ -440,9 +440,12 @@ def verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame) -> tuple[DataFr
     """The different pairs (a, b) whose sets link, stored, and their number; sets are compared, and moved, only where the
     bitmaps leave it open."""
 
-    met = _few(pairs.distinct(), "pairs")[0]
-    for of in ("b", "a"):
-        met = met.join(bits.select(F.col("node").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in ("n", "bits", "row"))), of)
+    few = _few(pairs.distinct(), "pairs")[0]
+
+    def side(of: str) -> DataFrame:
+        return few.join(bits.select(F.col("node").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in ("n", "bits", "row"))), of)
+
+    met = side("a").join(side("b"), ["a", "b"])
     met = met.select("a", "b", "n_a", "bits_a", "n_b", "bits_b", "row_a", "row_b")
     left, n = _few(met.mapInArrow(_open, "a long, b long, row_a long, row_b long"), "open")
     if not n:
@@ -544,7 +547,9 @@ def across(lists: DataFrame, labels: DataFrame, bits: DataFrame, boundary: int,
     sizes = nodes.groupBy("bundle").agg(F.count("*").alias("m"), F.count_if(F.expr("c <> bundle")).alias("outside"))
     sizes = common.stored(sizes.select("bundle", *(F.ceil(F.col(c) / limits.block).alias(c) for c in ("m", "outside"))), "bundle-sizes")
     # Cells (i, j): members of the block i, and sets outside the largest component of the block j.
-    of_bundle = nodes.join(sizes, "bundle").join(bits.select("node", "bits"), "node")
+    asked, _ = _few(nodes.select("node").distinct(), "bundled")
+    own = bits.select("node", "bits").join(asked, "node", "left_semi")
+    of_bundle = nodes.join(sizes, "bundle").join(own, "node")
     kept = ["bundle", "node", "n", "c", "lists", "bits"]
     member = of_bundle.select(*kept, F.lit(False).alias("side"), F.pmod(F.xxhash64("node"), "m").alias("i"), F.explode(F.expr("sequence(0L, outside - 1)")).alias("j"))
     side = of_bundle.where("c <> bundle").select(*kept, F.lit(True).alias("side"), F.explode(F.expr("sequence(0L, m - 1)")).alias("i"), F.pmod(F.xxhash64("node"), "outside").alias("j"))
