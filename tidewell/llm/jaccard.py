@@ -11,7 +11,8 @@ of a list with at least one large set are verified against the whole sets. The b
 subsets move, plus those that the lists of the other sets and the pairs in them move, are least.
 
 Before sets are compared, a bitmap of each (four to eight bits a shingle) bounds their overlap: a bit that only one of them
-has stands for a shingle that the other lacks. Only pairs that may reach the overlap they need are compared.
+has stands for a shingle that the other lacks. Only pairs that may reach the overlap they need are compared, and only the
+sets of those are made again from the texts: bitmaps are stored, whole sets never for longer than one comparison.
 
 No list is expanded into all its pairs. Lists of up to `paired` sets give their pairs; longer ones first give a star around
 one of their sets, and links become components. Of a list that still has several components, the sets outside its largest
@@ -32,7 +33,7 @@ from __future__ import annotations
 
 import functools
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from itertools import combinations
 from math import comb
@@ -59,8 +60,8 @@ class Limits:
     the order given to frequent shingles, 16 bytes each. counted: shingles that a task counts together; seen: how often one
     has to occur among them to be reported. paired: sets of a list up to which all its pairs are candidates at once.
     list_rows: posted shingles to a task. split: sets to a part of a list that is expected to be longer. block: sets to a
-    side of a cell; hubs: those that are tried first. known: names that a task remembers. filter_bits: of the filter of the
-    nodes that have candidates. name_bits: of a set's name."""
+    side of a cell; hubs: those that are tried first. known: names that a task remembers. filter_bits: of the filters of
+    nodes and texts that are needed. name_bits: of a set's name."""
 
     size: int = 5
     most_keys: int = 1 << 14
@@ -162,9 +163,10 @@ def _new(known: set[int], name: int, most: int) -> bool:
 
 
 def survey(whole: DataFrame, limits: Limits) -> DataFrame:
-    """A row for each document (doc_id, n, node, other, and its set if it may be small) and rows (shingle, seen) for frequent shingles."""
+    """A row for each document (doc_id, n, node, other, hash of its text, and its set if it may be small) and rows (shingle,
+    seen) for frequent shingles. whole: doc_id, text, text_key."""
     kind = whole.schema["doc_id"].dataType
-    schema = f"doc_id {kind.simpleString()}, n int, node long, other long, small array<long>, shingle long, seen long"
+    schema = f"doc_id {kind.simpleString()}, n int, node long, other long, text_key long, small array<long>, shingle long, seen long"
     largest, naming = most_small(limits.most_keys), Naming(limits)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -177,14 +179,14 @@ def survey(whole: DataFrame, limits: Limits) -> DataFrame:
             keep = times >= limits.seen
             found, times = found[keep].view(np.int64), times[keep]
             n = len(found)
-            return _batch({"doc_id": pa.nulls(n, ids), "n": pa.nulls(n, pa.int32()), "node": pa.nulls(n, pa.int64()), "other": pa.nulls(n, pa.int64()), "small": pa.nulls(n, pa.list_(pa.int64())), "shingle": pa.array(found), "seen": pa.array(times, pa.int64())})
+            return _batch({"doc_id": pa.nulls(n, ids), "n": pa.nulls(n, pa.int32()), "node": pa.nulls(n, pa.int64()), "other": pa.nulls(n, pa.int64()), "text_key": pa.nulls(n, pa.int64()), "small": pa.nulls(n, pa.list_(pa.int64())), "shingle": pa.array(found), "seen": pa.array(times, pa.int64())})
 
         for batch in batches:
             sets, ids = shingle_sets(batch.column(1).to_pylist(), limits.size), batch.column(0).type
             names = [naming.both(s) if len(s) else (None, None) for s in sets]
             small = [s.view(np.int64) if 0 < len(s) <= largest else None for s in sets]
             n = len(sets)
-            yield _batch({"doc_id": batch.column(0), "n": ([len(s) for s in sets], pa.int32()), "node": ([a for a, _ in names], pa.int64()), "other": ([b for _, b in names], pa.int64()), "small": (small, pa.list_(pa.int64())), "shingle": pa.nulls(n, pa.int64()), "seen": pa.nulls(n, pa.int64())})
+            yield _batch({"doc_id": batch.column(0), "n": ([len(s) for s in sets], pa.int32()), "node": ([a for a, _ in names], pa.int64()), "other": ([b for _, b in names], pa.int64()), "text_key": batch.column(2), "small": (small, pa.list_(pa.int64())), "shingle": pa.nulls(n, pa.int64()), "seen": pa.nulls(n, pa.int64())})
             for (name, _), s in zip(names, sets, strict=True):
                 if name is not None and _new(known, name, limits.known):
                     waiting.append(s)
@@ -386,40 +388,69 @@ def _candidates(boundary: int, paired: int):
     return run
 
 
-def _node_filter(drawn: DataFrame, bits: int) -> np.ndarray:
-    """A Bloom filter of the nodes of pairs and lists, one of fixed size a task, eight at most, united on the driver."""
+class Filter:
+    """A Bloom filter of 64-bit hashes, of fixed size."""
+
+    def __init__(self, bits: int):
+        self.bits, self.bytes = np.uint64(bits), np.zeros(bits // 8, dtype=np.uint8)
+
+    def add(self, hashes: np.ndarray) -> None:
+        at = hashes.view(np.uint64) % self.bits
+        np.bitwise_or.at(self.bytes, (at >> np.uint64(3)).astype(np.intp), np.uint8(1) << (at & np.uint64(7)).astype(np.uint8))
+
+    def holds(self, hashes: np.ndarray) -> np.ndarray:
+        at = hashes.view(np.uint64) % self.bits
+        return (self.bytes[(at >> np.uint64(3)).astype(np.intp)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1
+
+
+def _filter_of(rows: DataFrame, bits: int, among: Filter | None = None) -> Filter:
+    """A filter of the hashes in the columns of rows; with `among`, of those in the second column beside one in the first
+    that it holds. One of fixed size a task, eight at most, united on the driver."""
 
     def fill(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.zeros(bits, dtype=bool)
+        held = Filter(bits)
         for batch in batches:
-            for k in range(2):
-                held[batch.column(k).drop_null().to_numpy().view(np.uint64) % np.uint64(bits)] = True
-        yield _batch({"bits": ([zlib.compress(np.packbits(held).tobytes(), 1)], pa.binary())})
-
-    held = np.zeros(bits // 8, dtype=np.uint8)
-    for r in drawn.select("a", "b").coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
-        held |= np.frombuffer(zlib.decompress(bytes(r["bits"])), dtype=np.uint8)
-    return held
+            if sent is None:
+                for column in batch.columns:
+                    held.add(column.drop_null().to_numpy())
+            else:
+                held.add(batch.column(1).to_numpy()[sent.value.holds(batch.column(0).to_numpy())])
+        yield _batch({"bits": ([zlib.compress(held.bytes.tobytes(), 1)], pa.binary())})
+
+    sent = None if among is None else rows.sparkSession.sparkContext.broadcast(among)
+    out = Filter(bits)
+    for r in rows.coalesce(8).mapInArrow(fill, "bits binary").toLocalIterator():
+        out.bytes |= np.frombuffer(zlib.decompress(bytes(r["bits"])), dtype=np.uint8)
+    if sent is not None:
+        sent.destroy()
+    return out
 
 
-def sets_of(whole: DataFrame, drawn: DataFrame, naming: Naming, limits: Limits) -> DataFrame:
-    """row, node, n, bits, shingles: the whole sets, with their bitmaps, of the nodes that stand in pairs or lists (and of few
-    others), once while a task remembers them. They go from the texts to the shared folder without a shuffle."""
-    sent = whole.sparkSession.sparkContext.broadcast(_node_filter(drawn, limits.filter_bits))
+def sets_of(whole: DataFrame, named: DataFrame, wanted: DataFrame, naming: Naming, limits: Limits, whole_sets: bool) -> DataFrame:
+    """row, node, n, and bits or shingles: bitmaps or whole sets of the wanted nodes (and of few others), once while a task
+    remembers them. They go from the texts to the shared folder without a shuffle; a filter of the hashes of texts (from
+    named: node, text_key) spares those of other nodes, so only wanted ones are split into shingles."""
+    sc = whole.sparkSession.sparkContext
+    nodes = _filter_of(wanted, limits.filter_bits)
+    keys = _filter_of(named.where("node is not null").select("node", "text_key"), limits.filter_bits, nodes)
+    sent = sc.broadcast((nodes, keys))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = np.unpackbits(sent.value).astype(bool)
+        nodes, keys = sent.value
         known: set[int] = set()
+        read: set[int] = set()
         for batch in batches:
-            names, sets = [], []
-            for s in shingle_sets(batch.column(1).to_pylist(), limits.size):
-                if len(s) and held[np.uint64((name := naming(s)) % 2**64) % np.uint64(len(held))] and _new(known, name, limits.known):
-                    names.append(name)
-                    sets.append(s)
-            yield _batch({"node": (names, pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "bits": ([bitmap(s) for s in sets], pa.binary()), "shingles": _lists(sets)})
-
-    found = whole.mapInArrow(run, "node long, n int, bits binary, shingles array<long>")
-    out = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "sets")
+            key = batch.column(0).to_numpy()
+            of = [k for k in np.nonzero(keys.holds(key))[0].tolist() if _new(read, int(key[k]), limits.known)]
+            sets = [s for s in shingle_sets(batch.column(1).take(pa.array(of, pa.int64())).to_pylist(), limits.size) if len(s)]
+            names = np.array([naming(s) for s in sets], dtype=np.int64)
+            keep = [k for k in np.nonzero(nodes.holds(names))[0].tolist() if _new(known, int(names[k]), limits.known)]
+            sets = [sets[k] for k in keep]
+            content = _lists(sets) if whole_sets else pa.array([bitmap(s) for s in sets], pa.binary())
+            yield _batch({"node": (names[keep], pa.int64()), "n": ([len(s) for s in sets], pa.int32()), "shingles" if whole_sets else "bits": content})
+
+    found = whole.select("text_key", "text").mapInArrow(run, f"node long, n int, {'shingles array<long>' if whole_sets else 'bits binary'}")
+    out = common.stored(found.withColumn("row", F.monotonically_increasing_id()), "sets" if whole_sets else "maps")
     sent.destroy()
     return out
 
@@ -427,7 +458,7 @@ def sets_of(whole: DataFrame, drawn: DataFrame, naming: Naming, limits: Limits)
 def _open(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         columns = [batch.column(k).to_pylist() for k in range(2, 6)]
-        yield batch.select(["a", "b", "row_a", "row_b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
+        yield batch.select(["a", "b"]).filter(pa.array([may_link(*x) for x in zip(*columns, strict=True)], pa.bool_()))
 
 
 def _few(df: DataFrame, label: str) -> tuple[DataFrame, int]:
@@ -436,27 +467,31 @@ def _few(df: DataFrame, label: str) -> tuple[DataFrame, int]:
     return F.broadcast(held) if n <= FEW_PAIRS else held, n
 
 
-def verified(pairs: DataFrame, bits: DataFrame, sets: DataFrame) -> tuple[DataFrame, int]:
-    """The different pairs (a, b) whose sets link, stored, and their number; sets are compared, and moved, only where the
-    bitmaps leave it open."""
+def verified(pairs: DataFrame, bits: DataFrame, sets: Callable[[DataFrame], DataFrame]) -> tuple[DataFrame, int]:
+    """The different pairs (a, b) whose sets link, stored, and their number; sets (of the nodes in the columns of a table)
+    are made, moved and compared only where the bitmaps leave it open."""
 
     few = _few(pairs.distinct(), "pairs")[0]
 
     def side(of: str) -> DataFrame:
-        return few.join(bits.select(F.col("node").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in ("n", "bits", "row"))), of)
+        return few.join(bits.select(F.col("node").alias(of), *(F.col(c).alias(f"{c}_{of}") for c in ("n", "bits"))), of)
 
     met = side("a").join(side("b"), ["a", "b"])
-    met = met.select("a", "b", "n_a", "bits_a", "n_b", "bits_b", "row_a", "row_b")
-    left, n = _few(met.mapInArrow(_open, "a long, b long, row_a long, row_b long"), "open")
+    met = met.select("a", "b", "n_a", "bits_a", "n_b", "bits_b")
+    left, n = _few(met.mapInArrow(_open, "a long, b long"), "open")
     if not n:
-        return left.select("a", "b"), 0
-    firsts, _ = _few(left.select(F.col("row_a").alias("row")).distinct(), "open-rows")
-    asked = common.stored(sets.join(firsts, "row", "left_semi").select(F.col("row").alias("row_a"), F.col("shingles").alias("of_a")), "open-sets")
-    both = left.join(sets.select(F.col("row").alias("row_b"), F.col("shingles").alias("of_b")), "row_b").join(asked, "row_a")
+        return left, 0
+    made = sets(left.select("a", "b"))
+    # Tasks may have made the same set; one of them does.
+    first, _ = _few(made.groupBy("node").agg(F.min("row").alias("row")), "open-rows")
+    made = made.join(first.select("row"), "row", "left_semi")
+    asked, _ = _few(left.select("a").distinct(), "open-firsts")
+    of_a = common.stored(made.select(F.col("node").alias("a"), F.col("shingles").alias("of_a")).join(asked, "a", "left_semi"), "open-sets")
+    both = left.join(made.select(F.col("node").alias("b"), F.col("shingles").alias("of_b")), "b").join(of_a, "a")
     shared = F.size(F.array_intersect("of_a", "of_b"))
     linked = both.where(F.lit(100) * shared >= F.lit(75) * (F.size("of_a") + F.size("of_b") - shared))
     out = common.stored_rows(linked.select("a", "b"), "links")
-    common.discard(asked)
+    common.discard(made, of_a)
     return out
 
 
@@ -572,6 +607,7 @@ def classes(whole: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Dat
     """members (doc_id, of any type; n, node) and labels (node, component) of the nodes that link with another one, from
     rows (doc_id, text) without null texts. Stored tables."""
     spark = whole.sparkSession
+    whole = whole.select("doc_id", "text", F.xxhash64("text").alias("text_key"))
     found = common.stored(survey(whole, limits), "survey")
     rows = found.where(F.col("n").isNotNull())
     sizes = rows.where("n > 0").groupBy("node").agg(F.min("n").alias("n"), F.min("other").alias("low"), F.max("other").alias("high"))
@@ -579,6 +615,7 @@ def classes(whole: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Dat
     total = sizes.agg(posts, F.collect_set(F.when(F.col("low") != F.col("high"), F.col("node"))).alias("shared")).first()
     naming = Naming(limits, frozenset(total["shared"]))
     members = rows.select("doc_id", "n", naming.column().alias("node"))
+    named = rows.select(naming.column().alias("node"), "text_key")
     often = found.where(F.col("shingle").isNotNull()).groupBy("shingle").agg(F.sum("seen").alias("seen"))
     often = common.stored(often, "often")
     order = spark.sparkContext.broadcast(Order(*_most_frequent(often, limits.frequent)))
@@ -593,8 +630,14 @@ def classes(whole: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Dat
     drawn = common.stored(dealt.mapInArrow(_candidates(boundary, limits.paired), "a long, b long, key long, n int, at int"), "candidates")
     order.destroy()
     common.release(spark)
-    sets = sets_of(whole, drawn, naming, limits)
-    bits = common.stored(sets.groupBy("node").agg(F.min(F.struct("row", "n", "bits")).alias("x")).select("node", "x.*"), "bitmaps")
+    maps = sets_of(whole, named, drawn.select("a", "b"), naming, limits, False)
+    first = maps.groupBy("node").agg(F.min("row").alias("row"))
+    bits = common.stored(maps.join(_few(first, "map-rows")[0].select("row"), "row", "left_semi").select("node", "n", "bits"), "bitmaps")
+    common.discard(maps)
+
+    def sets(nodes: DataFrame) -> DataFrame:
+        return sets_of(whole, named, nodes, naming, limits, True)
+
     checked, _ = verified(drawn.where(F.col("b").isNotNull()).select("a", "b"), bits, sets)
     labels = components(linked.unionByName(checked))
     common.release(spark)
@@ -607,7 +650,7 @@ def classes(whole: DataFrame, limits: Limits = Limits()) -> tuple[DataFrame, Dat
             break
         fresh, n = verified(left[0], bits, sets)
         labels, lists = merged(labels, fresh) if n else labels, left[1]
-    common.discard(often, small, sets, bits)
+    common.discard(often, small, bits)
     common.release(spark)
     return members, labels
 
