@@ -10,6 +10,7 @@ from tidewell.llm.decontaminate import op4_decontaminate
 from tidewell.llm.html_text import op9_html_text
 from tidewell.llm.jaccard import OP6_SQL, op6_jaccard_join
 from tidewell.llm.language import op7_language_id
+from tidewell.llm.middle import OP11_SQL, op11_fill_in_middle
 from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
 from tidewell.llm.quality import op8_quality
@@ -28,6 +29,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality": op8_quality,
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
+    "op11_fill_in_middle": op11_fill_in_middle,
 }
 
 #: DuckDB twins of those queries that SQL can express.
@@ -35,4 +37,5 @@ SQL: dict[str, str] = {
     "op2_exact_topk": OP2_SQL,
     "op3_secret_scan": OP3_SQL,
     "op6_jaccard_join": OP6_SQL,
+    "op11_fill_in_middle": OP11_SQL,
 }
