@@ -11,6 +11,7 @@ from tidewell.llm.html_text import op9_html_text
 from tidewell.llm.jaccard import OP6_SQL, op6_jaccard_join
 from tidewell.llm.language import op7_language_id
 from tidewell.llm.middle import OP11_SQL, op11_fill_in_middle
+from tidewell.llm.negatives import OP12_SQL, op12_hard_negatives
 from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
 from tidewell.llm.quality import op8_quality
@@ -30,6 +31,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op9_html_text": op9_html_text,
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
+    "op12_hard_negatives": op12_hard_negatives,
 }
 
 #: DuckDB twins of those queries that SQL can express.
@@ -38,4 +40,5 @@ SQL: dict[str, str] = {
     "op3_secret_scan": OP3_SQL,
     "op6_jaccard_join": OP6_SQL,
     "op11_fill_in_middle": OP11_SQL,
+    "op12_hard_negatives": OP12_SQL,
 }
