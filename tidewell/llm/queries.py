@@ -11,6 +11,7 @@ from tidewell.llm.html_text import op9_html_text
 from tidewell.llm.jaccard import OP6_SQL, op6_jaccard_join
 from tidewell.llm.language import op7_language_id
 from tidewell.llm.middle import OP11_SQL, op11_fill_in_middle
+from tidewell.llm.multi_index import OP13_SQL, op13_embedding_dedup
 from tidewell.llm.negatives import OP12_SQL, op12_hard_negatives
 from tidewell.llm.packing import op5_best_fit_packing
 from tidewell.llm.pii import op1_sanitise
@@ -32,6 +33,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_token_counts": op10_token_counts,
     "op11_fill_in_middle": op11_fill_in_middle,
     "op12_hard_negatives": op12_hard_negatives,
+    "op13_embedding_dedup": op13_embedding_dedup,
 }
 
 #: DuckDB twins of those queries that SQL can express.
@@ -41,4 +43,5 @@ SQL: dict[str, str] = {
     "op6_jaccard_join": OP6_SQL,
     "op11_fill_in_middle": OP11_SQL,
     "op12_hard_negatives": OP12_SQL,
+    "op13_embedding_dedup": OP13_SQL,
 }
