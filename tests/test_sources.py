@@ -1,50 +1,138 @@
+import random
+
 import pytest
+from pyspark.sql import functions as F
 
+from tidewell.functions import text as tx
+from tidewell.sources import pages as pages_
 from tidewell.sources import parsers
 
 FEED = """<rss><channel><item><title>One &nbsp; two</title><link>https://a.example/x?utm_source=y</link><pubDate>Tue, 05 Mar 2024 10:00:00 +0000</pubDate><description>&lt;p&gt;Body&lt;/p&gt;</description></item><item><title>Three</title><guid>https://a.example/3</guid></item></channel></rss>"""
 ATOM = '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>T</title><link href="/p/1"/><updated>2024-03-05T00:00:00Z</updated><summary>s</summary></entry></feed>'
 COLUMNS = '{"filings": {"recent": {"accessionNumber": ["1", "2"], "title": ["A", "B"], "url": ["/a", "/b"], "filingDate": ["2024-01-01"]}}}'
 LISTING = '<a href="/news/one"><h3>The first headline</h3> March 5, 2024</a><a href="/news/one">Read more</a><a href="/news/two">Second headline here</a><a href="/">Home page of all</a>'
+PAGE = '<title>t</title><meta property="og:title" content="Real title"><link rel="canonical" href="/c"><article>Text of March 5, 2024.</article>'
 MARKDOWN = "# Changes\n\n## First thing — 2024-03-05\nText [more](/first?ref=x)\n\n## Second thing\nbody\n"
 SITEMAP = "<urlset><url><loc>https://a.example/1</loc><lastmod>2024-01-01</lastmod></url><sitemap><loc>https://a.example/map.xml</loc></sitemap></urlset>"
 
 
-def items(lane, payload, most=25):
-    out = parsers.parse_payload(lane, payload, "https://a.example/base", most)
+def items(lane, payload, most=25, base="https://a.example/base"):
+    out = parsers.parse_payload(lane, payload, base, most)
     assert out["error"] is None, out["error"]
     return out["items"]
 
 
+def read(spark, lane, *payloads, base="https://a.example/base", most=25):
+    rows = spark.createDataFrame([("j", k, lane, base, p, most) for k, p in enumerate(payloads)], "source_job_key string, seq long, parser_lane string, url string, payload string, max_items int")
+    return sorted(parsers.parse(rows).collect(), key=lambda r: (r["seq"], r["n"] or 0))
+
+
 def test_feeds():
     found = items("rss_atom", FEED)
-    assert [(x["title"], x["url"], x["body"]) for x in found] == [("One two", "https://a.example/x", "Body"), ("Three", "https://a.example/3", "")]
+    assert [(x["title"], x["url"], x["body"]) for x in found] == [("One two", "https://a.example/x", "Body"), ("Three", "https://a.example/3", "Three")]
     assert items("rss_atom", ATOM)[0]["url"] == "https://a.example/p/1" and len(items("rss_atom", FEED, 1)) == 1
+    bare = "<!DOCTYPE rss SYSTEM 'x'><rss><item><title>No link</title></item><item><guid>g</guid></item><item><title>Cut off</title></item></rss>"
+    assert [(x["title"], x["url"], x["item_id"]) for x in items("rss_atom", bare, 2)] == [("No link", "https://a.example/base", "https://a.example/base")]
+    bomb = "<!DOCTYPE r [<!ENTITY a 'x'><!ENTITY bb '&a;&a;'>]><rss><item><title>&bb;quiet</title></item></rss>"
+    assert items("rss_atom", bomb)[0]["title"] == "quiet"
 
 
 def test_json():
-    assert [(x["title"], x["published"]) for x in items("api", COLUMNS)] == [("A", "2024-01-01"), ("B", "")]
+    assert [(x["title"], x["published"], x["url"]) for x in items("api", COLUMNS)] == [("A", "2024-01-01", "https://a.example/a"), ("B", "", "https://a.example/b")]
     assert items("api", '{"results": [{"headline": "H", "link": "https://b.example/"}, 3]}')[0]["title"] == "H"
+    filings = '{"filings": {"recent": {"accessionNumber": ["1"], "form": ["8-K"], "filingDate": ["2024-01-01"]}}}'
+    assert [(x["title"], x["url"], x["item_id"]) for x in items("api", filings)] == [("8-K", "https://a.example/base", "1")]
+    assert [x["title"] for x in items("api", '[{"title": ""}, {"title": "b"}, {"title": "c"}]', 2)] == ["b"]
+    assert [x["title"] for x in items("api", '{"items": {}, "data": {"newsList": [{"name": "in"}]}}')] == []
+    assert [x["title"] for x in items("api", '{"title": "the object itself"}')] == ["the object itself"]
+    path = '{"data": {"articles": [{"title": "a", "path": "x y", "extra": {"introduction": "i", "date": "2024-01-01"}}]}}'
+    assert [(x["url"], x["body"], x["published"]) for x in items("api", path, base="https://qwen.ai/api")] == [("https://qwen.ai/blog?id=x+y", "i", "2024-01-01")]
 
 
-def test_listings_keep_the_best_card_of_a_url():
-    assert [(x["title"], x["published"]) for x in items("html", LISTING)] == [("The first headline", "March 5, 2024"), ("Second headline here", "")]
-    assert items("html", '<script>window._ROUTER = {"a": {"article_list": [{"title": "R", "url": "/r"}]}};</script>')[0]["title"] == "R"
-
-
-def test_documents_markdown_and_sitemaps():
-    page = '<title>t</title><meta property="og:title" content="Real title"><link rel="canonical" href="/c"><article>Text of March 5, 2024.</article>'
-    found = items("html_email", page)[0]
-    assert (found["title"], found["url"], found["published"]) == ("Real title", "https://a.example/c", "March 5, 2024")
+def test_markdown_and_sitemaps():
     assert [(x["title"], x["url"], x["published"]) for x in items("markdown", MARKDOWN)][1:] == [("First thing", "https://a.example/first", "2024-03-05"), ("Second thing", "https://a.example/base", "")]
     assert [(x["url"], x["summary"]) for x in items("sitemap_html", SITEMAP)] == [("https://a.example/1", ""), ("https://a.example/map.xml", "sitemap")]
 
 
-@pytest.mark.parametrize(("lane", "payload"), [("rss_atom", "<rss"), ("rss_atom", "<!DOCTYPE x><rss/>"), ("api", "{"), ("sitemap_html", "<!ENTITY a 'b'><x/>"), ("fax", "")])
+@pytest.mark.parametrize(("lane", "payload"), [("rss_atom", "<rss"), ("rss_atom", "<!DOCTYPE x [ <rss/>"), ("api", "{"), ("sitemap_html", "<!ENTITY a 'b'><x/>"), ("fax", "")])
 def test_a_bad_payload_is_a_value(lane, payload):
     assert parsers.parse_payload(lane, payload, "https://a.example/", 5)["error"]
 
 
+def test_cards_of_many_kinds(spark):
+    """The best card of a URL stays, where the first stood; dead elements, other hosts and other paths give none; the cap holds."""
+    listing, many = LISTING, "".join(f"<article><h2><a href='/p/{k}'>Title number {k}</a></h2></article>" for k in range(9))
+    nested = "<article><h2><a href='/outer'>Outer title</a></h2><p>More <div class='caption'><h3>Inner</h3><a href='/inner'>x</a> 2024-01-02</div></article>"
+    dead = "<form><article><h2><a href='/news/f'>In a form here</a></h2></article></form><script>var a = '<a href=/news/s>Script has a link</a>'</script>"
+    twice = "<article><h2><a href='/news/t'>News</a></h2></article><a href='/news/t'>A title that is longer than its card 2024-05-05</a>"
+    alike = "<div class='card'><a href='/news/a'></a><b>too short</b></div><div class='item'><div class='x'><a href='/news/b'>&gt;</a></div>Words enough to be a card</div>"
+    rows = read(spark, "html", listing, many, nested, dead, twice, alike, None, "", "plain words only", most=4)
+    by = lambda k: [(r["title"], r["url"].partition(".example")[2], r["published"]) for r in rows if r["seq"] == k and r["title"]]
+    assert by(0) == [("The first headline", "/news/one", "March 5, 2024"), ("Second headline here", "/news/two", None)]
+    assert [t for t, *_ in by(1)] == [f"Title number {k}" for k in range(4)]
+    assert by(2) == [("Outer title", "/outer", "2024-01-02"), ("Inner", "/inner", "2024-01-02")]
+    assert by(3) == [] and [r["n"] for r in rows if r["seq"] == 3] == [None]
+    assert by(4) == [("A title that is longer than its card", "/news/t", "2024-05-05")]
+    assert by(5) == [("Words enough to be a card", "/news/b", None)] or by(5) == [("> Words enough to be a card", "/news/b", None)]
+    assert by(6) == by(7) == [] and by(8) == [("plain words only", "/base", None)]
+
+
+def test_random_newsrooms_are_read_back(spark):
+    """Pages of cards of every kind, of which the right items are known as they are made."""
+    rng = random.Random(4)
+    pages, want = [], []
+    for page in range(40):
+        made, told = [], []
+        for k in range(rng.randint(1, 6)):
+            title, day, url = f"Title {page} of {k}", f"2024-{rng.randint(1, 12):02d}-{rng.randint(1, 28):02d}", f"/news/{page}-{k}"
+            kind = rng.randrange(6)
+            made.append(
+                (
+                    f"<article><h2><a href='{url}'>{title}</a></h2><time datetime='{day}'></time><p>{'x ' * rng.randint(0, 9)}</p></article>",
+                    f"<div class='w'><div class='big press-release-box'><h4>{title}</h4><span class='publish'>{day}</span><a href='{url}'>go</a></div></div>",
+                    f"<a href='{url}'><div><div class='news-card'><i class='Headline'>{title}</i> {day}</div></div></a>",
+                    f"<div role='listitem'><p data-title='{title}' data-date-published='{day}'></p>Words about it all<div><a href='{url}'></a></div></div>",
+                    f"<p><a href='{url}'><h3>{title}</h3> {day}</a>",
+                    f"<div><a href='{url}?utm_source=q'>{title} {day} Read more at length</a></div>",
+                )[kind]
+            )
+            told.append(((0, k) if kind == 0 else (1, k) if kind == 1 else (2, k) if kind == 2 else (9, k), title, f"https://a.example{url}", day))
+        pages.append(f"<html><body><nav><a href='/blog/'>Blog of this site</a></nav><main>{''.join(made)}</main></body></html>")
+        want.append([x[1:] for x in sorted(told)])
+    rows = read(spark, "html", *pages)
+    for page in range(40):
+        got = [(r["title"], r["url"], r["published"]) for r in rows if r["seq"] == page]
+        assert got == want[page], pages[page]
+
+
+def test_documents(spark):
+    rows = read(spark, "document", PAGE, "<h1>Only a heading</h1>", "<p>no title</p>", "<meta property='og:title' content=''><title>unread</title>", "<title>T</title><main><div class='release-date'>Jul 21, 2024</div><p>On May 1, 2023</p></main>")
+    assert [(r["title"], r["url"], r["published"], r["body"]) for r in rows if r["title"]] == [
+        ("Real title", "https://a.example/c", "March 5, 2024", "Text of March 5, 2024."),
+        ("Only a heading", "https://a.example/base", None, "Only a heading"),
+        ("T", "https://a.example/base", "Jul 21, 2024", "Jul 21, 2024 On May 1, 2023"),
+    ]
+    assert len(rows) == 5
+
+
+def test_page_trees():
+    nodes = pages_.tree("<ul><li>a<li>b<br>c</ul></b><p>x<p>y</article><script>if (a < b) {}</script>tail", "https://a.example/")
+    at = {n[5]: n for n in nodes if n[5]}
+    inside = lambda text: [n[2] for n in nodes if n[2] and n[0] < at[text][0] <= n[1]]
+    assert inside("a") == ["#root", "ul", "li"] and inside("c") == ["#root", "ul", "li"] and inside("y") == ["#root", "p"]
+    assert at["if (a < b) {}"][6] and not at["tail"][6] and inside("tail") == ["#root", "p"]
+    assert nodes[0][1] == len(nodes) - 1
+
+
+@pytest.mark.parametrize(
+    ("said", "want"),
+    [("Aug. 31, 2024", "2024-08-31 00:00:00"), ("31st August 2024", "2024-08-31 00:00:00"), ("Sept 5, 2024 10:15 PM EST", "2024-09-06 03:15:00"), ("Mon, 26 Aug 2024 10:00:00 GMT", "2024-08-26 10:00:00"), ("Tuesday, 27 August 2024 at 1:05 a.m.", "2024-08-27 01:05:00"), ("2024-08-24T19:33:02.123+02:00", "2024-08-24 17:33:02.123"), ("2024-08-24 19:33", "2024-08-24 19:33:00"), ("8/24/2024", "2024-08-24 00:00:00"), ("24/8/2024", "2024-08-24 00:00:00"), ("20240824", "2024-08-24 00:00:00"), ("2024 Aug 24", "2024-08-24 00:00:00"), ("24-Aug-2024", "2024-08-24 00:00:00"), ("12:00 AM", None), ("2024-13-01", None), ("31 Feb 2024", None), ("Augustus 1, 2024", None), ("soon", None), ("", None), (None, None)],
+)
+def test_dates_as_pages_write_them(spark, said, want):
+    got = spark.createDataFrame([(said,)], "c string").select(tx.parse_lenient_time(F.col("c")).cast("string").alias("x")).first()["x"]
+    assert got == want
+
+
 def test_parse_and_walk(spark):
     jobs = spark.createDataFrame([("j1", 1, "rss_atom", "https://a.example/", FEED, 5), ("j2", 2, "api", "https://a.example/", "{", 5)], "source_job_key string, seq long, parser_lane string, url string, payload string, max_items int")
     rows = parsers.parse(jobs).collect()

@@ -62,10 +62,43 @@ def parse_cell_time(c: Column) -> Column:  # S4
     return F.coalesce(parse_aware_time(c), bare)
 
 
-def parse_lenient_time(c: Column) -> Column:  # S5, the formats that occur in feeds and pages
-    text = F.regexp_replace(F.regexp_replace(F.trim(c), r"(?<=\d)(st|nd|rd|th)\b", ""), r"^[A-Za-z]{3},\s+", "")
-    formats = ("yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd'T'HH:mm:ss", "yyyy-MM-dd HH:mm:ss", "yyyy-M-d", "yyyy/M/d", "MMMM d, yyyy", "MMM d, yyyy", "MMMM d yyyy", "MMM d yyyy", "d MMMM yyyy", "d MMM yyyy", "d MMM yyyy HH:mm:ss Z", "d MMM yyyy HH:mm:ss z")
-    return F.coalesce(parse_aware_time(c), *(F.try_to_timestamp(text, F.lit(f)) for f in formats))
+def let(value: Column, body) -> Column:
+    """body(value), where the value is computed once however often the body names it."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
+# Zones by the minutes that they are ahead of UTC.
+ZONES = {"UTC": 0, "GMT": 0, "Z": 0, "EST": -300, "EDT": -240, "CST": -360, "CDT": -300, "MST": -420, "MDT": -360, "PST": -480, "PDT": -420, "CET": 60, "CEST": 120}
+_CLOCK = r"(\d{1,2}):(\d{2})(?::(\d{2}))?(?: ([ap]m))?"
+_NAMES = "jan|feb|mar|apr|may|jun|jul|aug|sep|oct|nov|dec"
+
+
+def parse_lenient_time(c: Column) -> Column:  # S5
+    """Dates as feeds and pages write them: in numbers, month before day where both fit, or with a month's name, in either order; then a
+    time of day, an offset or zone, if any. Weekdays, commas, ordinals and dots after months say nothing. Without a zone it is UTC."""
+    text = F.lower(F.trim(c))
+    for pattern, by in ((r"^(?:mon|tue|wed|thu|fri|sat|sun)[a-z]*[,.]?\s+", ""), (r"(?<=\d)(?:st|nd|rd|th)\b", ""), (r"\b([a-z]{3,9})\.(?=\s)", "$1"), (r"(?<=\d)t(?=\d)", " "), (r"\s+at\s+|,\s*|\s+", " "), (r"(?<=:\d{2})\.\d+", ""), (r"\s*\b([ap])\.?m\.?(?=\s|$)", " $1m")):
+        text = F.regexp_replace(text, pattern, by)
+    text = F.regexp_replace(text, rf"(?i)\b{_MONTH}\b", "<$0>")  # a month's name, whole
+
+    def of(x: Column) -> Column:
+        g = lambda k: F.get(x, F.lit(k))
+        day, month, name = g(1), g(2), F.substring(g(2), 2, 3)
+        month_no = F.element_at(mapping({m: k + 1 for k, m in enumerate(_NAMES.split("|"))}), name)
+        date = F.coalesce(
+            *(F.when(day.rlike(p), F.try_to_timestamp(day, F.lit(f))) for p, f in ((r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{8}$", "yyyyMMdd"))),
+            F.when(day.rlike(r"^(?:<[a-z]+> \d{1,2} \d{4}|\d{1,2}[ -]<[a-z]+>[ -]\d{4}|\d{4} <[a-z]+> \d{1,2})$") & (month != ""), F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(day, r"\d{4}", 0), month_no.cast("string"), F.regexp_extract(day, r"(?<!\d)(\d{1,2})(?!\d)", 1)), F.lit("yyyy-M-d"))),
+        )
+        hour, minute, second = (F.coalesce(g(k).try_cast("int"), F.lit(0)) for k in (3, 4, 5))
+        half = g(6)
+        sound = (hour < 24) & (minute < 60) & (second < 60) & ((half == "") | hour.between(1, 12))
+        clock = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0)) * 3600 + minute * 60 + second
+        ahead = F.coalesce(F.element_at(mapping(ZONES), F.upper(g(7))), F.when(g(8) == "-", -1).otherwise(1) * (g(9).try_cast("int") * 60 + g(10).try_cast("int")), F.lit(0))
+        return F.when(sound, F.timestamp_seconds(F.unix_seconds(date) + clock - F.when(g(3) != "", ahead).otherwise(0) * 60))
+
+    whole = rf"^(.*?)(?: {_CLOCK}(?: ?(?:({'|'.join(ZONES).lower()})|([+-])(\d{{2}}):?(\d{{2}})))?)?$"
+    groups = lambda t: F.array(F.lit(""), F.regexp_extract(t, whole, 1), F.regexp_extract(t, r"<[a-z]+>", 0), *(F.regexp_extract(t, whole, k) for k in range(2, 10)))
+    return F.coalesce(parse_aware_time(c), let(text, lambda t: let(groups(t), of)))
 
 
 def parse_list(c: Column, lowercase: bool = False) -> Column:  # S6

@@ -216,8 +216,8 @@ def html_title_text(spark, d):  # SC11, S15 as expressions
 
 @query("parse_pages")
 def parse_pages(spark, d):  # SC10, SC11, SC15, SC16
-    jobs = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("source_job_key"), F.col("page_id").alias("seq"), F.when(F.col("page_id") % 2 == 0, "html").otherwise("html_email").alias("parser_lane"), "url", F.col("html").alias("payload"), F.lit(25).alias("max_items"))
-    return parsers.parse(jobs)
+    jobs = table(spark, d, "pages").select(F.col("page_id").cast("string").alias("source_job_key"), F.col("page_id").alias("seq"), F.when(F.col("page_id") % 2 == 0, "html").otherwise("document").alias("parser_lane"), "url", F.col("html").alias("payload"), F.lit(25).alias("max_items"))
+    return parsers.parse(jobs, ("html", "document"))
 
 
 @query("money_extract", None)

@@ -28,9 +28,9 @@ class Params:
     editorial: bool = True
 
 
-def collect(jobs: DataFrame, payloads: DataFrame, p: Params) -> DataFrame:
+def collect(jobs: DataFrame, payloads: DataFrame, p: Params, lanes: tuple[str, ...] | None = None) -> DataFrame:
     """jobs and payloads (source_job_key, seq, parser_lane, url, payload, max_items) to candidates."""
-    return cd.candidates(parsers.parse(payloads), jobs, p.run_id, F.lit(p.as_of))
+    return cd.candidates(parsers.parse(payloads, lanes), jobs, p.run_id, F.lit(p.as_of))
 
 
 def novel(candidates: DataFrame, known: DataFrame) -> DataFrame:
@@ -80,7 +80,7 @@ def page_candidates(spark, d):
     pages = table(spark, d, "pages")
     host = tx.url_host(F.col("url"))
     jobs = pages.select(host.alias("source_job_key")).distinct().select("source_job_key", F.col("source_job_key").alias("source_id"), F.lit("ai_radar").alias("section"), F.lit("P1").alias("priority"), F.lit(True).alias("primary_source"), F.lit(False).alias("discovery_only"), F.array(F.regexp_replace("source_job_key", r"^(www|m)\.", "")).alias("allowed_domains"), F.concat(F.lit("https://"), "source_job_key", F.lit("/")).alias("resolved_url"))
-    payloads = pages.select(host.alias("source_job_key"), F.col("page_id").alias("seq"), F.lit("html_email").alias("parser_lane"), "url", F.col("html").alias("payload"), F.lit(1).alias("max_items"))
-    made = collect(jobs, payloads, Params("RUN-1", "2024-01-25 00:00:00"))
+    payloads = pages.select(host.alias("source_job_key"), F.col("page_id").alias("seq"), F.lit("document").alias("parser_lane"), "url", F.col("html").alias("payload"), F.lit(1).alias("max_items"))
+    made = collect(jobs, payloads, Params("RUN-1", "2024-01-25 00:00:00"), ("document",))
     known = made.where("false").select("candidate_id", "content_sha256")
     return novel(made, known).select("source_job_key", "candidate_id", "canonical_url", "content_sha256", F.length("body_text").alias("n_body"))

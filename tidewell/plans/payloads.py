@@ -14,47 +14,90 @@ from tidewell.sources import parsers
 KINDS: dict[str, tuple[str, str, list[dict[str, str]]]] = {
     "feed_items": (  # SC7, S15, S16
         "rss_atom",
-        "<rss><channel><title>All parts</title><item><title>{name} &amp;  more</title><link>https://base.example/p/{key}?utm_source=x&amp;b=1&amp;a=2</link><guid>g{key}</guid><pubDate>Tue, 05 Mar 2024 10:00:00 +0000</pubDate><description>&lt;p&gt;About &lt;b&gt;{name}&lt;/b&gt;&lt;/p&gt;</description></item><item><title>no link</title></item><item><title>Second&nbsp;{key}</title><guid>/q/{key}</guid></item></channel></rss>",
+        "<!DOCTYPE rss [<!ENTITY x 'y'>]><rss><channel><title>All parts</title><item><title>{name} &amp;  more</title><link>https://base.example/p/{key}?utm_source=x&amp;b=1&amp;a=2</link><guid>g{key}</guid><pubDate>Tue, 05 Mar 2024 10:00:00 +0000</pubDate><description>&lt;p&gt;About &lt;b&gt;{name}&lt;/b&gt;&lt;/p&gt;</description></item><item><title>Nowhere else</title></item><item><description>no title</description></item><item><title>Second&nbsp;{key}</title><guid>/q/{key}</guid></item></channel></rss>",
         [
-            {"title": "{name} & more", "url": "https://base.example/p/{key}?a=2&b=1", "item_id": "g{key}", "published": "Tue, 05 Mar 2024 10:00:00 +0000", "summary": "About {name}", "body": "About {name}"},
-            {"title": "Second {key}", "url": "https://base.example/q/{key}", "item_id": "/q/{key}"},
+            {"title": "{name} & more", "url": "https://base.example/p/{key}?a=2&b=1", "item_id": "g{key}", "published": "Tue, 05 Mar 2024 10:00:00 +0000", "body": "About {name}"},
+            {"title": "Nowhere else", "url": "https://base.example/list", "item_id": "https://base.example/list", "body": "Nowhere else"},
+            {"title": "Second {key}", "url": "https://base.example/q/{key}", "item_id": "/q/{key}", "body": "Second {key}"},
         ],
     ),
     "atom_items": (  # SC7
         "rss_atom",
         '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>{name}</title><link rel="self" href="/self"/><link href="/e/{key}"/><id>tag:{key}</id><updated>2024-03-05T00:00:00Z</updated><content>&lt;i&gt;Long&lt;/i&gt; text</content><summary>Short</summary></entry></feed>',
-        [{"title": "{name}", "url": "https://base.example/e/{key}", "item_id": "tag:{key}", "published": "2024-03-05T00:00:00Z", "summary": "Short", "body": "Long text"}],
+        [{"title": "{name}", "url": "https://base.example/e/{key}", "item_id": "tag:{key}", "published": "2024-03-05T00:00:00Z", "body": "Long text"}],
     ),
     "api_items": (  # SC8, SC15
         "api",
-        '{"results": [{"headline": "{name}", "link": "/p/{key}", "id": {key}, "pubDate": "2024-01-02", "description": "d {key}", "content": "<p>x <b>{name}</b></p>"}, {"title": "", "url": "/none"}, 3, {"title": "Other", "url": "https://other.example:443//a//b"}]}',
+        '{"total": 3, "results": [{"headline": "{name}", "link": "/p/{key}", "id": {key}, "publishedAt": "2024-01-02", "content": "<p>x <b>{name}</b></p>"}, {"title": "", "url": "/none"}, 3, {"title": "Other", "href": "https://other.example:443//a//b", "extra": {"introduction": "In {key}", "date": "2024-02-02"}}, {"name": "Nowhere else"}]}',
         [
-            {"title": "{name}", "url": "https://base.example/p/{key}", "item_id": "{key}", "published": "2024-01-02", "summary": "d {key}", "body": "x {name}"},
-            {"title": "Other", "url": "https://other.example/a/b"},
+            {"title": "{name}", "url": "https://base.example/p/{key}", "item_id": "{key}", "published": "2024-01-02", "body": "x {name}"},
+            {"title": "Other", "url": "https://other.example/a/b", "item_id": "https://other.example:443//a//b", "published": "2024-02-02", "body": "In {key}"},
+            {"title": "Nowhere else", "url": "https://base.example/list", "item_id": "https://base.example/list", "body": "Nowhere else"},
         ],
     ),
+    "release_items": (  # SC8: containers within containers
+        "api",
+        '{"data": {"releases": [{"form": "Release of {name}", "documentNumber": "D-{key}", "html_url": "/r/{key}", "acceptanceDateTime": "2024-03-01T10:00:00Z", "abstract": "A {name}"}]}, "newsList": [{"title": "never read"}]}',
+        [{"title": "Release of {name}", "url": "https://base.example/r/{key}", "item_id": "D-{key}", "published": "2024-03-01T10:00:00Z", "body": "A {name}"}],
+    ),
+    "news_list_items": (  # SC8
+        "api",
+        '{"total": 1, "newsList": [{"title": "{name} grows", "link": "/news/{key}/", "date": "17 February 2024"}]}',
+        [{"title": "{name} grows", "url": "https://base.example/news/{key}/", "item_id": "/news/{key}/", "published": "17 February 2024", "body": "{name} grows"}],
+    ),
     "columnar_items": (  # SC9 in payloads
         "api",
-        '{"filings": {"recent": {"accessionNumber": ["{key}", "2"], "title": ["{name}", "B"], "url": ["/a/{key}", "/b"], "filingDate": ["2024-01-01"]}}}',
-        [{"title": "{name}", "url": "https://base.example/a/{key}", "item_id": "{key}", "published": "2024-01-01"}, {"title": "B", "url": "https://base.example/b", "item_id": "2"}],
+        '{"filings": {"recent": {"accessionNumber": ["{key}", "2"], "form": ["8-K", "10-Q"], "primaryDocument": ["f{key}.htm", "second.htm"], "filingDate": ["2024-01-01"]}}}',
+        [
+            {"title": "f{key}.htm", "url": "https://base.example/list", "item_id": "{key}", "published": "2024-01-01", "body": "f{key}.htm"},
+            {"title": "second.htm", "url": "https://base.example/list", "item_id": "2", "body": "second.htm"},
+        ],
     ),
-    "listing_items": (  # SC10, W4
+    "listing_items": (  # SC10, W4: anchors as cards
         "html",
-        '<div><a href="/news/{key}">Read more</a></div><a href="/news/{key}"><h3>The headline of {name}</h3> March 5, 2024</a><a href="/">Home page of all</a><a href="/news/x">Second headline here</a>',
+        '<div><a href="/news/{key}">Read more</a></div><a href="/news/{key}"><h3>The headline of {name}</h3> March 5, 2024</a><a href="/">Home page of all</a><a href="/about-us">About all of us here</a><a href="https://else.example/news/x">Others have headlines too</a><a href="/news/x">Second headline here</a>',
         [
-            {"title": "The headline of {name}", "url": "https://base.example/news/{key}", "item_id": "https://base.example/news/{key}", "published": "March 5, 2024", "summary": "The headline of {name} March 5, 2024"},
-            {"title": "Second headline here", "url": "https://base.example/news/x", "item_id": "https://base.example/news/x", "summary": "Second headline here"},
+            {"title": "The headline of {name}", "url": "https://base.example/news/{key}", "item_id": "https://base.example/news/{key}", "published": "March 5, 2024", "body": "The headline of {name} March 5, 2024"},
+            {"title": "Second headline here", "url": "https://base.example/news/x", "item_id": "https://base.example/news/x", "body": "Second headline here"},
         ],
     ),
-    "document_items": (  # SC11, S15
+    "overlay_items": (  # SC10: empty anchors over cards
+        "html",
+        '<main><div class="grid"><div class="resource-item" role="listitem"><div data-title="Loan to {name}" data-date-start="Aug 25, 2024"></div><a href="/news/o{key}"></a><p>A facility closed.</p></div><div class="swiper-slide"><span class="published-date">August 8, 2024</span><h4>Second card of {key}</h4><a href="/research/s{key}"><img src="x"></a></div></div></main><div><a href="/news/lost"></a></div>',
+        [
+            {"title": "Loan to {name}", "url": "https://base.example/news/o{key}", "item_id": "https://base.example/news/o{key}", "published": "Aug 25, 2024", "body": "A facility closed."},
+            {"title": "Second card of {key}", "url": "https://base.example/research/s{key}", "item_id": "https://base.example/research/s{key}", "published": "August 8, 2024", "body": "August 8, 2024 Second card of {key}"},
+        ],
+    ),
+    "card_items": (  # SC10: cards by selectors
+        "html",
+        '<article data-id="a{key}"><h2><a href="/story/{key}?gclid=t">{name} story</a></h2><form>no <input></form><time datetime="2024-09-01">today</time><p>Closed.</p></article><section class="cards__card card"><h3>Deal of {key}</h3><div><a href="/deal/{key}">A loan.</a></div><div class="card__date">Aug 31, 2024</div></section><a href="/wrapped/{key}"><div class="news-card"><b class="headline">Wrapped {key}</b> 14 Aug 2024</div></a><article><h2><a href="mailto:x@y.example">Contact us</a></h2></article><li class="xCardContent" data-variants="1"><a href="/v/{key}">Variant {key}</a></li><li class="xCardContent">No variant</li>',
+        [
+            {"title": "{name} story", "url": "https://base.example/story/{key}", "item_id": "a{key}", "published": "2024-09-01", "body": "{name} story today Closed."},
+            {"title": "Wrapped {key}", "url": "https://base.example/wrapped/{key}", "item_id": "https://base.example/wrapped/{key}", "published": "14 Aug 2024", "body": "Wrapped {key} 14 Aug 2024"},
+            {"title": "Deal of {key}", "url": "https://base.example/deal/{key}", "item_id": "https://base.example/deal/{key}", "published": "Aug 31, 2024", "body": "Deal of {key} A loan. Aug 31, 2024"},
+            {"title": "Variant {key}", "url": "https://base.example/v/{key}", "item_id": "https://base.example/v/{key}", "body": "Variant {key}"},
+        ],
+    ),
+    "single_items": (  # SC10, SC11: a page without cards, dated by its linked data
         "html_email",
+        '<html><head><title>t</title><script type="application/ld+json">{"@graph": [{"author": {"datePublished": "soon"}}, {"mainEntity": {"datePublished": "2024-05-06T07:08:09Z"}}]}</script></head><body><p>Menu</p><main><h1>Letter {key}</h1><p>Text of {name}, May 1, 2024.</p></main></body></html>',
+        [{"title": "Letter {key}", "url": "https://base.example/list", "item_id": "https://base.example/list", "published": "2024-05-06T07:08:09Z", "body": "Letter {key} Text of {name}, May 1, 2024."}],
+    ),
+    "document_items": (  # SC11, S15
+        "document",
         '<html><head><title>t</title><meta property="og:title" content="Page of {name}"><meta name="description" content="D {key}"><link rel="canonical" href="/c/{key}"></head><body><p>Menu</p><article><p>Text of <b>{name}</b></p><script>var x = 1</script><p>on March 5, 2024.</p></article></body></html>',
-        [{"title": "Page of {name}", "url": "https://base.example/c/{key}", "item_id": "https://base.example/list", "published": "March 5, 2024", "summary": "D {key}", "body": "Text of {name} on March 5, 2024."}],
+        [{"title": "Page of {name}", "url": "https://base.example/c/{key}", "item_id": "https://base.example/c/{key}", "published": "March 5, 2024", "body": "Text of {name} on March 5, 2024."}],
+    ),
+    "dated_items": (  # SC11: metadata before linked data before prose
+        "document",
+        '<head><meta name="twitter:title" content="Card {key}"><meta name="publish-date" content="2024-04-04"><meta property="og:url" content="/og/{key}"><meta property="og:description" content="Told by {name}"><script type="application/ld+json">{"datePublished": "2023-01-01"}</script></head><body><main></main><h1>Other</h1></body>',
+        [{"title": "Card {key}", "url": "https://base.example/og/{key}", "item_id": "https://base.example/og/{key}", "published": "2024-04-04", "body": "Told by {name}"}],
     ),
     "router_items": (  # SC12
         "html",
-        '<script>window._ROUTER_DATA = {"x": [1, {"loader": {"article_list": [{"title": "{name}", "url": "/r/{key}", "date": "2024-02-03"}]}}]};</script>',
-        [{"title": "{name}", "url": "https://base.example/r/{key}", "published": "2024-02-03"}],
+        '<script>window._ROUTER_DATA = {"x": [1, {"loader": {"article_list": [{"ArticleMeta": {"ArticleID": {key}, "PublishDate": 1706918400000}, "ArticleSubContentEn": {"Title": "{name}", "TitleKey": "r {key}", "Abstract": "<b>New</b> {name}"}}, {"ArticleMeta": {}}]}}]}</script><article><h1>never read</h1></article>',
+        [{"title": "{name}", "url": "https://base.example/en/blog/r%20{key}", "item_id": "{key}", "published": "2024-02-03T00:00:00Z", "body": "New {name}"}],
     ),
     "sitemap_items": (  # SC13
         "sitemap_html",
@@ -80,6 +123,7 @@ def _filled(template: str) -> Column:
 
 
 def _sql(items: list[dict[str, str]]) -> str:
+    items = [x | {"summary": x.get("summary", x.get("body", ""))} for x in items]
     text = lambda x: "replace(replace('" + x.replace("'", "''") + "', '{name}', p_name), '{key}', cast(p_partkey as varchar))"
     rows = (f"select p_partkey, cast({n} as integer) as n, " + ", ".join(f"{text(x.get(c, ''))} as {c}" for c in parsers.FIELDS) + " from part" for n, x in enumerate(items))
     return " union all ".join(rows)
@@ -89,7 +133,7 @@ def _register(name: str, lane: str, payload: str, items: list[dict[str, str]]) -
     @query(name, _sql(items))
     def run(spark, d):
         rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("source_job_key"), F.col("p_partkey").alias("seq"), F.lit(lane).alias("parser_lane"), F.lit("https://base.example/list").alias("url"), _filled(payload).alias("payload"), F.lit(25).alias("max_items"))
-        return parsers.parse(rows).select(F.col("seq").alias("p_partkey"), "n", *parsers.FIELDS)
+        return parsers.parse(rows, (lane,)).select(F.col("seq").alias("p_partkey"), "n", *(F.coalesce(c, F.lit("")).alias(c) for c in parsers.FIELDS))
 
 
 for _name, (_lane, _payload, _items) in KINDS.items():

@@ -1,7 +1,7 @@
-"""Payload parsers: feeds, JSON, listings, documents, sitemaps, Markdown into one item schema.
+"""Payload parsers: feeds, JSON, sitemaps, Markdown and pages into one item schema.
 
-Formats that Spark reads are expressions; markup goes through one Arrow pass a payload column, with errors as values so
-that one bad payload fails no other.
+Feeds, JSON and Markdown go through one small Python pass a payload, with errors as values so that one bad payload fails no other.
+Listing pages and documents are read as trees, by expressions (pages.py).
 """
 
 from __future__ import annotations
@@ -10,133 +10,53 @@ import json
 import re
 import xml.etree.ElementTree as ET
 from collections.abc import Iterator
-from html.parser import HTMLParser
-from urllib.parse import parse_qsl, urlencode, urljoin, urlsplit, urlunsplit
+from functools import reduce
+from urllib.parse import quote, urlsplit
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewell.functions import text as tx
+from tidewell.sources import pages as pg
+from tidewell.sources.pages import FIELDS, ITEM, html_text, item, said
+from tidewell.sources.urls import canonical
 
-ITEM = "struct<title:string,url:string,item_id:string,published:string,summary:string,body:string>"
 ITEMS = f"struct<items:array<{ITEM}>,error:string>"
-FIELDS = ("title", "url", "item_id", "published", "summary", "body")
-# Keys under which JSON services hold their records, and names of their fields.
-CONTAINERS = ("items", "results", "articles", "entries", "data", "posts", "filings", "documents")
-ALIASES = {"title": ("title", "headline", "name"), "url": ("url", "link", "html_url", "canonical_url"), "item_id": ("id", "guid", "slug", "accessionNumber"), "published": ("published_at", "published", "pubDate", "date", "filingDate", "updated"), "summary": ("summary", "description", "excerpt"), "body": ("body", "content", "content_html", "text")}
-# Fixed value: hosts whose records come in no order and are read newest first.
-NEWEST_FIRST = ("qwen.ai",)
-ACTIVE_TAGS = ("script", "style", "noscript", "template", "form", "iframe", "object", "embed")
-
-
-def item(**x: str | None) -> dict[str, str | None]:
-    return {k: (" ".join(str(v).split()) if k != "body" and v is not None else v) or "" for k, v in ((f, x.get(f)) for f in FIELDS)}
-
-
-def canonical(url: str, base: str) -> str:  # S10 with relative URLs and international hosts
-    parts = urlsplit(urljoin(base, url.strip()))
-    host = (parts.hostname or "").rstrip(".").lower()
-    if not parts.scheme or not host or parts.username is not None:
-        raise ValueError("no usable URL")
-    host = host.encode("idna").decode("ascii")
-    port = "" if parts.port is None or (parts.scheme, parts.port) == ("https", 443) else f":{parts.port}"
-    query = sorted((k, v) for k, v in parse_qsl(parts.query, keep_blank_values=True) if k.lower() not in tx.TRACKING)
-    return urlunsplit((parts.scheme.lower(), host + port, re.sub("/{2,}", "/", parts.path or "/"), urlencode(query), ""))
-
-
-class _Text(HTMLParser):
-    """Text, links, headings and metadata of a page, with anchors as cards."""
-
-    def __init__(self):
-        super().__init__(convert_charrefs=True)
-        self.skip = 0
-        self.parts: list[str] = []
-        self.cards: list[dict] = []
-        self.anchor: dict | None = None
-        self.meta: dict[str, str] = {}
-        self.open_title = self.open_h1 = False
-        self.title, self.h1, self.time = "", "", ""
-        self.main: list[str] = []
-        self.in_main = 0
-
-    def handle_starttag(self, tag, attrs):
-        a = {k: v or "" for k, v in attrs}
-        if tag in ACTIVE_TAGS and tag != "embed":
-            self.skip += 1
-        elif tag == "a" and a.get("href"):
-            self.anchor = {"href": a["href"], "text": [], "heading": "", "time": ""}
-        elif tag in ("h1", "h2", "h3", "h4") and self.anchor is not None:
-            self.anchor["heading"] = "open"
-        elif tag == "time":
-            self.time = self.time or a.get("datetime", "")
-            if self.anchor is not None:
-                self.anchor["time"] = a.get("datetime", "")
-        elif tag == "meta":
-            self.meta.setdefault((a.get("property") or a.get("name") or "").lower(), a.get("content", ""))
-        elif tag == "link" and a.get("rel", "").lower() == "canonical":
-            self.meta["canonical"] = a.get("href", "")
-        elif tag in ("article", "main"):
-            self.in_main += 1
-        self.open_title |= tag == "title"
-        self.open_h1 |= tag == "h1"
-
-    def handle_endtag(self, tag):
-        if tag in ACTIVE_TAGS and self.skip:
-            self.skip -= 1
-        elif tag == "a" and self.anchor is not None:
-            self.cards.append(self.anchor)
-            self.anchor = None
-        elif tag in ("article", "main"):
-            self.in_main -= 1
-        self.open_title &= tag != "title"
-        self.open_h1 &= tag != "h1"
-
-    def handle_data(self, data):
-        if self.skip:
-            return
-        if self.open_title:
-            self.title += data
-            return
-        self.parts.append(data)
-        if self.in_main > 0:
-            self.main.append(data)
-        if self.open_h1:
-            self.h1 += data
-        if self.anchor is not None:
-            self.anchor["text"].append(data)
-
-
-def html_text(raw: str | None) -> str:  # S15
-    raw = raw or ""
-    if "<" not in raw and "&" not in raw:
-        return " ".join(raw.split())
-    reader = _Text()
-    reader.feed(raw)
-    reader.close()
-    return " ".join(" ".join(reader.parts).split())
+# Keys under which JSON services hold their records, in the order in which they are looked for, and names of the fields
+# of a record, and of those in its `extra`.
+CONTAINERS = ("items", "results", "data", "releases", "articles", "entries", "filings", "newsList")
+ALIASES = {
+    "title": ("title", "headline", "name", "primaryDocument", "form", "description"),
+    "url": ("canonical_url", "html_url", "url", "link", "href"),
+    "item_id": ("id", "guid", "accessionNumber", "accession_number", "documentNumber"),
+    "published": ("published_at", "published", "publishedAt", "date", "filingDate", "acceptanceDateTime", "created_at", "updated_at"),
+    "body": ("body_text", "body", "summary", "description", "abstract", "text", "content"),
+}
+EXTRA = {"body": ("introduction", "description", "summary"), "published": ("date", "published_at")}
+# Fixed value: the host whose records come in no order and are read newest first, and whose articles are named by `path`.
+NEWEST_FIRST = "qwen.ai"
 
 
 def parse_feed(payload: str, base: str, most: int) -> list[dict]:  # SC7, S16
+    """The first `most` entries, those without a title excepted. A link falls back on the entry's id, then on the base; a body on the title.
+    Document types are cut out, so that no entity of theirs is ever read."""
     text = re.sub(r"&(?!(?:amp|apos|gt|lt|quot);)([A-Za-z][A-Za-z0-9]+);", lambda m: "&#160;" if m[1].lower() == "nbsp" else " ", payload)
-    if re.search(r"<!(?:DOCTYPE|ENTITY)", text, re.I):
-        raise ValueError("document types are not accepted")
+    text = re.sub(r"<!DOCTYPE[^>\[]*(?:\[.*?\]\s*)?>", "", text, count=1, flags=re.I | re.S)
     root = ET.fromstring(text.strip())
     name = lambda e: e.tag.rpartition("}")[2]
     out = []
-    for e in (x for x in root.iter() if name(x) in ("item", "entry")):
+    for e in [x for x in root.iter() if name(x) in ("item", "entry")][:most]:
         held: dict[str, str] = {}
         for c in e:
             value = (c.text or "").strip() or (c.get("href", "") if name(c) == "link" and c.get("rel", "alternate") == "alternate" else "")
             if value:
                 held.setdefault(name(c), value)
-        link = held.get("link") or held.get("guid", "")
-        body = html_text(held.get("encoded") or held.get("content") or held.get("summary") or held.get("description"))
-        if held.get("title") and link:
-            out.append(item(title=html_text(held["title"]), url=canonical(link, base), item_id=held.get("guid") or held.get("id") or link, published=held.get("pubDate") or held.get("published") or held.get("updated") or held.get("date"), summary=html_text(held.get("summary") or held.get("description")), body=body))
-        if len(out) == most:
-            break
+        title, own = html_text(held.get("title")), held.get("guid") or held.get("id")
+        link = held.get("link") or own or base
+        body = html_text(held.get("encoded") or held.get("content") or held.get("summary") or held.get("description")) or title
+        if title:
+            out.append(item(title=title, url=canonical(link, base), item_id=own or link, published=held.get("pubDate") or held.get("published") or held.get("updated") or held.get("date"), body=body))
     return out
 
 
@@ -152,89 +72,39 @@ def newest_first(records: list) -> list:  # T7
     return sorted(records, key=instant, reverse=True)
 
 
-def parse_api(payload: str, base: str, most: int) -> list[dict]:  # SC8, SC9
-    def records(x) -> list:
-        if isinstance(x, list):
-            return x
-        if isinstance(x, dict):
-            for k in CONTAINERS:
-                if isinstance(x.get(k), dict) and isinstance(x[k].get("recent"), dict):
-                    x = {**x, k: x[k]["recent"]}
-                if isinstance(x.get(k), dict) and all(isinstance(v, list) for v in x[k].values()) and x[k]:
-                    longest = max(map(len, x[k].values()))
-                    return [{c: v[i] if i < len(v) else None for c, v in x[k].items()} for i in range(longest)]
-                if isinstance(x.get(k), list | dict):
-                    return records(x[k])
-            return [x]
-        raise ValueError("no records")
+def records(x) -> list[dict]:  # SC8, SC9
+    """The records of a JSON answer: columns of recent filings as rows, else a list, else what the first container holds, else the object itself."""
+    if isinstance(x, list):
+        return [r for r in x if isinstance(r, dict)]
+    if not isinstance(x, dict):
+        return []
+    recent = x["filings"].get("recent") if isinstance(x.get("filings"), dict) else None
+    columns = {k: v for k, v in recent.items() if isinstance(v, list)} if isinstance(recent, dict) else {}
+    if longest := max(map(len, columns.values()), default=0):
+        return [{k: v[i] if i < len(v) else None for k, v in columns.items()} for i in range(longest)]
+    for held in (x[k] for k in CONTAINERS if isinstance(x.get(k), list | dict)):
+        if isinstance(held, list) or records(held):
+            return records(held)
+    return [x]
 
-    out = []
+
+def parse_api(payload: str, base: str, most: int) -> list[dict]:  # SC8, SC9
+    """The first `most` records, those without a title excepted. A URL falls back on the base, a body on the title."""
     held_in = records(json.loads(payload))
-    if (urlsplit(base).hostname or "").lower() in NEWEST_FIRST:
+    own_host = (urlsplit(base).hostname or "").lower()
+    if own_host == NEWEST_FIRST:
         held_in = newest_first(held_in)
-    for r in held_in:
-        if not isinstance(r, dict):
-            continue
-        held = {f: next((str(r[n]) for n in names if r.get(n) not in (None, "")), "") for f, names in ALIASES.items()}
-        if held["title"] and held["url"]:
-            out.append(item(**{**held, "url": canonical(held["url"], base), "body": html_text(held["body"])}))
-        if len(out) == most:
-            break
+    out = []
+    for r in held_in[:most]:
+        extra = r.get("extra")
+        held = {f: html_text(said(r, names)) if f == "title" else said(r, names) for f, names in ALIASES.items()}
+        link = held["url"] or (f"/blog?id={quote(str(r['path']).strip())}" if NEWEST_FIRST in own_host and str(r.get("path") or "").strip() else "") or base
+        body = html_text(said(extra, EXTRA["body"]) or held["body"]) or held["title"]
+        if held["title"]:
+            out.append(item(title=held["title"], url=canonical(link, base), item_id=held["item_id"] or link, published=held["published"] or said(extra, EXTRA["published"]), body=body))
     return out
 
 
-def parse_listing(payload: str, base: str, most: int) -> list[dict]:  # SC10, W4
-    """Anchors as cards: the best one of a URL (dated, headed, longer title), in order of first appearance."""
-    reader = _Text()
-    reader.feed(payload)
-    reader.close()
-    best: dict[str, tuple[tuple, dict]] = {}
-    for card in reader.cards:
-        text = " ".join(" ".join(card["text"]).split())
-        title = re.sub(tx.CALL_TO_ACTION, " ", re.sub(tx.DATE_HINT, " ", text))
-        title = " ".join(title.split()).strip(" -|:")[:300]
-        try:
-            url = canonical(card["href"], base)
-        except ValueError:
-            continue
-        if len(title) < 8 or urlsplit(url).path in ("", "/"):
-            continue
-        hint = re.search(tx.DATE_HINT, text)
-        published = card["time"] or (hint[0] if hint else "")
-        quality = (bool(published), bool(card["heading"]), len(title))
-        if url not in best or quality > best[url][0]:
-            best[url] = (quality, item(title=title, url=url, item_id=url, published=published, summary=text))
-    return [x for _, x in best.values()][:most]
-
-
-def parse_document(payload: str, base: str, most: int = 1) -> list[dict]:  # SC11
-    reader = _Text()
-    reader.feed(payload)
-    reader.close()
-    title = reader.meta.get("og:title") or reader.h1 or reader.title
-    if not title.strip():
-        raise ValueError("page without title")
-    body = " ".join(" ".join(reader.main or reader.parts).split())
-    hint = re.search(tx.DATE_HINT, body)
-    published = reader.meta.get("article:published_time") or reader.meta.get("date") or reader.time or (hint[0] if hint else "")
-    return [item(title=title, url=canonical(reader.meta.get("canonical") or base, base), item_id=base, published=published, summary=reader.meta.get("description", ""), body=body)]
-
-
-def parse_router(payload: str, base: str, most: int) -> list[dict]:  # SC12
-    """Records of the first `article_list` found breadth first in JSON that a script assigns."""
-    for m in re.finditer(r"<script[^>]*>\s*(?:window\.)?_?[A-Za-z_.]*\s*=?\s*(\{.*?\})\s*;?\s*</script>", payload, re.S):
-        try:
-            queue = [json.loads(m[1])]
-        except ValueError:
-            continue
-        while queue:
-            x = queue.pop(0)
-            if isinstance(x, dict) and isinstance(x.get("article_list"), list):
-                return parse_api(json.dumps(x["article_list"]), base, most)
-            queue += [v for v in (x.values() if isinstance(x, dict) else x) if isinstance(v, dict | list)]
-    return []
-
-
 def parse_sitemap(payload: str, base: str, most: int) -> list[dict]:  # SC13
     """Locations with their dates; those of nested sitemaps have `sitemap` as their summary."""
     if re.search(r"<!(?:DOCTYPE|ENTITY)", payload, re.I):
@@ -270,30 +140,57 @@ def parse_markdown(payload: str, base: str, most: int) -> list[dict]:  # SC14
     return out
 
 
-BY_LANE = {"rss_atom": parse_feed, "api": parse_api, "html": parse_listing, "html_email": parse_document, "sitemap_html": parse_sitemap, "markdown": parse_markdown}
+BY_LANE = {"rss_atom": parse_feed, "api": parse_api, "sitemap_html": parse_sitemap, "markdown": parse_markdown}
+#: Lanes whose payloads are read as trees: listings, and pages that are one document.
+LISTINGS, DOCUMENTS = ("html", "html_email"), ("document",)
 
 
 def parse_payload(lane: str, payload: str | None, base: str, most: int) -> dict:  # SC15
     try:
-        found = BY_LANE[lane](payload or "", base, most)
-        if lane == "html" and not found:
-            found = parse_router(payload or "", base, most)
-        return {"items": found, "error": None}
+        return {"items": BY_LANE[lane](payload or "", base, most), "error": None}
     except Exception as e:  # noqa: BLE001  an error is a value of this row
         return {"items": [], "error": f"{type(e).__name__}: {e}"[:300]}
 
 
-def parse(payloads: DataFrame) -> DataFrame:
+def parse(payloads: DataFrame, lanes: tuple[str, ...] | None = None) -> DataFrame:
     """Rows (source_job_key, seq, parser_lane, url, payload, max_items) become one row an item, with `n` in order of
-    appearance; a payload that fails gives one row with `error` and no item."""
+    appearance; a payload that fails, or that has none, gives one row without an item, with its `error` if there is one.
+    lanes: those that occur, where that is known, so that the plan has no part for others."""
+    columns = payloads.select("source_job_key", "seq", "parser_lane", "url", "payload", "max_items")
+    small = columns.where(~F.col("parser_lane").isin(*LISTINGS, *DOCUMENTS) | F.col("parser_lane").isNull())
+    parts = [read_payloads(small)] if lanes is None or set(lanes) - {*LISTINGS, *DOCUMENTS} else []
+    parts += [f(columns) for f, own in ((read_pages, LISTINGS), (read_documents, DOCUMENTS)) if lanes is None or set(lanes) & set(own)]
+    return reduce(DataFrame.unionByName, parts)
+
+
+def read_payloads(columns: DataFrame) -> DataFrame:
+    """Items of the lanes that are no pages."""
+    key = ["source_job_key", "seq"]
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for f in frames:
             f["parsed"] = [parse_payload(*x) for x in zip(f["parser_lane"], f["payload"], f["url"], f["max_items"], strict=True)]
             yield f[["source_job_key", "seq", "parsed"]]
 
-    parsed = payloads.select("source_job_key", "seq", "parser_lane", "url", "payload", "max_items").mapInPandas(run, f"source_job_key string, seq long, parsed {ITEMS}")
-    return parsed.select("source_job_key", "seq", F.col("parsed.error").alias("error"), F.posexplode_outer("parsed.items").alias("n", "item")).select("source_job_key", "seq", "n", "error", "item.*")
+    small = columns.mapInPandas(run, f"source_job_key string, seq long, parsed {ITEMS}")
+    return small.select(*key, F.col("parsed.error").alias("error"), F.posexplode_outer("parsed.items").alias("n", "item")).select(*key, "n", "error", "item.*")
+
+
+def _read(payloads: DataFrame, lanes: tuple[str, ...]) -> DataFrame:
+    base = F.coalesce(tx.canonical_url(F.col("url")), F.col("url"))
+    return pg.trees(payloads.where(F.col("parser_lane").isin(*lanes)).select("source_job_key", F.col("seq").cast("long").alias("seq"), "url", "payload", "max_items")).withColumn("base", base).drop("payload")
+
+
+def read_pages(payloads: DataFrame) -> DataFrame:  # SC10, SC12
+    """Items of listings: those of a registry for a router where the page has one, else its cards."""
+    return pg.cards(_read(payloads, LISTINGS), ["source_job_key", "seq"]).withColumn("error", F.lit(None).cast("string")).select("source_job_key", "seq", "n", "error", *FIELDS)
+
+
+def read_documents(payloads: DataFrame) -> DataFrame:  # SC11
+    """Pages as one document each; a page without a title or a body gives no item."""
+    whole = F.col("title").isNotNull() & F.col("body").isNotNull()
+    made = pg.documents(_read(payloads, DOCUMENTS))
+    return made.select("source_job_key", "seq", F.when(whole, 0).alias("n"), F.lit(None).cast("string").alias("error"), *(F.when(whole, F.col(c)).alias(c) for c in FIELDS))
 
 
 def transpose(df: DataFrame, columns: dict[str, Column]) -> DataFrame:  # SC9 as expressions
@@ -305,9 +202,6 @@ def markdown_sections(text: Column) -> Column:  # SC14 as an expression
     return F.filter(F.split(text, r"(?m)^(?=#{1,4}\s)"), lambda s: s.rlike(r"^#{1,4}\s"))
 
 
-html_text_udf = F.pandas_udf(lambda s: s.map(html_text), T.StringType())
-
-
 def payload_pages(pages: DataFrame, jobs: DataFrame) -> DataFrame:  # SC16: fetched pages are an input table
     """Payloads of jobs from a table of fetched pages (url, status, body); a status of 304 means an empty body."""
     return jobs.join(pages.withColumnRenamed("url", "resolved_url"), "resolved_url", "left").withColumn("payload", F.when(F.col("status") == 304, "").otherwise(F.col("body")))
@@ -323,7 +217,7 @@ def walk_sitemaps(pages: DataFrame, roots: DataFrame, most_pages: int = 3, most_
     for _ in range(most_pages):
         budget = F.least(F.lit(most_items), F.lit(most_pages) - F.col("place"))
         fetched = front.join(pages, "url").select(F.col("root").alias("source_job_key"), F.col("place").cast("long").alias("seq"), F.lit("sitemap_html").alias("parser_lane"), "url", F.col("body").alias("payload"), budget.alias("max_items"))
-        listed = parse(fetched).where("title is not null").select(F.col("source_job_key").alias("root"), "seq", "n", "url", "published", F.col("summary") == "sitemap")
+        listed = read_payloads(fetched.select("source_job_key", "seq", "parser_lane", "url", "payload", "max_items")).where("title is not null").select(F.col("source_job_key").alias("root"), "seq", "n", "url", "published", F.col("summary") == "sitemap")
         listed = listed.toDF("root", "seq", "n", "url", "published", "nested").join(front.groupBy("root").agg(F.max("used").alias("used")), "root")
         # The queue goes on behind what earlier levels have fetched.
         placed = listed.withColumn("place", F.col("used") + F.row_number().over(Window.partitionBy("root").orderBy("seq", "n")))
