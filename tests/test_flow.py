@@ -15,7 +15,7 @@ P = flow.Params("RUN-9", "2024-01-25 00:00:00")
 
 @pytest.fixture(scope="module")
 def jobs(spark):
-    return spark.createDataFrame([("s1", "s1", "deal_tape", "P0", False, False, ["news.example"], "https://news.example/"), ("s2", "s2", "ai_radar", "P1", True, False, ["other.example"], "https://other.example/")], "source_job_key string, source_id string, section string, priority string, primary_source boolean, discovery_only boolean, allowed_domains array<string>, resolved_url string")
+    return spark.createDataFrame([("s1", "s1", "deal_tape", "P0", False, False, ["news.example"], "https://news.example/", "B"), ("s2", "s2", "ai_radar", "P1", True, False, ["other.example"], "https://other.example/", "A")], "source_job_key string, source_id string, section string, priority string, primary_source boolean, discovery_only boolean, allowed_domains array<string>, resolved_url string, source_class string")
 
 
 @pytest.fixture(scope="module")

@@ -1,6 +1,6 @@
 import datetime as dt
 import random
-from collections import defaultdict
+from collections import defaultdict, deque
 
 import pytest
 from pyspark.sql import functions as F
@@ -130,48 +130,80 @@ def test_anti_join_chain_equals_or(spark):
     assert {r["event_id"] for r in out.collect()} == {i for i, c, h in events if c not in ids and h not in hashes}
 
 
-def round_robin_in_order(rows: list[dict], passes: list[tuple], lane: str = "lane", source: str = "source_id") -> list[tuple[int, int]]:
-    """The same by visiting rows one by one, also with repeated URLs or content: (pos, pass_no) of the chosen rows. passes:
-    (predicate, target, per_source). For pools of at most a run's size, by an exact rule that windows cannot state."""
-    rows = sorted(rows, key=lambda r: r["pos"])
-    chosen: list[tuple[int, int]] = []
-    used: dict[str, int] = defaultdict(int)
-    urls: set[str] = set()
-    hashes: set[str] = set()
-    gone: set[int] = set()
-    for number, (wanted, target, per_source) in enumerate(passes):
-        queues: dict[str, dict[str, list[dict]]] = {x: {} for x in select.LANE_ORDER}
-        for r in rows:
-            if r["pos"] not in gone and wanted(r):
-                queues[r[lane]].setdefault(r[source], []).append(r)
+def selection_in_order(rows: list[dict], passes: list[tuple], per_job: int = 2) -> list[tuple[int, int]]:
+    """The same by visiting rows one by one: (pos, pass) of the chosen ones in order. passes: (predicate, most, more, per_source)."""
+    chosen: list[dict] = []
+    numbers: list[int] = []
+    used = lambda field, r: sum(c[field] == r[field] for c in chosen)
+    for number, (wanted, most, more, per_source) in enumerate(passes):
+        target = min(most, len(chosen) + (most if more is None else more))
+        lists: dict[str, dict[str, list[dict]]] = {x: {} for x in select.LANE_ORDER}
+        for r in sorted(filter(wanted, rows), key=lambda r: r["pos"]):
+            lists[r["lane"]].setdefault(r["source_id"], []).append(r)
         depth = 0
-        while len(chosen) < target and any(len(q) > depth for by in queues.values() for q in by.values()):
-            waiting = {x: [q[depth] for q in by.values() if len(q) > depth] for x, by in queues.items()}
-            while len(chosen) < target and any(waiting.values()):
-                for x in select.LANE_ORDER:
-                    while waiting[x] and len(chosen) < target:
-                        r = waiting[x].pop(0)
-                        if used[r[source]] < per_source and r["url"] not in urls and r["hash"] not in hashes:
-                            chosen.append((r["pos"], number))
-                            used[r[source]] += 1
-                            urls.add(r["url"])
-                            hashes.add(r["hash"])
-                            gone.add(r["pos"])
-                            break
+        while any(len(q) > depth for by in lists.values() for q in by.values()):
+            moved = True
+            while moved and len(chosen) < target:
+                moved = False
+                for by in lists.values():
+                    fit = (q[depth] for q in by.values() if len(q) > depth)
+                    fit = (r for r in fit if not used("url", r) and not used("hash", r) and used("job", r) < per_job and used("source_id", r) < per_source)
+                    if len(chosen) < target and (r := next(fit, None)):
+                        chosen.append(r)
+                        numbers.append(number)
+                        moved = True
             depth += 1
-    return chosen
+    return [(r["pos"], n) for r, n in zip(chosen, numbers, strict=True)]
+
+
+def _pool(rng: random.Random, n: int, sources: int, values: int) -> list[dict]:
+    return [
+        {"pos": i, "source_id": (s := f"s{rng.randint(0, sources)}"), "job": f"{s}-{rng.randint(0, 1)}", "lane": rng.choice(select.LANE_ORDER), "url": f"u{rng.randint(0, values)}", "hash": f"h{rng.randint(0, 3 * values)}", "web": rng.random() < 0.3, "debt": rng.random() < 0.3}
+        for i in range(n)
+    ]
+
+
+def _passes(n: int, web: int, debt: int) -> list[tuple]:
+    return [(lambda r: not r["web"] and not r["debt"], n - web - debt, None, 1), (lambda r: r["debt"] and not r["web"], n - web, debt, 1), (lambda r: r["web"], n, web, 1), (lambda r: True, n, None, 1), (lambda r: True, n, None, 2)]
+
+
+def test_rotation_in_rounds_equals_the_sequential_rule():
+    """5,000 random pools with repeated URLs and contents; rounds offer few rows at first, so that they stop and go on everywhere."""
+    for seed in range(5000):
+        rng = random.Random(seed)
+        rows, n, offer, deep = _pool(rng, rng.randint(0, 40), rng.randint(1, 8), rng.randint(3, 30)), rng.randint(1, 25), rng.randint(1, 5), rng.randint(1, 3)
+        passes, selection = _passes(n, min(2, n), min(1, n - min(2, n))), select.Selection(2)
+        for number, (wanted, most, more, per_source) in enumerate(passes):
+            target, step = min(most, len(selection.rows) + (most if more is None else more)), select.Pass(None, most, more, per_source)
+            at, depth, seen, first = select._State(), deep, defaultdict(int), {}
+            pool = []
+            for r in sorted(filter(wanted, rows), key=lambda r: r["pos"]):
+                by = (r["lane"], r["source_id"])
+                pool.append(r | {"key": r["pos"], "source": r["source_id"], "depth": seen[by], "first": first.setdefault(by, r["pos"])})
+                seen[by] += 1
+            said = ""
+            while len(selection.rows) < target and said != "done":
+                full = {j for j, k in selection.jobs.items() if k >= 2} | {s for s, k in selection.sources.items() if k >= per_source} | selection.urls | selection.hashes
+                left = sorted((r for r in pool if at.depth <= r["depth"] <= depth and (r["depth"] == depth or not full & {r["job"], r["source"], r["url"], r["hash"]})), key=lambda r: (r["depth"], r["first"]))
+                offered = {x: deque([r for r in left if r["lane"] == x][:offer]) for x in select.LANE_ORDER}
+                whole = {x: len(q) < offer for x, q in offered.items()}
+                said = select._rotate(offered, whole, depth, at, selection, number, step, target)
+                depth = depth * 8 if said == "deeper" else depth
+        assert selection.rows == selection_in_order(rows, passes), seed
+
+
+@pytest.mark.parametrize("seed", range(3))
+def test_balanced_selection_equals_the_sequential_rule(spark, seed):
+    rng = random.Random(seed)
+    rows = _pool(rng, (400, 90, 30)[seed], (5, 30, 4)[seed], (200, 20, 9)[seed])
+    passes = [select.Pass(p, *rest) for p, (_, *rest) in zip((~F.col("web") & ~F.col("debt"), F.col("debt") & ~F.col("web"), F.col("web"), F.lit(True), F.lit(True)), _passes(20, 4, 2), strict=True)]
+    got = select.balanced(spark.createDataFrame(rows), passes, F.struct("pos"), "pos", "url", "hash", "job", offer=5, deep=3).orderBy("place").select("pos", "pass_no").collect()
+    assert [tuple(r) for r in got] == selection_in_order(rows, _passes(20, 4, 2))
 
 
-@pytest.mark.parametrize("seed", range(6))
-def test_round_robin_windows_equal_the_sequential_rule(spark, seed):
-    rng = random.Random(seed)
-    rows = [{"pos": i, "source_id": f"s{rng.randint(0, 9)}", "url": f"u{i}", "hash": f"h{i}", "web": rng.random() < 0.3} for i in range(rng.randint(5, 80))]
-    for r in rows:
-        r["lane"] = select.LANE_ORDER[int(r["source_id"][1:]) % 3]
-    target = rng.randint(3, 40)
-    got = select.round_robin(spark.createDataFrame(rows), [select.Pass(~F.col("web"), target // 2), select.Pass(F.col("web"), target, 1), select.Pass(F.lit(True), target, 2)]).select("pos", "pass_no").collect()
-    want = round_robin_in_order(rows, [(lambda r: not r["web"], target // 2, 1), (lambda r: r["web"], target, 1), (lambda r: True, target, 2)])
-    assert sorted(map(tuple, got)) == sorted(want)
+def test_nothing_to_select_from(spark):
+    none = spark.createDataFrame([], "pos long, source_id string, job string, lane string, url string, hash string")
+    assert select.balanced(none, [select.Pass(F.lit(True), 9)], F.struct("pos"), "pos", "url", "hash", "job").collect() == []
 
 
 def test_streaks(spark):

@@ -15,6 +15,10 @@ from tidewell.sources import candidates as cd
 from tidewell.sources import parsers
 
 
+# Fixed value: candidates that a run reviews at most, whatever it asks for.
+MOST_REVIEWS = 60
+
+
 @dataclass(frozen=True)
 class Params:
     """Everything that a run does not read from tables. as_of is a literal, so a run can be repeated."""
@@ -50,16 +54,20 @@ def screened(candidates: DataFrame, rules: DataFrame, strict: DataFrame, exclude
 
 
 def selected(candidates: DataFrame, watch_terms: DataFrame, p: Params) -> DataFrame:
-    """At most `reviews` candidates: general registry sources first, then reserved places, then what is left."""
+    """At most `reviews` candidates: general registry sources first, then places kept for secondary reports of deals and for web finds, as far as
+    there are any, then whatever is left, first one a source, then a second."""
     watched = cd.watch_hits(candidates, watch_terms, F.concat_ws(" ", "title", "summary_text", "body_text"), "candidate_id")
     scored = watched.withColumn("signal", select.priority_signal(F.col("section"), F.col("title"), F.col("summary_text"))).withColumn("lane", tx.operating_lane(F.col("section")))
-    order = Window.orderBy(*select.candidate_order("hits", "primary_source", "priority", "signal", "published_at", "candidate_id"))
-    placed = scored.withColumn("pos", F.row_number().over(order)).persist()  # the screened rows of one run, in their total order
     web = F.startswith("source_id", F.lit("WEB-"))
-    debt = (F.col("section") == "deal_tape") & ~F.col("primary_source") & ~F.col("discovery_only")
-    n, anyone = p.reviews, F.lit(True)
-    passes = [select.Pass(~web & ~debt, n - p.web_reserve - p.debt_reserve), select.Pass(debt & ~web, n - p.web_reserve), select.Pass(web, n), select.Pass(anyone, n), select.Pass(anyone, n, 2)]
-    return select.round_robin(placed, passes)
+    debt = ~web & (F.col("section") == "deal_tape") & ~F.col("primary_source") & ~F.col("discovery_only") & F.col("source_class").isin("B", "C")
+    debt = F.coalesce(debt, F.lit(False))
+    there = candidates.agg(F.count_if(web).alias("web"), F.count_if(debt).alias("debt")).first()
+    n = min(p.reviews, MOST_REVIEWS)
+    kept_web = min(p.web_reserve, there["web"], n)
+    kept_debt = min(p.debt_reserve, there["debt"], max(0, n - kept_web))
+    passes = [select.Pass(~web & ~debt, n - kept_web - kept_debt), select.Pass(debt, n - kept_web, kept_debt), select.Pass(web, n, kept_web), select.Pass(F.lit(True), n), select.Pass(F.lit(True), n, per_source=2)]
+    place = select.candidate_place("hits", "primary_source", "priority", "signal", "published_at", "candidate_id")
+    return select.balanced(scored, passes, place, "candidate_id", "canonical_url", "content_sha256", "source_job_key")
 
 
 def verified(selection: DataFrame, analysis: DataFrame, text: Column) -> DataFrame:
@@ -68,10 +76,10 @@ def verified(selection: DataFrame, analysis: DataFrame, text: Column) -> DataFra
 
 
 def ranked(events: DataFrame, history: DataFrame, p: Params, limit: int = 60) -> DataFrame:
-    """Unpublished events in order of score, recency and id."""
+    """Unpublished events in order of score (none: confidence), recency and id."""
     left = keys.unpublished(events, history, {"event_id": ["raw_event_id", "event_id", "candidate_id"], "candidate_id": ["raw_event_id", "event_id", "candidate_id"], "content_hash": ["content_hash"], "canonical_url": ["canonical_url"]})
     recent = left.withColumn("recency", rank.recency(F.lit(p.as_of).cast("timestamp"), F.col("published_at")))
-    return rank.rank(recent.withColumn("score", F.coalesce("editorial_score", F.lit(0))), "event_id", "score", "recency", "event_id", limit)
+    return rank.rank(recent.withColumn("score", F.coalesce("editorial_score", *(["confidence"] if "confidence" in events.columns else []), F.lit(0))), "event_id", "score", "recency", "event_id", limit)
 
 
 @query("page_candidates")

@@ -12,12 +12,13 @@ from tidewell.operators import filters, keys, select
 def candidates(items: DataFrame, jobs: DataFrame, run_id: str, retrieved_at) -> DataFrame:  # SC20, S12, S13, S32
     """Candidates of items joined to their job: canonical URL (the job's own where the host is not allowed), capped texts,
     content hash and id; the first row of each id within a job stays."""
-    joined = items.where("error is null and title is not null").join(jobs.select("source_job_key", "source_id", "section", "priority", "primary_source", "discovery_only", "allowed_domains", "resolved_url"), "source_job_key")
+    tier = (F.col("source_class") if "source_class" in jobs.columns else F.lit(None).cast("string")).alias("source_class")
+    joined = items.where("error is null and title is not null").join(jobs.select("source_job_key", "source_id", "section", "priority", "primary_source", "discovery_only", "allowed_domains", "resolved_url", tier), "source_job_key")
     url = tx.canonical_url(F.col("url"))
     url = F.when(filters.host_allowed(tx.url_host(url), F.col("allowed_domains")), url).otherwise(tx.canonical_url(F.col("resolved_url")))
     title, body = tx.truncated(tx.collapse(F.col("title")), 500), tx.truncated(F.col("body"), 50_000)
     made = joined.select(
-        F.lit(run_id).alias("run_id"), "source_id", "source_job_key", "section", "priority", "primary_source", "discovery_only", "item_id", "seq", "n",
+        F.lit(run_id).alias("run_id"), "source_id", "source_job_key", "section", "priority", "primary_source", "discovery_only", "source_class", "item_id", "seq", "n",
         url.alias("canonical_url"), title.alias("title"), tx.truncated(F.col("summary"), 5_000).alias("summary_text"), body.alias("body_text"),
         tx.parse_lenient_time(F.col("published")).alias("published_at"), F.lit(retrieved_at).cast("timestamp").alias("retrieved_at"),
         tx.revision_hash(title, body).alias("content_sha256"), filters.warnings(F.concat_ws(" ", "title", "summary", "body")).alias("parse_warnings"),
