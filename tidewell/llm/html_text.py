@@ -1,11 +1,16 @@
 """Main text of web pages by two-pass block rules.
 
 A page is read tag by tag into blocks. The first pass decides blocks by stop-word density, length and link density;
-elements that say what they are (nav, footer, aside, form, a class such as `ad` or `comments`) decide theirs at once,
-and inside an article or main element the bar for good text is lower. Stop words are of a few languages; on a page with
-hardly any of them length and link density decide alone, and ideographs count twice. Short blocks without such evidence stay
-ambiguous. The second pass gives each of them the label of its nearest decided neighbours in its own region: the common
-one if both agree, the only one if there is one, and otherwise what the region stands for.
+elements that say what they are (nav, footer, aside, form) decide theirs at once, and inside an article or main element
+the bar for good text is lower. Stop words are of a few languages; on a page with hardly any of them length and link density
+decide alone, and ideographs count twice. Short blocks without such evidence stay ambiguous. The second pass gives each of them
+the label of its nearest decided neighbours in its own region, first the longer ones, which then are decided, then the short ones: the
+common one if both agree, the only one if there is one, and otherwise what the region stands for.
+
+Names of classes and ids are evidence. One that says nothing else (`ad`, `comment-list`, `sidebar`) makes its element boilerplate;
+one that says it among other words (`content-sidebar-wrap`, `has-share-buttons`) leaves it to the rules, which then ask for good text
+of some length. Neither counts for an article or main element, unless it is a reader's comment; a main element stands whatever it is in, unless
+that is hidden, and an article stands in a form. Where no block of a page is good, its names are not believed, and it is read without them.
 
 Scripts, styles, comments and other elements without running text are left out: those of raw text to the end of the page if
 they are not closed, others then to the next block's tag or to where the same element opens again.
@@ -35,7 +40,11 @@ VOID = frozenset("area base br col embed hr img input link meta param source tra
 BOILER = frozenset("nav footer aside form menu dialog".split())
 MAIN = frozenset("article main".split())
 ROLES = frozenset("navigation banner contentinfo complementary search form dialog alert alertdialog menu menubar".split())
+# Names by which elements say that they are no text of the page, those of reader comments among them, and words that such names may have
+# beside them.
+COMMENTS = frozenset("comment comments reply replies respond disqus discussion".split())
 HINTS = frozenset("ad ads adv advert adverts advertisement advertising banner sponsor sponsored promo promotion cookie cookies consent gdpr notice notices alert popup modal overlay newsletter subscribe subscription signup login sidebar side rail widget related recommended recommendations share sharing social menu nav navbar navigation breadcrumb breadcrumbs pagination pager footer masthead comment comments reply replies respond disqus discussion".split())
+BESIDE = frozenset("a area bar block body bottom box btn button buttons container content-area count cta field first fixed footer-area form global header header-area icon icons id inner item items js last left link links list main-nav menu mobile outer panel primary region right row secondary section site slot small sticky thread title top tools unit wrap wrapper".split())
 STOP = frozenset(
     (
         "the of and to in a is that it was for on are as with his they be at one have this from or had by but what all were when we there can an your which their said if do will how each them then she many some so these would into has more her two him see could no than been who its now did get may part i you he not our out up about over after"
@@ -46,8 +55,8 @@ STOP = frozenset(
 )
 _TAG = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)((?:[^>\"']|\"[^\"]*\"|'[^']*')*+)>")
 _BLUNT = re.compile(r"<(/?)([a-zA-Z][^\s/>]*)([^>]*)>")
-_NAMED = re.compile(r"(?:^|\s)(class|id|role)\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+))", re.I)
-_HIDDEN = re.compile(r"(?:^|\s)(?:hidden(?:\s|=|/|$)|aria-hidden\s*=\s*[\"']?true|style\s*=\s*[\"'][^\"']*display\s*:\s*none)", re.I)
+_ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"|'([^']*)'|([^\s>]+)))?")
+_NO_DISPLAY = re.compile(r"display\s*:\s*none", re.I)
 _WORD = re.compile(r"[^\W\d_]+")
 _NAME = re.compile(r"[a-z]+")
 _IDEOGRAPH = re.compile("[\u2e80-\u9fff\uac00-\ud7af\U00020000-\U0003ffff]")
@@ -103,26 +112,58 @@ class _Open:
     tag: str
     kind: str
     region: int
-    boiler: bool = field(default=False)
+    inline: bool = field(default=False)
 
 
-def _kind(tag: str, attributes: str, inside: str) -> str:
-    """What an element makes of the blocks in it: boiler, main, or what its parent makes of them."""
-    if inside == "boiler":
-        return "boiler"
-    if attributes and _HIDDEN.search(attributes):
-        return "boiler"
-    kind = "boiler" if tag in BOILER or (tag == "header" and inside != "main") else "main" if tag in MAIN else inside
-    for m in _NAMED.finditer(attributes):
-        value = (m[2] or m[3] or m[4] or "").lower()
-        if m[1].lower() == "role":
-            kind = "boiler" if value in ROLES else "main" if value in ("main", "article") else kind
-        elif tag not in ("body", "html") and HINTS & {*_NAME.findall(value)}:
+def _attributes(text: str) -> dict[str, str]:
+    out: dict[str, str] = {}
+    for m in _ATTRIBUTE.finditer(text):
+        out.setdefault(m[1].lower(), m[2] or m[3] or m[4] or "")
+    return out
+
+
+def _is_hidden(attributes: dict[str, str]) -> bool:
+    shown = attributes.get("hidden", "-").lower() in ("-", "false")
+    return not shown or attributes.get("aria-hidden", "").strip().lower() == "true" or bool(_NO_DISPLAY.search(attributes.get("style", "")))
+
+
+def _named(attributes: dict[str, str], hints: frozenset[str]) -> str:
+    """What class and id say: `whole` if one of their names says nothing but a hint, `part` if one says it among other words."""
+    found = ""
+    for name in f"{attributes.get('class', '')} {attributes.get('id', '')}".lower().split():
+        words = set(_NAME.findall(name))
+        if words & hints:
+            if words <= hints | BESIDE:
+                return "whole"
+            found = "part"
+    return found
+
+
+def _kind(tag: str, text: str, inside: str, names: bool) -> str:
+    """What an element makes of the blocks in it: hidden, boiler, form (as boiler, though an article may stand in it), weak, main, or what its parent
+    makes of them."""
+    attributes = _attributes(text) if text else {}
+    if inside == "hidden" or _is_hidden(attributes):
+        return "hidden"
+    role = attributes.get("role", "").strip().lower()
+    if tag == "main" or role == "main":
+        return "main"
+    if tag == "article" or role == "article":
+        if inside == "boiler" or (names and _named(attributes, COMMENTS) == "whole"):
             return "boiler"
-    return kind
+        return "main"
+    if inside in ("boiler", "form"):
+        return inside
+    if tag == "form" or role in ("form", "search"):
+        return "form"
+    if tag in BOILER or role in ROLES or (tag == "header" and inside not in ("main", "weak")):
+        return "boiler"
+    said = _named(attributes, HINTS) if names and tag not in ("body", "html") else ""
+    return "boiler" if said == "whole" else "weak" if said == "part" and inside in ("main", "weak") else inside
 
 
-def blocks(page: str) -> list[Block]:
+def blocks(page: str, names: bool = True) -> list[Block]:
+    """The page's blocks in order. names: whether names of classes and ids are believed."""
     found: list[Block] = []
     stack = [_Open("", "plain", 0)]
     parts: list[str] = []
@@ -184,10 +225,11 @@ def blocks(page: str) -> list[Block]:
                 at = _skipped(page, tag, at)
             continue
         if tag not in BLOCK:
-            if not closing and tag not in VOID and attributes and (_HIDDEN.search(attributes)):
+            within = stack[-1].inline and stack[-1].tag == tag  # one of the same name in a hidden one
+            if not closing and tag not in VOID and not attributes.endswith("/") and (within or attributes and _is_hidden(_attributes(attributes))):
                 flush()
-                stack.append(_Open(tag, "boiler", stack[-1].region, True))
-            elif closing and len(stack) > 1 and stack[-1].tag == tag:
+                stack.append(_Open(tag, "hidden", stack[-1].region, True))
+            elif closing and stack[-1].inline and stack[-1].tag == tag:
                 flush()
                 stack.pop()
             continue
@@ -199,7 +241,7 @@ def blocks(page: str) -> list[Block]:
                 while len(stack) > 1 and stack[-1].tag == "p":
                     stack.pop()
                 if attributes:
-                    stack.append(_Open("p", _kind("p", attributes, stack[-1].kind), stack[-1].region))
+                    stack.append(_Open("p", _kind("p", attributes, stack[-1].kind, names), stack[-1].region))
             elif tag == "p" and stack[-1].tag == "p":
                 stack.pop()
             continue
@@ -210,7 +252,7 @@ def blocks(page: str) -> list[Block]:
                     del stack[k:]
                     break
             continue
-        kind = _kind(tag, attributes, stack[-1].kind)
+        kind = _kind(tag, attributes, stack[-1].kind, names)
         region = stack[-1].region
         if kind != stack[-1].kind:
             regions += 1
@@ -220,18 +262,42 @@ def blocks(page: str) -> list[Block]:
     return found
 
 
+def _inherited(found: list[Block], which: str, has_main: bool) -> None:
+    """Give the blocks of that label the label of their nearest decided neighbours."""
+    before: list[str] = []
+    after: list[str] = [""] * len(found)
+    seen: dict[int, str] = {}
+    for b in found:
+        before.append(seen.get(b.region, ""))
+        if b.label in ("good", "bad"):
+            seen[b.region] = b.label
+    seen = {}
+    for k in range(len(found) - 1, -1, -1):
+        after[k] = seen.get(found[k].region, "")
+        if found[k].label in ("good", "bad"):
+            seen[found[k].region] = found[k].label
+    for k, b in enumerate(found):
+        if b.label == which:
+            sides = {before[k], after[k]} - {""}
+            stands = "good" if b.kind == "main" or (which == "near" and not has_main) else "bad"
+            b.label = sides.pop() if len(sides) == 1 else stands
+
+
 def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
-    has_main = any(b.kind == "main" for b in found)
+    # A main element with hardly any text is no reason to doubt what stands beside it.
+    has_main = sum(len(b.text) for b in found if b.kind == "main") >= rules.long
     every = [_WORD.findall(b.text.lower()) for b in found]
     stops = [sum(w in STOP for w in words) for words in every]
     unlisted = sum(stops) < rules.stop_least * sum(map(len, every))
     for b, words, stop in zip(found, every, stops, strict=True):
         density = rules.stop_high if unlisted else stop / len(words) if words else 0.0
         size = len(b.text) + len(_IDEOGRAPH.findall(b.text))
-        if b.kind == "boiler" or b.linked > rules.links or "\N{COPYRIGHT SIGN}" in b.text and size < rules.long and b.kind != "main":
+        if b.kind in ("hidden", "boiler", "form") or b.linked > rules.links or "\N{COPYRIGHT SIGN}" in b.text and size < rules.long and b.kind != "main":
             b.label = "bad"
         elif b.kind == "main":
             b.label = "good" if size >= rules.short_in_main else "short"
+        elif b.kind == "weak":
+            b.label = "good" if size >= rules.short and density >= rules.stop_low else "bad"
         elif size < rules.short:
             b.label = "bad" if b.linked or has_main else "short"
         elif density >= rules.stop_high:
@@ -240,31 +306,17 @@ def classify(found: list[Block], rules: Rules = Rules()) -> list[Block]:
             b.label = "near"
         else:
             b.label = "bad"
-    decided = [b.label if b.label in ("good", "bad") else "" for b in found]
-    before: list[str] = []
-    after: list[str] = [""] * len(found)
-    seen: dict[int, str] = {}
-    for b, label in zip(found, decided, strict=True):
-        before.append(seen.get(b.region, ""))
-        if label:
-            seen[b.region] = label
-    seen = {}
-    for k in range(len(found) - 1, -1, -1):
-        after[k] = seen.get(found[k].region, "")
-        if decided[k]:
-            seen[found[k].region] = decided[k]
-    for k, b in enumerate(found):
-        if b.label in ("short", "near"):
-            sides = {before[k], after[k]} - {""}
-            if len(sides) == 1:
-                b.label = sides.pop()
-            else:
-                b.label = "good" if b.kind == "main" or (b.label == "near" and not has_main) else "bad"
+    _inherited(found, "near", has_main)
+    _inherited(found, "short", has_main)
     return found
 
 
 def main_text(page: str, rules: Rules = Rules()) -> str:
-    return "\n".join(b.text for b in classify(blocks(page), rules) if b.label == "good")
+    for names in (True, False):
+        good = [b.text for b in classify(blocks(page, names), rules) if b.label == "good"]
+        if good:
+            break
+    return "\n".join(good)
 
 
 def extract(pages: DataFrame, rules: Rules = Rules()) -> DataFrame:
