@@ -42,6 +42,14 @@ def test_bounds_prune_and_never_lose():
     assert np.array_equal(block.exact(queries, q, v), scores[q, v])
 
 
+@pytest.mark.parametrize("rows", [[(20, [1.0, 0.0]), (20, [0.0, 1.0]), (3, [1.0, 1.0])], [(20, [float(i), 1.0]) for i in range(9)] + [(40, [3.0, 1.0]), (40, [2.0, 1.0]), *((i, [i / 7, 1.0]) for i in range(15))]])
+def test_rows_of_one_id_ask_apart(spark, rows):
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<float>")
+    vectors = topk.quantised(df).cache()
+    found = topk.search(vectors, vectors.where("vec_id % 20 = 0"), k=4).collect()
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in found) == by_brute_force(rows, 4, lambda q: q % 20 == 0)
+
+
 def test_empty_table(spark):
     none = topk.quantised(spark.createDataFrame([], "vec_id long, embedding array<float>"))
     assert topk.search(none, none).collect() == []

@@ -13,7 +13,8 @@ queries are one query. So a vector that a third of the rows hold costs one entry
 vectors in cells of bounded size.
 
 Vectors that are null, or hold null or non-finite components, take no part, neither do empty ones. Only vectors of
-the query's length are its candidates. Rows that repeat (id and vector) are kept apart by nothing, so they count once.
+the query's length are its candidates. Rows that repeat (id and vector) are kept apart by nothing, so they count once; rows of one id
+with different vectors are different rows, each a query of its own, and none is a candidate of another. An empty table gives none.
 Components past 2**53 / 64 lose low bits as doubles do; scores beyond 64 bits are clamped.
 """
 
@@ -113,22 +114,25 @@ def _cell(k: int):
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = 20, block: int = BLOCK, batch: int = BATCH) -> DataFrame:
-    """query_id, rank, vec_id, score: the k best of `vectors` other than the query's own id, for each row of `queries`
-    (both as quantised() gives them). Ties go to the smaller vec_id."""
+    """query_id, rank, vec_id, score: the k best of `vectors` for each row of `queries` (both as quantised() gives them), other
+    than rows of the query's id. Ties go to the smaller vec_id. Queries are named by vector, so rows that share an id and not the vector
+    ask apart; each list is as much longer as an id has vectors, since those are left out of its own."""
     spark = vectors.sparkSession
+    own = vectors.join(queries.select("vec_id").distinct(), "vec_id", "left_semi").groupBy("vec_id").agg(F.count("*").alias("n"))
+    deep = k + (own.agg(F.max("n")).first()[0] or 1)
     by_vector = Window.partitionBy("v").orderBy("vec_id")
     entries = vectors.withColumn("n", F.row_number().over(by_vector)).where(F.col("n") <= k + 1).groupBy("v").agg(F.array_sort(F.collect_list("vec_id")).alias("ids"))
     entries = common.stored(entries.withColumn("dim", F.size("v")), "entries")
-    asked = common.stored(queries.groupBy("v").agg(F.min("vec_id").alias("query")).withColumn("dim", F.size("v")), "asked")
+    asked = common.stored(common.stored(queries.select("v").distinct(), "asked").withColumn("query", F.monotonically_increasing_id()).withColumn("dim", F.size("v")), "asked")
     blocks, batches = max(1, -(-entries.count() // block)), max(1, -(-asked.count() // batch))
     every = lambda n: F.explode(F.sequence(F.lit(0), F.lit(n - 1)))
     cells = lambda df, own, n, other, m: df.withColumn(own, F.pmod(F.xxhash64("v", F.lit(7)), F.lit(n)).cast("int")).withColumn(other, every(m))
     left = cells(asked, "batch", batches, "block", blocks).groupBy("dim", "batch", "block")
     right = cells(entries, "block", blocks, "batch", batches).groupBy("dim", "batch", "block")
-    parts = left.cogroup(right).applyInArrow(_cell(k + 1), "query long, vec_id long, score long")
+    parts = left.cogroup(right).applyInArrow(_cell(deep), "query long, vec_id long, score long")
     best = Window.partitionBy("query").orderBy(F.desc("score"), "vec_id")
-    merged = parts.withColumn("n", F.row_number().over(best)).where(F.col("n") <= k + 1)
-    lists = merged.groupBy("query").agg(F.array_sort(F.collect_list(F.struct((-F.col("score")).alias("less"), "vec_id", "score"))).alias("best"))
+    merged = parts.withColumn("n", F.row_number().over(best)).where(F.col("n") <= deep)
+    lists = merged.groupBy("query").agg(F.array_sort(F.collect_list(F.struct(F.bitwise_not("score").alias("less"), "vec_id", "score"))).alias("best"))
     lists = common.stored(lists.join(asked.select("query", "v"), "query").select("v", "best"), "lists")
     spread = lists.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     rows = queries.select(F.col("vec_id").alias("query_id"), "v", F.pmod(F.xxhash64("vec_id"), F.lit(SPREAD)).cast("int").alias("salt"))
