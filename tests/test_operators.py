@@ -239,16 +239,87 @@ def test_evidence_codes(spark):
     assert int(event["total_commitment"]) == 20_000_000 and event["currency"] == "USD" and event["event_codes"] == []
 
 
-def test_story_codes(spark):
-    row = spark.createDataFrame([("e", "e", "lead", "ai_radar", ["f"], ["f"], ["s"], ["s"], ["Acme"], ["Acme"], ["s"], "Acme: grows", 1)], "event_id string, known_id string, section string, event_section string, fact_ids array<string>, event_fact_ids array<string>, source_ids array<string>, event_source_ids array<string>, entities array<string>, event_entities array<string>, cited_sources array<string>, headline string, times int")
-    codes = lambda df, copy: df.select(editorial.story_codes(F.lit(copy), F.lit("Acme grew 12% in May")).alias("x")).first()["x"]
-    assert codes(row, "Acme: grows 12%") == []
-    assert codes(row, "Acme: grows 15%, see www.acme.example") == ["MODEL_COPY_CONTAINS_URL_OR_EMAIL", "NUMBER_NOT_IN_SELECTED_FACTS"]
-    assert "UNKNOWN_EVENT_ID" in codes(row.withColumn("known_id", F.lit(None).cast("string")), "Acme: grows")
-    assert "SECTION_MISMATCH" in codes(row.withColumn("section", F.lit("deal_tape")), "Acme: grows")
-    stories = spark.createDataFrame([("lead", 10), ("lead", 20)], "section string, words int")
-    assert editorial.edition_codes(stories, 9, False).first()["codes"] == ["SECTION_CAP_EXCEEDED", "STORY_FLOOR_NOT_MET"]
-    assert editorial.edition_codes(stories.limit(0), 0, False).first()["codes"] == ["NON_QUIET_DAY_HAS_NO_STORIES"]
+STORY = "draft_id int, seq int, section string, event_id string, headline string, dek string, why_it_matters string, fact_ids array<string>, source_ids array<string>, entities array<string>"
+EVENT = "draft_id int, event_id string, section string, entities array<string>, fact_ids array<string>, source_ids array<string>, sources array<string>, facts array<struct<fact_id:string,claim:string,exact_quote:string>>"
+ACME = (1, "e", "ai_radar", ["Acme", "Beta Bank"], ["f", "g"], ["s", "t"], ["s"], [("f", "Acme grew 12%", "It grew in May"), ("g", "of $3 million", "")])
+
+
+def _story(**x):
+    base = dict(draft_id=1, seq=1, section="ai_radar", event_id="e", headline="Acme \u2014 grows", dek="Acme grew 12%.", why_it_matters="It matters.", fact_ids=["f"], source_ids=["s"], entities=["Acme"])
+    return tuple((base | x).values())
+
+
+@pytest.mark.parametrize(
+    ("change", "want"),
+    [
+        ({}, []),
+        ({"section": "lead"}, []),
+        ({"section": "deal_tape"}, ["SECTION_MISMATCH"]),
+        ({"event_id": "x"}, ["UNKNOWN_EVENT_ID"]),
+        ({"headline": "Acme: grows"}, ["HEADLINE_FORMAT_INVALID"]),
+        ({"headline": "Beta Bank \u2014 lends"}, ["COPY_ENTITY_NOT_DECLARED"]),
+        ({"headline": "acme \u2014 grows"}, ["HEADLINE_COMPANY_NOT_SOURCE_ENTITY"]),
+        ({"dek": "See www.acme.example, 15%"}, ["MODEL_COPY_CONTAINS_URL_OR_EMAIL", "NUMBER_NOT_IN_SELECTED_FACTS"]),
+        ({"dek": "It grew 3 million."}, ["NUMBER_NOT_IN_SELECTED_FACTS"]),
+        ({"dek": "It grew 3 million.", "fact_ids": ["g"]}, []),
+        ({"fact_ids": []}, ["NUMBER_NOT_IN_SELECTED_FACTS", "UNSUPPORTED_FACT_ID"]),
+        ({"source_ids": ["t"]}, ["SOURCE_CITATION_MISSING"]),
+        ({"source_ids": None}, ["UNSUPPORTED_SOURCE_ID"]),
+        ({"entities": ["Acme", "Gamma"]}, ["DECLARED_ENTITY_NOT_IN_COPY", "UNSUPPORTED_ENTITY"]),
+        ({"dek": "A paradigm shift for it."}, ["BANNED_OR_SLOPPY_COPY"]),
+        ({"dek": "It met Zeta-Co and OpenThing."}, ["POSSIBLE_INVENTED_ENTITY", "POSSIBLE_INVENTED_ENTITY_TOKEN_OPENTHING", "POSSIBLE_INVENTED_ENTITY_TOKEN_ZETA"]),
+    ],
+)
+def test_story_codes(spark, change, want):
+    out = editorial.judged(spark.createDataFrame([_story(**change)], STORY), spark.createDataFrame([ACME], EVENT)).first()
+    assert out["codes"] == want
+
+
+def test_a_second_story_of_an_event_goes(spark):
+    stories = [_story(seq=2), _story(seq=1), _story(section="lead", seq=9)]
+    out = editorial.judged(spark.createDataFrame(stories, STORY), spark.createDataFrame([ACME], EVENT)).collect()
+    assert {(r["section"], r["seq"]): r["codes"] for r in out} == {("lead", 9): [], ("ai_radar", 1): ["DUPLICATE_EVENT"], ("ai_radar", 2): ["DUPLICATE_EVENT"]}
+
+
+def _edition(spark, stories, events, **draft):
+    base = dict(draft_id=1, quiet=False, repaired=False, kicker="Daily", headline="Acme grows 12%", deck="News") | draft
+    held = spark.createDataFrame([tuple(base.values())], "draft_id int, quiet boolean, repaired boolean, kicker string, headline string, deck string")
+    events = spark.createDataFrame(events, EVENT)
+    return editorial.edition_codes(held, editorial.judged(spark.createDataFrame(stories, STORY), events), events).first()
+
+
+def test_editions_as_a_whole(spark):
+    more = [(1, f"e{k}", "ai_radar", [f"Name{k}"], ["f"], ["s"], ["s"], [("f", "c", "q")]) for k in range(8)]
+    out = _edition(spark, [_story()], [ACME])
+    assert (out["accepted"], out["codes"], out["headline"], out["stories"], out["words"]) == (True, [], "Acme grows 12%", 1, 12)
+    # Too few of many; a repaired draft may have lost some of its stories, but not all, and not where none had a fault.
+    assert _edition(spark, [_story()], [ACME, *more])["codes"] == ["STORY_FLOOR_NOT_MET"]
+    bad = _story(seq=2, event_id="x")
+    assert _edition(spark, [_story(), bad], [ACME, *more])["codes"] == ["STORY_FLOOR_NOT_MET"]
+    kept = _edition(spark, [_story(), bad], [ACME, *more], repaired=True)
+    assert (kept["accepted"], kept["codes"], kept["story_codes"], kept["stories"]) == (True, [], ["UNKNOWN_EVENT_ID"], 1)
+    assert _edition(spark, [_story()], [ACME, *more], repaired=True)["codes"] == ["STORY_FLOOR_NOT_MET"]
+    assert not _edition(spark, [_story(), bad], [ACME])["accepted"] and not _edition(spark, [bad], [ACME], repaired=True)["accepted"]
+    # What the edition says of itself: names of others and foreign numbers are written over; the words of the ban are not.
+    assert _edition(spark, [_story()], [ACME, more[0]], deck="With Name0.")["headline"] == "Acme \u2014 grows"
+    assert _edition(spark, [_story()], [ACME], headline="Acme grows 13%")["deck"] == editorial.PLAIN_DECK
+    assert _edition(spark, [_story()], [ACME], kicker="Exciting times")["codes"] == ["BANNED_EDITION_COPY"]
+    assert _edition(spark, [bad], [ACME], headline="7")["headline"] == editorial.PLAIN_HEADLINE
+    assert _edition(spark, [_story()], [ACME], quiet=True)["codes"] == ["QUIET_DAY_HAS_STORIES"]
+    assert _edition(spark, [_story(section="lead"), _story(section="lead", seq=2)], [ACME])["codes"] == ["SECTION_CAP_EXCEEDED"]
+    none = _edition(spark, [_story(draft_id=2)], [ACME], quiet=True, headline="Quiet")
+    assert (none["accepted"], none["stories"], none["codes"]) == (True, 0, [])
+    assert _edition(spark, [_story(draft_id=2)], [ACME])["codes"] == ["NON_QUIET_DAY_HAS_NO_STORIES"]
+
+
+@pytest.mark.parametrize("digits", [24, 25, 40, 400])
+def test_long_numbers_are_no_error(spark, digits):
+    n = "9" * digits
+    text = F.lit(f"${n} trillion and {n}.50 million% or USD {n}, 0.5k, 00012, 1,000.10 USD")
+    row = spark.range(1).select(tx.numbers(text).alias("n"), tx.amounts(text).alias("a")).first()
+    assert row["n"] == sorted([n + "0" * 12, n + "500000%", n, "500", "12", "1000.1"])
+    fits = [(str(a["amount"]), a["currency"]) for a in row["a"]]
+    assert ("1000.100000", "USD") in fits and len(fits) == (2 if digits <= 32 else 1)
 
 
 def test_scans(spark):

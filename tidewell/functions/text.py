@@ -227,25 +227,39 @@ def _parts(c: Column, pattern: str, groups: dict[str, int]) -> Column:
     return F.transform(found, lambda x: F.struct(*(F.regexp_extract(x, pattern, k).alias(n) for n, k in groups.items())))
 
 
+def scaled(number: Column, unit: Column) -> Column:
+    """A number as digits, commas taken out, its unit worked in and zeros that say nothing left off: units are powers of ten, so the point
+    moves and no arithmetic bounds the digits."""
+    digits = F.regexp_replace(number, ",", "")
+    places = F.element_at(mapping({u: len(str(n)) - 1 for u, n in UNITS.items()}), F.lower(F.coalesce(unit, F.lit(""))))
+
+    def moved(x: Column) -> Column:
+        whole = F.regexp_replace(F.concat(x["whole"], F.rpad(F.substring(x["part"], F.lit(1), places), places, F.lit("0"))), "^0+(?=.)", "")
+        rest = F.regexp_replace(F.substring(x["part"], places + 1, F.lit(2**31 - 1)), "0+$", "")
+        return F.concat(whole, F.when(rest != "", F.concat(F.lit("."), rest)).otherwise(""))
+
+    return let(F.struct(F.substring_index(digits, ".", 1).alias("whole"), F.when(digits.contains("."), F.substring_index(digits, ".", -1)).otherwise("").alias("part")), moved)
+
+
 def amounts(c: Column) -> Column:  # S21
-    """array<struct<amount decimal(38,6), currency>>: each different amount of money, sign before or code after it."""
+    """array<struct<amount decimal(38,6), currency>>: each different amount of money, sign before or code after it. What has more digits
+    than the type holds is no amount."""
 
     def found(pattern: str, sign: int, number: int, unit: int) -> Column:
         parts = _parts(c, pattern, {"sign": sign, "number": number, "unit": unit})
-        value = lambda x: F.regexp_replace(x["number"], ",", "").cast("decimal(30,6)") * F.element_at(mapping(UNITS), F.lower(x["unit"])).cast("decimal(15,0)")
-        return F.transform(parts, lambda x: F.struct(value(x).cast("decimal(38,6)").alias("amount"), F.element_at(mapping(CURRENCIES), F.upper(x["sign"])).alias("currency")))
+        return F.transform(parts, lambda x: F.struct(scaled(x["number"], x["unit"]).try_cast("decimal(38,6)").alias("amount"), F.element_at(mapping(CURRENCIES), F.upper(x["sign"])).alias("currency")))
 
-    return F.array_sort(F.array_distinct(F.concat(found(AMOUNT_BEFORE, 1, 2, 3), found(AMOUNT_AFTER, 3, 1, 2))))
+    held = F.filter(F.concat(found(AMOUNT_BEFORE, 1, 2, 3), found(AMOUNT_AFTER, 3, 1, 2)), lambda x: x["amount"].isNotNull())
+    return F.array_sort(F.array_distinct(held))
 
 
 NUMBER = r"(?i)(?<!\w)(\d[\d,]*(?:\.\d+)?)\s*(trillion|billion|million|thousand|tn|bn|mm|b|m|k)?\s*(%|percent|per\s+cent)?"
 
 
 def numbers(c: Column) -> Column:  # S22
-    """array<string>: each different number with its unit worked in; percentages end in %."""
+    """array<string>: each different number, of any length, with its unit worked in; percentages end in %."""
     parts = _parts(c, NUMBER, {"number": 1, "unit": 2, "share": 3})
-    value = lambda x: plain_decimal(F.regexp_replace(x["number"], ",", "").cast("decimal(30,6)") * F.element_at(mapping(UNITS), F.lower(x["unit"])).cast("decimal(15,0)"))
-    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.concat(value(x), F.when(x["share"] != "", "%").otherwise("")))))
+    return F.array_sort(F.array_distinct(F.transform(parts, lambda x: F.concat(scaled(x["number"], x["unit"]), F.when(x["share"] != "", "%").otherwise("")))))
 
 
 def word_runs(words: Column, size: int) -> Column:

@@ -71,7 +71,7 @@ def events_of(checked: DataFrame) -> DataFrame:  # F26
         one("total_commitment"),
         one("initial_funding"),
         F.get(currencies, F.lit(0)).alias("currency"),
-        tx.codes((F.size(F.array_distinct(kinds)) < F.size(kinds), "AMOUNT_KIND_REPEATED"), (F.size(F.array_distinct(currencies)) > 1, "CURRENCY_MIXED")).alias("event_codes"),
+        tx.codes((F.size(F.array_distinct(kinds)) < F.size(kinds), "DUPLICATE_AMOUNT_KIND"), (F.size(F.array_distinct(currencies)) > 1, "EVENT_AMOUNTS_HAVE_MULTIPLE_CURRENCIES")).alias("event_codes"),
     )
 
 

@@ -55,7 +55,7 @@ def gate(checked: DataFrame, least_ratio: float, collector_fresh: Column) -> Dat
     reasons = F.array_compact(
         F.array(
             F.when(F.col("expected_jobs") == 0, "NO_CORE_SOURCE_JOBS"),
-            F.when(F.col("healthy_ratio") < least_ratio, "CORE_COVERAGE_BELOW_THRESHOLD"),
+            F.when((F.col("expected_jobs") > 0) & (F.col("healthy_ratio") < least_ratio), "CORE_COVERAGE_BELOW_THRESHOLD"),
             F.when(F.size("missing_lanes") > 0, "CORE_LANE_SOURCE_MISSING"),
             F.when(~collector_fresh, "COLLECTOR_STALE_OR_MISSING"),
         )

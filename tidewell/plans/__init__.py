@@ -1,3 +1,3 @@
 """Registered queries over the driver tables, each with its SQL twin."""
 
-from tidewell.plans import documents, events, fetches, flow, payloads, tables  # noqa: F401
+from tidewell.plans import documents, editions, events, fetches, flow, payloads, tables  # noqa: F401

@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import datetime as dt
 from collections.abc import Callable, Iterator
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.errors import AnalysisException
+from pyspark.sql import Column, DataFrame, Row, SparkSession
 from pyspark.sql import functions as F
+from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
 STATE = "failures int, last_success timestamp"
@@ -37,17 +40,85 @@ def job_states(stream: DataFrame, key: str, ts: str, ok: str, order: str, thresh
     return flat.groupBy("source_job_key").applyInPandasWithState(step, RECEIPT, STATE, "append", GroupStateTimeout.NoTimeout)
 
 
-def into_table(stream: DataFrame, path: str, checkpoint: str, key: list[str], transform: Callable[[DataFrame], DataFrame] = lambda x: x):  # ST1, ST9
-    """All that is available now, each batch appended without the keys that the table has: running it again adds nothing."""
+RELEASED = "RELEASED"
+RELEASES = "source_job_key string, ts timestamp, consecutive_failures int, status string, quarantined_until timestamp, last_success_at timestamp"
+
+
+class Quarantine(StatefulProcessor):
+    """A job's failure streak with an end of its quarantine: receipts change the state as they come, and an event-time timer changes
+    it when the quarantine runs out without a new receipt."""
+
+    def __init__(self, threshold: int, hours: int):
+        self.threshold, self.hours = threshold, hours
+
+    def init(self, handle: StatefulProcessorHandle) -> None:
+        self.handle = handle
+        self.job = handle.getValueState("job", "failures int, last_success timestamp, until timestamp")
+
+    def _timer(self, until: dt.datetime | None) -> None:
+        for at in list(self.handle.listTimers()):
+            self.handle.deleteTimer(at)
+        if until is not None:
+            self.handle.registerTimer(round(until.timestamp() * 1000))
+
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+        failures, success, until = self.job.get() if self.job.exists() else (0, None, None)
+        for r in sorted(rows, key=lambda r: (r["_ts"], r["_order"])):
+            failures = 0 if r["_ok"] else failures + 1
+            success = r["_ts"] if r["_ok"] else success
+            held = failures >= self.threshold
+            until = r["_ts"] + dt.timedelta(hours=self.hours) if held else None
+            yield Row(source_job_key=key[0], ts=r["_ts"], consecutive_failures=failures, status="QUARANTINED" if held else "FAILED" if failures else "SUCCESS", quarantined_until=until, last_success_at=success)
+        self.job.update((failures, success, until))
+        self._timer(until)
+
+    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[Row]:
+        failures, success, until = self.job.get()
+        self.job.update((failures, success, None))
+        yield Row(source_job_key=key[0], ts=until, consecutive_failures=failures, status=RELEASED, quarantined_until=None, last_success_at=success)
+
+    def close(self) -> None:
+        pass
+
+
+def quarantines(stream: DataFrame, key: str, ts: str, ok: str, order: str, threshold: int = 3, hours: int = 24, late: str = "1 hour") -> DataFrame:  # ST7
+    """job_states(), and a row RELEASED at the end of each quarantine that no receipt has renewed or ended by then. Needs the RocksDB
+    state store (spark.sql.streaming.stateStore.providerClass)."""
+    shaped = stream.select(F.col(key).cast("string").alias("source_job_key"), F.col(ts).cast("timestamp").alias("_ts"), F.col(ok).alias("_ok"), F.col(order).alias("_order"))
+    return shaped.withWatermark("_ts", late).groupBy("source_job_key").transformWithState(Quarantine(threshold, hours), RELEASES, "append", "eventTime")
+
+
+#: Buckets of a history by the hash of its key: a batch reads those that its keys fall into.
+BUCKETS = 64
+
+
+def bucket(key: list[str], buckets: int = BUCKETS) -> Column:
+    return F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int")
+
+
+def history(spark: SparkSession, path: str, key: list[str], asked: list[int]) -> DataFrame | None:  # ST2, ST3
+    """The keys of a history in those buckets, each a folder of its own, so that no other file is opened; null if there is no history yet."""
+    try:
+        return spark.read.parquet(path).where(F.col("_bucket").isin(asked)).select(*key)
+    except AnalysisException as e:
+        if e.getCondition() not in ("PATH_NOT_FOUND", "UNABLE_TO_INFER_SCHEMA"):
+            raise
+        return None
+
+
+def into_table(stream: DataFrame, path: str, checkpoint: str, key: list[str], transform: Callable[[DataFrame], DataFrame] = lambda x: x, buckets: int = BUCKETS):  # ST1, ST2, ST9
+    """All that is available now, each batch appended without the keys that the table has: running it again adds nothing. A batch
+    meets only the buckets of the table that its keys fall into."""
 
     def write(batch: DataFrame, _: int) -> None:
-        fresh = transform(batch).dropDuplicates(key)
+        fresh = transform(batch).dropDuplicates(key).withColumn("_bucket", bucket(key, buckets)).persist()
         try:
-            held = batch.sparkSession.read.parquet(path).select(*key)
-            fresh = fresh.join(held, key, "left_anti")
-        except Exception as e:  # noqa: BLE001
-            if "PATH_NOT_FOUND" not in str(e) and "UNABLE_TO_INFER_SCHEMA" not in str(e):
-                raise
-        fresh.write.mode("append").parquet(path)
+            asked = sorted(r["_bucket"] for r in fresh.select("_bucket").distinct().collect())  # `buckets` at most
+            held = history(batch.sparkSession, path, key, asked) if asked else None
+            new = fresh if held is None else fresh.join(held, key, "left_anti")
+            if asked:
+                new.write.partitionBy("_bucket").mode("append").parquet(path)
+        finally:
+            fresh.unpersist()
 
     return stream.writeStream.foreachBatch(write).option("checkpointLocation", checkpoint).trigger(availableNow=True).start()
