@@ -53,7 +53,7 @@ def test_quarantines_end_without_a_receipt(spark, tmp_path):
     rows = [("a", k, k * hour, False) for k in range(4)] + [("b", 9, 0, True), ("b", 10, hour, False)] + [("c", 20 + k, k * hour, False) for k in range(3)] + [("c", 30, 5 * hour, True)]
     later = [("z", 90, 40 * hour, True)], [("a", 91, 41 * hour, False), ("z", 92, 50 * hour, True)], [("z", 93, 90 * hour, True)], [("z", 94, 91 * hour, True)]
     for k, part in enumerate((rows, *later)):
-        spark.createDataFrame(part, "job string, n int, s int, ok boolean").withColumn("ts", F.timestamp_seconds("s")).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+        spark.createDataFrame(part, "job string, n int, s int, ok boolean").withColumn("ts", F.timestamp_seconds(F.col("s") + 1_700_000_400)).coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
         time.sleep(1.1)  # files go by their time
     shape = spark.read.parquet(str(tmp_path / "in"))
     conf = {"spark.sql.streaming.stateStore.providerClass": "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"}
@@ -68,7 +68,7 @@ def test_quarantines_end_without_a_receipt(spark, tmp_path):
     finally:
         for k, v in before.items():
             spark.conf.unset(k) if v is None else spark.conf.set(k, v)
-    got = spark.sql("select source_job_key, cast(ts as long) div 3600 as h, consecutive_failures, status from quarantines").collect()
+    got = spark.sql("select source_job_key, (cast(ts as long) - 1700000400) div 3600 as h, consecutive_failures, status from quarantines").collect()
     batch = health.streaks(shape, "job", ["n"], F.col("ok"), "ts").collect()
     want = [(r["job"], int(r["s"]) // hour, r["consecutive_failures"], r["status"]) for r in batch]
     # a: quarantined from hour 3 to 27, and anew from 41 to 65; c is back at hour 5.

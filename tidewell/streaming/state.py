@@ -44,38 +44,45 @@ RELEASED = "RELEASED"
 RELEASES = "source_job_key string, ts timestamp, consecutive_failures int, status string, quarantined_until timestamp, last_success_at timestamp"
 
 
+def _instant(micros: int | None) -> dt.datetime | None:
+    return None if micros is None else dt.datetime(1970, 1, 1, tzinfo=dt.UTC) + dt.timedelta(microseconds=micros)
+
+
 class Quarantine(StatefulProcessor):
     """A job's failure streak with an end of its quarantine: receipts change the state as they come, and an event-time timer changes
-    it when the quarantine runs out without a new receipt."""
+    it when the quarantine runs out without a new receipt. Instants are microseconds here, whatever zone a session has."""
 
     def __init__(self, threshold: int, hours: int):
-        self.threshold, self.hours = threshold, hours
+        self.threshold, self.length = threshold, hours * 3600 * 10**6
 
     def init(self, handle: StatefulProcessorHandle) -> None:
         self.handle = handle
-        self.job = handle.getValueState("job", "failures int, last_success timestamp, until timestamp")
+        self.job = handle.getValueState("job", "failures int, success long, until long")
 
-    def _timer(self, until: dt.datetime | None) -> None:
-        for at in list(self.handle.listTimers()):
-            self.handle.deleteTimer(at)
-        if until is not None:
-            self.handle.registerTimer(round(until.timestamp() * 1000))
+    def _row(self, key: tuple, at: int, failures: int, status: str, until: int | None, success: int | None) -> Row:
+        return Row(source_job_key=key[0], ts=_instant(at), consecutive_failures=failures, status=status, quarantined_until=_instant(until), last_success_at=_instant(success))
 
-    def handleInputRows(self, key: tuple, rows: Iterator[Row], timers) -> Iterator[Row]:
+    def handleInputRows(self, key: tuple, rows: Iterator[Row], timerValues) -> Iterator[Row]:
         failures, success, until = self.job.get() if self.job.exists() else (0, None, None)
-        for r in sorted(rows, key=lambda r: (r["_ts"], r["_order"])):
+        for r in sorted(rows, key=lambda r: (r["_at"], r["_order"])):
+            at = r["_at"]
+            if until is not None and at >= until:  # the timer would have told, had no receipt come in the same batch
+                yield self._row(key, until, failures, RELEASED, None, success)
             failures = 0 if r["_ok"] else failures + 1
-            success = r["_ts"] if r["_ok"] else success
-            held = failures >= self.threshold
-            until = r["_ts"] + dt.timedelta(hours=self.hours) if held else None
-            yield Row(source_job_key=key[0], ts=r["_ts"], consecutive_failures=failures, status="QUARANTINED" if held else "FAILED" if failures else "SUCCESS", quarantined_until=until, last_success_at=success)
+            success = at if r["_ok"] else success
+            until = at + self.length if failures >= self.threshold else None
+            yield self._row(key, at, failures, "FAILED" if 0 < failures < self.threshold else "QUARANTINED" if failures else "SUCCESS", until, success)
         self.job.update((failures, success, until))
-        self._timer(until)
+        for timer in list(self.handle.listTimers()):
+            self.handle.deleteTimer(timer)
+        if until is not None:
+            self.handle.registerTimer(-(-until // 1000))
 
-    def handleExpiredTimer(self, key: tuple, timers, expired) -> Iterator[Row]:
+    def handleExpiredTimer(self, key: tuple, timerValues, expiredTimerInfo) -> Iterator[Row]:
         failures, success, until = self.job.get()
         self.job.update((failures, success, None))
-        yield Row(source_job_key=key[0], ts=until, consecutive_failures=failures, status=RELEASED, quarantined_until=None, last_success_at=success)
+        if until is not None:
+            yield self._row(key, until, failures, RELEASED, None, success)
 
     def close(self) -> None:
         pass
@@ -84,7 +91,7 @@ class Quarantine(StatefulProcessor):
 def quarantines(stream: DataFrame, key: str, ts: str, ok: str, order: str, threshold: int = 3, hours: int = 24, late: str = "1 hour") -> DataFrame:  # ST7
     """job_states(), and a row RELEASED at the end of each quarantine that no receipt has renewed or ended by then. Needs the RocksDB
     state store (spark.sql.streaming.stateStore.providerClass)."""
-    shaped = stream.select(F.col(key).cast("string").alias("source_job_key"), F.col(ts).cast("timestamp").alias("_ts"), F.col(ok).alias("_ok"), F.col(order).alias("_order"))
+    shaped = stream.select(F.col(key).cast("string").alias("source_job_key"), F.col(ts).cast("timestamp").alias("_ts"), F.unix_micros(F.col(ts).cast("timestamp")).alias("_at"), F.col(ok).alias("_ok"), F.col(order).alias("_order"))
     return shaped.withWatermark("_ts", late).groupBy("source_job_key").transformWithState(Quarantine(threshold, hours), RELEASES, "append", "eventTime")
 
 
