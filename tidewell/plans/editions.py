@@ -75,7 +75,7 @@ p as (select doc_id, regexp_extract_all(t, pat, 1) as n, regexp_extract_all(t, p
 x as (select doc_id, replace(replace(unnest(n), chr(1), ''), ',', '') as n, lower(unnest(u)) as u, unnest(s) as s from p),
 e as (select doc_id, split_part(n, '.', 1) as w, split_part(n, '.', 2) as f, s, case when u in ('k', 'thousand') then 3 when u in ('m', 'mm', 'million') then 6 when u in ('b', 'bn', 'billion') then 9 when u in ('tn', 'trillion') then 12 else 0 end as e from x),
 v as (select doc_id, ltrim(w || case when e > 0 then rpad(substr(f, 1, e), e, '0') else '' end, '0') as w, rtrim(substr(f, e + 1), '0') as f, s from e),
-d as (select distinct doc_id, case when w = '' then '0' else w end || case when f = '' then '' else '.' || f end || case when s = '' then '' else '%' end as x from v)
+d as (select distinct doc_id, case when w = '' then '0' else w end || case when f = '' then '' else '.' || f end || case when coalesce(s, '') = '' then '' else '%' end as x from v)
 select documents.doc_id, coalesce(string_agg(x, ' ' order by x), '') as numbers from documents left join d on documents.doc_id = d.doc_id group by documents.doc_id
 """
 
@@ -86,7 +86,7 @@ def text_numbers(spark, d):  # S22, S23
 
 
 MONEY = r"""
-with l as (select p_partkey as k, p_name || ' pays ' || s || cast(p_size as varchar) || ',000.5' || u || ' or ' || p_size || ' ' || c || ' now' as t, s, u, c, p_size from part, (values ('$', ' million', 'GBP'), ('US$', 'k', 'usd'), (chr(163), '', 'EUR')) as v(s, u, c) where (p_partkey % 3 = 0) = (s = '$') and (p_partkey % 3 = 1) = (s = 'US$'))
+with l as (select p_partkey as k, p_name || ' pays ' || s || cast(p_size as varchar) || ',000.5' || u || ' or ' || p_size || ' ' || c || ' now' as t, s, u, c, cast(p_size as bigint) as p_size from part, (values ('$', ' million', 'GBP'), ('US$', 'k', 'usd'), (chr(163), '', 'EUR')) as v(s, u, c) where (p_partkey % 3 = 0) = (s = '$') and (p_partkey % 3 = 1) = (s = 'US$'))
 select k as p_partkey, case when s = chr(163) then 'GBP' else 'USD' end || ' ' || cast(case u when ' million' then p_size * 1000000000 + 500000 when 'k' then p_size * 1000000 + 500 else p_size * 1000 end as varchar) || case when u = '' then '.5' else '' end as first_amount, upper(c) || ' ' || p_size as second_amount from l
 """
 
