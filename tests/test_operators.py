@@ -275,6 +275,23 @@ def test_story_codes(spark, change, want):
     assert out["codes"] == want
 
 
+def test_an_annotator_repairs_once_and_may_fail(spark):
+    """Candidates 0 to 9 of 12: 3 fails and is back in the second turn, 4 fails twice, 5 is repaired, 6 is not; no more tasks than calls at once."""
+
+    def annotator(request):
+        k, again = int(request["candidate_id"]), bool(request["codes"])
+        if k == 4 or (k == 3 and not again):
+            raise TimeoutError("no answer")
+        return f"{request['title']} {'repaired' if again else 'bad' if k in (5, 6) else 'good'}{' bad' if k == 6 else ''}"
+
+    check = lambda a: a.withColumn("codes", F.when(F.contains("answer", F.lit("bad")), F.array(F.lit("BAD"))).otherwise(F.array().cast("array<string>")))
+    rows = spark.createDataFrame([(f"{k:02d}", f"t{k}") for k in range(12)], "candidate_id string, title string")
+    out = {int(r["candidate_id"]): (r["turn"], r["answer"], r["accepted"], r["codes"]) for r in evidence.annotated_by(rows, "candidate_id", annotator, check, 10, 3).collect()}
+    assert len(out) == 10 and out[0] == (1, "t0 good", True, []) and out[3] == (2, "t3 repaired", True, [])
+    assert out[4][1:] == (None, False, ["CALL_FAILED"]) and out[5] == (2, "t5 repaired", True, []) and out[6] == (2, "t6 repaired bad", False, ["BAD"])
+    assert evidence.asked(rows.withColumn("codes", F.array()), "candidate_id", annotator, 1, 3).rdd.getNumPartitions() <= 3
+
+
 def test_a_second_story_of_an_event_goes(spark):
     stories = [_story(seq=2), _story(seq=1), _story(section="lead", seq=9)]
     out = editorial.judged(spark.createDataFrame(stories, STORY), spark.createDataFrame([ACME], EVENT)).collect()

@@ -2,8 +2,11 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator
 from functools import reduce
 
+import pyarrow as pa
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -134,6 +137,39 @@ def after_repair(answers: DataFrame, key: str, turn: str = "turn", codes: str =
     return two.withColumn("_n", F.row_number().over(Window.partitionBy(key).orderBy(*order))).where("_n = 1").drop("_n")
 
 
+ANSWERS = "{key} string, turn int, answer string, error string"
+
+
+def asked(requests: DataFrame, key: str, annotator: Callable[[dict], str], turn: int, at_once: int) -> DataFrame:  # X1, X2, X3
+    """One answer for each request: its columns go to the annotator as a mapping. No more than `at_once` calls run at a time, since
+    there are no more tasks; a call that fails is a row with its error."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for request in batch.to_pylist():
+                answer = error = None
+                try:
+                    answer = annotator(request)
+                except Exception as e:  # noqa: BLE001  a failing call is a value
+                    error = f"{type(e).__name__}: {e}"[:300]
+                yield pa.RecordBatch.from_arrays([pa.array([x], t) for x, t in ((str(request[key]), pa.string()), (turn, pa.int32()), (answer, pa.string()), (error, pa.string()))], [key, "turn", "answer", "error"])
+
+    return requests.repartition(at_once, key).mapInArrow(run, ANSWERS.format(key=f"`{key}`"))
+
+
+def annotated_by(selected: DataFrame, key: str, annotator: Callable[[dict], str], checked: Callable[[DataFrame], DataFrame], most: int = 60, at_once: int = 4) -> DataFrame:  # X1, X2, X3
+    """Answers of an injected annotator for at most `most` rows, in order of the key: a second turn, with the codes of the first as `codes`, for
+    those that `checked` (answers to answers with an array of `codes`) finds at fault or that failed; of the two the one that after_repair() takes.
+    Answers are kept while the plan lives, so that no call is made twice on their account; a lost executor repeats its calls."""
+    limited = selected.orderBy(key).limit(most).withColumn(key, F.col(key).cast("string"))
+    failed = F.when(F.col("error").isNotNull(), F.array(F.lit("CALL_FAILED"))).otherwise(F.array().cast("array<string>"))
+    judge = lambda answers: checked(answers).withColumn("codes", F.array_sort(F.array_distinct(F.concat("codes", failed))))
+    first = judge(asked(limited.withColumn("codes", F.array().cast("array<string>")), key, annotator, 1, at_once)).persist(StorageLevel.DISK_ONLY)
+    faulty = first.where(F.size("codes") > 0).select(key, "codes")
+    second = judge(asked(limited.join(faulty, key), key, annotator, 2, at_once)).persist(StorageLevel.DISK_ONLY)
+    return after_repair(first.unionByName(second), key)
+
+
 def completions(attempts: DataFrame, key: str, schema: str) -> DataFrame:  # X4
     """The first attempt (attempt, status, body) of each request that was answered and whose body is JSON of the schema, in
     its required fields; requests without one have a null `answer`. Retries and fallbacks are further attempts."""

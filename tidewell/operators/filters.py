@@ -124,6 +124,21 @@ def public_address(address: Column) -> Column:  # F18
     return F.when(F.contains(address, F.lit(":")), python.public_udf(address)).otherwise(public_ipv4(address))
 
 
+def second_look(already_sent: Column, once: Column, in_window: Column, healthy: Column, test_mode: Column, send_enabled: Column, recipients: Column, rejected: Column) -> Column:  # F14, SK8
+    """Why an edition that was ready is held after all, as of what sheet, health and clock say right before it goes out; null: it goes. An
+    unknown switch counts as not set, an unknown test mode as test."""
+    yes = lambda c: F.coalesce(c, F.lit(False))
+    return (
+        F.when(yes(already_sent), "ALREADY_SENT")
+        .when(~yes(once) & ~yes(in_window), "HELD_SEND_WINDOW_EXPIRED")
+        .when(~yes(healthy), "HELD_SOURCE_HEALTH_CHANGED")
+        .when(F.coalesce(test_mode, F.lit(True)), "HELD_TEST_MODE_CHANGED")
+        .when(~yes(send_enabled), "HELD_SHEET_SEND_DISABLED")
+        .when(F.coalesce(recipients, F.lit(0)) == 0, "HELD_NO_RECIPIENTS")
+        .when(F.coalesce(rejected, F.lit(0)) > 0, "HELD_RECIPIENT_ERRORS")
+    )
+
+
 def leaks(text: Column, forbidden: list[str]) -> Column:  # F19
     values = [v.lower() for v in forbidden if v]
     return F.lit(False) if not values else F.greatest(*(F.contains(F.lower(text), F.lit(v)) for v in values), F.lit(False))

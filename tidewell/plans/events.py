@@ -167,6 +167,20 @@ def delivery_gate(spark, d):  # F14, F30
     return table(spark, d, "events").select("event_id", held.alias("held"), filters.effective_test(u % 10 == 0, F.col("event_type") == "error").alias("test_mode"))
 
 
+@query(
+    "delivery_second_look",
+    """
+with e as (select event_id, user_id as u, value, event_type, ((extract(hour from ts) + 17) % 24) = 7 as inside from events)
+select event_id, case when u % 11 = 0 then 'ALREADY_SENT' when u % 2 = 0 and not inside then 'HELD_SEND_WINDOW_EXPIRED' when event_type = 'error' then 'HELD_SOURCE_HEALTH_CHANGED' when u % 5 = 0 then 'HELD_TEST_MODE_CHANGED'
+  when value < 5 then 'HELD_SHEET_SEND_DISABLED' when u % 7 = 0 then 'HELD_NO_RECIPIENTS' when u % 7 = 1 then 'HELD_RECIPIENT_ERRORS' end as held from e""",
+)
+def delivery_second_look(spark, d):  # F14, F13, SK8
+    u = F.col("user_id")
+    inside = (F.hour("ts") + 17) % 24 == 7
+    held = filters.second_look(u % 11 == 0, u % 2 != 0, inside, F.col("event_type") != "error", u % 5 == 0, F.col("value") >= 5, u % 7, F.when(u % 7 == 1, 1).otherwise(0))
+    return table(spark, d, "events").select("event_id", held.alias("held"))
+
+
 @query(
     "retry_index",
     """
