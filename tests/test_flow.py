@@ -104,3 +104,14 @@ def test_rows_of_events_and_stories(spark):
     assert [(r["candidate_id"], r["status"], r["notes"]) for r in rows] == [("c", "TEST_ONLY", '{"verified_facts":[{"fact_id":"f"}]}')]
     story = spark.createDataFrame([("r", "e", "lead", 1, [("p", "https://a")])], "run_id string, event_id string, section string, rank int, citations array<struct<source_id:string,url:string>>")
     assert sinks.story_rows(story).first()["published_story_id"] == "r:e:lead:1"
+
+
+def test_rendered_markup_is_escaped_and_whole(spark):
+    editions = spark.createDataFrame([("r", "A < B", "d & e", "2024-01-25", False), ("q", "Quiet", None, "2024-01-26", True)], "run_id string, headline string, deck string, edition_date string, test boolean")
+    cite = "array<struct<publisher:string,url:string>>"
+    stories = spark.createDataFrame([("r", "ai_radar", 1, "<b>x</b>", "d", "w", [("P&Q", 'https://a.example/?x="1"'), ("bad", "javascript:alert(1)"), (None, None)]), ("r", "lead", 1, "First", None, "w", None)], f"run_id string, section string, rank int, headline string, dek string, why_it_matters string, citations {cite}")
+    out = {r["run_id"]: r for r in sinks.rendered_editions(editions, stories).collect()}
+    html = out["r"]["html"]
+    assert html.index("TOP STORY") < html.index("AI INTELLIGENCE") and "&lt;b&gt;x" in html and "<b>" not in html and "javascript" not in html
+    assert '<a href="https://a.example/?x=&quot;1&quot;">P&amp;Q</a>' in html and html.count("<section>") == html.count("</section>") == 2 and html.count("<article>") == 2
+    assert out["q"]["subject"] == "[TEST] Quiet" and "No material stories today." in out["q"]["html"] and "<section>" not in out["q"]["html"] and out["q"]["html"].endswith("</body></html>")

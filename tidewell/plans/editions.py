@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as tx
 from tidewell.operators import editorial
 from tidewell.plans.registry import query, table
+from tidewell.sources import sinks
 
 #: Codes of the story of part k: each of eleven kinds has its own fault, or none.
 CODES = """
@@ -98,3 +99,32 @@ def money_amounts(spark, d):  # S21, S37
     text = F.concat("p_name", F.lit(" pays "), pick("$", "US$", "£"), size, F.lit(",000.5"), pick(" million", "k", ""), F.lit(" or "), size, F.lit(" "), pick("GBP", "usd", "EUR"), F.lit(" now"))
     found = F.transform(F.reverse(F.array_sort(tx.amounts(text))), lambda a: F.concat_ws(" ", a["currency"], tx.plain_decimal(a["amount"])))
     return table(spark, d, "part").select("p_partkey", found[0].alias("first_amount"), found[1].alias("second_amount"))
+
+
+#: Ten parts an edition, of which those in the last two of each seven editions are no stories.
+RENDERED = r"""
+with s as (
+  select p_partkey // 10 as run_id, case p_partkey % 4 when 0 then 2 when 1 then 0 when 2 then 4 else 0 end as no, p_partkey as k, p_name as headline, 'About ' || p_brand as dek, p_type as why,
+    case when p_partkey % 3 = 0 then 'Sources: Source: https://a.example/' || p_partkey || ' | ' || p_brand || ': https://b.example' end as sources from part where (p_partkey // 10) % 7 < 5),
+t as (select *, row_number() over (partition by run_id order by no, k) as n, '\n' || headline || '\n' || dek || '\n\nANALYST COMMENTARY\n' || why || coalesce('\n' || sources, '') as told from s),
+g as (select run_id, no, case no when 0 then 'TOP STORY' when 2 then 'BANKS + DEPOSITS' else 'VENTURE CAPITAL' end || '\n' || string_agg(told, '\n' order by k) as part_text from t group by run_id, no),
+b as (select run_id, string_agg(part_text, '\n\n' order by no) as body from g group by run_id),
+l as (select run_id, count(*) as n, string_agg(n || '. ' || headline, '\n' order by n) as glance from t group by run_id),
+e as (select distinct p_partkey // 10 as run_id from part)
+select e.run_id, case when e.run_id % 2 = 0 then '[TEST] ' else '' end || 'Edition ' || e.run_id as subject,
+  case when e.run_id % 2 = 0 then 'TEST RENDER · EMAIL DELIVERY DISABLED\n\n' else '' end || 'Edition ' || e.run_id || '\n' || case when e.run_id % 3 = 0 then 'A deck\n' else '' end || '2024-01-25' || '\n\n'
+    || coalesce(n, 0) || case when n = 1 then ' STORY' else ' STORIES' end || '\n' || coalesce(glance, 'No stories today.') || '\n\n' || coalesce(body, 'No material stories today.') as text
+from e left join l on e.run_id = l.run_id left join b on e.run_id = b.run_id
+""".replace("'\\n", "chr(10) || '").replace("\\n", "' || chr(10) || '")
+
+
+@query("rendered_editions", RENDERED)
+def rendered_editions(spark, d):  # SK9, SK10
+    k, p = F.col("p_partkey"), table(spark, d, "part")
+    run = F.floor(k / 10)
+    cited = lambda name, url: F.struct(F.lit(name).alias("publisher") if isinstance(name, str) else name.alias("publisher"), url.alias("url"))
+    links = F.when(k % 3 == 0, F.array(cited(" ", F.concat(F.lit("https://a.example/"), k.cast("string"))), cited("plain", F.lit("http://c.example/")), cited("user", F.lit("https://u@c.example/")), cited(F.col("p_brand"), F.lit("https://b.example"))))
+    section = F.element_at(F.array(*map(F.lit, ("competitive_field", "lead", "runway_watch", "unknown"))), (k % 4 + 1).cast("int"))
+    stories = p.where(run % 7 < 5).select(run.alias("run_id"), section.alias("section"), k.alias("rank"), F.col("p_name").alias("headline"), F.concat(F.lit("About "), "p_brand").alias("dek"), F.col("p_type").alias("why_it_matters"), links.alias("citations"))
+    editions = p.select(run.alias("run_id")).distinct().select("run_id", F.concat(F.lit("Edition "), F.col("run_id").cast("string")).alias("headline"), F.when(F.col("run_id") % 3 == 0, "A deck").otherwise(" ").alias("deck"), F.lit("2024-01-25").alias("edition_date"), (F.col("run_id") % 2 == 0).alias("test"))
+    return sinks.rendered_editions(editions, stories).drop("html")
