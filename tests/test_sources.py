@@ -157,3 +157,10 @@ def test_records_newest_first():
     rows = '[{"title": "a", "url": "/a"}, {"title": "b", "url": "/b", "extra": {"date": "2024-01-02"}}, {"title": "c", "url": "/c", "extra": {"published_at": "2024-03-01T00:00:00Z"}}]'
     assert [x["title"] for x in parsers.parse_api(rows, "https://qwen.ai/x", 9)] == ["c", "b", "a"]
     assert [x["title"] for x in parsers.parse_api(rows, "https://a.example/x", 9)] == ["a", "b", "c"]
+
+
+def test_only_nodes_that_a_selector_picks_leave_the_pass():
+    page = "<main><p>one <i>two</i></p><div class='Card'><b>words enough to be</b> <u>a card</u><a href='/news/x'></a></div>" + "<p>three</p>" * 500 + "<form><h2>dead</h2></form></main>"
+    nodes, text = pages_.noted(pages_.tree(page, "https://a.example/"))
+    assert [n[:3] for n in nodes] == [[0, 3, 0], [1, 3, pages_.MAIN], [2, 3, pages_.BOX], [3, 3, pages_.ANCHOR]]
+    assert nodes[3][7] == 2 and text[nodes[2][5] : nodes[2][6]] == "words enough to be a card" and text.startswith("one two words") and "dead" not in text

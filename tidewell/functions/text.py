@@ -89,11 +89,12 @@ def parse_lenient_time(c: Column) -> Column:  # S5
             *(F.when(day.rlike(p), F.try_to_timestamp(day, F.lit(f))) for p, f in ((r"^\d{4}-\d{1,2}-\d{1,2}$", "yyyy-M-d"), (r"^\d{4}/\d{1,2}/\d{1,2}$", "yyyy/M/d"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "M/d/yyyy"), (r"^\d{1,2}/\d{1,2}/\d{4}$", "d/M/yyyy"), (r"^\d{8}$", "yyyyMMdd"))),
             F.when(day.rlike(r"^(?:<[a-z]+> \d{1,2} \d{4}|\d{1,2}[ -]<[a-z]+>[ -]\d{4}|\d{4} <[a-z]+> \d{1,2})$") & (month != ""), F.try_to_timestamp(F.concat_ws("-", F.regexp_extract(day, r"\d{4}", 0), month_no.cast("string"), F.regexp_extract(day, r"(?<!\d)(\d{1,2})(?!\d)", 1)), F.lit("yyyy-M-d"))),
         )
-        hour, minute, second = (F.coalesce(g(k).try_cast("int"), F.lit(0)) for k in (3, 4, 5))
+        whole = lambda k: F.when(g(k) != "", g(k).try_cast("int"))  # noqa: E731  a cast that fails is dear
+        hour, minute, second = (F.coalesce(whole(k), F.lit(0)) for k in (3, 4, 5))
         half = g(6)
         sound = (hour < 24) & (minute < 60) & (second < 60) & ((half == "") | hour.between(1, 12))
         clock = F.when(half == "", hour).otherwise(hour % 12 + F.when(half == "pm", 12).otherwise(0)) * 3600 + minute * 60 + second
-        ahead = F.coalesce(F.element_at(mapping(ZONES), F.upper(g(7))), F.when(g(8) == "-", -1).otherwise(1) * (g(9).try_cast("int") * 60 + g(10).try_cast("int")), F.lit(0))
+        ahead = F.coalesce(F.element_at(mapping(ZONES), F.upper(g(7))), F.when(g(8) == "-", -1).otherwise(1) * (whole(9) * 60 + whole(10)), F.lit(0))
         return F.when(sound, F.timestamp_seconds(F.unix_seconds(date) + clock - F.when(g(3) != "", ahead).otherwise(0) * 60))
 
     whole = rf"^(.*?)(?: {_CLOCK}(?: ?(?:({'|'.join(ZONES).lower()})|([+-])(\d{{2}}):?(\d{{2}})))?)?$"

@@ -1,9 +1,10 @@
 """Listing pages and documents read from page trees.
 
-A page becomes an array of its nodes in document order, each with the place of its last descendant: `x` lies in `y` if
-y.pos < x.pos <= y.last. One Arrow pass makes the arrays and resolves links; everything else is expressions over them. The text of an
-element is what its stretch of the array says, its descendants are a slice, its ancestors the elements whose stretch covers it, and a
-selector is a predicate on a node. Cards of all pages are then rows, ranked by windows; a page is the largest group.
+A page becomes its text and an array of those of its nodes that a selector picks, in document order, each with the place of its last
+descendant: `x` lies in `y` if y.pos < x.pos <= y.last. One Arrow pass makes the arrays, resolves links and notes of each node what it is
+(`marks`, a bit a selector), which part of the text it says and which card and link are nearest around it; everything else is expressions
+over them: the descendants of an element are a slice, its text is a substring, and a selector is a bit. So a page is read once, however many
+cards it has. Cards of all pages are then rows, ranked by windows; a page is the largest group.
 """
 
 from __future__ import annotations
@@ -12,6 +13,7 @@ import json
 import re
 from collections.abc import Callable, Iterator
 from html.parser import HTMLParser
+from itertools import accumulate
 from urllib.parse import quote, urlsplit
 
 import pandas as pd
@@ -22,7 +24,7 @@ from pyspark.sql import functions as F
 from tidewell.functions import text as tx
 from tidewell.sources.urls import canonical, canonical_or_none
 
-NODE = "struct<pos:int,last:int,tag:string,attrs:map<string,string>,url:string,text:string,dead:boolean>"
+NODE = "struct<pos:int,last:int,marks:int,card:int,url:string,start:int,stop:int,box:int,link:int,attrs:map<string,string>>"
 ITEM = "struct<title:string,url:string,item_id:string,published:string,summary:string,body:string>"
 FIELDS = ("title", "url", "item_id", "published", "summary", "body")
 VOID = ("area", "base", "br", "col", "embed", "hr", "img", "input", "link", "meta", "source", "track", "wbr")
@@ -166,34 +168,133 @@ def _routed(html: str, base: str) -> list[dict]:
         return []
 
 
+# What marks cards, dates and titles in newsrooms. Each test is of a tag, its attributes and its class.
+CARDS = (
+    lambda tag, attrs, c: tag == "article",
+    *((lambda tag, attrs, c, piece=piece: piece in c) for piece in ("press-release", "news-card", "post-card", "release-card")),
+    *((lambda tag, attrs, c, name=name: name in c and name in re.split(r"[ \t\n\x0b\f\r]+", c)) for name in ("cards__card", "article-short-card", "caption")),
+    *((lambda tag, attrs, c, piece=piece: tag == "li" and piece in c and "data-variants" in attrs) for piece in ("CardContent", "CardFeature")),
+)
+DATE_METAS = (("property", "article:published_time"), ("name", "datePublished"), ("name", "date_published"), ("name", "publish-date"), ("itemprop", "datePublished"))
+CARD_LIKE, TITLE_LIKE = re.compile("card|item|slide|resource|featured", re.I | re.A), re.compile("title|headline", re.I | re.A)
+#: Attributes whose values are read.
+READ = ("datetime", "content", "data-date", "data-title", "data-date-start", "data-date-published", "data-id")
+# Bits of `marks`: the first row are of live elements, the others of all. BOX looks like a card and says enough, or names its title.
+HEADING, TITLED, DATED, TIME, ANCHOR, MAIN, ARTICLE, BODY, BOX = (1 << k for k in range(9))
+DATA_TITLE, DATE_START, DATE_PUBLISHED, OG_TITLE, CARD_TITLE, OG_URL, OG_DESCRIPTION, DESCRIPTION, H1, TITLE, CANONICAL = (1 << k for k in range(9, 20))
+BY_TAG = {"h1": HEADING, "h2": HEADING, "h3": HEADING, "h4": HEADING, "time": TIME, "main": MAIN, "article": ARTICLE, "body": BODY}
+ANYWHERE = {"h1": H1, "title": TITLE}
+METAS = {("property", "og:title"): OG_TITLE, ("name", "twitter:title"): CARD_TITLE, ("property", "og:url"): OG_URL, ("property", "og:description"): OG_DESCRIPTION, ("name", "description"): DESCRIPTION}
+HELD = {"data-title": DATA_TITLE, "data-date-start": DATE_START, "data-date-published": DATE_PUBLISHED}
+LEAST_TEXT, LEAST_TITLE, MOST_BODY, MOST_TITLE = 15, 8, 5_000, 160
+#: Pages that leave the pass together, and the characters after which a batch ends (a longer page goes alone).
+PAGES, CHARACTERS = 256, 1 << 20
+#: White space as the expressions' `collapse` has it.
+BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
+
+
+def _marks(tag: str, attrs: dict[str, str], dead: bool) -> int:
+    out = ANYWHERE.get(tag, 0)
+    if attrs:
+        for name, bit in HELD.items():
+            out |= bit * (name in attrs)
+        if tag == "meta":
+            for (name, value), bit in METAS.items():
+                out |= bit * (attrs.get(name) == value)
+        elif tag == "link":
+            out |= CANONICAL * (attrs.get("rel") == "canonical")
+    if dead:
+        return out
+    c = attrs.get("class", "")
+    dated = "data-date" in attrs or ("date" in c or "publish" in c or "timestamp" in c)
+    return out | BY_TAG.get(tag, 0) | TITLED * bool(c and TITLE_LIKE.search(c)) | DATED * dated | ANCHOR * (tag == "a" and "href" in attrs)
+
+
+def noted(nodes: list[list]) -> tuple[list[tuple], str]:
+    """The nodes that a selector picks, and the root, by the fields of NODE and numbered anew; and the text of the page."""
+    pieces, begins, ends, titles, length = [], [], [], [], 0
+    for n in nodes:  # by node: where live text begins from it on (made below), where it has ended so far, and titles in attributes so far
+        begins.append(-1)
+        if n[5] is not None and not n[6]:
+            pieces.append(BLANKS.sub(" ", n[5]).strip(" "))
+            begins[-1] = length + (len(pieces) > 1)
+            length = begins[-1] + len(pieces[-1])
+        ends.append(length)
+        titles.append((titles[-1] if titles else 0) + ("data-title" in n[3]))
+    after = length
+    for k in range(len(nodes) - 1, -1, -1):
+        after = begins[k] = begins[k] if begins[k] >= 0 else after
+    out, places, around = [], [], []
+    for pos, last, tag, attrs, url, _, dead in nodes:
+        kept = pos == 0
+        if tag and pos:
+            start, stop = begins[pos], max(begins[pos], ends[last])
+            marks, c, titled = _marks(tag, attrs, dead), attrs.get("class", ""), titles[last] > titles[pos]
+            if not dead and tag not in ("body", "html") and (titled or (stop - start >= LEAST_TEXT and (attrs.get("role") == "listitem" or (c and CARD_LIKE.search(c))))):
+                marks |= BOX
+            card = None if dead else next((k for k, test in enumerate(CARDS) if test(tag, attrs, c)), None)
+            kept = marks or card is not None
+        elif kept:
+            start, stop, marks, card = 0, length, 0, None
+        if kept:
+            while around and around[-1][0] < pos:
+                around.pop()
+            box, link = around[-1][1:] if around else (None, None)
+            at = len(out)
+            out.append([at, last, marks, card, url, start, stop, box, link, [(k, attrs[k]) for k in READ if k in attrs] if attrs else []])
+            around.append((last, at if marks & BOX else box, at if marks & ANCHOR else link))
+        places.append(len(out) - 1)
+    for n in out:
+        n[1] = places[n[1]]
+    return out, " ".join(pieces)
+
+
+def told_dates(nodes: list[list]) -> list[str]:  # SC11
+    """What the page's metadata say of its date, the first element of each kind, then its linked data."""
+    metas = [n[3] for n in nodes if n[2] == "meta"]
+    said = [next((m for m in metas if m.get(name) == value), {}) for name, value in DATE_METAS]
+    return [x for m in said if (x := m.get("content") or m.get("datetime"))] + linked_dates(nodes)
+
+
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    shape = pa.list_(pa.struct([("pos", pa.int32()), ("last", pa.int32()), ("tag", pa.string()), ("attrs", pa.map_(pa.string(), pa.string())), ("url", pa.string()), ("text", pa.string()), ("dead", pa.bool_())]))
+    node = pa.struct([(n, pa.int32()) for n in ("pos", "last", "marks", "card")] + [("url", pa.string())] + [(n, pa.int32()) for n in ("start", "stop", "box", "link")] + [("attrs", pa.map_(pa.string(), pa.string()))])
     items = pa.list_(pa.struct([(f, pa.string()) for f in FIELDS]))
-    names = [f.name for f in shape.value_type]
+
+    def made(rows: pa.RecordBatch, read: list[tuple]) -> pa.RecordBatch:
+        flat = [n for nodes, *_ in read for n in nodes]
+        fields = [pa.array([n[k] for n in flat], f.type) for k, f in enumerate(node)]
+        offsets = pa.array(list(accumulate((len(nodes) for nodes, *_ in read), initial=0)), pa.int32())
+        columns = [pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(node))), pa.array([x[1] for x in read], pa.string()), pa.array([x[2] for x in read], pa.list_(pa.string())), pa.array([x[3] for x in read], items)]
+        return pa.RecordBatch.from_arrays([*rows.columns, *columns], [*rows.schema.names, "nodes", "page_text", "dates", "routed"])
+
     for batch in batches:
-        html, base = (batch.column(c).to_pylist() for c in ("payload", "url"))
-        for k in range(batch.num_rows):
-            routed = _routed(html[k] or "", base[k] or "")
-            nodes = tree(html[k] or "", base[k] or "") if not routed else []
-            made = [[dict(zip(names, (*n[:3], list(n[3].items()), *n[4:]), strict=True)) for n in nodes]]
-            columns = [pa.array(made, shape), pa.array([linked_dates(nodes)], pa.list_(pa.string())), pa.array([routed], items)]
-            yield pa.RecordBatch.from_arrays([*batch.slice(k, 1).columns, *columns], [*batch.schema.names, "nodes", "linked_dates", "routed"])
+        read, began, held = [], 0, 0
+        for k, (html, base) in enumerate(zip(*(batch.column(c).to_pylist() for c in ("payload", "url")), strict=True)):
+            html, base = html or "", base or ""
+            if read and (len(read) == PAGES or held + len(html) > CHARACTERS):
+                yield made(batch.slice(began, len(read)), read)
+                read, began, held = [], k, 0
+            routed = _routed(html, base) if "_ROUTER_DATA" in html else []
+            nodes = tree(html, base) if not routed else []
+            read.append((*(noted(nodes) if nodes else ([], "")), told_dates(nodes), routed))
+            held += len(html)
+        if read:
+            yield made(batch.slice(began, len(read)), read)
 
 
 def trees(payloads: DataFrame) -> DataFrame:
-    """payloads (…, url, payload) with the nodes of each page, the dates of its linked data, and the items of a router's
-    registry where it has one (then the page is not read). A page at a time, so that a long one takes its own memory alone."""
-    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in payloads.schema)
-    return payloads.mapInArrow(_trees, f"{shape}, nodes array<{NODE}>, linked_dates array<string>, routed array<{ITEM}>")
+    """payloads (…, url, payload) with the noted nodes of each page, its text, the dates that its metadata and linked data tell, and the
+    items of a router's registry where it has one (then the page is not read). Pages leave in bounded batches, a long one alone."""
+    kept = [f for f in payloads.schema if f.name != "payload"]
+    shape = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept)
 
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        return (b.drop_columns("payload") for b in _trees(batches))
 
-# What expressions say of nodes. `within` is the array that a node's places refer to, less `start` nodes before it.
+    return payloads.mapInArrow(run, f"{shape}, nodes array<{NODE}>, page_text string, dates array<string>, routed array<{ITEM}>")
 
 
-def words(nodes: Column) -> Column:  # S15
-    """The text of a stretch of nodes, white space as one blank."""
-    texts = F.transform(F.filter(nodes, lambda n: n["text"].isNotNull() & ~n["dead"]), lambda n: n["text"])
-    return tx.collapse(F.array_join(texts, " "))
+# What expressions say of nodes. A node's places refer to the page's array, less the `start` nodes before the one at hand.
 
 
 def inner(within: Column, n: Column, start: Column | int = 0) -> Column:
@@ -201,165 +302,122 @@ def inner(within: Column, n: Column, start: Column | int = 0) -> Column:
     return F.slice(within, n["pos"] - start + 2, n["last"] - n["pos"])
 
 
-def first(nodes: Column, test: Callable[[Column], Column]) -> Column:
-    return F.get(F.filter(nodes, test), F.lit(0))
-
-
-def attr(n: Column, name: str) -> Column:
-    return F.try_element_at(n["attrs"], F.lit(name))
-
-
-def has(n: Column, name: str) -> Column:
-    return F.map_contains_key(n["attrs"], F.lit(name))
-
-
-def filled(*columns: Column) -> Column:
-    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
+def own(nodes: Column, n: Column) -> Column:
+    """n and its descendants."""
+    return F.slice(nodes, n["pos"] + 1, n["last"] - n["pos"] + 1)
 
 
-def meta(name: str, value: str) -> Callable[[Column], Column]:
-    return lambda n: (n["tag"] == "meta") & (attr(n, name) == value)
+def words(text: Column, n: Column, start: Column | int = 0) -> Column:  # S15
+    """What n says, white space as one blank; `text` begins at `start` of the page's."""
+    return F.substring(text, n["start"] - start + 1, n["stop"] - n["start"])
 
 
-def _class(n: Column) -> Column:
-    return F.coalesce(attr(n, "class"), F.lit(""))
+def first(nodes: Column, mark: int) -> Column:
+    return F.get(F.filter(nodes, lambda n: n["marks"].bitwiseAND(mark) != 0), F.lit(0))
 
 
-def part(tag: str | None, piece: str, also: str | None = None) -> Callable[[Column], Column]:
-    """Elements whose class holds a piece of text; of a tag, and with an attribute, where named."""
-    return lambda n: (F.lit(True) if tag is None else n["tag"] == tag) & F.contains(_class(n), F.lit(piece)) & (F.lit(True) if also is None else has(n, also))
+def attr(n: Column, name: str) -> Column:
+    return F.try_element_at(n["attrs"], F.lit(name))
 
 
-def classed(name: str) -> Callable[[Column], Column]:
-    return lambda n: F.array_contains(F.split(_class(n), r"\s+"), name)
+def filled(*columns: Column) -> Column:
+    return F.coalesce(*(F.nullif(c, F.lit("")) for c in columns))
 
 
-# What marks cards, dates and titles in newsrooms, and the paths of articles.
-CARDS = (lambda n: n["tag"] == "article", part(None, "press-release"), part(None, "news-card"), part(None, "post-card"), part(None, "release-card"), classed("cards__card"), classed("article-short-card"), classed("caption"), part("li", "CardContent", "data-variants"), part("li", "CardFeature"))
-DATE_METAS = (meta("property", "article:published_time"), meta("name", "datePublished"), meta("name", "date_published"), meta("name", "publish-date"), meta("itemprop", "datePublished"))
-DATED = lambda n: F.contains(_class(n), F.lit("date")) | F.contains(_class(n), F.lit("publish")) | F.contains(_class(n), F.lit("timestamp")) | has(n, "data-date")
-HEADING = lambda n: n["tag"].isin("h1", "h2", "h3", "h4")
+# The paths of articles, and titles that say nothing.
 ARTICLE_PATH = r"(?i)/(?:blog|articles?|news|newsroom|press-releases?|posts|research)/[^/?#]+"
 GENERIC = ("news", "newsroom", "blog", "articles")
-CARD_LIKE = r"(?i)(?:card|item|slide|resource|featured)"
-LEAST_TEXT, LEAST_TITLE, MOST_BODY, MOST_TITLE = 15, 8, 5_000, 160
-
 
-def card_no(n: Column) -> Column:
-    """The number of the first selector that picks the node, or null."""
-    return F.coalesce(*(F.when((n["tag"] != "") & ~n["dead"] & test(n), k) for k, test in enumerate(CARDS)))
 
-
-def told_date(nodes: Column, within: Column, start: Column | int = 0) -> Column:
-    """The date that an element marked as one gives: an attribute's, or its text's."""
-    n = first(nodes, lambda x: (x["tag"] != "") & ~x["dead"] & DATED(x))
-    said = filled(attr(n, "datetime"), attr(n, "content"), attr(n, "data-date"), words(inner(within, n, start)))
-    return tx.date_hint(said)
+def parsed(c: Column) -> Column:
+    """The text, if it is a date."""
+    return tx.let(c, lambda x: F.when(tx.parse_lenient_time(x).isNotNull(), x))
 
 
-def time_of(nodes: Column, within: Column, start: Column | int = 0) -> Column:
-    n = first(nodes, lambda x: (x["tag"] == "time") & ~x["dead"])
-    return filled(attr(n, "datetime"), words(inner(within, n, start)))
+def time_of(n: Column, said: Column) -> Column:
+    return filled(attr(n, "datetime"), said)
 
 
-def parsed(c: Column) -> Column:
-    """The text, if it is a date."""
-    return F.when(tx.parse_lenient_time(c).isNotNull(), c)
+def told_date(n: Column, said: Column) -> Column:
+    """The date that an element marked as one gives: an attribute's, or its text's."""
+    return tx.date_hint(filled(attr(n, "datetime"), attr(n, "content"), attr(n, "data-date"), said))
 
 
-def document_date(nodes: Column, linked: Column) -> Column:  # SC11
-    """Metadata first, then linked data, then what the article says itself: a time, a marked date, a date in its prose."""
-    metas = [parsed(filled(attr(first(nodes, t), "content"), attr(first(nodes, t), "datetime"))) for t in DATE_METAS]
-    body = F.coalesce(first(nodes, lambda n: (n["tag"] == "article") & ~n["dead"]), first(nodes, lambda n: (n["tag"] == "main") & ~n["dead"]))
-    own = inner(nodes, body)
-    return F.coalesce(*metas, F.get(F.filter(F.transform(linked, parsed), lambda d: d.isNotNull()), F.lit(0)), parsed(time_of(own, nodes)), told_date(own, nodes), tx.date_hint(words(own)))
+def with_date(read: DataFrame) -> DataFrame:  # SC11
+    """Pages of trees() with `dated`: metadata first, then linked data, then what the article says itself: a time, a marked date, a date in its prose."""
+    nodes, text, article = F.col("nodes"), F.col("page_text"), F.col("_article")
+    out = read.withColumn("_article", F.coalesce(first(nodes, ARTICLE), first(nodes, MAIN))).withColumn("_own", inner(nodes, article))
+    out = out.withColumns({"_time": first(F.col("_own"), TIME), "_marked": first(F.col("_own"), DATED)})
+    told = F.get(F.filter(F.transform("dates", parsed), lambda x: x.isNotNull()), F.lit(0))
+    time, marked = (f(F.col(c), words(text, F.col(c))) for f, c in ((time_of, "_time"), (told_date, "_marked")))
+    return out.withColumn("dated", F.coalesce(told, parsed(time), marked, tx.date_hint(words(text, article)))).drop("_article", "_own", "_time", "_marked")
 
 
-def main_of(nodes: Column, *tags: str) -> Column:
-    """The first element of the first tag that occurs, the page itself if none does."""
-    live = lambda tag: lambda n: (n["tag"] == tag) & ~n["dead"]
-    return F.coalesce(*(first(nodes, live(t)) for t in tags), F.get(nodes, F.lit(0)))
+def main_of(nodes: Column, *marks: int) -> Column:
+    """The first element of the first mark that occurs, the page itself if none does."""
+    return F.coalesce(*(first(nodes, m) for m in marks), F.get(nodes, F.lit(0)))
 
 
 def documents(read: DataFrame) -> DataFrame:  # SC11
     """Each page of trees() as one document: title, canonical URL, date, body. Null fields where a page has no title."""
-    nodes = F.col("nodes")
-    og, card, h1, title = first(nodes, meta("property", "og:title")), first(nodes, meta("name", "twitter:title")), first(nodes, lambda n: n["tag"] == "h1"), first(nodes, lambda n: n["tag"] == "title")
-    named = F.when(og.isNotNull(), attr(og, "content")).when(card.isNotNull(), attr(card, "content")).when(h1.isNotNull(), words(inner(nodes, h1))).otherwise(words(inner(nodes, title)))
-    link = F.coalesce(first(nodes, lambda n: (n["tag"] == "link") & (attr(n, "rel") == "canonical"))["url"], first(nodes, meta("property", "og:url"))["url"])
-    described = filled(attr(first(nodes, meta("property", "og:description")), "content"), attr(first(nodes, meta("name", "description")), "content"))
-    out = read.withColumn("title", F.nullif(tx.collapse(named), F.lit(""))).withColumn("published", document_date(nodes, F.col("linked_dates")))
-    out = out.withColumn("body", filled(words(inner(nodes, main_of(nodes, "main", "article", "body"))), tx.collapse(described), F.col("title")))
-    return out.withColumn("url", F.coalesce(link, F.col("base"))).withColumn("item_id", F.col("url")).withColumn("summary", F.substring("body", 1, MOST_SUMMARY)).drop("nodes", "linked_dates", "routed")
-
-
-def _picked(nodes: Column, base: Column, routed: Column) -> Column:
-    """Cards by selector, anchors of articles on the page's own host, and the page itself: each with its own nodes, the link around it
-    and, for an anchor of few words, the nodes of the nearest card around it. Items of a router are as they are."""
-    none = F.lit(None).cast(f"array<{NODE}>")
-    around = lambda n, test: F.element_at(F.filter(nodes, lambda x: (x["pos"] < n["pos"]) & (x["last"] >= n["pos"]) & test(x)), -1)
-    own = lambda n: F.slice(nodes, n["pos"] + 1, n["last"] - n["pos"] + 1)
-    link = lambda n: F.try_element_at(F.filter(nodes, lambda x: (x["pos"] < n["pos"]) & (x["last"] >= n["pos"]) & (x["tag"] == "a") & has(x, "href")), F.lit(-1))
-
-    def entry(kind: str, number: Column, n: Column, outer: Column, box: Column) -> Column:
-        return F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("number"), n["pos"].alias("pos"), n.alias("n"), own(n).alias("own"), outer.alias("outer"), box.alias("box"), F.lit(None).cast(ITEM).alias("given"))
-
-    def box(n: Column) -> Column:
-        """Elements around n that look like a card and say enough, or name their title; the body is none."""
-        titled = lambda x: F.exists(inner(nodes, x), lambda y: has(y, "data-title"))
-        like = lambda x: ~x["tag"].isin("body", "html", "#root") & ((F.coalesce(attr(x, "role"), F.lit("")) == "listitem") | _class(x).rlike(CARD_LIKE) | titled(x)) & ((F.length(words(inner(nodes, x))) >= LEAST_TEXT) | titled(x))
-        found = F.try_element_at(F.filter(nodes, lambda x: (x["pos"] < n["pos"]) & (x["last"] >= n["pos"]) & like(x)), F.lit(-1))
-        return F.when((F.length(words(inner(nodes, n))) < LEAST_TEXT) & found.isNotNull(), own(found))
-
-    cards = F.transform(F.filter(nodes, lambda n: card_no(n).isNotNull()), lambda n: entry("card", card_no(n), n, link(n), none))
-    here = lambda n: (n["tag"] == "a") & ~n["dead"] & n["url"].isNotNull() & (tx.url_host(n["url"]) == tx.url_host(base)) & F.regexp_extract(n["url"], r"^[^:]+://[^/?#]*([^?#]*)", 1).rlike(ARTICLE_PATH)
-    links = F.transform(F.filter(nodes, here), lambda n: entry("link", F.lit(len(CARDS)), n, n, box(n)))
-    page = F.filter(F.array(main_of(nodes, "main", "article", "body")), lambda n: n.isNotNull())
-    node = F.lit(None).cast(NODE)
-    given = F.transform(routed, lambda x, k: F.struct(F.lit("routed").alias("kind"), F.lit(0).alias("number"), k.alias("pos"), node.alias("n"), none.alias("own"), node.alias("outer"), none.alias("box"), x.alias("given")))
-    return F.concat(cards, links, F.transform(page, lambda n: entry("page", F.lit(len(CARDS) + 1), n, node, none)), given)
+    nodes, text = F.col("nodes"), F.col("page_text")
+    found = {"_og": OG_TITLE, "_card": CARD_TITLE, "_h1": H1, "_title": TITLE, "_canonical": CANONICAL, "_url": OG_URL, "_said": OG_DESCRIPTION, "_description": DESCRIPTION}
+    out = with_date(read).withColumns({k: first(nodes, m) for k, m in found.items()} | {"_main": main_of(nodes, MAIN, ARTICLE, BODY)})
+    og, card, h1, title, canonical_, url, said, description, main = (F.col(c) for c in (*found, "_main"))
+    named = F.when(og.isNotNull(), attr(og, "content")).when(card.isNotNull(), attr(card, "content")).when(h1.isNotNull(), words(text, h1)).otherwise(words(text, title))
+    described = filled(attr(said, "content"), attr(description, "content"))
+    out = out.withColumns({"title": F.nullif(tx.collapse(named), F.lit("")), "published": F.col("dated"), "_described": tx.collapse(described)})
+    out = out.withColumn("body", filled(words(text, main), F.col("_described"), F.col("title")))
+    return out.withColumn("url", F.coalesce(canonical_["url"], url["url"], F.col("base"))).withColumn("item_id", F.col("url")).withColumn("summary", F.substring("body", 1, MOST_SUMMARY)).drop("nodes", "page_text", "dates", "routed", "dated", "_described", *found, "_main")
+
+
+def _picked(nodes: Column, text: Column, base: Column, routed: Column) -> Column:
+    """Cards by selector, anchors of articles on the page's own host, and the page itself: each with its own nodes and text, the link around it
+    and, for an anchor of few words, the nodes and text of the nearest card around it. Items of a router are as they are."""
+    none, silent, node = F.lit(None).cast(f"array<{NODE}>"), F.lit(None).cast("string"), F.lit(None).cast(NODE)
+
+    def entry(kind: str, number: Column, n: Column, outer: Column, box: Column | None = None) -> Column:
+        around = (none, silent) if box is None else (own(nodes, box), words(text, box))
+        return F.struct(F.lit(kind).alias("kind"), number.cast("int").alias("number"), n["pos"].alias("pos"), n.alias("n"), own(nodes, n).alias("own"), words(text, n).alias("said"), outer.alias("outer"), around[0].alias("box"), around[1].alias("boxed"), F.lit(None).cast(ITEM).alias("given"))
+
+    cards = F.transform(F.filter(nodes, lambda n: n["card"].isNotNull()), lambda n: entry("card", n["card"], n, F.get(nodes, n["link"])))
+    here = lambda n: (n["marks"].bitwiseAND(ANCHOR) != 0) & n["url"].isNotNull() & (tx.url_host(n["url"]) == tx.url_host(base)) & F.regexp_extract(n["url"], r"^[^:]+://[^/?#]*([^?#]*)", 1).rlike(ARTICLE_PATH)
+    box = lambda n: F.when(n["stop"] - n["start"] < LEAST_TEXT, F.get(nodes, n["box"]))
+    links = F.transform(F.filter(nodes, here), lambda n: tx.let(box(n), lambda b: entry("link", F.lit(len(CARDS)), n, n, b)))
+    page = F.filter(F.array(main_of(nodes, MAIN, ARTICLE, BODY)), lambda n: n.isNotNull())
+    given = F.transform(routed, lambda x, k: F.struct(F.lit("routed").alias("kind"), F.lit(0).alias("number"), k.alias("pos"), node.alias("n"), none.alias("own"), silent.alias("said"), node.alias("outer"), none.alias("box"), silent.alias("boxed"), x.alias("given")))
+    return F.concat(cards, links, F.transform(page, lambda n: entry("page", F.lit(len(CARDS) + 1), n, node)), given)
 
 
 def cards(read: DataFrame, key: list[str]) -> DataFrame:  # SC10, W4
     """Items of the listing pages of trees() (key…, base, max_items, …): rows (key…, n, title, url, item_id, published, summary, body),
     the best one of a URL, in order of first sight. A page without cards is its own item; one that says nothing is a row without an item."""
-    rows = read.select(*key, "base", "max_items", document_date(F.col("nodes"), F.col("linked_dates")).alias("dated"), F.explode_outer(_picked(F.col("nodes"), F.col("base"), F.col("routed"))).alias("x"))
-    rows = rows.select(*key, "base", "max_items", "dated", "x.*")
-    start, inside = F.col("pos"), F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0)))
-    rows = rows.withColumn("inside", inside).withColumn("said", words(F.col("own"))).withColumn("boxed", words(F.col("box")))
+    c = F.col
+    rows = with_date(read).select(*key, "base", "max_items", "dated", F.explode_outer(_picked(c("nodes"), c("page_text"), c("base"), c("routed"))).alias("x"))
+    rows = rows.select(*key, "base", "max_items", "dated", "x.*").withColumn("inside", F.slice("own", F.lit(2), F.greatest(F.size("own") - 1, F.lit(0)))).withColumn("below", F.slice("box", F.lit(2), F.greatest(F.size("box") - 1, F.lit(0))))
+    pos, start, is_link, routed = c("pos"), c("n")["start"], c("kind") == "link", c("kind") == "routed"
     # Cards: a heading or what is classed as one names them; its own link comes before another inside and the one around.
-    live = lambda test: lambda n: (n["tag"] != "") & ~n["dead"] & test(n)
-    heading = F.coalesce(first(F.col("inside"), live(HEADING)), first(F.col("inside"), live(lambda n: _class(n).rlike("(?i)title|headline"))))
-    rows = rows.withColumn("heading", heading)
-    anchor = live(lambda n: (n["tag"] == "a") & has(n, "href"))
-    linked = F.coalesce(first(inner(F.col("own"), F.col("heading"), start), anchor), first(F.col("inside"), anchor), F.col("outer"))
-    named = F.when(F.col("heading").isNotNull(), words(inner(F.col("own"), F.col("heading"), start)))
-    rows = rows.withColumn("linked", linked).withColumn("named", filled(named))
+    rows = rows.withColumns({"head": first(c("inside"), HEADING), "near": F.when(is_link, first(c("below"), HEADING)), "box_start": F.get("box", F.lit(0))["start"]} | {f"_{k}": F.when(~is_link, first(c("inside"), m)) for k, m in (("titled", TITLED), ("anchor", ANCHOR), ("time", TIME), ("marked", DATED))})
+    rows = rows.withColumn("heading", F.coalesce("head", "_titled"))
+    rows = rows.withColumns({"linked": F.when(~is_link, F.coalesce(first(inner(c("own"), c("heading"), pos), ANCHOR), c("_anchor"), c("outer"))), "named": filled(words(c("said"), c("heading"), start))})
     # Anchors: the card around one of few words gives text, title and date.
-    few = F.length("said") < LEAST_TEXT
-    boxed = F.col("box")
-    body = F.when((F.col("kind") == "link") & few, F.coalesce(F.col("boxed"), F.lit(""))).otherwise(F.col("said"))
-    rows = rows.withColumn("body", body)
-    near = first(boxed, live(HEADING))
-    box_start = F.get(boxed, F.lit(0))["pos"]
-    titled = F.coalesce(first(F.col("inside"), live(HEADING)), near)
-    shown = F.when(first(F.col("inside"), live(HEADING)).isNotNull(), words(inner(F.col("own"), first(F.col("inside"), live(HEADING)), start))).otherwise(words(inner(boxed, near, box_start)))
-    below = F.slice(boxed, F.lit(2), F.greatest(F.size(boxed) - 1, F.lit(0)))
-    given = attr(first(below, lambda n: has(n, "data-title")), "data-title")
-    day = F.coalesce(attr(first(below, lambda n: has(n, "data-date-start")), "data-date-start"), attr(first(below, lambda n: has(n, "data-date-published")), "data-date-published"))
-    is_link = F.col("kind") == "link"
-    title = F.when(is_link, filled(given, shown, tx.card_title(F.col("body")))).otherwise(F.coalesce(F.col("named"), F.substring("body", 1, MOST_TITLE)))
-    url = F.when(is_link, F.col("n.url")).when(F.col("linked").isNull(), F.col("base")).otherwise(F.col("linked.url"))
-    published = F.when(is_link, parsed(tx.date_hint(filled(day, F.col("body"))))).otherwise(F.coalesce(time_of(F.col("inside"), F.col("own"), start), told_date(F.col("inside"), F.col("own"), start), tx.date_hint(F.col("body"))))
-    routed = F.col("kind") == "routed"
-    of = lambda name, c: F.when(routed, F.col(f"given.{name}")).otherwise(c)
-    rows = rows.withColumns({"title": of("title", title), "url": of("url", url), "published": of("published", published), "with_heading": titled.isNotNull(), "body": of("body", F.col("body"))})
-    rows = rows.withColumn("item_id", of("item_id", F.when(~is_link, filled(attr(F.col("n"), "data-id")))))
-    sound = F.col("url").isNotNull() & (F.coalesce(F.col("title"), F.lit("")) != "") & (F.col("body") != "") & (~is_link | ((F.length("body") >= LEAST_TEXT) & (F.length("title") >= LEAST_TITLE)))
+    rows = rows.withColumn("body", F.when(is_link & (F.length("said") < LEAST_TEXT), F.coalesce("boxed", F.lit(""))).otherwise(c("said")))
+    held = lambda mark, name: attr(first(c("below"), mark), name)
+    shown = F.when(c("head").isNotNull(), words(c("said"), c("head"), start)).otherwise(words(c("boxed"), c("near"), c("box_start")))
+    day = F.coalesce(held(DATE_START, "data-date-start"), held(DATE_PUBLISHED, "data-date-published"))
+    title = F.when(is_link, filled(held(DATA_TITLE, "data-title"), shown, tx.card_title(c("body")))).otherwise(F.coalesce("named", F.substring("body", 1, MOST_TITLE)))
+    url = F.when(is_link, c("n.url")).when(c("linked").isNull(), c("base")).otherwise(c("linked.url"))
+    own_date = F.coalesce(*(f(c(k), words(c("said"), c(k), start)) for f, k in ((time_of, "_time"), (told_date, "_marked"))), tx.date_hint(c("body")))
+    published = F.when(is_link, parsed(tx.date_hint(filled(day, c("body"))))).otherwise(own_date)
+    of = lambda name, x: F.when(routed, c(f"given.{name}")).otherwise(x)
+    rows = rows.withColumns({"title": of("title", title), "url": of("url", url), "published": of("published", published), "with_heading": c("head").isNotNull() | c("near").isNotNull(), "body": of("body", c("body"))})
+    rows = rows.withColumn("item_id", of("item_id", F.when(~is_link, filled(attr(c("n"), "data-id")))))
+    sound = c("url").isNotNull() & (F.coalesce("title", F.lit("")) != "") & (c("body") != "") & (~is_link | ((F.length("body") >= LEAST_TEXT) & (F.length("title") >= LEAST_TITLE)))
     rows = rows.withColumn("sound", F.coalesce(sound, F.lit(False)))
-    rows = rows.select(*key, "max_items", "dated", "kind", "number", "pos", "title", "url", F.coalesce("item_id", "url").alias("item_id"), "published", "with_heading", "sound", F.when(is_link, F.substring("body", 1, MOST_BODY)).otherwise(F.col("body")).alias("body"))
+    rows = rows.select(*key, "max_items", "dated", "kind", "number", "pos", "title", "url", F.coalesce("item_id", "url").alias("item_id"), "published", "with_heading", "sound", F.when(is_link, F.substring("body", 1, MOST_BODY)).otherwise(c("body")).alias("body"))
+    rows = rows.withColumn("has_date", c("published").isNotNull() & tx.parse_lenient_time(c("published")).isNotNull()).repartition(*key)
     # Anchors of one URL compete first, by date, heading and length of text; what is left competes with the cards, by date and title.
-    has_date = F.col("published").isNotNull() & tx.parse_lenient_time(F.col("published")).isNotNull()
+    has_date = F.col("has_date")
     page, by_url = Window.partitionBy(*key), Window.partitionBy(*key, "kind", "sound", "url")
     quality = F.when(has_date, 10_000).otherwise(0) + F.when(F.col("with_heading"), 2_000).otherwise(0) + F.least(F.length("body"), F.lit(1_000))
     rows = rows.withColumn("quality", F.when(is_link, quality).otherwise(0)).withColumn("place", F.when(is_link, F.min("pos").over(by_url)).otherwise(F.col("pos")))
