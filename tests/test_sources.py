@@ -164,3 +164,11 @@ def test_only_nodes_that_a_selector_picks_leave_the_pass():
     nodes, text = pages_.noted(pages_.tree(page, "https://a.example/"))
     assert [n[:3] for n in nodes] == [[0, 3, 0], [1, 3, pages_.MAIN], [2, 3, pages_.BOX], [3, 3, pages_.ANCHOR]]
     assert nodes[3][7] == 2 and text[nodes[2][5] : nodes[2][6]] == "words enough to be a card" and text.startswith("one two words") and "dead" not in text
+
+
+def test_payloads_of_a_small_file_are_read_by_all_cores(spark):
+    from tests.compare import DATA
+    from tidewell.plans import registry
+
+    for name in ("dated_items", "feed_items", "sitemap_items"):
+        assert registry.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism

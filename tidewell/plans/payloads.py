@@ -132,7 +132,7 @@ def _sql(items: list[dict[str, str]]) -> str:
 def _register(name: str, lane: str, payload: str, items: list[dict[str, str]]) -> None:
     @query(name, _sql(items))
     def run(spark, d):
-        rows = table(spark, d, "part").select(F.col("p_partkey").cast("string").alias("source_job_key"), F.col("p_partkey").alias("seq"), F.lit(lane).alias("parser_lane"), F.lit("https://base.example/list").alias("url"), _filled(payload).alias("payload"), F.lit(25).alias("max_items"))
+        rows = parsers.dealt(table(spark, d, "part").select("p_partkey", "p_name")).select(F.col("p_partkey").cast("string").alias("source_job_key"), F.col("p_partkey").alias("seq"), F.lit(lane).alias("parser_lane"), F.lit("https://base.example/list").alias("url"), _filled(payload).alias("payload"), F.lit(25).alias("max_items"))
         return parsers.parse(rows, (lane,)).select(F.col("seq").alias("p_partkey"), "n", *(F.coalesce(c, F.lit("")).alias(c) for c in parsers.FIELDS))
 
 
