@@ -361,3 +361,14 @@ def test_envelopes():
     assert packed.startswith("gzip:") and sinks.opened(packed) == text and sinks.envelope("short") == "short"
     with pytest.raises(ValueError, match="envelope"):
         sinks.opened(packed.replace(packed[5:9], "0000", 1))
+
+
+def test_a_source_has_one_share_for_all_lanes(spark):
+    rows = spark.createDataFrame([(1, "s", "ai"), (2, "s", "venture_debt"), (3, "s", "competitor_deposit"), (4, "t", "ai"), (5, "t", "ai")], "pos int, source_id string, lane string")
+    assert [r["pos"] for r in select.round_robin(rows, 9, 2).collect()] == [1, 4, 2, 5]
+
+
+def test_lanes_take_turns_with_a_source_for_all_lanes():
+    from tidewell.plans import registry
+
+    assert "source as source_id" in registry.SQL["lane_round_robin"]

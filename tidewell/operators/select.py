@@ -68,6 +68,16 @@ def budgeted(df: DataFrame, key: str, seq: str, wants: Column, budget: int) -> D
     return df.withColumn("looked_up", wants & (run <= budget))
 
 
+def round_robin(df: DataFrame, most: int, per_source: int, lane: str = "lane", source: str = "source_id", pos: str = "pos") -> DataFrame:  # W11
+    """The first `most` rows as lanes take turns, where URLs and contents are unique. A source has one share of rows, its first by `pos`, for
+    all lanes together; first rows come before second ones, and within a lane sources by their first rows."""
+    lane_no = F.element_at(tx.mapping({x: k for k, x in enumerate(LANE_ORDER)}), F.col(lane))
+    pool = df.withColumn("_depth", F.row_number().over(Window.partitionBy(source).orderBy(pos))).where(F.col("_depth") <= per_source)
+    pool = pool.withColumn("_first", F.min(pos).over(Window.partitionBy(lane, source)))
+    pool = pool.withColumn("_turn", F.row_number().over(Window.partitionBy(lane, "_depth").orderBy("_first")))
+    return pool.orderBy("_depth", "_turn", lane_no).limit(most).select(df.columns)
+
+
 @dataclass(frozen=True)
 class Pass:
     """A pass of the selection: which rows it looks at, up to how many in all are chosen (`most`), no more than `more` by this pass, and how

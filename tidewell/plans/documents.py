@@ -108,13 +108,27 @@ def candidate_order_topk(spark, d):  # T2
 @query(
     "lane_round_robin",
     f"""
-with q as (select doc_id as pos, source, {LANE} as lane from documents), p as (select pos, source || ' ' || lane as source_id, lane from q),
+with p as (select doc_id as pos, source as source_id, {LANE} as lane from documents),
 a as (select *, row_number() over (partition by source_id order by pos) as depth, min(pos) over (partition by lane, source_id) as f from p),
 b as (select *, min(pos) over (partition by lane, source_id) as g from a where depth <= 2),
 c as (select *, row_number() over (partition by lane, depth order by g) as turn, case lane when 'venture_debt' then 0 when 'competitor_deposit' then 1 else 2 end as l from b)
 select pos as doc_id, lane from c order by depth, turn, l limit 30""",
 )
 def lane_round_robin(spark, d):  # W11
+    x = docs(spark, d).select(F.col("doc_id").alias("pos"), F.col("source").alias("source_id"), lane().alias("lane"))
+    return select.round_robin(x, 30, 2).select(F.col("pos").alias("doc_id"), "lane")
+
+
+@query(
+    "source_lane_round_robin",
+    f"""
+with q as (select doc_id as pos, source, {LANE} as lane from documents), p as (select pos, source || ' ' || lane as source_id, lane from q),
+a as (select *, row_number() over (partition by source_id order by pos) as depth, min(pos) over (partition by lane, source_id) as f from p),
+b as (select *, min(pos) over (partition by lane, source_id) as g from a where depth <= 2),
+c as (select *, row_number() over (partition by lane, depth order by g) as turn, case lane when 'venture_debt' then 0 when 'competitor_deposit' then 1 else 2 end as l from b)
+select pos as doc_id, lane from c order by depth, turn, l limit 30""",
+)
+def source_lane_round_robin(spark, d):  # W11
     x = docs(spark, d).select(F.col("doc_id").alias("pos"), F.concat_ws(" ", "source", lane()).alias("source_id"), lane().alias("lane"))
     x = x.withColumn("own", F.col("pos").cast("string"))
     return select.balanced(x, [select.Pass(F.lit(True), 30, per_source=2)], F.struct("pos"), "pos", "own", "own", "own").select(F.col("pos").alias("doc_id"), "lane")
