@@ -363,6 +363,16 @@ def test_envelopes():
         sinks.opened(packed.replace(packed[5:9], "0000", 1))
 
 
+def test_labels_of_one_row_are_settled_without_a_shuffle(spark):
+    rows = spark.createDataFrame([(1, ["b", "A", "", "a", None, "B", "c"]), (2, None), (3, ["x"]), (3, ["X", "y"])], "e int, w array<string>")
+    once = lambda df: keys.labels_once(df, "e", ["w"], F.lower)
+    alone = once(rows.where("e < 3"))
+    assert "Exchange" not in alone._jdf.queryExecution().executedPlan().toString()
+    assert sorted(map(tuple, alone.collect())) == [(1, 1, "b"), (1, 2, "A"), (1, 3, "c")]
+    both = sorted(map(tuple, once(rows).collect()))
+    assert both[:3] == [(1, 1, "b"), (1, 2, "A"), (1, 3, "c")] and [(e, n, x.lower()) for e, n, x in both[3:]] == [(3, 1, "x"), (3, 2, "y")]
+
+
 def test_a_source_has_one_share_for_all_lanes(spark):
     rows = spark.createDataFrame([(1, "s", "ai"), (2, "s", "venture_debt"), (3, "s", "competitor_deposit"), (4, "t", "ai"), (5, "t", "ai")], "pos int, source_id string, lane string")
     assert [r["pos"] for r in select.round_robin(rows, 9, 2).collect()] == [1, 4, 2, 5]

@@ -11,6 +11,11 @@ from functools import reduce
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from tidewell.functions import text as tx
+
+#: Entities of several rows up to which their ids go to all executors; more of them are joined by a shuffle.
+FEW = 100_000
+
 
 def _top(df: DataFrame, keys: list[str], order: list[Column], n: int = 1) -> DataFrame:
     return df.withColumn("_n", F.row_number().over(Window.partitionBy(*keys).orderBy(*order))).where(F.col("_n") <= n).drop("_n")
@@ -106,7 +111,20 @@ def append_absent(target: DataFrame, source: DataFrame, key: str, id_column: str
 
 
 def labels_once(df: DataFrame, entity: str, arrays: list[str], key) -> DataFrame:  # W13
-    """The labels of some array columns in order, each once by its key: rows (entity, n, label)."""
-    listed = df.select(entity, F.posexplode(F.concat(*(F.coalesce(F.col(a), F.array().cast("array<string>")) for a in arrays))).alias("pos", "label")).withColumn("_k", key(F.col("label")))
+    """The labels of some array columns in order, each once by its key: rows (entity, n, label). An entity of one row is settled within it,
+    by sorting its labels; only entities of several rows, which are counted first, meet by a shuffle."""
+    rows = df.select(entity, F.concat(*(F.coalesce(F.col(a), F.array().cast("array<string>")) for a in arrays)).alias("_all"))
+    several = rows.groupBy(entity).agg(F.count("*").alias("_rows")).where("_rows > 1").select(F.col(entity).alias("_entity"))
+    n_several = several.count()
+    met = (F.broadcast(several) if n_several <= FEW else several, F.col(entity).eqNullSafe(F.col("_entity")))
+    alone = rows.join(*met, "left_anti") if n_several else rows
+    keyed = F.sort_array(F.transform("_all", lambda x, k: F.struct(key(x).alias("key"), k.alias("pos"), x.alias("label"))))
+    new = lambda s: F.filter(s, lambda x, k: (x["key"] != "") & ((k == 0) | ~x["key"].eqNullSafe(F.get(s, k - 1)["key"])))
+    once = F.sort_array(F.transform(tx.let(keyed, new), lambda x: F.struct(x["pos"], x["label"])))
+    # An outer explode, as Spark would put the size of an inner one's array, made a second time, into a filter before it.
+    out = alone.select(entity, F.posexplode_outer(once).alias("n", "_x")).where("n is not null").select(entity, (F.col("n") + 1).alias("n"), F.col("_x.label").alias("label"))
+    if not n_several:
+        return out
+    listed = rows.join(*met, "left_semi").select(entity, F.posexplode("_all").alias("pos", "label")).withColumn("_k", key(F.col("label")))
     kept = first(listed.where(F.col("_k") != ""), [entity, "_k"], "pos")
-    return kept.select(entity, F.row_number().over(Window.partitionBy(entity).orderBy("pos")).alias("n"), "label")
+    return out.unionByName(kept.select(entity, F.row_number().over(Window.partitionBy(entity).orderBy("pos")).alias("n"), "label"))
