@@ -172,3 +172,17 @@ def test_payloads_of_a_small_file_are_read_by_all_cores(spark):
 
     for name in ("dated_items", "feed_items", "sitemap_items"):
         assert registry.QUERIES[name](spark, DATA).rdd.getNumPartitions() >= 2 * spark.sparkContext.defaultParallelism
+
+
+def test_few_and_many_watch_terms_find_the_same(spark, monkeypatch):
+    from tidewell.sources import candidates as cd
+
+    texts = spark.createDataFrame([(1, "The first, word. A third-word here"), (2, "firstword"), (3, None), (4, "word a word")], "k int, t string")
+    terms = spark.createDataFrame([("x", "First word"), ("y", "word"), ("z", "a third WORD"), ("s", "a")], "name string, term string")
+    found = lambda: cd.watch_hits(texts, terms, F.col("t"), "k").select("k", "hits")
+    few = found()
+    assert "contains(_p" in few._jdf.queryExecution().optimizedPlan().toString().lower()
+    want = {1: ["x", "y", "z"], 2: [], 3: [], 4: ["y"]}
+    assert {r["k"]: r["hits"] for r in few.collect()} == want
+    monkeypatch.setattr(cd, "LISTED", 0)
+    assert {r["k"]: r["hits"] for r in found().collect()} == want

@@ -38,6 +38,8 @@ def hydrated(items: DataFrame, details: DataFrame, key: str, seq: str, budget: i
 
 #: Terms up to which they go to all executors; watchlists are shorter by far. More of them are joined by a shuffle.
 FEW_TERMS = 100_000
+#: Terms up to which each text is searched for them; beyond that every run of its words is a row, and an equi-join tells.
+LISTED = 500
 
 
 def watch_terms(company: DataFrame, deposit: DataFrame) -> DataFrame:  # J6
@@ -52,14 +54,21 @@ def watch_terms(company: DataFrame, deposit: DataFrame) -> DataFrame:  # J6
 
 def watch_hits(candidates_: DataFrame, terms: DataFrame, text, key: str, most: int = 20) -> DataFrame:  # J6, S19
     """`hits`: names of the terms (name, term, and place where they have an order) whose words occur in the text as a run,
-    20 at most, in order of place, otherwise of name. An equi-join of word runs with terms instead of a containment join;
+    20 at most, in order of place, otherwise of name. Long lists meet word runs in an equi-join instead of a containment join;
     terms under three characters never match. Terms may have any number of words: runs are made of the sizes that occur."""
     named = terms.withColumn("_t", F.trim(tx.padded_words(F.col("term")))).where(F.length("_t") >= 3).withColumn("_size", F.size(F.split("_t", " ")))
     named = named.withColumn("_place", F.col("place") if "place" in terms.columns else F.col("name")).groupBy("_t", "_size", "name").agg(F.min("_place").alias("_place"))
     sizes = {r["_size"]: r["n"] for r in named.groupBy("_size").agg(F.count("*").alias("n")).collect()}  # a number a size
     wanted = F.broadcast(named) if sum(sizes.values()) <= FEW_TERMS else named
-    words = candidates_.select(key, F.split(F.trim(tx.padded_words(text)), " ").alias("_w"))
-    runs = words.select(key, F.explode(F.flatten(F.array(*(tx.word_runs(F.col("_w"), k) for k in sorted(sizes) or [1])))).alias("_t"))
+    padded = candidates_.select(key, tx.padded_words(text).alias("_p"))
+    # Outer explodes, as Spark would put the size of an inner one's array, made a second time, into a filter before it.
+    if sum(sizes.values()) <= LISTED:
+        listed = padded.crossJoin(F.broadcast(named.agg(F.collect_set(F.concat(F.lit(" "), "_t", F.lit(" "))).alias("_terms"))))  # one row
+        runs = listed.select(key, F.explode_outer(F.filter("_terms", lambda t: F.contains(F.col("_p"), t))).alias("_t")).withColumn("_t", F.trim("_t"))
+    else:
+        words = padded.select(key, F.split(F.trim("_p"), " ").alias("_w"))
+        runs = words.select(key, F.explode_outer(F.flatten(F.array(*(tx.word_runs(F.col("_w"), k) for k in sorted(sizes))))).alias("_t"))
+    runs = runs.where("_t is not null")
     met = runs.join(wanted.drop("_size"), "_t").groupBy(key, "name").agg(F.min("_place").alias("_place"))
     found = met.groupBy(key).agg(F.transform(F.slice(F.array_sort(F.collect_list(F.struct("_place", "name"))), 1, most), lambda x: x["name"]).alias("hits"))
     return candidates_.join(found, key, "left").withColumn("hits", F.coalesce("hits", F.array().cast(found.schema["hits"].dataType)))
