@@ -186,3 +186,21 @@ def test_few_and_many_watch_terms_find_the_same(spark, monkeypatch):
     assert {r["k"]: r["hits"] for r in few.collect()} == want
     monkeypatch.setattr(cd, "LISTED", 0)
     assert {r["k"]: r["hits"] for r in found().collect()} == want
+
+
+def test_plain_urls_and_instants_need_no_resolving(monkeypatch):
+    """What a router's records and most links hold is read by a short way, which gives what the long one gives."""
+    from tidewell.sources import urls
+
+    base, hosts = "https://b.example/x", ("", "https://h.example", "http://H.example")
+    paths = ("/a", "/a/b/", "/r%20k", "/a//b", "/./a", "/a/..", "/a?b=2&a=1&ref=x", "/a?b", "/a?b=%20", "/a#f", "", "a", "/a;p")
+    assert all(urls.canonical(h + p, base) == urls.resolved(h + p, base) for h in hosts for p in paths if p[:1] == "/" or not h)
+    assert [urls.canonical_or_none(u, b) for u, b in (("/a", "mailto:x"), ("/a", "https://u:p@h/"), ("", ""), ("https://h/a", "http://[bad"))] == [None] * 4
+    want = [pages_.instant(float(at)) for at in (1706918400000, -1, 0)]
+    monkeypatch.setattr(urls, "urljoin", None)
+    monkeypatch.setattr(pages_.pd, "to_datetime", None)
+    assert [pages_.instant(at) for at in (1706918400000, -1, 0)] == want == ["2024-02-03T00:00:00Z", "1969-12-31T23:59:59Z", "1970-01-01T00:00:00Z"]
+    monkeypatch.undo()
+    assert urls.canonical("/a/b", base) == "https://b.example/a/b"
+    monkeypatch.setattr(urls, "urljoin", None)
+    assert urls.canonical("/c/d?z=1&a=2", base) == "https://b.example/c/d?a=2&z=1"

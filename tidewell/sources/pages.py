@@ -12,6 +12,7 @@ from __future__ import annotations
 import json
 import re
 from collections.abc import Callable, Iterator
+from datetime import datetime, timedelta
 from html.parser import HTMLParser
 from itertools import accumulate
 from urllib.parse import quote, urlsplit
@@ -33,6 +34,7 @@ CLOSED_BY = {"li": ("li",), "p": ("p",), "tr": ("tr", "td", "th"), "td": ("td",
 MOST_SUMMARY = 500
 # Elements whose content is never read.
 ACTIVE_TAGS = ("script", "style", "noscript", "template", "form", "iframe", "object", "embed")
+EPOCH = datetime(1970, 1, 1)
 
 
 class _Reader(HTMLParser):
@@ -145,6 +147,14 @@ def registry(html: str) -> list | None:  # SC12
     return next(breadth_first(held, lambda x: x["article_list"] if isinstance(x.get("article_list"), list) else None), None)
 
 
+def instant(at) -> str:
+    """The instant of so many milliseconds, empty for what is none."""
+    if type(at) is int and abs(at) < 9 * 10**12:
+        return f"{EPOCH + timedelta(milliseconds=at):%Y-%m-%dT%H:%M:%SZ}"
+    day = pd.to_datetime(at, unit="ms", utc=True, errors="coerce") if isinstance(at, int | float) else pd.NaT
+    return "" if day is pd.NaT else day.strftime("%Y-%m-%dT%H:%M:%SZ")
+
+
 def router_items(given: list, base: str) -> list[dict]:  # SC12
     """Items of a registry's records, each with its ArticleMeta and the content of the base's language."""
     language = "zh" if "/zh/" in urlsplit(base).path else "en"
@@ -155,9 +165,8 @@ def router_items(given: list, base: str) -> list[dict]:  # SC12
             continue
         title, slug, at = html_text(said(content, ("Title",))), said(content, ("TitleKey",)).strip(), meta.get("PublishDate")
         if title and slug:
-            day = pd.to_datetime(at, unit="ms", utc=True, errors="coerce") if isinstance(at, int | float) else pd.NaT
             url = canonical(f"/{language}/blog/{quote(slug)}", base)
-            out.append(item(title=title, url=url, item_id=said(meta, ("ArticleID",)) or url, published="" if day is pd.NaT else day.strftime("%Y-%m-%dT%H:%M:%SZ"), body=html_text(said(content, ("Abstract",))) or title))
+            out.append(item(title=title, url=url, item_id=said(meta, ("ArticleID",)) or url, published=instant(at), body=html_text(said(content, ("Abstract",))) or title))
     return out
 
 
