@@ -204,3 +204,28 @@ def test_plain_urls_and_instants_need_no_resolving(monkeypatch):
     assert urls.canonical("/a/b", base) == "https://b.example/a/b"
     monkeypatch.setattr(urls, "urljoin", None)
     assert urls.canonical("/c/d?z=1&a=2", base) == "https://b.example/c/d?a=2&z=1"
+
+
+ODD = ("<p a=1>x", "<p\xa0a='1'>x", "<p a = '1'>x</p >", "a < b <i>c", "<!-- a -- ><b>c</b><!-- never closed", "<script>a</ script><style>never closed", "<p/><br/>x<p / >y", "<ſ>x<K>", "<x:y-z A='&lt;&amp;' a=''>t & u &lt</x:y-z>", "<![CDATA[x]]><?pi?></>", "<p a\x00b>", "&amp", "")
+
+
+def test_markup_is_read_as_by_the_library():
+    """Plain markup is read by a short way, odd markup by HTMLParser from where it turns odd; both give the nodes that HTMLParser gives for all."""
+
+    def whole(html):
+        reader = pages_._Reader("https://a.example/b")
+        reader.feed(html)
+        return reader.ended()
+
+    rng = random.Random(5)
+    pieces = [*ODD, "<!DOCTYPE html>", "<li>", "<td>", "<div class=\"card\" data-title='T'>", "</div>", "<a href='/n?a=1&amp;b=2'>", "</a>", "<form>", "</form>", "<script src='s'/>", "<SCRIPT>if (a < b) {}</SCRIPT>", "text ", "</li>", "<h1>H</h1>"]
+    for html in (*ODD, *("".join(rng.choices(pieces, k=rng.randint(2, 20))) for _ in range(2_000))):
+        assert pages_.tree(html, "https://a.example/b") == whole(html), html
+
+
+def test_plain_markup_takes_the_short_way(monkeypatch):
+    monkeypatch.setattr(pages_.HTMLParser, "parse_starttag", None)
+    monkeypatch.setattr(pages_.HTMLParser, "parse_endtag", None)
+    nodes = pages_.tree('<!DOCTYPE html><!-- c --><main id="m"><h1>Letter &amp; 1</h1><script type="application/ld+json">{"datePublished": "2024-05-06"}</script><br/><p>Text</p></main>', "https://a.example/")
+    assert [n[2] for n in nodes if n[2]] == ["#root", "main", "h1", "script", "br", "p"] and [n[5] for n in nodes if n[5]][::2] == ["Letter & 1", "Text"]
+    assert pages_.told_dates(nodes) == ["2024-05-06"]

@@ -11,8 +11,10 @@ from __future__ import annotations
 
 import json
 import re
+from collections import Counter
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
+from html import unescape
 from html.parser import HTMLParser
 from itertools import accumulate
 from urllib.parse import quote, urlsplit
@@ -35,6 +37,11 @@ MOST_SUMMARY = 500
 # Elements whose content is never read.
 ACTIVE_TAGS = ("script", "style", "noscript", "template", "form", "iframe", "object", "embed")
 EPOCH = datetime(1970, 1, 1)
+#: Markup as it is mostly written: an end, a start with values in quotes, a comment, a document type. HTMLParser reads it in the same way.
+_NAME = r"[a-zA-Z][a-zA-Z0-9:-]*"
+MARKUP = re.compile(rf"""</({_NAME})\s*>|<({_NAME})((?:[ \t\n\r\f]+[^\s"'<>/=\x00]+(?:="[^"]*"|='[^']*')?)*)[ \t\n\r\f]*(/?)>|<!--.*?--\s*>|<!(?i:doctype)[^>]*>""", re.S)
+ATTRIBUTE = re.compile(r"""([^\s"'<>/=\x00]+)(?:=(?:"([^"]*)"|'([^']*)'))?""")
+RAW_END = {tag: re.compile(rf"</\s*{tag}\s*>", re.I) for tag in HTMLParser.CDATA_CONTENT_ELEMENTS}
 
 
 class _Reader(HTMLParser):
@@ -43,7 +50,7 @@ class _Reader(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
         self.base, self.nodes, self.open = base, [], []
-        self.dead = 0
+        self.dead, self.counts = 0, Counter()
         self._add("#root", {}, None, None)
         self.open.append(0)
 
@@ -56,10 +63,12 @@ class _Reader(HTMLParser):
         node = self.nodes[self.open.pop()]
         node[1] = len(self.nodes) - 1
         self.dead -= node[2] in ACTIVE_TAGS
+        self.counts[node[2]] -= 1
 
     def handle_starttag(self, tag, attrs):
-        while len(self.open) > 1 and self.nodes[self.open[-1]][2] in CLOSED_BY.get(tag, ()):
-            self._close()
+        if tag in CLOSED_BY:
+            while len(self.open) > 1 and self.nodes[self.open[-1]][2] in CLOSED_BY[tag]:
+                self._close()
         held = {}
         for k, v in attrs:
             held.setdefault(k, v or "")
@@ -67,6 +76,7 @@ class _Reader(HTMLParser):
         self.dead += tag in ACTIVE_TAGS
         at = self._add(tag, held, canonical_or_none(link, self.base) if link.strip() else None, None)
         self.open.append(at)
+        self.counts[tag] += 1
         if tag in VOID:
             self._close()
 
@@ -76,7 +86,7 @@ class _Reader(HTMLParser):
             self.handle_endtag(tag)
 
     def handle_endtag(self, tag):
-        if tag not in VOID and any(self.nodes[x][2] == tag for x in self.open):
+        if self.counts[tag] and tag not in VOID:
             while self.nodes[self.open[-1]][2] != tag:
                 self._close()
             self._close()
@@ -85,6 +95,36 @@ class _Reader(HTMLParser):
         if data.strip():
             self._add("", {}, None, data)
 
+    def read(self, html: str) -> list[list]:
+        """The nodes of a page. Markup is read here as long as it is plain, what is left by HTMLParser."""
+        at, size = 0, len(html)
+        while at < size:
+            begins = html.find("<", at)
+            if begins < 0:
+                break
+            if begins > at:
+                self.handle_data(unescape(html[at:begins]))
+            at = begins
+            m = MARKUP.match(html, at)
+            if not m:
+                break
+            end, tag, attrs, empty = m.groups()
+            if end:
+                self.handle_endtag(end.lower())
+            elif tag:
+                tag = tag.lower()
+                raw = RAW_END[tag].search(html, m.end()) if tag in RAW_END and not empty else None
+                if tag in RAW_END and not empty and not raw:
+                    break
+                (self.handle_startendtag if empty else self.handle_starttag)(tag, [(k.lower(), unescape(v or w)) for k, v, w in ATTRIBUTE.findall(attrs)] if attrs else ())
+                if raw:
+                    self.handle_data(html[m.end() : raw.start()])
+                    self.handle_endtag(tag)
+                    m = raw
+            at = m.end()
+        self.feed(html[at:])
+        return self.ended()
+
     def ended(self) -> list[list]:
         self.close()
         while self.open:
@@ -93,9 +133,7 @@ class _Reader(HTMLParser):
 
 
 def tree(html: str, base: str) -> list[list]:
-    reader = _Reader(base)
-    reader.feed(html)
-    return reader.ended()
+    return _Reader(base).read(html)
 
 
 def item(**x: str | None) -> dict[str, str | None]:
@@ -106,8 +144,8 @@ def item(**x: str | None) -> dict[str, str | None]:
 
 def html_text(raw: str | None) -> str:  # S15
     raw = raw or ""
-    if "<" not in raw and "&" not in raw:
-        return " ".join(raw.split())
+    if "<" not in raw:
+        return " ".join(unescape(raw).split())
     return " ".join(" ".join(n[5] for n in tree(raw, "") if n[5] is not None and not n[6]).split())
 
 
