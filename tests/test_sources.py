@@ -229,3 +229,10 @@ def test_plain_markup_takes_the_short_way(monkeypatch):
     nodes = pages_.tree('<!DOCTYPE html><!-- c --><main id="m"><h1>Letter &amp; 1</h1><script type="application/ld+json">{"datePublished": "2024-05-06"}</script><br/><p>Text</p></main>', "https://a.example/")
     assert [n[2] for n in nodes if n[2]] == ["#root", "main", "h1", "script", "br", "p"] and [n[5] for n in nodes if n[5]][::2] == ["Letter & 1", "Text"]
     assert pages_.told_dates(nodes) == ["2024-05-06"]
+
+
+def test_elements_that_no_selector_picks_are_not_asked(monkeypatch):
+    asked = []
+    monkeypatch.setattr(pages_, "CARDS", (lambda tag, attrs, c: asked.append(tag),))
+    nodes, text = pages_.noted(pages_.tree("<body><div><p>one <b>two</b></p></div><section class='x'><i>three</i></section><article>four</article></body>", "https://a.example/"))
+    assert asked == ["section", "article"] and text == "one two three four" and [n[2] for n in nodes] == [0, pages_.BODY, pages_.ARTICLE]

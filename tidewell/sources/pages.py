@@ -231,6 +231,8 @@ HEADING, TITLED, DATED, TIME, ANCHOR, MAIN, ARTICLE, BODY, BOX = (1 << k for k i
 DATA_TITLE, DATE_START, DATE_PUBLISHED, OG_TITLE, CARD_TITLE, OG_URL, OG_DESCRIPTION, DESCRIPTION, H1, TITLE, CANONICAL = (1 << k for k in range(9, 20))
 BY_TAG = {"h1": HEADING, "h2": HEADING, "h3": HEADING, "h4": HEADING, "time": TIME, "main": MAIN, "article": ARTICLE, "body": BODY}
 ANYWHERE = {"h1": H1, "title": TITLE}
+#: Elements that a selector may pick without an attribute of theirs; another one only as a box around titles in attributes.
+TELLING = BY_TAG.keys() | ANYWHERE.keys()
 METAS = {("property", "og:title"): OG_TITLE, ("name", "twitter:title"): CARD_TITLE, ("property", "og:url"): OG_URL, ("property", "og:description"): OG_DESCRIPTION, ("name", "description"): DESCRIPTION}
 HELD = {"data-title": DATA_TITLE, "data-date-start": DATE_START, "data-date-published": DATE_PUBLISHED}
 LEAST_TEXT, LEAST_TITLE, MOST_BODY, MOST_TITLE = 15, 8, 5_000, 160
@@ -242,14 +244,15 @@ BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\
 
 def _marks(tag: str, attrs: dict[str, str], dead: bool) -> int:
     out = ANYWHERE.get(tag, 0)
-    if attrs:
-        for name, bit in HELD.items():
-            out |= bit * (name in attrs)
-        if tag == "meta":
-            for (name, value), bit in METAS.items():
-                out |= bit * (attrs.get(name) == value)
-        elif tag == "link":
-            out |= CANONICAL * (attrs.get("rel") == "canonical")
+    if not attrs:
+        return out if dead else out | BY_TAG.get(tag, 0)
+    for name, bit in HELD.items():
+        out |= bit * (name in attrs)
+    if tag == "meta":
+        for (name, value), bit in METAS.items():
+            out |= bit * (attrs.get(name) == value)
+    elif tag == "link":
+        out |= CANONICAL * (attrs.get("rel") == "canonical")
     if dead:
         return out
     c = attrs.get("class", "")
@@ -259,29 +262,32 @@ def _marks(tag: str, attrs: dict[str, str], dead: bool) -> int:
 
 def noted(nodes: list[list]) -> tuple[list[tuple], str]:
     """The nodes that a selector picks, and the root, by the fields of NODE and numbered anew; and the text of the page."""
-    pieces, begins, ends, titles, length = [], [], [], [], 0
-    for n in nodes:  # by node: where live text begins from it on (made below), where it has ended so far, and titles in attributes so far
-        begins.append(-1)
-        if n[5] is not None and not n[6]:
-            pieces.append(BLANKS.sub(" ", n[5]).strip(" "))
-            begins[-1] = length + (len(pieces) > 1)
-            length = begins[-1] + len(pieces[-1])
+    pieces, begins, ends, titles, length, named = [], [-1] * len(nodes), [], [], 0, 0
+    for pos, _, _, attrs, _, said, dead in nodes:  # by node: where live text begins from it on (made below), where it has ended so far, and titles in attributes so far
+        if said is not None and not dead:
+            pieces.append(BLANKS.sub(" ", said).strip(" "))
+            begins[pos] = length + (len(pieces) > 1)
+            length = begins[pos] + len(pieces[-1])
         ends.append(length)
-        titles.append((titles[-1] if titles else 0) + ("data-title" in n[3]))
+        named += "data-title" in attrs
+        titles.append(named)
     after = length
     for k in range(len(nodes) - 1, -1, -1):
         after = begins[k] = begins[k] if begins[k] >= 0 else after
     out, places, around = [], [], []
     for pos, last, tag, attrs, url, _, dead in nodes:
+        if pos and (not tag or (not attrs and tag not in TELLING and titles[last] == titles[pos])):
+            places.append(len(out) - 1)
+            continue
         kept = pos == 0
-        if tag and pos:
+        if pos:
             start, stop = begins[pos], max(begins[pos], ends[last])
             marks, c, titled = _marks(tag, attrs, dead), attrs.get("class", ""), titles[last] > titles[pos]
             if not dead and tag not in ("body", "html") and (titled or (stop - start >= LEAST_TEXT and (attrs.get("role") == "listitem" or (c and CARD_LIKE.search(c))))):
                 marks |= BOX
-            card = None if dead else next((k for k, test in enumerate(CARDS) if test(tag, attrs, c)), None)
+            card = next((k for k, test in enumerate(CARDS) if test(tag, attrs, c)), None) if (c or tag == "article") and not dead else None
             kept = marks or card is not None
-        elif kept:
+        else:
             start, stop, marks, card = 0, length, 0, None
         if kept:
             while around and around[-1][0] < pos:
@@ -305,13 +311,17 @@ def told_dates(nodes: list[list]) -> list[str]:  # SC11
 
 def _trees(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     node = pa.struct([(n, pa.int32()) for n in ("pos", "last", "marks", "card")] + [("url", pa.string())] + [(n, pa.int32()) for n in ("start", "stop", "box", "link")] + [("attrs", pa.map_(pa.string(), pa.string()))])
-    items = pa.list_(pa.struct([(f, pa.string()) for f in FIELDS]))
+    item_ = pa.struct([(f, pa.string()) for f in FIELDS])
+
+    def listed(lists: list[list], fields: list[pa.Array], kind: pa.StructType) -> pa.ListArray:
+        offsets = pa.array(list(accumulate(map(len, lists), initial=0)), pa.int32())
+        return pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(kind)))
 
     def made(rows: pa.RecordBatch, read: list[tuple]) -> pa.RecordBatch:
-        flat = [n for nodes, *_ in read for n in nodes]
-        fields = [pa.array([n[k] for n in flat], f.type) for k, f in enumerate(node)]
-        offsets = pa.array(list(accumulate((len(nodes) for nodes, *_ in read), initial=0)), pa.int32())
-        columns = [pa.ListArray.from_arrays(offsets, pa.StructArray.from_arrays(fields, fields=list(node))), pa.array([x[1] for x in read], pa.string()), pa.array([x[2] for x in read], pa.list_(pa.string())), pa.array([x[3] for x in read], items)]
+        nodes, texts, dates, routed = map(list, zip(*read, strict=True))
+        by_field = list(zip(*(n for x in nodes for n in x), strict=True)) or [()] * len(node)
+        said = [x for r in routed for x in r]
+        columns = [listed(nodes, [pa.array(v, f.type) for v, f in zip(by_field, node, strict=True)], node), pa.array(texts, pa.string()), pa.array(dates, pa.list_(pa.string())), listed(routed, [pa.array([x[f] for x in said], pa.string()) for f in FIELDS], item_)]
         return pa.RecordBatch.from_arrays([*rows.columns, *columns], [*rows.schema.names, "nodes", "page_text", "dates", "routed"])
 
     for batch in batches:
