@@ -236,3 +236,16 @@ def test_elements_that_no_selector_picks_are_not_asked(monkeypatch):
     monkeypatch.setattr(pages_, "CARDS", (lambda tag, attrs, c: asked.append(tag),))
     nodes, text = pages_.noted(pages_.tree("<body><div><p>one <b>two</b></p></div><section class='x'><i>three</i></section><article>four</article></body>", "https://a.example/"))
     assert asked == ["section", "article"] and text == "one two three four" and [n[2] for n in nodes] == [0, pages_.BODY, pages_.ARTICLE]
+
+
+@pytest.mark.parametrize(("lane", "payload"), [("rss_atom", FEED)])
+def test_items_leave_the_pass_as_rows(spark, lane, payload):
+    """Items are rows of Arrow columns as they leave Python: no pandas, and no arrays to take apart; rows are told apart across batches."""
+    rows = spark.range(2_500).select(F.lit("j").alias("source_job_key"), F.col("id").alias("seq"), F.lit(lane).alias("parser_lane"), F.lit("https://a.example/base").alias("url"), F.when(F.col("id") % 3 > 0, payload).alias("payload"), F.lit(25).alias("max_items"))
+    made = parsers.parse(rows, (lane,))
+    plan = made._jdf.queryExecution().executedPlan().toString()
+    assert "MapInArrow" in plan and "Generate" not in plan
+    got, each = made.collect(), items(lane, payload)
+    assert sorted((r["seq"], r["n"], r["title"], r["error"] is None) for r in got if r["n"] is not None) == [(k, n, x["title"], True) for k in range(2_500) if k % 3 for n, x in enumerate(each)]
+    empty = [r for r in got if r["n"] is None]
+    assert sorted(r["seq"] for r in empty) == list(range(0, 2_500, 3)) and {r["error"] is None for r in empty} == {lane == "markdown"}
