@@ -238,7 +238,7 @@ def test_elements_that_no_selector_picks_are_not_asked(monkeypatch):
     assert asked == ["section", "article"] and text == "one two three four" and [n[2] for n in nodes] == [0, pages_.BODY, pages_.ARTICLE]
 
 
-@pytest.mark.parametrize(("lane", "payload"), [("rss_atom", FEED)])
+@pytest.mark.parametrize(("lane", "payload"), [("rss_atom", FEED), ("markdown", MARKDOWN)])
 def test_items_leave_the_pass_as_rows(spark, lane, payload):
     """Items are rows of Arrow columns as they leave Python: no pandas, and no arrays to take apart; rows are told apart across batches."""
     rows = spark.range(2_500).select(F.lit("j").alias("source_job_key"), F.col("id").alias("seq"), F.lit(lane).alias("parser_lane"), F.lit("https://a.example/base").alias("url"), F.when(F.col("id") % 3 > 0, payload).alias("payload"), F.lit(25).alias("max_items"))
