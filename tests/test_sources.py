@@ -249,3 +249,16 @@ def test_items_leave_the_pass_as_rows(spark, lane, payload):
     assert sorted((r["seq"], r["n"], r["title"], r["error"] is None) for r in got if r["n"] is not None) == [(k, n, x["title"], True) for k in range(2_500) if k % 3 for n, x in enumerate(each)]
     empty = [r for r in got if r["n"] is None]
     assert sorted(r["seq"] for r in empty) == list(range(0, 2_500, 3)) and {r["error"] is None for r in empty} == {lane == "markdown"}
+
+
+def test_pages_of_the_tables_take_the_short_way(monkeypatch):
+    import pyarrow.parquet as pq
+
+    from tests.compare import DATA
+
+    left = []
+    monkeypatch.setattr(pages_.HTMLParser, "feed", lambda reader, rest: left.append(len(rest)))
+    htmls = pq.read_table(f"{DATA}/pages.parquet").column("html").to_pylist()
+    for html in htmls:
+        pages_.tree(html or "", "https://a.example/")
+    assert sum(left) < 0.05 * sum(len(h or "") for h in htmls), (sum(left), len(htmls))
