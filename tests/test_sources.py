@@ -1,4 +1,5 @@
 import random
+import re
 
 import pytest
 from pyspark.sql import functions as F
@@ -262,3 +263,36 @@ def test_pages_of_the_tables_take_the_short_way(monkeypatch):
     for html in htmls:
         pages_.tree(html or "", "https://a.example/")
     assert sum(left) < 0.05 * sum(len(h or "") for h in htmls), (sum(left), len(htmls))
+
+
+def test_sections_are_searched_only_for_what_they_may_hold(monkeypatch):
+    """Dates are sought only where a year is; the items are those of a search everywhere."""
+    sought = []
+
+    class Hint:
+        def search(self, text):
+            sought.append(text)
+            return re.search(tx.DATE_HINT, text)
+
+        def sub(self, by, text):
+            sought.append(text)
+            return re.sub(tx.DATE_HINT, by, text)
+
+    def everywhere(payload, base, most):
+        out = []
+        for part in re.split(r"(?m)^(?=#{1,4}\s)", payload):
+            if m := re.match(r"#{1,4}\s+(.+)", part):
+                link, hint = re.search(r"\[[^\]]*\]\(([^)\s]+)\)", part), re.search(tx.DATE_HINT, part)
+                title = re.sub(tx.DATE_HINT, " ", re.sub(r"\[([^\]]*)\]\([^)]*\)", r"\1", m[1])).strip(" -|:–—")
+                url = parsers.canonical(link[1] if link else "", base)
+                out.append((" ".join(title.split()), url, f"{url}#{len(out)}", hint[0] if hint else "", part[m.end() :].strip()))
+        return out[:most]
+
+    monkeypatch.setattr(parsers, "HINT", Hint())
+    pieces = ["# ", "## ", "\n", "\n## ", "\n\n#### ", " ", "two  words", "[l](/a/b?x=1)", "[]()", "[open](", "](", "2024-03-05", "March 5, 2024", "5 Mar 2019", "1899-01-01", "19", "–", "|", "\t", " ", "(x)"]
+    pick = random.Random(14)
+    for _ in range(3_000):
+        payload = "".join(pick.choice(pieces) for _ in range(pick.randrange(14)))
+        got = parsers.parse_markdown(payload, "https://a.example/base", 3)
+        assert [(x["title"], x["url"], x["item_id"], x["published"], x["body"]) for x in got] == everywhere(payload, "https://a.example/base", 3), payload
+    assert sought and all("19" in x or "20" in x for x in sought)

@@ -138,8 +138,14 @@ def tree(html: str, base: str) -> list[list]:
 
 def item(**x: str | None) -> dict[str, str | None]:
     """An item; its summary is how its body begins."""
-    made = {k: (" ".join(str(v).split()) if k != "body" and v is not None else v) or "" for k, v in ((f, x.get(f)) for f in FIELDS)}
-    return made | {"summary": made["summary"] or made["body"][:MOST_SUMMARY]}
+    made = dict.fromkeys(FIELDS, "")
+    for k, v in x.items():
+        if k == "body":
+            made[k] = v or ""
+        elif v is not None and v != "":
+            made[k] = " ".join(str(v).split())
+    made["summary"] = made["summary"] or made["body"][:MOST_SUMMARY]
+    return made
 
 
 def html_text(raw: str | None) -> str:  # S15
