@@ -193,7 +193,8 @@ def scrub_entities(c: Column) -> Column:  # S16
 
 
 def date_hint(c: Column) -> Column:  # S17
-    return F.nullif(F.regexp_extract(c, DATE_HINT, 0), F.lit(""))
+    """The first date in a text. Each form of a date holds a year, so a text without one is not searched."""
+    return F.nullif(let(c, lambda x: F.when(F.contains(x, F.lit("20")) | F.contains(x, F.lit("19")), F.regexp_extract(x, DATE_HINT, 0))), F.lit(""))
 
 
 def card_title(c: Column) -> Column:  # S18

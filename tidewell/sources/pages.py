@@ -11,7 +11,7 @@ from __future__ import annotations
 
 import json
 import re
-from collections import Counter
+from collections import defaultdict
 from collections.abc import Callable, Iterator
 from datetime import datetime, timedelta
 from html import unescape
@@ -50,7 +50,7 @@ class _Reader(HTMLParser):
     def __init__(self, base: str):
         super().__init__(convert_charrefs=True)
         self.base, self.nodes, self.open = base, [], []
-        self.dead, self.counts = 0, Counter()
+        self.dead, self.counts = 0, defaultdict(int)
         self._add("#root", {}, None, None)
         self.open.append(0)
 
@@ -248,6 +248,11 @@ PAGES, CHARACTERS = 256, 1 << 20
 BLANKS = re.compile("[\t-\r \x85\xa0\u1680\u2000-\u200a\u2028\u2029\u202f\u205f\u3000]+")
 
 
+def collapsed(text: str) -> str:
+    """White space as one blank, none at either end. The only white space that is printable is a blank."""
+    return (text if text.isprintable() and "  " not in text else BLANKS.sub(" ", text)).strip(" ")
+
+
 def _marks(tag: str, attrs: dict[str, str], dead: bool) -> int:
     out = ANYWHERE.get(tag, 0)
     if not attrs:
@@ -271,7 +276,7 @@ def noted(nodes: list[list]) -> tuple[list[tuple], str]:
     pieces, begins, ends, titles, length, named = [], [-1] * len(nodes), [], [], 0, 0
     for pos, _, _, attrs, _, said, dead in nodes:  # by node: where live text begins from it on (made below), where it has ended so far, and titles in attributes so far
         if said is not None and not dead:
-            pieces.append(BLANKS.sub(" ", said).strip(" "))
+            pieces.append(collapsed(said))
             begins[pos] = length + (len(pieces) > 1)
             length = begins[pos] + len(pieces[-1])
         ends.append(length)
