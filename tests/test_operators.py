@@ -382,3 +382,23 @@ def test_lanes_take_turns_with_a_source_for_all_lanes():
     from tidewell.plans import registry
 
     assert "source as source_id" in registry.SQL["lane_round_robin"]
+
+
+@pytest.mark.parametrize("sources", [0, 3, 25])
+def test_lanes_offer_all_rows_of_the_sources_that_they_share(spark, tmp_path, sources):
+    import pyarrow as pa
+    import pyarrow.parquet as pq
+
+    from tests.compare import same
+    from tidewell.plans import registry
+
+    rng, lanes = random.Random(sources), {"en": "venture_debt", "de": "competitor_deposit"}
+    rows = [(1, "s", "fr"), (2, "s", "en"), (3, "s", "de"), (4, "t", "fr"), (5, "t", "fr")]
+    if sources:
+        rows = [(i, rng.choice([None, "", *(f"s{n}" for n in range(sources))]), rng.choice(["en", "de", "fr", None])) for i in rng.sample(range(1000), 150)]
+    pq.write_table(pa.table(dict(zip(("doc_id", "source", "lang"), map(list, zip(*rows, strict=True)), strict=True))), tmp_path / "documents.parquet")
+    pool = [{"pos": i, "source_id": s, "lane": lanes.get(x, "ai"), "url": i, "hash": i, "job": i} for i, s, x in rows]
+    want = [i for i, _ in selection_in_order(pool, [(lambda r: True, 30, None, 2)])]
+    assert sources or want == [2, 3, 4, 5]
+    assert [r["doc_id"] for r in registry.QUERIES["lane_round_robin"](spark, str(tmp_path)).collect()] == want
+    same(spark, registry.QUERIES["lane_round_robin"], registry.SQL["lane_round_robin"], str(tmp_path))

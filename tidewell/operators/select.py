@@ -175,9 +175,11 @@ def balanced(df: DataFrame, passes: list[Pass], place: Column, key: str, url: st
         target = min(step.most, len(selection.rows) + (step.most if step.more is None else step.more))
         named = [F.col(v).alias(k) if k == "key" else blank(v).alias(k) for k, v in fields.items()]
         pool = df.where(step.pool).select(*named, place.alias("at"))
-        by_source, at, depth = Window.partitionBy("lane", "source").orderBy("at"), _State(), deep
+        at, depth = _State(), deep
+        by_source = Window.partitionBy("lane", "source").orderBy("at").rowsBetween(Window.unboundedPreceding, Window.currentRow)
         while len(selection.rows) < target:
-            ranked = pool.withColumn("depth", F.row_number().over(by_source) - 1).withColumn("first", F.first("at").over(by_source)).where(F.col("depth") <= depth)
+            # The bound on the plain row number is one that Spark applies before the shuffle too, so that a large source stays where it lies.
+            ranked = pool.withColumn("nth", F.row_number().over(by_source)).withColumn("first", F.first("at").over(by_source)).where(F.col("nth") <= depth + 1).withColumn("depth", F.col("nth") - 1)
             queue = Window.partitionBy("lane").orderBy("depth", "first")
             # The deepest row of a source tells that there may be more of it, whatever speaks against the row itself.
             left = ranked.where((F.col("depth") >= at.depth) & (selection.open(step.per_source) | (F.col("depth") == depth))).withColumn("nth", F.row_number().over(queue)).where(F.col("nth") <= offer)

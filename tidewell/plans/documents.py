@@ -108,15 +108,22 @@ def candidate_order_topk(spark, d):  # T2
 @query(
     "lane_round_robin",
     f"""
-with p as (select doc_id as pos, source as source_id, {LANE} as lane from documents),
-a as (select *, row_number() over (partition by source_id order by pos) as depth, min(pos) over (partition by lane, source_id) as f from p),
-b as (select *, min(pos) over (partition by lane, source_id) as g from a where depth <= 2),
-c as (select *, row_number() over (partition by lane, depth order by g) as turn, case lane when 'venture_debt' then 0 when 'competitor_deposit' then 1 else 2 end as l from b)
-select pos as doc_id, lane from c order by depth, turn, l limit 30""",
+with recursive p as (select doc_id as pos, source as source_id, {LANE} as lane from documents),
+q as materialized (select *, row_number() over (partition by lane, source_id order by pos) as depth, min(pos) over (partition by lane, source_id) as f, case lane when 'venture_debt' then 0 when 'competitor_deposit' then 1 else 2 end as l from p),
+r as (
+  select 0 as n, cast(null as bigint) as pos, cast(null as varchar) as lane, cast(1 as bigint) as depth, 0 as turn, cast([] as bigint[]) as taken, cast([] as varchar[]) as used
+  union all
+  select * from (
+    select n + 1, q.pos, q.lane, q.depth, (l + 1) % 3, list_append(taken, q.pos), list_append(used, source_id) from r join q on q.depth >= r.depth
+    where n < 30 and not list_contains(taken, q.pos) and len(list_filter(used, lambda x: x is not distinct from source_id)) < 2
+    order by q.depth, case when q.depth = r.depth then (l - turn + 3) % 3 else l end, f limit 1))
+select pos as doc_id, lane from r where n > 0 order by n""",
 )
 def lane_round_robin(spark, d):  # W11
-    x = docs(spark, d).select(F.col("doc_id").alias("pos"), F.col("source").alias("source_id"), lane().alias("lane"))
-    return select.round_robin(x, 30, 2).select(F.col("pos").alias("doc_id"), "lane")
+    # The prefix tells a source without a name from an empty name.
+    x = docs(spark, d).select(F.col("doc_id").alias("pos"), F.concat(F.lit("="), "source").alias("source_id"), lane().alias("lane"))
+    x = x.withColumn("own", F.col("pos").cast("string"))
+    return select.balanced(x, [select.Pass(F.lit(True), 30, per_source=2)], F.struct("pos"), "pos", "own", "own", "own").repartition(1).sortWithinPartitions("place").select(F.col("pos").alias("doc_id"), "lane")
 
 
 @query(
